@@ -59,15 +59,15 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((max(1, len(languages)), 1 << BITS), np.int64)
         for batch in batches:
-            langs = [place.get(x) for x in batch["lang"].to_pylist()]
+            langs = np.array([place.get(x, -1) for x in batch["lang"].to_pylist()], np.int64)
             for texts in text_slices(batch["text"]):
                 grams = CharGrams(texts)
+                own = langs[texts.first : texts.first + len(texts)]
                 for n in SIZES:
                     buckets, bounds = grams.hashed(n, BITS)
-                    for k in range(len(texts)):
-                        lang = langs[texts.first + k]
-                        if lang is not None:
-                            totals[lang] += np.bincount(buckets[bounds[k] : bounds[k + 1]], minlength=1 << BITS)
+                    lang = np.repeat(own, np.diff(bounds))
+                    for k in np.unique(own[own >= 0]):
+                        totals[k] += np.bincount(buckets[lang == k], minlength=1 << BITS)
         lang, bucket = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[lang, bucket])], ["lang", "bucket", "n"]
