@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import op02_exact_dedup, op06_language_id, op07_substring_dedup, op09_sharding
+from lamina.llm import op02_exact_dedup, op03_decontaminate, op04_license_scan, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
 from lamina.llm import op10_toxicity as toxicity
 from lamina.session import table
 
+PIECE_MODEL = os.environ.get("LAMINA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +33,14 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op06_language_id.fit(docs.where(~held_out()))
@@ -42,6 +52,20 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "unit", "start", "stop", "words", "keep_id", "keep_unit", "copies")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = op08_sentencepiece.decode(op08_sentencepiece.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    text = F.coalesce("text", F.lit(""))
+    return decoded.select(
+        "doc_id",
+        F.octet_length(text).cast("long").alias("n_bytes"),
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == text).alias("lossless"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = op09_sharding.stratified_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -60,9 +84,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op04_license_scan.oracle_sql()}
