@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.joins import HOT_SHARE, lookup_join
 from lamina.session import cut
 
 MIN_WORDS = 10
-HOT_SHARE = 1e-3
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*")}
 
 _UNIT_SCHEMA = "doc_id long, row long, unit int, start int, stop int, words int, digest binary"
@@ -78,12 +78,9 @@ def repeated_units(
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
     )
-    hot_rows = max(1.0, units.count() * hot_share)
-    often, rest = groups.where(F.col("copies") > hot_rows), groups.where(F.col("copies") <= hot_rows)
-    by_broadcast = units.join(F.broadcast(often), "digest")
-    by_shuffle = units.join(rest, "digest")
+    found = lookup_join(units, groups, "digest", "copies", units.count(), hot_share)
     return (
-        by_shuffle.unionByName(by_broadcast)
+        found
         .where(F.col("first") != place)
         .select(
             "doc_id", "row", "unit", "start", "stop", "words",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import op02_exact_dedup, op03_decontaminate, op04_license_scan, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
+from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
 from lamina.llm import op10_toxicity as toxicity
 from lamina.session import table
 
@@ -21,6 +21,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -83,6 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
