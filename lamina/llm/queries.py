@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
+from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
 from lamina.llm import op10_toxicity as toxicity
 from lamina.session import table
 
@@ -45,6 +45,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = op06_language_id.fit(docs.where(~held_out()))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
