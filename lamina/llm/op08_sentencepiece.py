@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.kernels import SLICE_BYTES, Texts, mix, stream, text_slices
+from lamina.llm.kernels import Texts, mix, stream, text_slices
 
 DROPOUT = 0.1
 SEED = 20_240_601
@@ -236,8 +237,12 @@ def encode(
     variants: int = VARIANTS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    check: bool = False,
 ) -> DataFrame:
-    """``docs`` and a column ``pieces`` (array of piece ids); every other column passes as it is."""
+    """``docs`` and a column ``pieces`` (array of piece ids); every other column passes as it is.
+
+    With ``check`` the task decodes what it encoded, and ``lossless`` tells whether the text came back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_Model.get(model_path))
     kept = docs.columns
     inner = docs.select(
@@ -250,14 +255,19 @@ def encode(
         vocabulary = shared.value
         for batch in batches:
             ids = batch["id"].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for texts in text_slices(batch["text"], 2 * SLICE_BYTES):
+            for texts in text_slices(batch["text"]):
                 some = slice(texts.first, texts.first + len(texts))
                 pieces, bounds = encode_slice(vocabulary, texts, ids[some], dropout, seed, variants)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(pieces))
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(texts.first, len(texts)), lists], ["row", "pieces"])
+                columns = {"row": batch["row"].slice(texts.first, len(texts)), "pieces": lists}
+                if check:
+                    own = batch["text"].slice(texts.first, len(texts)).fill_null("")
+                    columns["lossless"] = pc.equal(decode_lists(vocabulary, lists), own.cast(pa.string()))
+                yield pa.RecordBatch.from_pydict(columns)
 
     row = inner.schema["row"].dataType.simpleString()
-    return inner.mapInArrow(run, f"row {row}, pieces array<int>").select("row.*", "pieces")
+    extra = ["pieces", "lossless"] if check else ["pieces"]
+    return inner.mapInArrow(run, f"row {row}, pieces array<int>" + ", lossless boolean" * check).select("row.*", *extra)
 
 
 def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
