@@ -39,16 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, pieces, and whether the pieces decode to the text."""
-    encoded = op08_sentencepiece.encode(docs.select(*COLUMNS), PIECE_MODEL)
-    decoded = op08_sentencepiece.decode(encoded, PIECE_MODEL)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        "pieces",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    encoded = op08_sentencepiece.encode(docs.select(*COLUMNS), PIECE_MODEL, check=True)
+    return encoded.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [
