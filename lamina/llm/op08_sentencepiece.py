@@ -239,14 +239,15 @@ def encode(
     text_col: str = "text",
     check: bool = False,
 ) -> DataFrame:
-    """``docs`` and a column ``pieces`` (array of piece ids); every other column passes as it is.
+    """``docs`` and a column ``pieces`` (array of piece ids); every other column passes as it is; one named like a new column
+    is replaced.
 
     With ``check`` the task decodes what it encoded, and ``lossless`` tells whether the text came back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_Model.get(model_path))
-    kept = docs.columns
+    extra = ["pieces", "lossless"] if check else ["pieces"]
     inner = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in extra]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.col(text_col).alias("text"),
     )
@@ -266,7 +267,6 @@ def encode(
                 yield pa.RecordBatch.from_pydict(columns)
 
     row = inner.schema["row"].dataType.simpleString()
-    extra = ["pieces", "lossless"] if check else ["pieces"]
     return inner.mapInArrow(run, f"row {row}, pieces array<int>" + ", lossless boolean" * check).select("row.*", *extra)
 
 
@@ -286,8 +286,7 @@ def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", name: str = "decoded") -> DataFrame:
     """``encoded`` and a column of the texts that its pieces spell."""
     shared = encoded.sparkSession.sparkContext.broadcast(_Model.get(model_path))
-    kept = encoded.columns
-    inner = encoded.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(pieces_col).alias("pieces"))
+    inner = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns if c != name]).alias("row"), F.col(pieces_col).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
