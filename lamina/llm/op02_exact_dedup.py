@@ -64,20 +64,15 @@ def exact_groups(
         .select("digest", "salt", F.when(is_hot, F.col("text")).alias("text"), "keep_id", "group_size")
     )
     calm = merged.where(~is_hot).select("digest", "salt", "keep_id", "group_size")
-    spread = (
+    combined = (
         merged.where(is_hot)
         .groupBy("digest", "text")
         .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "keep_id", "group_size")
-    )
-    winners = calm.unionByName(spread)
-    mixed = (
-        merged.groupBy("digest", "salt")
-        .count()
-        .where("count > 1")
-        .select("digest")
-        .distinct()
     )
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    winners = calm.unionByName(combined.select("digest", salt, "keep_id", "group_size"))
+    # digests of more than one text: none but for a collision
+    mixed = calm.select("digest").union(combined.select("digest")).groupBy("digest").count().where("count > 1").select("digest")
     members = salted.select("doc_id", "digest", "salt")
     if mixed.isEmpty():
         found = _ranked(members.join(winners, ["digest", "salt"]), ["digest", "salt"])

@@ -162,7 +162,7 @@ def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
             for texts, grams in _slices(batch):
                 owner, feature = _distinct(grams, learned.place)
                 z = np.bincount(owner, learned.weights[feature], len(texts)) + learned.bias
-                scores.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+                scores.append(np.exp(-np.logaddexp(0, -z)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
