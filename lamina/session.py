@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +22,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def _checkpoint_dir_ready(spark: SparkSession) -> None:
-    """Keep the folder the cluster names; choose one only where none is set (tests, local runs)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; one is chosen only where none is set (tests, local runs)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-    context.setCheckpointDir(named)
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     Spark reads the files again when an executor is lost, so nothing is recomputed and
     nothing depends on one machine.
     """
-    _checkpoint_dir_ready(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
