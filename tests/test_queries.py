@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from lamina.plans import catalog, catalog_curation, catalog_streams  # noqa: F401
+from lamina.plans import catalog, catalog_curation, catalog_geometry, catalog_streams  # noqa: F401
 from tests.compare import rows_of, rows_of_sql
 
 
