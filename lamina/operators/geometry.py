@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.planes import distance_to_background, parts_2d
+from lamina.functions.planes import center_part, distance_to_background, parts_2d, signed_distance
 from lamina.operators.graph import connected_components
 
 VOXEL = ("t", "y", "x")
@@ -38,28 +38,41 @@ def shell_address(radius: Column, arc: Column, count: int, height: int, width: i
     return near(F.lit((height - 1) / 2) + radius * F.sin(phi)), near(F.lit((width - 1) / 2) + radius * F.cos(phi))
 
 
-def qsc_forward(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """(face, u, v) of a direction on the quadrilateralised spherical cube, u and v in [-1, 1], cells of equal area.
+def qsc_forward(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """``rows`` with (face, u, v) of a direction on the quadrilateralised spherical cube: u and v in [-1, 1], cells of equal area.
 
-    Faces 0 to 5 are +x, +y, -x, -y, +z and -z.
+    Faces 0 to 5 are +x, +y, -x, -y, +z and -z. Each step is a projection, so no expression is repeated in the next.
     """
+    kept = [F.col(c) for c in rows.columns]
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     face = (
-        F.when((ax >= ay) & (ax >= az), F.when(x >= 0, 0).otherwise(2))
-        .when(ay >= az, F.when(y >= 0, 1).otherwise(3))
-        .otherwise(F.when(z >= 0, 4).otherwise(5))
+        F.when((ax >= ay) & (ax >= az), F.when(F.col(x) >= 0, 0).otherwise(2))
+        .when(ay >= az, F.when(F.col(y) >= 0, 1).otherwise(3))
+        .otherwise(F.when(F.col(z) >= 0, 4).otherwise(5))
+    )
+    x, y, z = F.col(x), F.col(y), F.col(z)
+    pick = lambda *v: F.element_at(F.array(*v), F.col("face") + 1)
+    turned = rows.withColumn("face", face).select(
+        *kept, "face", pick(x, y, -x, -y, z, -z).alias("q"), pick(y, -x, -y, x, y, y).alias("r"), pick(z, z, z, z, -x, x).alias("s")
+    )
+    along_r = F.abs("r") >= F.abs("s")
+    split = turned.select(
+        *kept, "face", along_r.alias("along_r"), "q", F.when(along_r, F.col("r")).otherwise(F.col("s")).alias("major"), F.when(along_r, F.col("s")).otherwise(F.col("r")).alias("minor")
+    )
+    norm = F.sqrt(F.col("q") ** 2 + F.col("major") ** 2 + F.col("minor") ** 2)
+    scaled = split.select(
+        *kept, "face", "along_r", (F.col("q") / norm).alias("q"), F.signum("major").alias("side"),
+        F.when(F.col("major") == 0, 0.0).otherwise(F.try_divide("minor", "major")).alias("ratio"),
+    )
+    square = F.col("ratio") * F.col("ratio")
+    mu = F.col("side") * F.sqrt(F.greatest((1 - F.col("q")) / (1 - 1 / F.sqrt(2 + square)), F.lit(0.0)))
+    turn = (12 / math.pi) * (F.atan("ratio") - F.asin(F.col("ratio") / F.sqrt(2 * (1 + square))))
+    return scaled.select(*kept, "face", "along_r", mu.alias("mu"), turn.alias("turn")).select(
+        *kept,
+        "face",
+        F.when(F.col("along_r"), F.col("mu")).otherwise(F.col("mu") * F.col("turn")).alias("u"),
+        F.when(F.col("along_r"), F.col("mu") * F.col("turn")).otherwise(F.col("mu")).alias("v"),
     )
-    pick = lambda *v: F.element_at(F.array(*v), face + 1)
-    q, r, s = pick(x, y, -x, -y, z, -z), pick(y, -x, -y, x, y, y), pick(z, z, z, z, -x, x)
-    norm = F.sqrt(q * q + r * r + s * s)
-    q, r, s = q / norm, r / norm, s / norm
-    along_r = F.abs(r) >= F.abs(s)
-    major, minor = F.when(along_r, r).otherwise(s), F.when(along_r, s).otherwise(r)
-    ratio = F.when(major == 0, 0.0).otherwise(minor / F.when(major == 0, 1.0).otherwise(major))
-    cap = 1 - 1 / F.sqrt(2 + ratio * ratio)
-    mu = F.signum(major) * F.sqrt(F.greatest((1 - q) / cap, F.lit(0.0)))
-    nu = mu * (12 / math.pi) * (F.atan(ratio) - F.asin(ratio / F.sqrt(2 * (1 + ratio * ratio))))
-    return face, F.when(along_r, mu).otherwise(nu), F.when(along_r, nu).otherwise(mu)
 
 
 def gaussian_3d(mask: DataFrame, sigma: float = 1.0, truncate: float = 2.0) -> DataFrame:
@@ -173,14 +186,11 @@ def bridge_sections(mask: DataFrame, ends: DataFrame, shape: tuple[int, int], ma
 
     For each endpoint planes are searched outwards; a part counts at the first plane where its distance to
     the section is at most ``slope`` times the step, and the search stops at the plane that reaches ``candidates`` parts. The signed distances of
-    both sections are mixed linearly between the planes. All bridges start from one snapshot and are OR-ed,
+    both sections are mixed linearly between the planes, and of each painted section the central component stays, filled. All bridges start from one snapshot and are OR-ed,
     so their order does not matter. A group is one endpoint with at most ``max_step`` planes beside it.
     """
     h, w = shape
 
-    def signed(plane: np.ndarray) -> np.ndarray:
-        return distance_to_background(plane) - distance_to_background(~plane)
-
     def paint(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.step == 0]
         section = np.zeros((h, w), bool)
@@ -197,9 +207,9 @@ def bridge_sections(mask: DataFrame, ends: DataFrame, shape: tuple[int, int], ma
             for distance, k in near:
                 if distance <= slope * step and found < candidates:
                     found += 1
-                    a, b = signed(section), signed(labels == k)
+                    a, b = signed_distance(section), signed_distance(labels == k)
                     for between in range(1, step):
-                        for y, x in np.argwhere((a * (step - between) + b * between) / step >= 0):
+                        for y, x in np.argwhere(center_part((a * (step - between) + b * between) / step >= 0)):
                             out.add((t + side * between, int(y), int(x)))
             if found >= candidates:
                 break

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions.scalars import base62_tag
+from lamina.session import cut
+
 # Domains of the digests.
 FRACTION_DOMAIN = "PTA-fraction-v1"
 SPLIT_DOMAIN = "PTA-v4.0.2-split-unit"
@@ -127,3 +130,26 @@ def digest_seed(hex_digest: Column) -> Column:
 def section_group_code(text: Column) -> Column:
     """Code of a section without geometry: its checksum with the top bit set."""
     return F.crc32(text.cast("binary")).bitwiseAND(0x1FFFFFFF).bitwiseOR(0x80000000)
+
+
+def unique_tags(rows: DataFrame, identity: str, length: int, max_rounds: int = 64) -> DataFrame:
+    """(identity, nonce, tag): base-62 tags, unique over the table.
+
+    All identities draw a tag with nonce 0; of those that drew one tag the first by identity keeps it, and the others
+    draw again with the next nonce, never taking a tag that is held.
+    """
+    held = None
+    left = cut(rows.select(F.col(identity).cast("string").alias("identity")).distinct())
+    for nonce in range(max_rounds):
+        if left.isEmpty():
+            break
+        drawn = left.withColumn("nonce", F.lit(nonce)).withColumn(
+            "tag", base62_tag(F.sha2(F.concat_ws("|", "identity", "nonce"), 256), length)
+        )
+        free = drawn if held is None else drawn.join(held.select("tag"), "tag", "left_anti")
+        first = free.groupBy("tag").agg(F.min("identity").alias("identity"), F.min("nonce").alias("nonce")).select("identity", "nonce", "tag")
+        held = cut(first if held is None else held.unionByName(first))
+        left = cut(left.join(held.select("identity"), "identity", "left_anti"))
+    else:
+        raise RuntimeError(f"tags of {length} digits still collide after {max_rounds} rounds")
+    return held if held is not None else left.select("identity", F.lit(0).alias("nonce"), F.lit("").alias("tag"))

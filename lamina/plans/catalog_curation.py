@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -641,6 +642,31 @@ def contour_polygons(spark, sf_dir):
     return planes.outlines(maskset.union(adapters.evidence(spark, sf_dir)), (k, k))
 
 
+@query()
+def edited_shape_resize(spark, sf_dir):
+    """Planes as previews at half size, brought back by their signed distance."""
+    k = adapters.grid_side(spark, sf_dir)
+    preview = resample.presence(maskset.union(adapters.evidence(spark, sf_dir)).withColumn("t", F.col("t") * 2), 2)
+    return planes.per_plane(preview, lambda p: planes.resize_by_distance(p[: k // 2, : k // 2], (k, k)), (k, k))
+
+
+@query()
+def policy_inverse_grid(spark, sf_dir):
+    """Planes as they were before a smooth displacement."""
+    k = adapters.grid_side(spark, sf_dir)
+
+    def undo(plane):
+        place = np.arange(k) * (2 * np.pi / k)
+        return planes.undo_displacement(plane, *np.broadcast_arrays(np.sin(place)[None, :], np.cos(place)[:, None]))
+
+    return _plane_query(spark, sf_dir, undo)
+
+
+@query()
+def unique_tags(spark, sf_dir):
+    return rank.unique_tags(table(spark, sf_dir, "documents"), "doc_id", 4)
+
+
 @query()
 def policy_decide_udf(spark, sf_dir):
     """A plug-in decides a plane at a time; what it adds beyond the candidates is dropped by a join."""

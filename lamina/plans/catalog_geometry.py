@@ -93,10 +93,9 @@ def radial_shells(spark, sf_dir):
 @query()
 def spherical_cells(spark, sf_dir):
     """Embeddings as directions, counted by face and cell of the equal-area cube."""
-    e = F.col("embedding")
-    face, u, v = geometry.qsc_forward(*[e[k].cast("double") for k in range(3)])
-    cell = lambda c: F.least(F.floor((c + 1) * 4), F.lit(7)).cast("int")
-    return table(spark, sf_dir, "embeddings").groupBy(face.alias("face"), cell(u).alias("i"), cell(v).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    directions = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    cell = lambda c: F.least(F.floor((F.col(c) + 1) * 4), F.lit(7)).cast("int")
+    return geometry.qsc_forward(directions).groupBy("face", cell("u").alias("i"), cell("v").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- resampling ----

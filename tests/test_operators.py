@@ -262,3 +262,54 @@ def test_ledger_rejects_one_packet_with_two_contents(spark, tmp_path):
     spark.createDataFrame([(1, "other")], "work_id long, sha string").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
     with pytest.raises(Exception, match="two contents"):
         state.run_ingestion(state.file_stream(spark, str(tmp_path / "p"), "work_id long, sha string"))
+
+
+def test_distances_and_displacements():
+    block = np.zeros((12, 12), bool)
+    block[3:9, 2:8] = True
+    assert (planes.resize_by_distance(block, (12, 12)) == block).all()
+    big = planes.resize_by_distance(block, (24, 24))
+    assert 0.8 * 4 * block.sum() <= big.sum() <= 1.2 * 4 * block.sum() and big[12, 10] and not big[0].any()
+    dy, dx = np.full((12, 12), 2.0), np.full((12, 12), -1.0)
+    assert (planes.undo_displacement(block, dy, dx)[5:11, 1:7]).all() and planes.undo_displacement(block, dy, dx).sum() == block.sum()
+    two = block.copy()
+    two[11, 11] = True
+    two[5, 4] = False
+    assert (planes.center_part(two) == block).all()
+
+
+def test_tags_are_unique_and_do_not_depend_on_order(spark):
+    ids = spark.range(100).withColumnRenamed("id", "doc_id")
+    tags = [{r.identity: r.tag for r in rank.unique_tags(df, "doc_id", 2).collect()} for df in (ids, ids.orderBy(F.desc("doc_id")).repartition(3))]
+    assert tags[0] == tags[1] and len(set(tags[0].values())) == 100
+    assert rank.unique_tags(ids.limit(0), "doc_id", 2).count() == 0
+
+
+def test_bridges_join_two_blocks(spark):
+    from lamina.operators import geometry
+
+    volume = np.zeros((5, 10, 10), bool)
+    volume[0, 2:6, 2:6] = volume[4, 2:6, 3:7] = True
+    parts = topology.slice_components(voxel_table(spark, volume))
+    ends = parts.join(topology.endpoints(parts).select("part", "side"), "part")
+    painted = {(r.t, r.y, r.x) for r in geometry.bridge_sections(parts.select("t", "y", "x"), ends, (10, 10), 4, 1.0).collect()}
+    assert {t for t, _, _ in painted} == {1, 2, 3} and all((t, y, x) in painted for t in (1, 2, 3) for y in range(2, 6) for x in range(3, 6))
+    far = geometry.bridge_sections(parts.select("t", "y", "x"), ends, (10, 10), 3, 1.0)
+    assert far.count() == 0
+
+
+def test_equal_area_cube_covers_each_face_evenly(spark):
+    from lamina.operators import geometry
+
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(6000, 3))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame(points.tolist(), "x double, y double, z double")
+    rows = geometry.qsc_forward(df).select(F.col("face").alias("f"), "u", "v").collect()
+    assert all(abs(r.u) <= 1 + 1e-9 and abs(r.v) <= 1 + 1e-9 for r in rows)
+    counts = np.zeros((6, 2, 2))
+    for r in rows:
+        counts[r.f, int(r.u >= 0), int(r.v >= 0)] += 1
+    assert counts.min() > 180 and counts.max() < 330
+    inner = sum(max(abs(r.u), abs(r.v)) <= 0.5 for r in rows) / len(rows)
+    assert abs(inner - 0.25) < 0.03
