@@ -56,7 +56,7 @@ def group_votes(evidence: DataFrame, policy: VotePolicy, group: str = "grp", sca
         vote.alias("vote"),
         (direct & (vote > 0)).alias("direct"),
         (direct & (F.col("score") >= policy.anchor_score)).alias("anchor"),
-    )
+    ).repartition(*VOXEL)
     return rows.groupBy(*VOXEL, "grp").agg(
         F.max("vote").alias("vote"), F.bool_or("direct").alias("direct"), F.bool_or("anchor").alias("anchor")
     )
