@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.char_grams import CharGrams
-from lamina.llm.kernels import Texts, text_slices
+from lamina.llm.kernels import SLICE_BYTES, Texts, text_slices
 from lamina.llm.op06_language_id import sampled
 
 BITS = 20
@@ -62,7 +62,7 @@ def _distinct(grams: CharGrams, place: np.ndarray | None) -> tuple[np.ndarray, n
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[Texts, CharGrams]]:
-    for texts in text_slices(batch["text"]):
+    for texts in text_slices(batch["text"], SLICE_BYTES // 4):  # four n-gram sizes at once
         yield texts, CharGrams(texts)
 
 
