@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.planes import center_part, distance_to_background, parts_2d, signed_distance
 from lamina.operators.graph import connected_components
+from lamina.operators.topology import label
 
 VOXEL = ("t", "y", "x")
 
@@ -223,10 +224,14 @@ def bridge_sections(mask: DataFrame, ends: DataFrame, shape: tuple[int, int], ma
     return grouped.applyInPandas(paint, "t int, y int, x int").distinct().join(mask, list(VOXEL), "left_anti")
 
 
-def connected_edges(support: DataFrame, ends: DataFrame, label) -> DataFrame:
-    """(edge): edges whose supporting voxels join both of their endpoints; ``support`` has edge and voxels, ``ends`` edge, end and voxels."""
-    labelled = label(support)
-    met = labelled.join(ends, ["edge", *VOXEL]).groupBy("edge", "label").agg(F.count_distinct("end").alias("n"))
+def connected_edges(support: DataFrame, ends: DataFrame, connectivity: int = 26, planes: int = 1 << 10) -> DataFrame:
+    """(edge): edges of which one component of supporting voxels holds voxels of both ends.
+
+    ``support`` has edge and voxels, ``ends`` edge, end and voxels. Edges are laid ``planes`` apart along t, so one labelling does for all.
+    """
+    apart = lambda df: df.withColumn("t", (F.col("t") + F.col("edge") * planes).cast("int"))
+    labelled = label(apart(support), connectivity)
+    met = apart(ends).join(labelled, list(VOXEL)).groupBy("edge", "label").agg(F.count_distinct("end").alias("n"))
     return met.where("n >= 2").select("edge").distinct()
 
 

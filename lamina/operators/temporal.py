@@ -120,3 +120,16 @@ def nearest_asof(left: DataFrame, right: DataFrame, key: str, at: str, value: st
         F.col("__a").isNull() | (F.col(at) - F.col(f"__b.{at}") <= F.col(f"__a.{at}") - F.col(at)), F.col("__b")
     ).otherwise(F.col("__a"))
     return both.withColumn("__n", nearer).where("__side = 1").select(key, at, F.col(f"__n.{at}").alias("nearest"), F.col("__n.__v").alias(value))
+
+
+def take_wave(mailboxes: DataFrame, order: list[str], key: list[str], limit: int) -> DataFrame:
+    """Up to ``limit`` dirty mailboxes of the first group by ``order`` that has any, in the order of ``key``."""
+    dirty = mailboxes.where("dirty")
+    first = dirty.select(*order).distinct().orderBy(*order).limit(1)
+    return dirty.join(F.broadcast(first), order, "left_semi").orderBy(*key).limit(limit)
+
+
+def align_labels(frames: DataFrame, labels: DataFrame, key: str, origin: int) -> tuple[DataFrame, DataFrame]:
+    """(frames with the columns of the label whose index is the frame plus ``origin``, labels that no frame has)."""
+    placed = labels.withColumn("frame", F.col("index") - origin).drop("index")
+    return frames.join(placed, [key, "frame"], "left"), placed.join(frames, [key, "frame"], "left_anti")

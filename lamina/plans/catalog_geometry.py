@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, maskset, resample, topology
+from lamina.operators import geometry, maskset, resample, temporal, topology
 from lamina.plans.catalog import _label_sql, query
-from lamina.plans.catalog_curation import _grid_sql
+from lamina.plans.catalog_curation import _OVERLAP, _grid_sql, _metrics
 from lamina.session import cut, table
 from lamina.sources import adapters
 from lamina.sources.adapters import sql
@@ -314,6 +314,66 @@ def edit_resolution(spark, sf_dir):
     return geometry.resolve_edits(cut(topology.label(adapters.mask(spark, sf_dir))), layer("L1"), layer("L2"))
 
 
+_SUPPORT = ", support AS (SELECT layer_id[2:]::INT AS edge, t, y, x FROM evidence WHERE t < 4 AND layer_id IN ('L1', 'L2', 'L3'))"
+
+
+@query(
+    sql(
+        "evidence",
+        _SUPPORT
+        + ", "
+        + _label_sql("support", "lab", 26, key="edge")
+        + """, ends AS (SELECT edge, label, CASE WHEN x < 3 THEN 0 ELSE 1 END AS side FROM lab WHERE x < 3 OR x >= 9)
+SELECT DISTINCT edge FROM (SELECT edge, label FROM ends GROUP BY edge, label HAVING count(DISTINCT side) = 2)""",
+        recursive=True,
+    )
+)
+def branch_selection(spark, sf_dir):
+    support = adapters.evidence(spark, sf_dir).where("t < 4 AND layer_id IN ('L1', 'L2', 'L3')").select(F.substring("layer_id", 2, 9).cast("int").alias("edge"), "t", "y", "x")
+    ends = support.where("x < 3 OR x >= 9").withColumn("end", (F.col("x") >= 9).cast("int"))
+    return geometry.connected_edges(support, ends)
+
+
+@query(
+    sql(
+        "active",
+        """, m AS (SELECT lineage, frame, frame // 29 AS sweep FROM active JOIN customer ON lineage = c_custkey WHERE frame % 3 <> 0 AND c_acctbal > 0)
+SELECT lineage, frame, sweep FROM m WHERE sweep = (SELECT min(sweep) FROM m) ORDER BY lineage, frame LIMIT 20""",
+    )
+)
+def frontier_wave(spark, sf_dir):
+    """The next mailboxes of known lineages: the first sweep that has dirty ones, least keys first."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("lineage"))
+    boxes = adapters.active_frames(spark, sf_dir).join(known, "lineage").withColumn("sweep", F.expr("frame div 29").cast("int")).withColumn("dirty", F.col("frame") % 3 != 0)
+    return temporal.take_wave(boxes, ["sweep"], ["lineage", "frame"], 20).select("lineage", "frame", "sweep")
+
+
+@query(
+    sql(
+        "frames",
+        """, l AS (SELECT conv_id AS volume, turn AS frame, length(role) AS mark FROM conversations WHERE turn % 2 = 0)
+SELECT f.volume, f.frame, mark FROM frames f LEFT JOIN l ON l.volume = f.volume AND l.frame = f.frame""",
+    )
+)
+def label_alignment(spark, sf_dir):
+    """Labels numbered from 1 on the media frames numbered from 0."""
+    labels = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("volume"), (F.col("turn") + 1).alias("index"), F.length("role").alias("mark"))
+    aligned, _ = temporal.align_labels(adapters.frames(spark, sf_dir), labels, "volume", 1)
+    return aligned.select("volume", "frame", "mark")
+
+
+@query(
+    sql(
+        "tracklets",
+        _OVERLAP + "SELECT a, b, iou >= 0.05 AS recall_ok, area_ok, iou >= 0.05 AND area_ok AND frames >= 3 AS accepted FROM (SELECT *, drift_median <= 0.7 AS area_ok FROM m)",
+    )
+)
+def proposal_policy(spark, sf_dir):
+    """Proposals as a metric table, gates as columns, acceptance as their conjunction."""
+    gated = _metrics(spark, sf_dir).withColumn("recall_ok", F.col("iou") >= 0.05).withColumn("area_ok", F.col("drift_median") <= 0.7)
+    return gated.select("a", "b", "recall_ok", "area_ok", (F.col("recall_ok") & F.col("area_ok") & (F.col("frames") >= 3)).alias("accepted"))
+
+
 # ---- text and JSON of configurations ----
 
 
