@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions import planes
-from lamina.operators import maskset, rank, resample, temporal, tiles, topology, trace, tracks, vote
-from lamina.operators.joins import bucketed_range_join
-from lamina.session import cut, table
+from lamina.operators import maskset, resample, topology, vote
+from lamina.session import cut
 from lamina.sources import adapters
 from lamina.sources.adapters import sql
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import planes, scalars
-from lamina.operators import maskset, rank, resample, temporal, tiles, topology, trace, tracks, vote
+from lamina.operators import maskset, rank, resample, temporal, tiles, trace, tracks, vote
 from lamina.operators.joins import bucketed_range_join
 from lamina.plans.catalog import query
 from lamina.session import table
