@@ -239,21 +239,21 @@ def dynamic_crops(objects: DataFrame, side: int, most: int) -> DataFrame:
     """(frame, crop, obj, y0, y1, x0, x1): crops of each frame, merged greedily: the pair of least joint area that fits ``side`` and ``most`` objects."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        crops = [([r.obj], (r.y0, r.y1, r.x0, r.x1)) for r in pdf.sort_values("obj").itertuples()]
-        joined = lambda a, b: (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
+        pdf = pdf.sort_values("obj")
+        box = pdf[["y0", "x0", "y1", "x1"]].to_numpy(np.int64)
+        members, size = [[o] for o in pdf.obj], np.ones(len(pdf), np.int64)
         while True:
-            best = None
-            for i, (ids, box) in enumerate(crops):
-                for j in range(i + 1, len(crops)):
-                    c = joined(box, crops[j][1])
-                    if c[1] - c[0] <= side and c[3] - c[2] <= side and len(ids) + len(crops[j][0]) <= most:
-                        best = min(best or ((1 << 60),), ((c[1] - c[0]) * (c[3] - c[2]), i, j))
-            if best is None:
+            low, high = np.minimum(box[:, None, :2], box[None, :, :2]), np.maximum(box[:, None, 2:], box[None, :, 2:])
+            extent = high - low
+            fits = np.triu((extent <= side).all(2) & (size[:, None] + size[None, :] <= most), 1)
+            if not fits.any():
                 break
-            _, i, j = best
-            crops[i] = (crops[i][0] + crops[j][0], joined(crops[i][1], crops[j][1]))
-            del crops[j]
-        rows = [(pdf.frame.iloc[0], k, o, *box) for k, (ids, box) in enumerate(crops) for o in ids]
+            area = np.where(fits, extent.prod(2), np.iinfo(np.int64).max)
+            i, j = np.unravel_index(area.argmin(), area.shape)  # the first of equals
+            members[i] += members.pop(j)
+            box[i], size[i] = [*low[i, j], *high[i, j]], size[i] + size[j]
+            box, size = np.delete(box, j, 0), np.delete(size, j)
+        rows = [(pdf.frame.iloc[0], k, o, *b[[0, 2, 1, 3]]) for k, (ids, b) in enumerate(zip(members, box, strict=True)) for o in ids]
         return pd.DataFrame(rows, columns=["frame", "crop", "obj", "y0", "y1", "x0", "x1"])
 
     return objects.groupBy("frame").applyInPandas(merge, "frame int, crop int, obj long, y0 int, y1 int, x0 int, x1 int")

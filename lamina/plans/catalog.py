@@ -306,9 +306,9 @@ def mask_voxels_from_runs(spark, sf_dir):
     return maskset.voxels(maskset.runs(maskset.union(adapters.evidence(spark, sf_dir))))
 
 
-@query(sql("evidence", "SELECT layer_id, t, y, x // 64 AS word, bit_or(1::BIGINT << (x % 64)) AS bits, count(*) AS foreground FROM evidence WHERE x % 64 < 63 GROUP BY layer_id, t, y, word"))
+@query(sql("evidence", "SELECT layer_id, t, y, x // 64 AS word, bit_or(1::BIGINT << (x % 64)) AS bits, count(*) AS foreground FROM evidence GROUP BY layer_id, t, y, word"))
 def crop_store_rows(spark, sf_dir):
-    packed = maskset.pack_rows(adapters.evidence(spark, sf_dir).where("x % 64 < 63"), "layer_id")
+    packed = maskset.pack_rows(adapters.evidence(spark, sf_dir), "layer_id")
     return packed.select("layer_id", "t", "y", F.col("word").cast("int").alias("word"), "bits", F.col("foreground").cast("long").alias("foreground"))
 
 
@@ -420,28 +420,25 @@ def support_gate(spark, sf_dir):
     return topology.gate_by_support(cut(topology.label(adapters.mask(spark, sf_dir))), _layer(spark, sf_dir, "L1"))
 
 
-# a thick shell: the plane box less a few voxels, so that there is something to fill
-_SOLID_SQL = ", solid AS (SELECT t, y, x FROM (SELECT unnest(range(8))::INT AS t) CROSS JOIN (SELECT unnest(range(12))::INT AS y) CROSS JOIN (SELECT unnest(range(12))::INT AS x) WHERE (t, y, x) NOT IN (SELECT (t, y, x) FROM mask))"
-
-
-def _solid(spark, sf_dir) -> DataFrame:
-    """The box of 8 x 12 x 12 less the voxels of the sparse mask."""
-    return resample.grid(spark, (8, 12, 12)).join(adapters.mask(spark, sf_dir), ["t", "y", "x"], "left_anti")
+# the whole box less the sparse mask, so that there is something to fill
+_SOLID_SQL = ", solid AS (SELECT t, y, x FROM (SELECT unnest(range(8))::INT AS t) CROSS JOIN (SELECT unnest(range(k))::INT AS y FROM km) CROSS JOIN (SELECT unnest(range(k))::INT AS x FROM km) WHERE (t, y, x) NOT IN (SELECT (t, y, x) FROM mask))"
 
 
 @query(
     sql(
-        "mask",
+        "mask km",
         _SOLID_SQL
-        + """, holes AS (SELECT t, y, x FROM mask WHERE y < 12 AND x < 12), """
-        + _label_sql("holes", "lab", 6)
-        + """, open AS (SELECT DISTINCT label FROM lab WHERE t IN (0, 7) OR y IN (0, 11) OR x IN (0, 11))
+        + ", "
+        + _label_sql("mask", "lab", 6)
+        + """, open AS (SELECT DISTINCT label FROM lab, km WHERE t IN (0, 7) OR y IN (0, k - 1) OR x IN (0, k - 1))
 SELECT t, y, x FROM solid UNION SELECT t, y, x FROM lab WHERE label NOT IN (SELECT label FROM open)""",
         recursive=True,
     )
 )
 def void_fill_3d(spark, sf_dir):
-    return topology.fill_voids(_solid(spark, sf_dir), (8, 12, 12))
+    k = adapters.mask_side(spark, sf_dir)
+    solid = resample.grid(spark, (8, k, k)).join(adapters.mask(spark, sf_dir), ["t", "y", "x"], "left_anti")
+    return topology.fill_voids(solid, (8, k, k))
 
 
 @query(
@@ -517,14 +514,14 @@ def geodesic_rescue(spark, sf_dir):
 @query(
     sql(
         "evidence mask",
-        """, e AS (SELECT DISTINCT t, y, x FROM evidence WHERE t < 8)
+        """, e AS (SELECT DISTINCT t, y, x FROM evidence)
 SELECT count_if(e.t IS NOT NULL AND m.t IS NOT NULL) AS tp, count_if(m.t IS NULL) AS fp, count_if(e.t IS NULL) AS fn,
        round(count_if(e.t IS NOT NULL AND m.t IS NOT NULL)::DOUBLE / count(*), 9) AS iou
 FROM e FULL JOIN mask m ON e.t = m.t AND e.y = m.y AND e.x = m.x""",
     )
 )
 def mask_quality(spark, sf_dir):
-    found = maskset.union(adapters.evidence(spark, sf_dir).where("t < 8")).withColumn("e", F.lit(True))
+    found = maskset.union(adapters.evidence(spark, sf_dir)).withColumn("e", F.lit(True))
     both = found.join(adapters.mask(spark, sf_dir).withColumn("m", F.lit(True)), ["t", "y", "x"], "full_outer")
     hit = F.col("e").isNotNull() & F.col("m").isNotNull()
     return both.agg(

@@ -336,9 +336,9 @@ def _tiles(spark, sf_dir) -> DataFrame:
     return tiles.tile_grid(spark.createDataFrame([(k, k)], "height int, width int"), 10, 7)
 
 
-@query("SELECT o_orderkey % 100 + 1 AS extent, unnest(list_sort(list_distinct(list_append(range(0, greatest(o_orderkey % 100 + 1 - 10, 0) + 1, 7), greatest(o_orderkey % 100 + 1 - 10, 0)))))::INT AS start FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey % 100 + 1 AS extent, unnest(list_sort(list_distinct(list_append(range(0, greatest(o_orderkey % 100 + 1 - 10, 0) + 1, 7), greatest(o_orderkey % 100 + 1 - 10, 0)))))::INT AS start FROM orders")
 def tile_starts(spark, sf_dir):
-    extents = table(spark, sf_dir, "orders").where("o_orderkey < 100").select((F.col("o_orderkey") % 100 + 1).alias("extent"))
+    extents = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 100 + 1).alias("extent"))
     return tiles.axis_starts(extents, 10, 7).select("extent", F.col("start").cast("int").alias("start"))
 
 
@@ -507,15 +507,15 @@ def cube_shape(spark, sf_dir):
     return dims.select("p_partkey", *[F.greatest(c, least).alias(c) for c in ("t", "y", "x")])
 
 
-@query("SELECT l_orderkey, l_linenumber, ((l_orderkey - 2000) % 12 + 12) % 12 AS source, (floor((l_orderkey - 2000) / 12.0)::BIGINT % 2 + 2) % 2 = 1 AS mirrored FROM lineitem WHERE l_orderkey < 4000")
+@query("SELECT l_orderkey, l_linenumber, ((l_orderkey - 2000) % 12 + 12) % 12 AS source, (floor((l_orderkey - 2000) / 12.0)::BIGINT % 2 + 2) % 2 = 1 AS mirrored FROM lineitem")
 def cyclic_address(spark, sf_dir):
     source, mirrored = resample.wrapped_azimuth(F.col("l_orderkey") - 2000, 12)
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 4000").select("l_orderkey", "l_linenumber", source.alias("source"), mirrored.alias("mirrored"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", source.alias("source"), mirrored.alias("mirrored"))
 
 
 # ---- tracks ----
 
-_OVERLAP = """, l AS (SELECT obj AS a, frame, y, x, pct FROM tracklets WHERE anchor = 0 AND obj < 40), r AS (SELECT obj AS b, frame, y, x, pct FROM tracklets WHERE anchor = 1 AND obj < 40),
+_OVERLAP = """, l AS (SELECT obj AS a, frame, y, x, pct FROM tracklets WHERE anchor = 0), r AS (SELECT obj AS b, frame, y, x, pct FROM tracklets WHERE anchor = 1),
 la AS (SELECT a, frame, count(*) AS area_a, avg(y) AS cy_a, avg(x) AS cx_a, max(pct) AS p_a FROM l GROUP BY ALL), ra AS (SELECT b, frame, count(*) AS area_b, avg(y) AS cy_b, avg(x) AS cx_b, max(pct) AS p_b FROM r GROUP BY ALL),
 c AS (SELECT a, b, frame, count(*) AS common FROM l JOIN r USING (frame, y, x) GROUP BY ALL), p AS (SELECT DISTINCT a, b FROM c),
 f AS (SELECT a, b, frame, area_a, area_b, coalesce(common, 0) AS common, coalesce(common, 0)::DOUBLE / (area_a + area_b - coalesce(common, 0)) AS iou, sqrt((cy_a - cy_b) ** 2 + (cx_a - cx_b) ** 2) AS apart,
@@ -527,7 +527,7 @@ _METRICS = ("iou", "dice", "iou_mean", "iou_p10", "iou_median", "apart_median",
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
-    own = adapters.tracklets(spark, sf_dir).where("obj < 40")
+    own = adapters.tracklets(spark, sf_dir)
     return tracks.overlap_metrics(own.where("anchor = 0"), own.where("anchor = 1"))
 
 
@@ -554,10 +554,11 @@ def tracklet_similarity(spark, sf_dir):
     return _metrics(spark, sf_dir).select("a", "b", F.round(tracks.similarity(512**0.5), 8).alias("score"))
 
 
-@query(sql("tracklets", "SELECT frame, count(*) AS area FROM (SELECT DISTINCT frame, y, x FROM tracklets WHERE obj IN (1, 2)) GROUP BY frame"))
+@query(sql("tracklets", "SELECT obj, frame, count(*) AS area FROM (SELECT DISTINCT obj, frame, y, x FROM tracklets) GROUP BY obj, frame"))
 def tracklet_union_frames(spark, sf_dir):
+    """Both anchors of each object, OR-ed by frame."""
     own = adapters.tracklets(spark, sf_dir)
-    return tracks.union_by_frame(own.where("obj = 1"), own.where("obj = 2"))
+    return tracks.union_by_frame(own.where("anchor = 0"), own.where("anchor = 1"), ["obj"])
 
 
 _PREFER = ", p AS (SELECT obj, frame, sum(CASE anchor WHEN 0 THEN pct ELSE 0 END)::BIGINT AS l, sum(CASE anchor WHEN 1 THEN pct ELSE 0 END)::BIGINT AS r FROM tracklets GROUP BY ALL)"
@@ -605,7 +606,7 @@ def tracklet_assign(spark, sf_dir):
 
 @query()
 def seed_sessions(spark, sf_dir):
-    return tracks.seed_sessions(adapters.tracklets(spark, sf_dir).where("obj < 40"), 8, 50)
+    return tracks.seed_sessions(adapters.tracklets(spark, sf_dir), 8, 50)
 
 
 # ---- planes ----

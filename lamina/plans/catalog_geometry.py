@@ -205,26 +205,26 @@ def relay_chains(spark, sf_dir):
 @query(
     sql(
         "tracklets",
-        """, s AS (SELECT obj, frame, count(*) AS area FROM tracklets WHERE obj < 40 GROUP BY obj, frame),
+        """, s AS (SELECT obj, frame, count(*) AS area FROM tracklets GROUP BY obj, frame),
 m AS (SELECT *, quantile_cont(area, 0.5) OVER (PARTITION BY obj ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS local, row_number() OVER (PARTITION BY obj ORDER BY frame) AS place FROM s),
 f AS (SELECT *, place - row_number() OVER (PARTITION BY obj ORDER BY frame) AS island FROM m WHERE area > 1.2 * local)
 SELECT obj, min(frame) AS first, max(frame) AS last, count(*) AS samples FROM f GROUP BY obj, island""",
     )
 )
 def centerline_event_islands(spark, sf_dir):
-    areas = adapters.tracklets(spark, sf_dir).where("obj < 40").groupBy("obj", "frame").agg(F.count(F.lit(1)).alias("area"))
+    areas = adapters.tracklets(spark, sf_dir).groupBy("obj", "frame").agg(F.count(F.lit(1)).alias("area"))
     return geometry.radius_events(areas, "obj", "frame", "area", 1.2, 2)
 
 
 def _branches(spark, sf_dir) -> DataFrame:
-    centers = adapters.tracklets(spark, sf_dir).where("obj < 20").groupBy("obj", "frame").agg(F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.count(F.lit(1)).alias("n"))
+    centers = adapters.tracklets(spark, sf_dir).groupBy("obj", "frame").agg(F.sum("y").alias("sy"), F.sum("x").alias("sx"), F.count(F.lit(1)).alias("n"))
     return centers.select(F.col("obj").alias("branch"), F.col("frame").alias("ord"), (F.col("frame") * 3).alias("t"), F.expr("sy div n").alias("y"), F.expr("sx div n").alias("x"))
 
 
 @query(
     sql(
         "tracklets",
-        """, p AS (SELECT obj AS branch, frame AS ord, frame * 3 AS t, sum(y) // count(*) AS y, sum(x) // count(*) AS x FROM tracklets WHERE obj < 20 GROUP BY obj, frame),
+        """, p AS (SELECT obj AS branch, frame AS ord, frame * 3 AS t, sum(y) // count(*) AS y, sum(x) // count(*) AS x FROM tracklets GROUP BY obj, frame),
 n AS (SELECT *, lead(t) OVER w AS nt, lead(y) OVER w AS ny, lead(x) OVER w AS nx FROM p WINDOW w AS (PARTITION BY branch ORDER BY ord)),
 d AS (SELECT *, sqrt((nt - t) ** 2 + (ny - y) ** 2 + (nx - x) ** 2) AS step FROM n),
 c AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY branch ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM d),
@@ -292,7 +292,7 @@ def bridge_interpolate(spark, sf_dir):
 
 @query()
 def dynamic_crops(spark, sf_dir):
-    objects = adapters.tracklets(spark, sf_dir).where("obj < 40").groupBy("frame", "obj").agg(
+    objects = adapters.tracklets(spark, sf_dir).groupBy("frame", "obj").agg(
         F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")
     )
     return geometry.dynamic_crops(objects, 12, 4)
@@ -314,22 +314,10 @@ def edit_resolution(spark, sf_dir):
     return geometry.resolve_edits(cut(topology.label(adapters.mask(spark, sf_dir))), layer("L1"), layer("L2"))
 
 
-_SUPPORT = ", support AS (SELECT layer_id[2:]::INT AS edge, t, y, x FROM evidence WHERE t < 4 AND layer_id IN ('L1', 'L2', 'L3'))"
-
-
-@query(
-    sql(
-        "evidence",
-        _SUPPORT
-        + ", "
-        + _label_sql("support", "lab", 26, key="edge")
-        + """, ends AS (SELECT edge, label, CASE WHEN x < 3 THEN 0 ELSE 1 END AS side FROM lab WHERE x < 3 OR x >= 9)
-SELECT DISTINCT edge FROM (SELECT edge, label FROM ends GROUP BY edge, label HAVING count(DISTINCT side) = 2)""",
-        recursive=True,
-    )
-)
+@query()
 def branch_selection(spark, sf_dir):
-    support = adapters.evidence(spark, sf_dir).where("t < 4 AND layer_id IN ('L1', 'L2', 'L3')").select(F.substring("layer_id", 2, 9).cast("int").alias("edge"), "t", "y", "x")
+    support = adapters.evidence(spark, sf_dir).select(F.substring("layer_id", 2, 9).cast("int").alias("edge"), "t", "y", "x")
+    """Each layer is the support of one edge, whose ends are the first and the later columns."""
     ends = support.where("x < 3 OR x >= 9").withColumn("end", (F.col("x") >= 9).cast("int"))
     return geometry.connected_edges(support, ends)
 

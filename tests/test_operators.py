@@ -313,3 +313,25 @@ def test_equal_area_cube_covers_each_face_evenly(spark):
     assert counts.min() > 180 and counts.max() < 330
     inner = sum(max(abs(r.u), abs(r.v)) <= 0.5 for r in rows) / len(rows)
     assert abs(inner - 0.25) < 0.03
+
+
+def test_edges_need_one_component_with_both_ends(spark):
+    from lamina.operators import geometry
+
+    line = [(1, 0, 0, x) for x in range(5)] + [(2, 0, 0, x) for x in (0, 1, 3, 4)] + [(3, 0, y, y) for y in range(4)]
+    support = spark.createDataFrame(line, "edge int, t int, y int, x int")
+    ends = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 0, 0, 4), (2, 0, 0, 0, 0), (2, 1, 0, 0, 4), (3, 0, 0, 0, 0), (3, 1, 0, 3, 3)], "edge int, end int, t int, y int, x int")
+    assert {r.edge for r in geometry.connected_edges(support, ends).collect()} == {1, 3}
+    assert {r.edge for r in geometry.connected_edges(support, ends, 6).collect()} == {1}
+
+
+def test_crops_merge_the_smallest_pair_that_fits(spark):
+    from lamina.operators import geometry
+
+    boxes = [(0, 1, 0, 2, 0, 2), (0, 2, 1, 3, 1, 3), (0, 3, 8, 9, 8, 9), (0, 4, 0, 2, 4, 6), (1, 9, 0, 5, 0, 5)]
+    df = spark.createDataFrame(boxes, "frame int, obj long, y0 int, y1 int, x0 int, x1 int")
+    found = geometry.dynamic_crops(df, 6, 3).collect()
+    crops = {}
+    for r in found:
+        crops.setdefault((r.frame, r.crop, r.y0, r.y1, r.x0, r.x1), set()).add(r.obj)
+    assert sorted((k[0], *k[2:], sorted(v)) for k, v in crops.items()) == [(0, 0, 3, 0, 6, [1, 2, 4]), (0, 8, 9, 8, 9, [3]), (1, 0, 5, 0, 5, [9])]
