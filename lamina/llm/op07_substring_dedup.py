@@ -9,8 +9,8 @@ Skew: counting is a map-side combined aggregate. A digest with more than ``HOT_S
 all units is joined by broadcast (there can be ``1 / HOT_SHARE`` such digests at most), all
 others by shuffle.
 
-Defined results: null text has no units; units below ``MIN_WORDS`` words are never removed,
-since short lines recur by chance; rows repeated with the same id and text are compared
+Defined results: null text has no units; every unit that holds more than white space counts, however short
+(``min_words`` can spare shorter ones, and spares none unless it is given); rows repeated with the same id and text are compared
 like any others, in the order of (doc_id, unit number), and of units that tie on both, all but one
 are removed; a null id sorts first; an empty table gives an empty result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lamina.operators.joins import HOT_SHARE, lookup_join
 from lamina.session import cut
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*")}
 
 _UNIT_SCHEMA = "doc_id long, row long, unit int, start int, stop int, words int, digest binary"

@@ -174,3 +174,10 @@ def test_repeated_units_of_odd_rows(spark, odd_rows):
     found = op7.repeated_units(frame(spark, odd_rows)).collect()
     assert sorted(repr(r.doc_id) for r in found) == ["4", "4", "5"] and {r.keep_id for r in found} == {None}
     assert op7.repeated_units(frame(spark, odd_rows).limit(0)).count() == 0
+
+
+def test_short_units_are_removed_too(spark):
+    rows = [(1, "one\nTwo words\n \t\none"), (2, "two  words\n今日は良い天気です。\nnine words are in this line and no more"), (3, "今日は良い天気です。\n \t\nNine words are in this line and no more")]
+    found = op7.repeated_units(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.unit, r.keep_id, r.keep_unit) for r in found} == {(1, 3, 1, 0), (2, 0, 1, 1), (3, 0, 2, 1), (3, 2, 2, 2)}
+    assert op7.repeated_units(frame(spark, rows), min_words=10).count() == 0
