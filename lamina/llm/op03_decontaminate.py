@@ -3,8 +3,8 @@
 A seed is a fixed mask over a window of words; its hash ignores the words at the masked-out
 places, so a substituted word there does not hide a match. Hashes of all windows of the test
 items, for all masks, are joined with those of every window of every document; each hit names
-a diagonal (place in the document minus place in the item), and along it the longest
-stretch in which at most a quarter of the words is substituted is scored around the hits.
+a diagonal (place in the document minus place in the item), and of the whole diagonal the longest
+stretch in which at most a quarter of the words is substituted is taken, wherever in it they lie.
 
 The test side is dealt into blocks of at most about ``BLOCK_WORDS`` words, measured first; a block is
 broadcast as sorted arrays (its size is bounded by that figure) and joined in one pass over the documents,
@@ -36,7 +36,7 @@ from lamina.llm.kernels import SLICE_BYTES, Texts, mix, stream, text_slices, wor
 # 1 reads the word at that place of the window, 0 ignores it.
 MASKS = ("1111", "110101", "1010011", "1100000101")
 MIN_MATCHED = 12
-MISMATCH_COST = 3  # a stretch pays this for a substituted word and gains 1 for an equal one
+MISMATCH_COST = 3  # equal words that a stretch must hold for each substituted one
 BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 20
 
@@ -95,6 +95,21 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(gain[:stop].argmin()), stop
 
 
+def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
+    """The longest stretch with ``MISMATCH_COST`` equal words or more to each other one, without other words at its ends.
+
+    No such stretch has more equal words: a shorter one that had would have words to spare and could be extended.
+    Of ties the first.
+    """
+    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH_COST))])
+    # the earliest place that is not above the gain at each end
+    begin = np.searchsorted(-np.minimum.accumulate(gain), -gain)
+    count = np.concatenate([[0], np.cumsum(equal)])
+    stop = int((count - count[begin]).argmax())
+    start = int(begin[stop])
+    return start + int(equal[start:stop].argmax()) if stop > start else start, stop
+
+
 def needed(words: int, min_matched: int) -> int:
     return min(min_matched, max(1, words - words // (MISMATCH_COST + 1))) if words >= min(map(len, MASKS)) else words
 
@@ -118,7 +133,7 @@ def slice_hits(texts: Texts, block: TestBlock, min_matched: int) -> Iterator[tup
         own, test = words.hashes[words.bounds[t] : words.bounds[t + 1]], block.words[item]
         a, b = max(0, diagonal), min(len(own), diagonal + len(test))
         equal = own[a:b] == test[a - diagonal : b - diagonal]
-        start, stop = best_stretch(equal)
+        start, stop = longest_stretch(equal)
         matched = int(equal[start:stop].sum())
         if matched >= needed(len(test), min_matched):
             first, last = a + start, a + stop - 1

@@ -65,6 +65,32 @@ def test_best_stretch_is_the_best_of_all():
         assert gain(a, b) == max(gain(x, y) for x in range(30) for y in range(x + 1, 31))
 
 
+def test_longest_stretch_has_the_most_equal_words_of_all():
+    rng = np.random.default_rng(1)
+    for n in [*range(1, 9), *[30] * 60]:
+        equal = rng.random(n) < rng.choice([0.6, 0.75, 0.9])
+        allowed = [(x, y) for x in range(n) for y in range(x + 1, n + 1) if 4 * (~equal[x:y]).sum() <= y - x]
+        a, b = op3.longest_stretch(equal)
+        assert equal[a:b].sum() == max((equal[x:y].sum() for x, y in allowed), default=0)
+        assert a == b or ((a, b) in allowed and equal[a] and equal[b - 1])
+        longest = max((y - x for x, y in allowed), default=0)
+        assert not allowed or any(y - x == longest and equal[x:y].sum() == equal[a:b].sum() for x, y in allowed)
+
+
+@pytest.mark.parametrize(
+    ("n", "substituted"), [(20, {9, 10, 11}), (15, {4, 6}), (16, {3, 7, 11, 15}), (40, set(range(3, 40, 4))), (15, {5, 6, 7})]
+)
+def test_contaminated_by_clustered_and_even_substitutions(spark, n, substituted):
+    rng = random.Random(n)
+    words = sentence(rng, n).split()
+    altered = [sentence(rng, 1) if k in substituted else w for k, w in enumerate(words)]
+    more = [sentence(rng, 1) if k in substituted or k % 2 == 0 else w for k, w in enumerate(words)]
+    rows = [(k, f"{sentence(rng, 30)} {' '.join(w)} {sentence(rng, 30)}") for k, w in enumerate((altered, more))]
+    found = op3.contaminated(frame(spark, rows), items(spark, [(7, " ".join(words))])).collect()
+    last = max(set(range(n)) - substituted)
+    assert [(r.doc_id, r.item_id, r.first_word, r.last_word, r.matched) for r in found] == [(0, 7, 30, 30 + last, n - len(substituted))]
+
+
 def test_license_scan_matches_sql_and_odd_rows(spark, duck, data, odd_rows):
     assert rows_of(queries.op4_license_scan(spark, data)) == rows_of_sql(duck, op4.oracle_sql())[1]
     rows = [(r[0], r[1]) for r in odd_rows] + [
