@@ -5,12 +5,12 @@ path is a parameter. A text is its characters with spaces as U+2581 and one U+25
 it. No piece crosses a place where U+2581 follows another character or next to a character
 that no piece has, so the text falls into units there; each unit merges its best-ranked
 neighbouring pair, the leftmost of equals, until none is left. With dropout, the agenda skips a
-candidate (left end, middle and right end in the unit) if a hash of seed, variant, unit and
-candidate falls below the rate; the variant (``VARIANTS`` of them) is a keyed hash of the
-text's id and the unit's number in it, so one word is cut in several ways, and each run cuts alike.
+candidate (left end, middle and right end in the unit) if a hash of seed, text id, number of the unit in
+the text, unit and candidate falls below the rate, so each occurrence of a word is drawn by itself, and each run cuts alike.
 
-A task encodes each distinct (unit, variant) of a slice once: all units merge side by side,
-one merge a round, in numpy.
+A task merges each distinct unit of a slice once without dropout and notes the candidates it meets. An
+occurrence whose draws skip none of them has the same agenda and shares those pieces; every other one is merged by itself.
+All units merge side by side, one merge a round, in numpy.
 
 Decoding joins the bytes of the pieces. A literal U+2581 in a text is encoded by byte pieces,
 so every text comes back exactly.
@@ -35,7 +35,6 @@ from lamina.llm.kernels import Texts, mix, stream, text_slices
 
 DROPOUT = 0.1
 SEED = 20_240_601
-VARIANTS = 8
 SPACE = 0x2581
 _NONE = np.iinfo(np.int32).max
 _CODES = 0x110000
@@ -94,13 +93,26 @@ def _lookup(vocabulary: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.n
     return np.where(vocabulary.pair_keys[at] == keys, vocabulary.pair_ids[at], -1)
 
 
-def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the symbols of units ([bounds[k], bounds[k + 1]), none empty); keys drive the dropout."""
+def _skipped(keys: np.ndarray, candidates: np.ndarray, dropout: float) -> np.ndarray:
+    return mix(keys ^ mix(candidates + np.uint64(1))) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
+def merge_units(
+    vocabulary: Vocabulary,
+    symbols: np.ndarray,
+    bounds: np.ndarray,
+    keys: np.ndarray,
+    dropout: float,
+    met: list[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the symbols of units ([bounds[k], bounds[k + 1]), none empty); keys drive the dropout.
+
+    ``met`` receives the unit and the code of each candidate.
+    """
     n = len(bounds) - 1
     symbols = symbols.astype(np.int32)
     unit = np.repeat(np.arange(n), np.diff(bounds))
     start = np.arange(len(symbols)) - bounds[:-1][unit]  # of each symbol in its unit, in characters
-    limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
     done_unit, done_start, done_symbol = [], [], []
     size = np.diff(bounds)
 
@@ -109,11 +121,14 @@ def merge_units(vocabulary: Vocabulary, symbols: np.ndarray, bounds: np.ndarray,
         at = at[~last[at]]
         merged[at] = _lookup(vocabulary, symbols[at], symbols[at + 1])
         at = at[merged[at] >= 0]
-        if dropout > 0:
+        if dropout > 0 or met is not None:
             middle = start[at + 1]
             stop = np.where(last[at + 1], size[unit[at]], start[np.minimum(at + 2, len(start) - 1)])
             candidate = (start[at] << 42 | middle << 21 | stop).astype(np.uint64)
-            at = at[mix(keys[unit[at]] ^ mix(candidate + np.uint64(1))) >= limit]
+            if met is not None:
+                met.append((unit[at], candidate))
+            if dropout > 0:
+                at = at[~_skipped(keys[unit[at]], candidate, dropout)]
         rank[at] = vocabulary.rank[merged[at]]
 
     last = np.ones(len(symbols), bool)
@@ -157,8 +172,10 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
-def encode_slice(vocabulary: Vocabulary, texts: Texts, ids: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of the texts end to end, and bounds for each text."""
+def encode_slice(
+    vocabulary: Vocabulary, texts: Texts, ids: np.ndarray, dropout: float, seed: int, variants: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of the texts end to end, and bounds for each text; ``variants`` bounds the draws of a word."""
     lead = b"\xe2\x96\x81"
     decoded = [bytes(texts.data[a:b]).decode("utf-8", "replace") for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
     lengths = np.array([len(t) + 1 if t else 0 for t in decoded], np.int64)
@@ -186,19 +203,16 @@ def encode_slice(vocabulary: Vocabulary, texts: Texts, ids: np.ndarray, dropout:
     inside = np.arange(n) - np.repeat(unit_at, sizes)
     content = mix(np.add.reduceat((codes + literal * _CODES).astype(np.uint64) * powers[inside], unit_at) + np.uint64(0x9E37) * sizes.astype(np.uint64))
     text_of = np.searchsorted(ends, unit_at, "right")
-    if dropout > 0:
-        first_unit = np.searchsorted(unit_at, (ends - lengths))
-        number = (np.arange(len(unit_at)) - first_unit[text_of]).astype(np.uint64)
-        draw = mix(mix(ids[text_of] + np.uint64(seed)) ^ mix(number + np.uint64(7))) % np.uint64(variants)
-    else:
-        draw = np.zeros(len(unit_at), np.uint64)
-    keys = mix(content ^ mix(draw + np.uint64(seed)))
-    _, chosen, back = np.unique(keys, return_index=True, return_inverse=True)
+    _, chosen, back = np.unique(content, return_index=True, return_inverse=True)
     known = symbol[unit_at[chosen]] >= 0
-    merged_from = chosen[known]
-    source = _ragged(unit_at[merged_from], sizes[merged_from])
-    bounds = np.concatenate([[0], np.cumsum(sizes[merged_from])])
-    pieces, piece_bounds = merge_units(vocabulary, symbol[source], bounds, keys[merged_from], dropout)
+
+    def merged(some: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the units ``some`` end to end, and their bounds."""
+        source = _ragged(unit_at[some], sizes[some])
+        return merge_units(vocabulary, symbol[source], np.concatenate([[0], np.cumsum(sizes[some])]), keys, rate, met)
+
+    met: list[tuple[np.ndarray, np.ndarray]] = []
+    pieces, piece_bounds = merged(chosen[known], content[chosen[known]], 0.0, met if dropout > 0 else None)
     # characters without a piece: their UTF-8 bytes
     spelled, spelled_counts = [], []
     for k in chosen[~known]:
@@ -211,10 +225,31 @@ def encode_slice(vocabulary: Vocabulary, texts: Texts, ids: np.ndarray, dropout:
     counts[known], places[known] = np.diff(piece_bounds), piece_bounds[:-1]
     counts[~known] = spelled_counts
     places[~known] = len(pieces) + np.cumsum(np.array([0, *spelled_counts], np.int64))[:-1]
-    out_counts = counts[back]
-    total = np.concatenate([[0], np.cumsum(out_counts)])
+    counts, places = counts[back], places[back]
+    if dropout > 0:
+        first_unit = np.searchsorted(unit_at, (ends - lengths))
+        number = (np.arange(len(unit_at)) - first_unit[text_of]).astype(np.uint64)
+        draw = mix(mix(ids[text_of] + np.uint64(seed)) ^ mix(number + np.uint64(7)))
+        if variants is not None:
+            draw %= np.uint64(variants)
+        keys = mix(content ^ mix(draw + np.uint64(seed)))
+        # candidates of each distinct unit, and of each occurrence whether a draw skips one of them
+        met_unit, candidates = (np.concatenate(x) for x in zip(*met, strict=True))
+        of_chosen = np.flatnonzero(known)[met_unit]
+        candidates = candidates[np.argsort(of_chosen, kind="stable")]
+        met_counts = np.bincount(of_chosen, minlength=len(chosen))
+        per = met_counts[back]
+        at = np.repeat(np.arange(len(unit_at)), per)
+        skips = np.zeros(len(unit_at), bool)
+        skips[at[_skipped(keys[at], candidates[_ragged((np.cumsum(met_counts) - met_counts)[back], per)], dropout)]] = True
+        skips = np.flatnonzero(skips)
+        if len(skips):
+            own, own_bounds = merged(skips, keys[skips], dropout)
+            counts[skips], places[skips] = np.diff(own_bounds), len(pool) + own_bounds[:-1]
+            pool = np.concatenate([pool, own])
+    total = np.concatenate([[0], np.cumsum(counts)])
     text_units = np.searchsorted(unit_at, np.concatenate([[0], ends]))
-    return pool[_ragged(places[back], out_counts)], total[text_units]
+    return pool[_ragged(places, counts)], total[text_units]
 
 
 class _Model:
@@ -234,7 +269,7 @@ def encode(
     model_path: str,
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
+    variants: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     check: bool = False,

@@ -214,6 +214,27 @@ def test_merge_dropout_matches_a_plain_agenda(rate):
     assert [pieces[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [brute_dropout(vocabulary, w, k, rate) for w, k in zip(words, keys)]
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.4])
+def test_every_occurrence_of_a_word_is_drawn_by_itself(rate):
+    vocabulary = op8.read_vocabulary(queries.PIECE_MODEL)
+    words = ["international", "the", "nation"] * 12
+    part = next(text_slices(pa.array([" ".join(words * 40), "", " ".join(words) + " \u65e5"])))
+    pieces, bounds = op8.encode_slice(vocabulary, part, np.array([3, 4, 5], np.uint64), rate, 1)
+    own = [pieces[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    one = lambda x: np.array([x], np.uint64)
+    want = []
+    for number, word in enumerate(words):
+        codes = np.array([op8.SPACE, *map(ord, word)], np.uint64)
+        powers = np.multiply.accumulate(np.array([1, *[op8.stream(53, 1)[0] | np.uint64(1)] * len(word)], np.uint64))
+        content = op8.mix(one((codes * powers).sum(dtype=np.uint64) + np.uint64(0x9E37 * len(codes))))
+        draw = op8.mix(op8.mix(one(5 + 1)) ^ op8.mix(one(number + 7)))
+        want += brute_dropout(vocabulary, "\u2581" + word, int(op8.mix(content ^ op8.mix(draw + np.uint64(1)))[0]), rate)
+    assert own[1] == [] and own[2][: len(want)] == want
+    starts = [k for k, p in enumerate(own[0]) if vocabulary.piece_bytes[p].startswith(b" ")]
+    cuts = [tuple(own[0][a:b]) for a, b in zip(starts, [*starts[1:], None])]
+    assert len(cuts) == len(words) * 40 and len(set(cuts[::3])) > 8
+
+
 def test_encoding_round_trip(spark, odd_rows):
     docs = frame(spark, odd_rows)
     encoded = op8.encode(docs, queries.PIECE_MODEL, check=True)
