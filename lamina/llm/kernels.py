@@ -20,7 +20,8 @@ _PRIME_INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
+    """The first ``n`` powers of a fixed odd number (``up``) or of its inverse (``down``)."""
     have = _powers[kind]
     if len(have) < n:
         base = np.full(max(n, SLICE_BYTES), _PRIME if kind == "up" else _PRIME_INVERSE, np.uint64)
@@ -117,9 +118,9 @@ def words_of(texts: Texts) -> Words:
     if not len(starts):
         return Words(np.zeros(0, np.uint64), starts, ends, bounds)
     codes = _BYTE_CODE[data]
-    codes *= _power("up", n)
+    codes *= power("up", n)
     hashes = np.add.reduceat(codes, starts)
-    hashes *= _power("down", n)[starts]
+    hashes *= power("down", n)[starts]
     return Words(mix(hashes), starts, ends, bounds)
 
 

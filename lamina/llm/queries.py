@@ -56,8 +56,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op07_substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "unit", "start", "stop", "words", "keep_id", "keep_unit", "copies")
+    found = op07_substring_dedup.document_report(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    return found.select("doc_id", "shares_passage", "n_chars", "n_removed", F.array_join(spans, ",").alias("removed"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
