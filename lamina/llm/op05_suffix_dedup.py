@@ -7,19 +7,25 @@ by content and hence the same in each copy. A suffix is a row: the hash of its f
 ``PREFIX`` words and the ``REACH`` words on either side of them.
 
 Suffixes are sorted over the whole table by range partitions, so a passage in a third of all
-documents fills many partitions. Neighbours with equal prefixes are compared and their match is
-extended left and right; suffixes of one prefix are compared in the order of the words to the
-right and again in that of the words to the left. The first and last row of each partition are compared once more, so that no
-neighbours are parted. Work and rows are linear in the suffixes: pairs of a group are never formed.
+documents fills many partitions. Suffixes of one prefix lie together, in the order of the words to the right, then of
+document and place. A suffix is compared with its neighbours, with the nearest one of another document on
+either side (so that a document's own overlapping suffixes, as in periodic text, hide no other document) and with the earliest of the
+neighbours that match, and each match is extended left and right. The same is done in the order of the words to the left. Work and
+rows are linear in the suffixes: pairs of a group are never formed.
 
-Of two neighbours that match the one further from the earliest of its run (by id and place) repeats
-the other. Matches along one diagonal are joined to whole passages. Result: a row for each
-passage that repeats an earlier or equal one: doc_id, first_word, last_word, source_id, source_word.
+A task handles large groups in pieces and carries the suffixes that the next piece is compared with; the edges of partitions
+are compared once more. Left order needs a whole prefix group: those that lie within a partition are sorted in the task, all others
+- cut into pieces, or at a partition's edge - by a second range sort of the table's own, in the same way. So neither the size of a group
+nor the partitions decide what is compared.
+
+Of two suffixes that match, the later by (id, place) repeats the other. Matches along one diagonal are joined to whole
+passages, and those within another one of the same two documents left out. Result: a row for each passage that repeats an earlier one: doc_id, first_word, last_word, source_id, source_word.
 
 Defined results: null and empty texts and texts below ``LENGTH`` words repeat nothing; within
 one document overlapping copies (periodic text) do not count; repeated rows with one id are one
-document; a null id is carried as null; an empty table gives an empty result; other columns are not read.
-Words are compared by hashes (64 bits in prefixes, 16 bits for each word beside them).
+document; rows with a null id are documents of their own, before all others, and carry null; ids must be above -2^62; an empty
+table gives an empty result; other columns are not read.
+Words are compared by hashes (64 bits in prefixes, 15 bits for each word beside them).
 """
 
 from __future__ import annotations
@@ -32,14 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.kernels import gram_hashes, stream, text_slices, words_of
-from lamina.session import cut
+from lamina.session import stored
 
 LENGTH = 50
 PREFIX = 25
 GRAM = 5
 REACH = 25
-_HOLD = 20_000
-_NO_ID = -(1 << 63)
+HOLD = 20_000  # suffixes of one prefix that a task handles at once
+_NULL_IDS = -(1 << 62)  # rows without an id are numbered below this
 
 _SUFFIX = "key long, right binary, left binary, doc_id long, place int"
 _MATCH = "doc_id long, first_word int, last_word int, source_id long, source_word int"
@@ -93,114 +99,203 @@ def suffixes(docs: DataFrame, length: int, prefix: int, id_col: str, text_col: s
                         ["key", "right", "left", "doc_id", "place"],
                     )
 
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    unnamed = F.lit(2 * _NULL_IDS) + F.monotonically_increasing_id()
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, _SUFFIX)
 
 
-class _Run:
+class _Group:
     """Sorted suffixes: arrays of key, words on either side (nearest first), id and place."""
 
-    def __init__(self, batch: pa.RecordBatch | pa.Table, reach: int):
-        self.key = batch["key"].to_numpy()
-        self.raw = [b"".join(batch[c].to_pylist()) for c in ("right", "left")]
-        self.right, self.left = (np.frombuffer(x, ">u2").reshape(-1, reach) for x in self.raw)
-        self.doc, self.place = batch["doc_id"].to_numpy(), batch["place"].to_numpy().astype(np.int64)
+    def __init__(self, suffix: pa.Table, reach: int):
+        self.key = suffix["key"].to_numpy()
+        self.raw = {c: b"".join(suffix[c].to_pylist()) for c in ("right", "left")}
+        self.right, self.left = (np.frombuffer(x, ">u2").reshape(-1, reach) for x in self.raw.values())
+        self.doc, self.place = suffix["doc_id"].to_numpy(), suffix["place"].to_numpy().astype(np.int64)
         self.reach = reach
 
-    def matches(self, order: np.ndarray, length: int, prefix: int) -> list[np.ndarray]:
-        """Columns of _MATCH from neighbours along ``order``."""
-        a, b = order[:-1], order[1:]
-        same = np.flatnonzero(self.key[a] == self.key[b])
-        a, b = a[same], b[same]
-        common = []
+    def by_left(self) -> np.ndarray:
+        words = np.frombuffer(self.raw["left"], f"S{2 * self.reach}") if len(self.key) else np.zeros(0, "S1")
+        _, run = np.unique(self.key, return_inverse=True)
+        return np.lexsort((self.place, self.doc, words, run))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Equal words before and behind the prefixes of each pair."""
+        found = []
         for words in (self.left, self.right):
             equal = np.ones((len(a), self.reach + 1), bool)
             equal[:, :-1] = (words[a] == words[b]) & (words[a] != 0)
             equal[:, -1] = False
-            common.append(equal.argmin(1))
-        before, after = common
-        apart = (self.doc[a] != self.doc[b]) | (np.abs(self.place[a] - self.place[b]) >= before + prefix + after)
-        long = (before + prefix + after >= length) & apart
-        at, a, b, before, after = same[long], a[long], b[long], before[long], after[long]
-        if not len(at):
+            found.append(equal.argmin(1))
+        return found[0], found[1]
+
+    def matched(self, a: np.ndarray, b: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which of the pairs match, and their columns of _MATCH."""
+        before, after = self.common(a, b)
+        total = before + prefix + after
+        apart = (self.doc[a] != self.doc[b]) | (np.abs(self.place[a] - self.place[b]) >= total)
+        hit = (total >= length) & apart
+        a, b, before, after = a[hit], b[hit], before[hit], after[hit]
+        later = (self.doc[a] > self.doc[b]) | ((self.doc[a] == self.doc[b]) & (self.place[a] > self.place[b]))
+        copy, source = np.where(later, a, b), np.where(later, b, a)
+        return hit, [self.doc[copy], self.place[copy] - before, self.place[copy] + prefix + after - 1, self.doc[source], self.place[source] - before]
+
+    def matches(self, order: np.ndarray, length: int, prefix: int) -> list[np.ndarray]:
+        """Columns of _MATCH from what is compared along ``order``."""
+        n = len(order)
+        if n < 2:
             return [np.zeros(0, np.int64)] * 5
-        # runs of neighbours that match; those beyond the earliest of a run repeat the one before them, those before it the one after
-        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
-        rank = np.empty(len(self.doc), np.int64)
-        rank[np.lexsort((self.place, self.doc))] = np.arange(len(rank))
-        least = np.minimum(np.minimum.reduceat(rank[a], starts), rank[b[np.append(starts[1:], len(at)) - 1]])[run]
-        is_least = rank[a] == least
-        where = np.full(len(starts), 1 << 60)
-        np.minimum.at(where, run[is_least], np.flatnonzero(is_least))
-        beyond = np.arange(len(at)) >= where[run]
-        copy, source = np.where(beyond, b, a), np.where(beyond, a, b)
-        return [self.doc[copy], self.place[copy] - before, self.place[copy] + prefix + after - 1, self.doc[source], self.place[source] - before]
-
-    def all_matches(self, length: int, prefix: int) -> pa.RecordBatch:
-        rows = np.arange(len(self.key))
-        found = self.matches(rows, length, prefix)
-        if (self.key[2:] == self.key[:-2]).any():
-            by_left = np.frombuffer(self.raw[1], f"S{2 * self.reach}") if len(rows) else np.zeros(0, "S1")
-            _, run = np.unique(self.key, return_inverse=True)
-            other = self.matches(np.lexsort((self.place, self.doc, by_left, run)), length, prefix)
-            found = [np.concatenate(pair) for pair in zip(found, other, strict=True)]
-        kinds = [np.int64, np.int32, np.int32, np.int64, np.int32]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(found, kinds, strict=True)], [x.split()[0] for x in _MATCH.split(", ")])
-
-
-def neighbours(sorted_suffixes: DataFrame, length: int, prefix: int, edges: bool) -> DataFrame:
-    """Matches of neighbours within partitions, and with ``edges`` the first and last suffix of each partition."""
+        key, doc, at = self.key[order], self.doc[order], np.arange(n)
+        new_key = np.append(True, key[1:] != key[:-1])
+        new_doc = new_key | np.append(True, doc[1:] != doc[:-1])
+        # stretches of suffixes of one document; the k-th of one is compared with the k-th of another, so that periodic text stays on one diagonal
+        stretch = np.cumsum(new_doc) - 1
+        begin = np.flatnonzero(new_doc)
+        size = np.diff(np.append(begin, n))
+        number = at - begin[stretch]
+
+        def partner(other: np.ndarray) -> np.ndarray:
+            other = np.clip(other, 0, len(begin) - 1)
+            return begin[other] + number % size[other]
+
+        where = (stretch << 33) + self.place[order]
+        far = np.searchsorted(where, where - (2 * self.reach + prefix), "right") - 1  # of one document, beyond its own overlap
+        found, linked = [], np.zeros(n, bool)
+
+        def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            same = (key[a] == key[b]) & (a != b)
+            a, b = a[same], b[same]
+            hit, columns = self.matched(order[a], order[b], length, prefix)
+            found.append(columns)
+            return b[hit]
+
+        linked[compare(at[:-1], at[1:])] = True
+        some = at[~(new_key & np.append(new_key[1:], True))]  # not alone with their prefix
+        before, behind = partner(stretch - 1), partner(stretch + 1)
+        linked[compare(before[some[before[some] < some - 1]], some[before[some] < some - 1])] = True
+        for other in (behind, np.maximum(far, begin[stretch])):
+            more = some[np.abs(other[some] - some) > 1]
+            compare(other[more], more)
+        # the earliest of those that are linked with one before
+        run = np.cumsum(new_key | ~(linked | ~new_doc))
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((self.place[order], doc))] = at
+        least = np.empty(n, np.int64)
+        least[rank] = at
+        first = partner(stretch[least[np.minimum.reduceat(rank, np.flatnonzero(np.append(True, run[1:] != run[:-1])))][run - 1]])
+        more = some[np.abs(first[some] - some) > 1]
+        compare(first[more], more)
+        return [np.concatenate(column) for column in zip(*found, strict=True)]
+
+    def carry(self, hold: int) -> np.ndarray:
+        """The suffixes of the last prefix that what follows must be compared with: its earliest, the last one of the last other
+        document, and those of the last document."""
+        n = len(self.key)
+        own = int(np.flatnonzero(np.append(True, self.key[1:] != self.key[:-1]))[-1])
+        last = int(np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1]))[-1])
+        last = max(last, own, n - max(1, hold // 4))
+        earliest = own + int(np.lexsort((self.place[own:], self.doc[own:]))[0])
+        return np.unique(np.concatenate([[earliest, max(own, last - 1)], np.arange(last, n)]))
+
+
+def compared(sorted_suffixes: DataFrame, side: str, length: int, prefix: int, hold: int, edges: bool) -> DataFrame:
+    """Matches within partitions sorted by (key, ``side``, doc_id, place).
+
+    With ``edges`` also suffixes: as ``part`` 1 those at the edges of a partition, and, in right order, as 2 those of groups that
+    may not be whole, whose left order is still to be compared.
+    """
     reach = length - prefix
     names = ["key", "right", "left", "doc_id", "place"]
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+    match_names = [x.split()[0] for x in _MATCH.split(", ")]
+    match_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    all_names = ["part", *match_names, *[f"s_{n}" for n in names]]
 
-    def widened(found: pa.RecordBatch, ends: pa.Table | None) -> Iterator[pa.RecordBatch]:
-        """One schema for both: matches, then the columns of suffixes."""
-        columns = [*found.columns, *[pa.nulls(found.num_rows, t) for t in kinds]]
-        all_names = [*found.schema.names, *[f"s_{n}" for n in names]]
-        if found.num_rows:
-            yield pa.RecordBatch.from_arrays(columns, all_names)
-        if ends is not None:
-            blank = [pa.nulls(ends.num_rows, c.type) for c in found.columns]
-            yield pa.RecordBatch.from_arrays([*blank, *[ends[n].combine_chunks() for n in names]], all_names)
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n = len(columns[0])
+        if n:
+            own = [pa.array(c).cast(t) for c, t in zip(columns, match_kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), *own, *[pa.nulls(n, t) for t in kinds]], all_names)
+
+    def passed(part: int, suffix: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = suffix.num_rows
+        if n:
+            own = [suffix[c].combine_chunks() for c in names]
+            own = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int8)), *[pa.nulls(n, t) for t in match_kinds], *own], all_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        first = last = None
+        carried = 0  # of the held suffixes, those that were compared before
+        opening = True  # the first group may have begun in the partition before
+
+        def piece(table: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            """Compare; the groups at either end of ``table`` are whole unless ``opening``, ``carried`` or not ``whole``."""
+            group = _Group(table, reach)
+            yield from found(group.matches(np.arange(table.num_rows), length, prefix))
+            if side == "left" or not edges:
+                return
+            key = group.key
+            split = np.zeros(len(key), bool)
+            if opening or carried:
+                split |= key == key[0]
+            if not whole:
+                split |= key == key[-1]
+            own = split.copy()
+            own[:carried] = False
+            yield from passed(2, table.filter(pa.array(own)))
+            rest = np.flatnonzero(~split)
+            if len(rest) > 2 and (key[rest[2:]] == key[rest[:-2]]).any():
+                order = group.by_left()
+                yield from found(group.matches(order[~split[order]], length, prefix))
+
+        first = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([batch])
-            first = first if first is not None else now.slice(0, 1)
-            last = now.slice(now.num_rows - 1, 1)
+            if first is None and edges:
+                docs = now["doc_id"].to_numpy()
+                first = now.slice(0, 1 + int(np.argmax(docs != docs[0])))
+                yield from passed(1, pa.concat_tables([first.slice(0, 1), first.slice(first.num_rows - 1)]))
             held = now if held is None else pa.concat_tables([held, now])
             key = held["key"].to_numpy()
-            # suffixes of the last prefix wait for the next batch, unless there are too many
             till = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
             if till:
-                yield from widened(_Run(held.slice(0, till), reach).all_matches(length, prefix), None)
-                held = held.slice(till)
-            if held.num_rows > _HOLD:
-                yield from widened(_Run(held, reach).all_matches(length, prefix), None)
-                held = held.slice(held.num_rows - 1)
+                yield from piece(held.slice(0, till), True)
+                held, carried, opening = held.slice(till), 0, False
+            if held.num_rows - carried > hold:
+                yield from piece(held, False)
+                kept = _Group(held, reach).carry(hold)
+                held, carried = held.take(pa.array(kept)).combine_chunks(), len(kept)
         if held is not None:
-            ends = pa.concat_tables([first, last]) if edges else None
-            yield from widened(_Run(held, reach).all_matches(length, prefix), ends)
+            yield from piece(held, False)
+            if edges:
+                kept = _Group(held, reach).carry(hold)
+                yield from passed(1, held.take(pa.array(np.unique([*kept[:2], kept[-1]]))))
 
-    return sorted_suffixes.mapInArrow(run, f"{_MATCH}, " + ", ".join(f"s_{x}" for x in _SUFFIX.split(", ")))
+    schema = f"part byte, {_MATCH}, " + ", ".join(f"s_{x}" for x in _SUFFIX.split(", "))
+    return sorted_suffixes.mapInArrow(run, schema)
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_word, last_word, source_id, source_word of each passage that repeats another."""
-    order = ["key", "right", "doc_id", "place"]
-    found = cut(
-        neighbours(suffixes(docs, length, prefix, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order), length, prefix, edges=True)
-    )
-    ends = found.where("s_key is not null").select(*[F.col(f"s_{x.split()[0]}").alias(x.split()[0]) for x in _SUFFIX.split(", ")])
-    across = neighbours(ends.distinct().repartition("key").sortWithinPartitions(*order), length, prefix, edges=False)
+def _in_order(suffix: DataFrame, side: str, length: int, prefix: int, hold: int) -> tuple[DataFrame, DataFrame]:
+    """Matches along one order of the whole table, and the suffixes whose other order is still to be compared."""
+    order = ["key", side, "doc_id", "place"]
+    found = stored(compared(suffix.repartitionByRange(*order).sortWithinPartitions(*order), side, length, prefix, hold, edges=True))
+    names = [x.split()[0] for x in _SUFFIX.split(", ")]
     columns = [x.split()[0] for x in _MATCH.split(", ")]
-    matches = found.where("s_key is null").select(columns).union(across.select(columns))
+    passed = lambda part: found.where(F.col("part") == part).select(*[F.col(f"s_{n}").alias(n) for n in names])
+    edge = passed(1).distinct().repartition("key").sortWithinPartitions(*order)
+    across = compared(edge, side, length, prefix, hold, edges=False)
+    matches = found.where("part = 0").select(columns).unionByName(across.where("part = 0").select(columns))
+    return matches, passed(2)
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hold: int = HOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, first_word, last_word, source_id, source_word of each passage that repeats another."""
+    right, split = _in_order(suffixes(docs, length, prefix, id_col, text_col), "right", length, prefix, hold)
+    left, _ = _in_order(split, "left", length, prefix, hold)
+    matches = right.unionByName(left)
     diagonal = (F.col("source_word") - F.col("first_word")).alias("shift")
     along = Window.partitionBy("doc_id", "source_id", "shift").orderBy("first_word", "last_word")
     reached = F.max("last_word").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -211,5 +306,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, prefix: int = PREFI
         .groupBy("doc_id", "source_id", "shift", "part")
         .agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
     )
-    named = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias(c)
+    # periodic text matches along many diagonals: what lies within another passage of the same two documents says no more
+    wider = Window.partitionBy("doc_id", "source_id").orderBy("first_word", F.desc("last_word"), "shift").rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn("wider", F.max("last_word").over(wider)).where("wider IS NULL OR last_word > wider")
+    named = lambda c: F.when(F.col(c) > _NULL_IDS, F.col(c)).alias(c)
     return joined.select(named("doc_id"), "first_word", "last_word", named("source_id"), (F.col("first_word") + F.col("shift")).alias("source_word"))
