@@ -10,11 +10,11 @@ similarity of their sets is 0.8 or more.
    when the posterior probability (uniform prior) that its similarity reaches the threshold falls
    below ``TOLERANCE``. A larger bucket gives only edges to its least member, so its rows
    grow with its size, not with the square; nothing is pruned there.
-3. Connected components of these edges hold every link. Each is read once: in blocks of about
-   ``BLOCK`` texts, every pair of blocks being one unit of work, so no component, however large, meets in
-   one task. There the signatures prune all pairs incrementally as above, and the rest
-   are verified exactly by the sizes of intersection and union. A unit returns a row for each text (its links and
-   the least text it reaches), not its pairs.
+3. Connected components of these edges hold every link. A component is cut into blocks of about ``BLOCK_BYTES`` of text and
+   ``BLOCK`` texts at most, every pair of blocks being one unit of work, so no component, however large, meets in
+   one task, and one within a block (as most are) is dealt once. In a unit, tiles of ``TILE`` texts are compared: the signatures
+   prune all pairs incrementally as above, and the rest are verified exactly by the sizes of intersection and union. A unit returns
+   a row for each text (its links and the least text it reaches), not its pairs.
 4. Components over verified links give the classes.
 
 Result: a row for each document: doc_id, class_id (least id reached over links and
@@ -25,7 +25,8 @@ Defined results: a text of 1 to 4 words is one shingle of all of them; one witho
 empty, is linked with nothing and a class of its own; rows repeated with one id are copies; a null id shares the class of
 the other documents with its set, else its class is null; an id must name one text; an empty table gives an empty result;
 other columns are not read. A bucket of many near copies costs work that grows with the
-square of the representatives in it (as exact counts of links must), but not rows, memory or the size of a task.
+square of the representatives in it (as exact counts of links must); each of its texts is dealt to as many units as it has blocks,
+while memory and the size of a task stay bounded by two blocks.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.kernels import minhash, shingles_of, text_slices, words_of
+from lamina.llm.rows import free_name
 from lamina.operators.graph import connected_components
 from lamina.operators.joins import lookup_join
 from lamina.session import cut
@@ -50,7 +52,9 @@ BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-5
 SMALL = 8
-BLOCK = 256
+BLOCK = 1024
+BLOCK_BYTES = 1 << 20
+TILE = 256
 _COLUMNS = 4096
 
 
@@ -162,11 +166,13 @@ class _Sets:
 
     def intersections(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sizes of the intersections, by set operations or, of many pairs, by products of incidence matrices."""
-        n = len(self.sets)
+        some, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        n = len(some)
         if len(a) <= 4 * n:
             return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
-        owner = np.repeat(np.arange(n), self.sizes)
-        _, column, seen = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        a, b = places[: len(a)], places[len(a) :]
+        owner = np.repeat(np.arange(n), self.sizes[some])
+        _, column, seen = np.unique(np.concatenate([self.sets[k] for k in some]), return_inverse=True, return_counts=True)
         shared = seen > 1
         number = np.cumsum(shared) - 1
         own = shared[column]
@@ -183,14 +189,23 @@ class _Sets:
 def _unit_links(ids: np.ndarray, side: np.ndarray, texts: list[str], diagonal: bool, words: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each text of a unit of work, and the least id it reaches in it."""
     sets = _Sets(texts, words)
-    left = np.flatnonzero(side == 0)
-    right = left if diagonal else np.flatnonzero(side == 1)
-    a, b = sets.plausible_pairs(left, right, threshold, tolerance)
-    shared = sets.intersections(a, b)
-    linked = shared >= threshold * (sets.sizes[a] + sets.sizes[b] - shared) - 1e-9
-    a, b = a[linked], b[linked]
-    links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-    root = ids.copy()
+    tiles = [[own[k : k + TILE] for k in range(0, len(own), TILE)] for own in (np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
+    if diagonal:
+        pairs = [(left, right) for k, left in enumerate(tiles[0]) for right in tiles[0][k:]]
+    else:
+        pairs = [(left, right) for left in tiles[0] for right in tiles[1]]
+    links, root = np.zeros(len(ids), np.int64), ids.copy()
+    linked_pairs = []
+    for left, right in pairs:
+        a, b = sets.plausible_pairs(left, right, threshold, tolerance)
+        if not len(a):
+            continue
+        shared = sets.intersections(a, b)
+        linked = shared >= threshold * (sets.sizes[a] + sets.sizes[b] - shared) - 1e-9
+        a, b = a[linked], b[linked]
+        links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        linked_pairs.append(_forest(a, b, len(ids)))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*linked_pairs, strict=True)) if linked_pairs else (np.zeros(0, np.int64),) * 2
     while len(a):
         before = root.copy()
         low = np.minimum(root[a], root[b])
@@ -201,12 +216,27 @@ def _unit_links(ids: np.ndarray, side: np.ndarray, texts: list[str], diagonal: b
     return links, root
 
 
-def verified_links(texts: DataFrame, words: int, threshold: float, tolerance: float, block: int) -> DataFrame:
-    """(rep_id, links, root) rows from (component, rep_id, size, text)."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text that the pairs join, and the least place that it reaches: at most ``n`` pairs with the same components."""
+    root = np.arange(n)
+    while len(a):
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (before == root).all():
+            break
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
+def dealt_to_units(texts: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(component, rep_id, size, bytes, text) dealt to pairs of blocks: component, i, j, side, rep_id, text."""
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("bytes") / block_bytes)).cast("int")
     own = F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int")
-    dealt = (
-        texts.withColumn("blocks", blocks)
+    return (
+        texts.withColumn("blocks", F.greatest(blocks, F.lit(1)))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -219,6 +249,10 @@ def verified_links(texts: DataFrame, words: int, threshold: float, tolerance: fl
         )
     )
 
+
+def verified_links(dealt: DataFrame, words: int, threshold: float, tolerance: float) -> DataFrame:
+    """(rep_id, links, root) rows from the units of work."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         now = None
@@ -250,6 +284,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     tolerance: float = TOLERANCE,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -262,9 +297,12 @@ def near_duplicates(
     )
     named = reps.where(F.col("rep_id").isNotNull())
     components = cut(connected_components(candidate_edges(named, threshold, tolerance)))
-    sized = components.join(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    lengths = docs.select(F.col(id_col).cast("long").alias("node"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("bytes"))
+    own = cut(components.join(lengths.groupBy("node").agg(F.max("bytes").alias("bytes")), "node"))
+    totals = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    sized = lookup_join(own.select("component", F.col("node").alias("rep_id")), totals, "component", "size", own.count())
     texts = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = cut(verified_links(texts.join(sized.withColumnRenamed("node", "rep_id"), "rep_id"), words, threshold, tolerance, block))
+    found = cut(verified_links(dealt_to_units(texts.join(sized, "rep_id"), block, block_bytes), words, threshold, tolerance))
     links = found.groupBy("rep_id").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.where("root <> rep_id"), "rep_id", "root")
     about = (
@@ -284,7 +322,8 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the least id of each class, all columns kept; rows without an id stay."""
+    """``docs`` with the least id of each class, all columns kept, whatever they are called; rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    drops = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drops, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    drop = free_name("dropped_id", docs.columns)
+    drops = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(drop))
+    return docs.join(drops, F.col(id_col).cast("long") == F.col(drop), "left_anti")
