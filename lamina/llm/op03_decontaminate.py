@@ -4,19 +4,21 @@ A seed is a fixed mask over a window of words; its hash ignores the words at the
 places, so a substituted word there does not hide a match. Hashes of all windows of the test
 items, for all masks, are joined with those of every window of every document; each hit names
 a diagonal (place in the document minus place in the item), and of the whole diagonal the longest
-stretch in which at most a quarter of the words is substituted is taken, wherever in it they lie.
+stretch in which at most a quarter of the words is substituted is taken, wherever in it they lie; what is left of the diagonal on either
+side of it is searched again.
 
-The test side is dealt into blocks of at most about ``BLOCK_WORDS`` words, measured first; a block is
-broadcast as sorted arrays (its size is bounded by that figure) and joined in one pass over the documents,
-so a large benchmark costs more passes, not more memory. Nothing is shuffled.
+The test side is dealt into blocks of at most about ``BLOCK_WORDS`` words, measured first; a block is a hash table of
+bounded size, so it is broadcast and joined in one pass over the documents. Several blocks are several passes, one after the other,
+each of which writes its rows and frees its broadcast, so a large benchmark costs more passes, not more memory. Nothing is shuffled.
 
 A document is contaminated by an item if a stretch holds at least ``MIN_MATCHED`` equal
-words, or, of a shorter item, all its words but the share that may differ.
+words, or, of a shorter item, all its words but the share that may differ. A row is returned for every such stretch.
 
 Defined results: null texts have no words and match nothing; items without a word match nothing;
 items shorter than the shortest mask are matched whole and exactly; repeated rows and items
 each give their rows; null ids pass as they are; empty tables give an empty
-result; other columns are not read.
+result; other columns are not read, and pass through ``drop_contaminated`` whatever their names. Text that repeats itself meets an item that
+does on as many diagonals as both have words, and gives a row for each.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.kernels import SLICE_BYTES, Texts, mix, stream, text_slices, words_of
+from lamina.llm.rows import carried, schema_with
+from lamina.session import stored
 
 # 1 reads the word at that place of the window, 0 ignores it.
 MASKS = ("1111", "110101", "1010011", "1100000101")
@@ -39,6 +43,7 @@ MIN_MATCHED = 12
 MISMATCH_COST = 3  # equal words that a stretch must hold for each substituted one
 BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 20
+_HITS = 1 << 18
 
 HIT_SCHEMA = "doc_id long, item_id long, first_word int, last_word int, matched int, substituted int, start int, stop int"
 
@@ -87,14 +92,6 @@ def test_block(ids: list[int | None], texts: list[str | None]) -> TestBlock:
     return TestBlock(ids, words, seeds)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The stretch [a, b) of greatest gain, the first of ties."""
-    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH_COST))])
-    rise = gain[1:] - np.minimum.accumulate(gain)[:-1]
-    stop = int(rise.argmax()) + 1
-    return int(gain[:stop].argmin()), stop
-
-
 def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     """The longest stretch with ``MISMATCH_COST`` equal words or more to each other one, without other words at its ends.
 
@@ -110,6 +107,19 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start + int(equal[start:stop].argmax()) if stop > start else start, stop
 
 
+def stretches(equal: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """The longest stretch, then those of what is left on its sides, while they hold ``least`` equal words."""
+    open_parts = [(0, len(equal))]
+    while open_parts:
+        low, high = open_parts.pop()
+        if high - low < least:
+            continue
+        start, stop = longest_stretch(equal[low:high])
+        if stop > start and int(equal[low + start : low + stop].sum()) >= least:
+            yield low + start, low + stop
+            open_parts += [(low, low + start), (low + stop, high)]
+
+
 def needed(words: int, min_matched: int) -> int:
     return min(min_matched, max(1, words - words // (MISMATCH_COST + 1))) if words >= min(map(len, MASKS)) else words
 
@@ -117,32 +127,35 @@ def needed(words: int, min_matched: int) -> int:
 def slice_hits(texts: Texts, block: TestBlock, min_matched: int) -> Iterator[tuple]:
     """(text, item, first word, last word, matched, substituted, first byte, stop byte) of verified overlaps."""
     words = words_of(texts)
-    seen: set[tuple[int, int, int]] = set()
+    seen = [np.zeros((0, 3), np.int64)]
     for mask, (hashes, items, places, filled) in block.seeds.items():
         own = spaced_hashes(words.hashes, mask)
         maybe = np.flatnonzero(filled[(own >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(hashes, own[maybe], "left")
         high = np.searchsorted(hashes, own[maybe], "right")
-        maybe, low, high = (x[high > low] for x in (maybe, low, high))
         text = np.searchsorted(words.bounds, maybe, "right") - 1
-        inside = maybe + len(mask) <= words.bounds[text + 1]
-        for at, t, a, b in zip(maybe[inside], text[inside], low[inside], high[inside], strict=True):
-            for k in range(a, b):
-                seen.add((int(t), int(items[k]), int(at - words.bounds[t] - places[k])))
-    for t, item, diagonal in sorted(seen):
+        inside = (high > low) & (maybe + len(mask) <= words.bounds[text + 1])
+        maybe, low, high, text = (x[inside] for x in (maybe, low, high, text))
+        at = np.concatenate([[0], np.cumsum(high - low)])
+        for part in range(0, int(at[-1]), _HITS):
+            # the hits [part, part + _HITS), each a row of the table for one window
+            hit = np.arange(part, min(part + _HITS, int(at[-1])))
+            window = np.searchsorted(at, hit, "right") - 1
+            row = low[window] + hit - at[window]
+            diagonal = maybe[window] - words.bounds[text[window]] - places[row]
+            seen.append(np.unique(np.stack([text[window], items[row], diagonal], 1), axis=0))
+    for t, item, diagonal in np.unique(np.concatenate(seen), axis=0).tolist():
         own, test = words.hashes[words.bounds[t] : words.bounds[t + 1]], block.words[item]
         a, b = max(0, diagonal), min(len(own), diagonal + len(test))
         equal = own[a:b] == test[a - diagonal : b - diagonal]
-        start, stop = longest_stretch(equal)
-        matched = int(equal[start:stop].sum())
-        if matched >= needed(len(test), min_matched):
-            first, last = a + start, a + stop - 1
-            at = words.bounds[t]
+        at = words.bounds[t]
+        for start, stop in stretches(equal, needed(len(test), min_matched)):
+            first, last, matched = a + start, a + stop - 1, int(equal[start:stop].sum())
             yield t, item, first, last, matched, stop - start - matched, words.starts[at + first] - texts.offsets[t], words.ends[at + last] - texts.offsets[t]
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[TestBlock]:
-    """The test side in blocks whose words were counted first."""
+def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[TestBlock, bool]]:
+    """The test side in blocks whose words were counted first, and of each whether it is the only one."""
     narrow = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a word takes two bytes at least, with what parts it from the next
     size = narrow.agg(F.sum(F.octet_length("text") / 2)).first()[0] or 0
@@ -151,7 +164,7 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, block_words: int) ->
         part = narrow if count == 1 else narrow.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         rows = part.orderBy("item_id", "text").toArrow()
         if rows.num_rows:
-            yield test_block(rows["item_id"].to_pylist(), rows["text"].to_pylist())
+            yield test_block(rows["item_id"].to_pylist(), rows["text"].to_pylist()), count == 1
 
 
 def contaminated(
@@ -185,13 +198,17 @@ def contaminated(
 
         return narrow.mapInArrow(hits, HIT_SCHEMA)
 
-    found = [search(context.broadcast(block)) for block in blocks_of(items, item_id_col, item_text_col, block_words)]
+    found = []
+    for block, only in blocks_of(items, item_id_col, item_text_col, block_words):
+        shared = context.broadcast(block)
+        found.append(search(shared) if only else stored(search(shared)))
+        if not only:
+            shared.unpersist()
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HIT_SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, min_matched: int = MIN_MATCHED, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no item, all columns kept; each block of items is one filtering pass."""
-    kept = docs.columns
     context = docs.sparkSession.sparkContext
 
     def clean(df: DataFrame, shared) -> DataFrame:
@@ -203,9 +220,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, min_matched: int = MIN_
                         hit[texts.first + t] = True
                 yield batch.select(["row"]).filter(pa.array(~hit))
 
-        inner = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text"))
-        return inner.mapInArrow(mark, f"row {inner.schema['row'].dataType.simpleString()}").select("row.*")
+        inner = carried(df, F.col(text_col).alias("text"))
+        return inner.mapInArrow(mark, schema_with(inner)).select("row.*")
 
-    for block in blocks_of(items, "item_id", "text", block_words):
-        docs = clean(docs, context.broadcast(block))
+    for block, only in blocks_of(items, "item_id", "text", block_words):
+        shared = context.broadcast(block)
+        docs = clean(docs, shared) if only else stored(clean(docs, shared))
+        if not only:
+            shared.unpersist()
     return docs
