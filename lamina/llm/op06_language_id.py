@@ -1,10 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams (1 to 3 characters, letters folded to lower case, all else a space, hashed to
-``2 ** BITS`` buckets) are gathered by Spark for each language from a sample of at most
-about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id. The matrix of log
+``2 ** BITS`` buckets) are gathered by Spark for each language from a sample of about ``TRAIN_ROWS`` labelled rows, chosen by a
+hash of the id, in which each language has about ``LEAST_ROWS`` rows, or all that it has. The matrix of log
 probabilities has ``2 ** BITS`` rows and a column for each language, so it is broadcast
-whatever the corpus holds; a scoring task gathers its rows for a slice of texts and sums
+whatever the corpus holds: more than ``MAX_LANGUAGES`` languages are an error, never left out; a scoring task gathers its rows for a slice of texts and sums
 them by text in numpy. Whole texts are scored, lang, source and id are not.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to
@@ -29,6 +29,7 @@ from lamina.llm.kernels import text_slices
 BITS = 16
 SIZES = (1, 2, 3)
 TRAIN_ROWS = 20_000
+LEAST_ROWS = 200
 MAX_LANGUAGES = 1024
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -49,10 +50,22 @@ def sampled(rows: DataFrame, bound: int, id_col: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(1e6 * bound / total))
 
 
+def stratified(rows: DataFrame, counts: dict[str, int], bound: int, id_col: str, lang_col: str) -> DataFrame:
+    """About ``bound`` rows, but of each language about ``LEAST_ROWS`` or all that there are, chosen by a hash of the id."""
+    total = sum(counts.values())
+    if total <= bound:
+        return rows
+    parts = [(k, int(1e6 * min(1.0, max(bound / total, LEAST_ROWS / n)))) for k, n in counts.items()]
+    part = F.create_map(*[F.lit(x) for pair in parts for x in pair])[F.col(lang_col)]
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < part)
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows of ``docs`` that have a language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(MAX_LANGUAGES).collect()
+    per = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(per) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [r.lang for r in per]
     place = {x: k for k, x in enumerate(languages)}
 
@@ -73,7 +86,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
             [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[lang, bucket])], ["lang", "bucket", "n"]
         )
 
-    sample = sampled(rows, train_rows, id_col).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = stratified(rows, {r.lang: r["count"] for r in per}, train_rows, id_col, lang_col).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = found.toArrow()  # at most languages x buckets rows
     totals = np.full((1 << BITS, max(1, len(languages))), SMOOTHING)
