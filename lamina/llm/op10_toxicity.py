@@ -3,14 +3,14 @@
 Features are the distinct hashed n-grams (3 to 6 folded characters, spaces at word
 ends) of a text. Spark counts in how many toxic and in how many other texts of the sample
 each bucket occurs; the ratio of the two smoothed rates gives the scale of the feature.
-The ``FEATURES`` buckets whose counts tell the classes apart best are kept, and a logistic
-regression over the scaled features is fitted on at most about ``TRAIN_ROWS`` labelled rows.
+The ``features`` buckets whose counts tell the classes apart best (a parameter of the model like the ``2 ** BITS`` buckets; README has figures
+of other values) are kept, and a logistic regression over the scaled features is fitted on at most about ``TRAIN_ROWS`` labelled rows.
 Scoring reads whole texts; the model is a table of ``2 ** BITS`` places, so it is broadcast
 whatever the corpus holds.
 
 Defined results: null and empty texts have no features and score the fitted base rate;
 of several labels of one id the highest counts; rows repeated or with a null id are scored
-like any others; without labelled rows of both classes every score is 0; an empty table
+like any others; without a feature every text scores the base rate; without labelled rows of both classes every score is 0; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lamina.llm.char_grams import CharGrams
 from lamina.llm.kernels import SLICE_BYTES, Texts, text_slices
 from lamina.llm.op06_language_id import sampled
+from lamina.llm.rows import carried, schema_with
+from lamina.session import stored
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -67,7 +69,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[Texts, CharGrams]]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> ToxicityModel:
     """Learn from the rows of ``docs`` whose id has a label."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
@@ -98,12 +100,15 @@ def fit(
     share = n_toxic / (n_clean + n_toxic)
     part = lambda seen, expected: F.when(F.col(seen) > 0, F.col(seen) * F.log(F.col(seen) / expected)).otherwise(0.0)
     both = F.col("clean") + F.col("toxic")
-    chosen = (
-        counted.withColumn("gain", part("toxic", both * share) + part("clean", both * (1 - share)))
-        .orderBy(F.desc("gain"), "bucket")
-        .limit(FEATURES)
-        .toArrow()
-    )
+    gain = part("toxic", both * share) + part("clean", both * (1 - share))
+    rated = stored(counted.select("bucket", "clean", "toxic", gain.alias("gain"), F.floor(16 * F.log2(F.greatest(gain, F.lit(2.0**-16)))).alias("grade")))
+    # grades are few hundred: the least one that is needed for so many features
+    grades = sorted(((r.grade, r["count"]) for r in rated.groupBy("grade").count().collect()), reverse=True)
+    reached = np.cumsum([n for _, n in grades])
+    least = grades[min(int(np.searchsorted(reached, features)), len(grades) - 1)][0] if grades else 0
+    chosen = rated.where(F.col("grade") >= least).toArrow().sort_by([("gain", "descending"), ("bucket", "ascending")]).slice(0, features)
+    if not chosen.num_rows:
+        return ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), float(np.log(n_toxic / n_clean)))
     buckets = chosen["bucket"].to_numpy()
     clean, toxic = chosen["clean"].to_numpy(), chosen["toxic"].to_numpy()
     ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
@@ -117,11 +122,11 @@ def fit(
             for texts, grams in _slices(batch):
                 owner, feature = _distinct(grams, shared.value)
                 ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int16)))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(label[texts.first : texts.first + len(texts)]), lists], ["label", "features"])
 
     # at most about train_rows rows of features of the chosen few; their order does not matter to the fit
-    table = rows.mapInArrow(vectors, "label tinyint, features array<smallint>").toArrow()
+    table = rows.mapInArrow(vectors, "label tinyint, features array<int>").toArrow()
     lists = table["features"].combine_chunks()
     y = table["label"].to_numpy().astype(float)
     owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
@@ -147,12 +152,12 @@ def _logistic(owner: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.n
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` narrowed to doc_id, and its score from 0 to 1."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _scored(narrow, model).select("doc_id", "score")
+    narrow = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("row"), F.col(text_col).alias("text"))
+    return _scored(narrow, model).select("row.doc_id", "score")
 
 
 def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``rows`` (with a column text) and a column score; every column passes as it is."""
+    """The struct ``row`` of ``rows`` (that have a column text, too) and a column score."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +168,12 @@ def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
                 owner, feature = _distinct(grams, learned.place)
                 z = np.bincount(owner, learned.weights[feature], len(texts)) + learned.bias
                 scores.append(np.exp(-np.logaddexp(0, -z)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate(scores))], ["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(score, f"{schema}, score double")
+    return rows.mapInArrow(score, schema_with(rows, "score double"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns kept."""
-    kept = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text"))
+    inner = carried(docs, F.col(text_col).alias("text"))
     return _scored(inner, model).where(F.col("score") < threshold).select("row.*")
