@@ -12,7 +12,7 @@ At most ``1 / HOT_SHARE`` digests can be hot, so their list is bounded whatever
 
 Defined results: null text counts as empty; a null id is smaller than any other; rows
 repeated with the same id and text are one group member each, and exactly one of them
-stays; an empty table gives an empty result; other columns are not read. Texts that differ
+stays; an empty table gives an empty result; other columns are not read, and pass through ``drop_copies`` whatever their names. Texts that differ
 but share a digest are kept apart (a second pass over those digests alone compares texts).
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.rows import free_name
 from lamina.session import cut
 
 SALTS = 32
@@ -103,16 +104,9 @@ def _ranked(joined: DataFrame, by: list[str]) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    stays = (
-        exact_groups(docs, id_col, text_col)
-        .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    )
-    marked = docs.withColumn("__digest", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(
-        stays.withColumnRenamed("__digest", "__kept_digest"),
-        F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept_digest")),
-        "left_semi",
-    )
-    return joined.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever they are called."""
+    own, kept_id, kept_digest = (free_name(x, docs.columns) for x in ("own_digest", "kept_id", "kept_digest"))
+    stays = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    marked = docs.withColumn(own, sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = marked.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    return joined.dropDuplicates([id_col, own]).drop(own)

@@ -17,7 +17,7 @@ so every text comes back exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; rows
 repeated with the same id are cut alike, and a null id counts as 0 in the hash; text of any length is one
-row; an empty table gives an empty result; other columns are not read.
+row; an empty table gives an empty result; other columns pass as they are, whatever their names (but those named like a new one).
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.kernels import Texts, mix, stream, text_slices
+from lamina.llm.rows import carried, schema_with
 
 DROPOUT = 0.1
 SEED = 20_240_601
@@ -281,10 +282,11 @@ def encode(
     """
     shared = docs.sparkSession.sparkContext.broadcast(_Model.get(model_path))
     extra = ["pieces", "lossless"] if check else ["pieces"]
-    inner = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in extra]).alias("row"),
+    inner = carried(
+        docs,
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.col(text_col).alias("text"),
+        without=tuple(extra),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +303,7 @@ def encode(
                     columns["lossless"] = pc.equal(decode_lists(vocabulary, lists), own.cast(pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    row = inner.schema["row"].dataType.simpleString()
-    return inner.mapInArrow(run, f"row {row}, pieces array<int>" + ", lossless boolean" * check).select("row.*", *extra)
+    return inner.mapInArrow(run, schema_with(inner, "pieces array<int>" + ", lossless boolean" * check)).select("row.*", *extra)
 
 
 def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
@@ -321,7 +322,7 @@ def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
 def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", name: str = "decoded") -> DataFrame:
     """``encoded`` and a column of the texts that its pieces spell."""
     shared = encoded.sparkSession.sparkContext.broadcast(_Model.get(model_path))
-    inner = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns if c != name]).alias("row"), F.col(pieces_col).alias("pieces"))
+    inner = carried(encoded, F.col(pieces_col).alias("pieces"), without=(name,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,5 +333,4 @@ def decode(encoded: DataFrame, model_path: str, pieces_col: str = "pieces", name
                     lists = pa.array(lists.to_pylist(), pa.list_(pa.int32())).fill_null([])
                 yield pa.RecordBatch.from_arrays([part["row"], decode_lists(shared.value, lists)], ["row", "text"])
 
-    row = inner.schema["row"].dataType.simpleString()
-    return inner.mapInArrow(run, f"row {row}, text string").select("row.*", F.col("text").alias(name))
+    return inner.mapInArrow(run, schema_with(inner, "text string")).select("row.*", F.col("text").alias(name))

@@ -3,6 +3,8 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, score double, pieces string, label string"
+# names that clash with internal ones, or that SQL must quote
+ODD_NAMES = ["__id", "__drop", "__digest", "own_digest", "KEPT_ID", "dropped_id", "removed_", "text_", "my col", "a.b", "c`d"]
 
 
 def sentence(rng: random.Random, n: int) -> str:
@@ -13,7 +15,8 @@ def sentence(rng: random.Random, n: int) -> str:
 def frame(spark, rows):
     """documents from (id, text) or (id, text, lang, source), with extra columns whose names clash with internal ones."""
     full = [(*r, *["en", "s"][len(r) - 2 :])[:4] for r in rows]
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), "x", "y", 0.5, "z", "w") for i, t, g, s in full], SCHEMA)
+    schema = SCHEMA + "".join(f", `{n.replace('`', '``')}` string" for n in ODD_NAMES)
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), "x", "y", 0.5, "z", "w", *ODD_NAMES) for i, t, g, s in full], schema)
 
 
 @pytest.fixture(scope="session")

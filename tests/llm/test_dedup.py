@@ -85,6 +85,14 @@ def test_near_duplicates_of_odd_rows(spark, odd_rows):
     assert op1.near_duplicates(frame(spark, odd_rows).limit(0)).count() == 0
 
 
+def test_texts_of_one_component_are_dealt_to_few_units(spark):
+    some = spark.range(5000).selectExpr("1L AS component", "id AS rep_id", "5000L AS size", "5000L * 40 AS bytes", "'a few words of text' AS text")
+    dealt = op1.dealt_to_units(some, op1.BLOCK, op1.BLOCK_BYTES)
+    assert dealt.count() == 5 * 5000 and dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 2.2 * op1.BLOCK
+    long = some.withColumn("bytes", F.lit(100 * op1.BLOCK_BYTES))
+    assert op1.dealt_to_units(long, op1.BLOCK, op1.BLOCK_BYTES).groupBy("i", "j").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_pruning_keeps_what_the_posterior_allows():
     least = op1.needed_matches(96, 0.8, 1e-5)
     rng = np.random.default_rng(3)
@@ -136,6 +144,56 @@ def test_repeated_passages(spark):
     assert max(r.last_word - r.first_word + 1 for r in found if r.doc_id == 14) == len(words[14])
 
 
+def covered(spark, rows, **how):
+    """{(id, word)} of all passages found, each of which is checked against the texts."""
+    words = {i: WORD.findall(fold(t)) for i, t in rows}
+    out = set()
+    for r in op5.repeated_passages(frame(spark, rows), **how).collect():
+        n = r.last_word - r.first_word + 1
+        assert n >= 50 and words[r.doc_id][r.first_word : r.last_word + 1] == words[r.source_id][r.source_word : r.source_word + n]
+        assert (r.source_id, r.source_word) < (r.doc_id, r.first_word)
+        out |= {(r.doc_id, k) for k in range(r.first_word, r.last_word + 1)}
+    return out
+
+
+def brute_covered(rows):
+    """{(id, word)} of all 50-word places that an earlier document has."""
+    seen, out = set(), set()
+    for i, text in sorted(rows):
+        words = WORD.findall(fold(text))
+        own = [(k, tuple(words[k : k + 50])) for k in range(len(words) - 49)]
+        out |= {(i, k + d) for k, w in own if w in seen for d in range(50)}
+        seen |= {w for _, w in own}
+    return out
+
+
+@pytest.mark.parametrize("hold", [op5.HOLD, 8])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_passages_found_do_not_depend_on_pieces_or_partitions(spark, hold, partitions):
+    rng = random.Random(17)
+    hot, left, right = sentence(rng, 30), sentence(rng, 30), sentence(rng, 30)
+    # a frequent passage of 30 words; some texts share what stands before it, some what stands behind it, with other words on the other side
+    rows = [(k, f"{sentence(rng, 40)} {left if k % 3 == 0 else sentence(rng, 30)} {hot} {right if k % 3 == 1 else sentence(rng, 30)} {sentence(rng, 20)}") for k in range(45)]
+    rows += [(100 + k, f"{sentence(rng, 60 + k)} {'again ' * 296} {sentence(rng, 60)}") for k in range(3)]
+    rows += [(200 + k, f"{sentence(rng, 55)} {'one two three ' * 60} {sentence(rng, 55 + k)}") for k in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = covered(spark, rows, hold=hold)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_covered(rows)
+    assert len(want - found) <= 0.02 * len(want) and {i for i, _ in found} >= {i for i, _ in want}
+    # beyond 50-word places of earlier documents only repeats within a text are found
+    assert all(i >= 100 for i, _ in found - want)
+
+
+def test_rows_without_an_id_are_documents(spark):
+    text = sentence(random.Random(3), 80)
+    found = op5.repeated_passages(frame(spark, [(None, text), (None, text)])).collect()
+    assert [(r.doc_id, r.first_word, r.last_word, r.source_id, r.source_word) for r in found] == [(None, 0, 79, None, 0)]
+
+
 def test_repeated_passages_of_odd_rows(spark, odd_rows):
     found = op5.repeated_passages(frame(spark, odd_rows)).collect()
     assert {(r.doc_id, r.source_id) for r in found} <= {(a, b) for a in (4, 5, None) for b in (4, 5, None)} and found
@@ -181,3 +239,67 @@ def test_short_units_are_removed_too(spark):
     found = op7.repeated_units(frame(spark, rows)).collect()
     assert {(r.doc_id, r.unit, r.keep_id, r.keep_unit) for r in found} == {(1, 3, 1, 0), (2, 0, 1, 1), (3, 0, 2, 1), (3, 2, 2, 2)}
     assert op7.repeated_units(frame(spark, rows), min_words=10).count() == 0
+
+
+SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+
+
+def brute_report(rows):
+    """{id: (removed characters, shares a passage)} by units in order: lines of any length, and runs of sentences of 20 words or more."""
+    units = []
+    for i, text in sorted(rows):
+        for k, m in enumerate(re.finditer(r"[^\n]+", text or "")):
+            key = tuple(m.group().lower().split())
+            if key:
+                units.append((("line", key), i, k, m.start(), m.end(), len(key)))
+        words = [(m.start(), m.end(), fold(m.group())) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        begins = [k for k in range(len(words)) if k == 0 or re.search(r"[.!?\n]", text[words[k - 1][1] : words[k][0]])]
+        for number, k in enumerate(begins):
+            stop = next((e for e in [*begins, len(words)] if e >= k + op7.PASSAGE), None)
+            if stop is not None:
+                end = words[stop - 1][1]
+                while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
+                    end += 1
+                units.append((("passage", tuple(w for _, _, w in words[k:stop])), i, number, words[k][0], end, stop - k))
+    groups = {}
+    for u in units:
+        groups.setdefault(u[0], []).append(u)
+    out = {i: (set(), False) for i, _ in rows}
+    for same in groups.values():
+        first = min(same, key=lambda u: u[1:3])
+        for u in same if len(same) > 1 else []:
+            removed, shares = out[u[1]]
+            if u is not first:
+                removed |= set(range(max(u[3], first[4]) if u[1] == first[1] else u[3], u[4]))
+            out[u[1]] = removed, shares or u[5] >= op7.PASSAGE
+    return out
+
+
+def report_rows():
+    rng = random.Random(21)
+    prose = lambda n: ". ".join(sentence(rng, rng.randint(2, 9)).capitalize() for _ in range(n)) + "."
+    passage, line = prose(12), prose(2)
+    rows = [(k, f"{prose(rng.randint(1, 4))} {passage} {prose(3)}\n{line if k % 2 else prose(2)}\n\n\u00c9 {prose(1)}") for k in range(8)]
+    rows += [(20, "Ab c! " * 90), (21, "x " * 30 + "Ab c! " * 70), (22, prose(9)), (23, None), (24, ""), (25, "\u4eca\u65e5\u306f\u3002\n\u4eca\u65e5\u306f\u3002")]
+    return rows
+
+
+def test_document_report_matches_brute_force(spark):
+    rows = report_rows()
+    found = op7.document_report(frame(spark, rows), hot_share=0.05).collect()
+    got = {r.doc_id: ({k for s in r.removed for k in range(s.start, s.stop)}, r.shares_passage) for r in found}
+    assert len(found) == len(rows) and got == brute_report(rows)
+    assert all(r.n_removed == len(got[r.doc_id][0]) and r.n_chars == len(dict(rows)[r.doc_id] or "") for r in found)
+
+
+def test_drop_repeated_returns_what_is_left(spark, odd_rows):
+    rows = report_rows()
+    docs = frame(spark, rows)
+    left = op7.drop_repeated(docs, ("line", "passage"))
+    assert sorted(left.columns) == sorted([*docs.columns, "removed"])
+    want = brute_report(rows)
+    got = {r.doc_id: (r.text, r["my col"]) for r in left.collect()}
+    assert got == {i: (None if t is None else "".join(c for k, c in enumerate(t) if k not in want[i][0]), "my col") for i, t in rows}
+    odd = op7.drop_repeated(frame(spark, odd_rows)).collect()
+    assert len(odd) == len(odd_rows) and sorted(r.text or "" for r in odd if r.doc_id in (4, 5)) == ["", "", ""]
+    assert op7.drop_repeated(docs.limit(0)).count() == 0
