@@ -224,12 +224,15 @@ def bridge_sections(mask: DataFrame, ends: DataFrame, shape: tuple[int, int], ma
     return grouped.applyInPandas(paint, "t int, y int, x int").distinct().join(mask, list(VOXEL), "left_anti")
 
 
-def connected_edges(support: DataFrame, ends: DataFrame, connectivity: int = 26, planes: int = 1 << 10) -> DataFrame:
+def connected_edges(support: DataFrame, ends: DataFrame, connectivity: int = 26) -> DataFrame:
     """(edge): edges of which one component of supporting voxels holds voxels of both ends.
 
-    ``support`` has edge and voxels, ``ends`` edge, end and voxels. Edges are laid ``planes`` apart along t, so one labelling does for all.
+    ``support`` has edge and voxels, ``ends`` edge, end and voxels. Edges are laid side by side along t, further apart than the planes
+    they reach over, so one labelling does for all.
     """
-    apart = lambda df: df.withColumn("t", (F.col("t") + F.col("edge") * planes).cast("int"))
+    low, high = support.agg(F.min("t"), F.max("t")).first()
+    planes = (high or 0) - (low or 0) + 2
+    apart = lambda df: df.withColumn("t", F.col("t").cast("long") + F.col("edge") * planes)
     labelled = label(apart(support), connectivity)
     met = apart(ends).join(labelled, list(VOXEL)).groupBy("edge", "label").agg(F.count_distinct("end").alias("n"))
     return met.where("n >= 2").select("edge").distinct()

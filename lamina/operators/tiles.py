@@ -18,7 +18,9 @@ def tile_grid(extents: DataFrame, size: int, stride: int) -> DataFrame:
     rows = axis_starts(extents.select(F.col("height").alias("extent")), size, stride).select(F.col("start").alias("top"), F.least("extent", F.col("start") + size).alias("bottom"))
     cols = axis_starts(extents.select(F.col("width").alias("extent")), size, stride).select(F.col("start").alias("left"), F.least("extent", F.col("start") + size).alias("right"))
     numbered = lambda df, by, name: df.withColumn(name, F.row_number().over(Window.orderBy(by)) - 1)  # noqa: E731  a few starts
-    return numbered(rows, "top", "row").join(F.broadcast(numbered(cols, "left", "col"))).withColumn("tile", F.col("row") * 1000 + F.col("col"))
+    across = numbered(cols, "left", "col").withColumn("columns", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    joined = numbered(rows, "top", "row").join(F.broadcast(across))
+    return joined.withColumn("tile", (F.col("row") * F.col("columns") + F.col("col")).cast("int")).drop("columns")
 
 
 def neighbours(tiles: DataFrame) -> DataFrame:

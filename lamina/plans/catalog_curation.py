@@ -286,7 +286,7 @@ def sweep_groups(spark, sf_dir):
 @query(
     """WITH o AS (SELECT o_custkey AS k, epoch_us(o_orderdate) // 86400000000 AS d FROM orders),
 p AS (SELECT k, d, max(p) AS p FROM (SELECT o_custkey AS k, epoch_us(l_shipdate) // 86400000000 AS d, l_quantity AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY k, d),
-c AS (SELECT o.k, o.d, p.d AS nearest, p.p AS value, row_number() OVER (PARTITION BY o.k, o.d ORDER BY abs(o.d - p.d), p.d) AS place FROM (SELECT DISTINCT * FROM o) o JOIN p ON o.k = p.k)
+c AS (SELECT o.k, o.d, p.d AS nearest, p.p AS value, row_number() OVER (PARTITION BY o.k, o.d ORDER BY abs(o.d - p.d), p.d) AS place FROM (SELECT DISTINCT * FROM o) o LEFT JOIN p ON o.k = p.k)
 SELECT k, d, nearest, value FROM c WHERE place = 1"""
 )
 def nearest_asof(spark, sf_dir):
@@ -299,7 +299,7 @@ def nearest_asof(spark, sf_dir):
         .groupBy(F.col("o_custkey").alias("k"), day("l_shipdate").alias("d"))
         .agg(F.max("l_quantity").alias("value"))
     )
-    return temporal.nearest_asof(left, ships, "k", "d", "value").where("nearest IS NOT NULL")
+    return temporal.nearest_asof(left, ships, "k", "d", "value")
 
 
 # ---- channels ----
@@ -327,7 +327,7 @@ def channel_offsets_wrap_mirror(spark, sf_dir):
 
 _STARTS = "(SELECT DISTINCT unnest(list_append(range(0, greatest(k - 10, 0) + 1, 7), greatest(k - 10, 0)))::INT AS s FROM kk)"
 _TILES = f""", s AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM {_STARTS}),
-tiles AS (SELECT (a.i * 1000 + b.i) AS tile, a.i AS row, b.i AS col, a.s AS top, least(k, a.s + 10) AS bottom, b.s AS "left", least(k, b.s + 10) AS "right" FROM s a, s b, kk)
+tiles AS (SELECT (a.i * (SELECT count(*) FROM s) + b.i)::INT AS tile, a.i AS row, b.i AS col, a.s AS top, least(k, a.s + 10) AS bottom, b.s AS "left", least(k, b.s + 10) AS "right" FROM s a, s b, kk)
 """
 
 
@@ -746,15 +746,18 @@ def queue_class(spark, sf_dir):
 # ---- scalars ----
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(-least(greatest(embedding[1]::DOUBLE * 10, -80), 80))), 9) AS p FROM embeddings")
+@query("SELECT vec_id, k - 1 AS k, round(1 / (1 + exp(-least(greatest(embedding[k]::DOUBLE * 10, -80), 80))), 9) AS p FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)")
 def sigmoid_decode(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scalars.sigmoid(F.col("embedding")[0].cast("double") * 10), 9).alias("p"))
+    values = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    return values.select("vec_id", "k", F.round(scalars.sigmoid(F.col("v").cast("double") * 10), 9).alias("p"))
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(-least(greatest((embedding[2]::DOUBLE - embedding[1]::DOUBLE) * 10, -80), 80))), 9) AS p FROM embeddings")
+@query("SELECT vec_id, k, round(1 / (1 + exp(-least(greatest((embedding[2 * k + 2]::DOUBLE - embedding[2 * k + 1]::DOUBLE) * 10, -80), 80))), 9) AS p FROM (SELECT *, unnest(range(0, len(embedding) // 2)) AS k FROM embeddings)")
 def softmax_decode(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scalars.softmax_foreground(e[0].cast("double") * 10, e[1].cast("double") * 10), 9).alias("p"))
+    """Values in twos: background and foreground of one cell."""
+    values = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.expr("cast(size(embedding) div 2 as int)") - 1)).alias("k"))
+    at = lambda n: F.element_at("embedding", 2 * F.col("k") + n).cast("double") * 10
+    return values.select("vec_id", "k", F.round(scalars.softmax_foreground(at(1), at(2)), 9).alias("p"))
 
 
 @query("SELECT vec_id, concat_ws(',', CASE WHEN NOT embedding[1] >= 0 THEN 'low' END, CASE WHEN NOT embedding[2] <= 0.05 THEN 'far' END, CASE WHEN NOT label % 2 = 0 THEN 'odd' END) AS reasons FROM embeddings")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, maskset, resample, temporal, topology
+from lamina.operators import geometry, maskset, resample, temporal, tiles, topology
 from lamina.plans.catalog import _label_sql, query
 from lamina.plans.catalog_curation import _OVERLAP, _grid_sql, _metrics
 from lamina.session import cut, table
@@ -79,13 +79,13 @@ def azimuth_back_projection(spark, sf_dir):
 @query(
     sql(
         "mask km",
-        """, p AS (SELECT r, a, floor(round((k - 1) / 2.0 + r * sin(a * 2 * pi() / 24), 9) + 0.5)::INT AS y, floor(round((k - 1) / 2.0 + r * cos(a * 2 * pi() / 24), 9) + 0.5)::INT AS x FROM (SELECT unnest(range(1, 8))::INT AS r), (SELECT unnest(range(24))::INT AS a), km)
+        """, p AS (SELECT r, a, floor(round((k - 1) / 2.0 + r * sin(a * 2 * pi() / 24), 9) + 0.5)::INT AS y, floor(round((k - 1) / 2.0 + r * cos(a * 2 * pi() / 24), 9) + 0.5)::INT AS x FROM (SELECT unnest(range(1, k // 2 + 1))::INT AS r, k FROM km), (SELECT unnest(range(24))::INT AS a))
 SELECT r, t, a FROM p JOIN mask USING (y, x)""",
     )
 )
 def radial_shells(spark, sf_dir):
     k = adapters.mask_side(spark, sf_dir)
-    places = resample.grid(spark, (7, 24), ("r", "a")).withColumn("r", F.col("r") + 1)
+    places = resample.grid(spark, (k // 2, 24), ("r", "a")).withColumn("r", F.col("r") + 1)
     y, x = geometry.shell_address(F.col("r").cast("double"), F.col("a").cast("double"), 24, k, k)
     return places.withColumn("y", y).withColumn("x", x).join(adapters.mask(spark, sf_dir), ["y", "x"]).select("r", "t", "a")
 
@@ -161,17 +161,19 @@ def anchor_preservation(spark, sf_dir):
 
 @query(
     sql(
-        "mask",
-        """, tiles AS (SELECT unnest([0, 6])::INT AS top, unnest([0, 6])::INT AS other), pairs AS (SELECT a.top, b.top AS "left" FROM tiles a, tiles b),
+        "mask km",
+        """, tiles AS (SELECT unnest(list_distinct(list_append(range(0, greatest(k - 8, 0) + 1, 6), greatest(k - 8, 0))))::INT AS top FROM km), pairs AS (SELECT a.top, b.top AS "left" FROM tiles a, tiles b),
 f AS (SELECT unnest(range(8))::INT AS t)
 SELECT f.t, p.top, p."left", count(m.t) > 0 AS occupied FROM f CROSS JOIN pairs p LEFT JOIN mask m ON m.t = f.t AND m.y >= p.top AND m.y < p.top + 8 AND m.x >= p."left" AND m.x < p."left" + 8 GROUP BY ALL""",
     )
 )
 def occupancy_by_tile(spark, sf_dir):
     """Whether each tile of each frame holds any foreground."""
-    tiles = F.array(*[F.struct(F.lit(a).alias("top"), F.lit(b).alias("left")) for a in (0, 6) for b in (0, 6)])
-    frames = spark.range(8).select(F.col("id").cast("int").alias("t"), F.explode(tiles).alias("p")).select("t", "p.*")
-    hit = adapters.mask(spark, sf_dir).withColumn("p", F.explode(tiles)).select("t", "y", "x", "p.*").where("y >= top AND y < top + 8 AND x >= left AND x < left + 8")
+    k = adapters.mask_side(spark, sf_dir)
+    extents = spark.range(8).select(F.col("id").cast("int").alias("t"), F.lit(k).alias("extent"))
+    rows = tiles.axis_starts(extents, 8, 6).withColumnRenamed("start", "top")
+    frames = tiles.axis_starts(rows, 8, 6).withColumnRenamed("start", "left").select("t", "top", "left")
+    hit = tiles.in_tiles(adapters.mask(spark, sf_dir), 8, 6, k, k)
     some = hit.select("t", "top", "left").distinct().withColumn("occupied", F.lit(True))
     return frames.join(some, ["t", "top", "left"], "left").select("t", "top", "left", F.coalesce("occupied", F.lit(False)).alias("occupied"))
 
@@ -339,13 +341,13 @@ def frontier_wave(spark, sf_dir):
 @query(
     sql(
         "frames",
-        """, l AS (SELECT conv_id AS volume, turn AS frame, length(role) AS mark FROM conversations WHERE turn % 2 = 0)
+        """, l AS (SELECT conv_id AS volume, turn AS frame, length(role) AS mark FROM conversations WHERE role = 'user')
 SELECT f.volume, f.frame, mark FROM frames f LEFT JOIN l ON l.volume = f.volume AND l.frame = f.frame""",
     )
 )
 def label_alignment(spark, sf_dir):
-    """Labels numbered from 1 on the media frames numbered from 0."""
-    labels = table(spark, sf_dir, "conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("volume"), (F.col("turn") + 1).alias("index"), F.length("role").alias("mark"))
+    """Labels numbered from 1 on the media frames numbered from 0; frames whose role is not labelled have none."""
+    labels = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("volume"), (F.col("turn") + 1).alias("index"), F.length("role").alias("mark"))
     aligned, _ = temporal.align_labels(adapters.frames(spark, sf_dir), labels, "volume", 1)
     return aligned.select("volume", "frame", "mark")
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import planes
-from lamina.operators import graph, maskset, rank, resample, temporal, topology, tracks, vote
+from lamina.operators import geometry, graph, maskset, rank, resample, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
@@ -335,3 +335,33 @@ def test_crops_merge_the_smallest_pair_that_fits(spark):
     for r in found:
         crops.setdefault((r.frame, r.crop, r.y0, r.y1, r.x0, r.x1), set()).add(r.obj)
     assert sorted((k[0], *k[2:], sorted(v)) for k, v in crops.items()) == [(0, 0, 3, 0, 6, [1, 2, 4]), (0, 8, 9, 8, 9, [3]), (1, 0, 5, 0, 5, [9])]
+
+
+def test_tile_numbers_are_unique_in_wide_grids(spark):
+    grid = tiles.tile_grid(spark.createDataFrame([(24, 12_000)], "height int, width int"), 8, 8)
+    assert grid.count() == grid.select("tile").distinct().count() == 3 * 1500
+
+
+def test_edges_stay_apart_however_many_planes(spark):
+    # edge 0 ends at plane 1023, edge 1 begins at plane 0: neither may borrow voxels of the other
+    support = spark.createDataFrame([(0, 1023, 0, 0), (0, 1022, 5, 5), (1, 0, 0, 0), (1, 1, 0, 0)], "edge int, t int, y int, x int")
+    ends = spark.createDataFrame([(0, 0, 1023, 0, 0), (0, 1, 1022, 5, 5), (1, 0, 0, 0, 0), (1, 1, 1, 0, 0)], "edge int, end int, t int, y int, x int")
+    assert [r.edge for r in geometry.connected_edges(support, ends).collect()] == [1]
+
+
+def test_distance_of_a_large_plane_needs_little_memory():
+    import tracemalloc
+
+    plane = np.zeros((2048, 2048), bool)
+    plane[500:900, 300:1800] = True
+    tracemalloc.start()
+    depth = planes.distance_to_background(plane)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and depth.max() == 200 and depth[500, 1000] == 1 and depth[0, 0] == 0
+    assert planes.distance_to_background(np.ones((3, 4), bool)).min() == 7
+
+
+def test_too_many_views_are_an_error(spark):
+    with pytest.raises(ValueError, match="views"):
+        tracks.longest_first(spark.range(5).selectExpr("cast(id AS string) AS view", "id AS cost"), 2, most=4)
