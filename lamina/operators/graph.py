@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.operators.joins import lookup_join
 from lamina.session import cut
 
-FEW = 10_000  # so few edges meet in a task whatever their nodes
+FEW = 1_000_000  # so few edges (16 MB) can meet in one task whatever their nodes
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.scalars import base62_tag
+from lamina.operators.joins import lookup_join
 from lamina.session import cut
 
 # Domains of the digests.
@@ -39,6 +40,34 @@ def fraction_sample(rows: DataFrame, identity: str, fraction: float) -> DataFram
     return rows if fraction >= 1 else rows.where(digest(FRACTION_DOMAIN, F.col(identity)) < fraction_threshold(fraction))
 
 
+def distributed_rank(df: DataFrame, *order: Column | str, name: str) -> DataFrame:
+    """``df`` with its row number from 0 in the order of ``order``: a range sort, and for each of its partitions the rows before it.
+
+    Where a window over the whole table, or over few keys, would sort in few tasks, this sorts in all of them.
+    """
+    sorted_rows = cut(df.orderBy(*order).withColumn("sorted_at", F.monotonically_increasing_id()))
+    part = F.shiftright("sorted_at", 33)
+    # a row for each partition of the sort, so no more than there are tasks
+    counted = sorted(sorted_rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for number, n in counted:
+        before.append((number, total))
+        total += n
+    if not before:
+        return df.withColumn(name, F.lit(0).cast("long")).limit(0)
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "sorted_part long, sorted_before long"))
+    place = F.col("sorted_before") + F.col("sorted_at").bitwiseAND((1 << 33) - 1)
+    return sorted_rows.withColumn("sorted_part", part).join(offsets, "sorted_part").withColumn(name, place).drop("sorted_part", "sorted_before", "sorted_at")
+
+
+def place_in(df: DataFrame, keys: list[str], *order: Column | str, name: str) -> DataFrame:
+    """``df`` with its row number from 1 within ``keys`` (not null) in the order of ``order``, as ``row_number`` has it, however few keys there are."""
+    ranked = distributed_rank(df, *keys, *order, name="rank_in_all")
+    firsts = cut(ranked.groupBy(*keys).agg(F.min("rank_in_all").alias("first_in_all"), F.count(F.lit(1)).alias("rows_in_all")))
+    joined = lookup_join(ranked, firsts, keys, "rows_in_all", firsts.agg(F.sum("rows_in_all")).first()[0] or 0)
+    return joined.withColumn(name, F.col("rank_in_all") - F.col("first_in_all") + 1).drop("rank_in_all", "first_in_all", "rows_in_all")
+
+
 def background_limit(foreground: Column, percent: tuple[int, int]) -> Column:
     """floor(p / (1 - p) * foreground) for p = percent[0] / percent[1], in integers."""
     p, q = percent
@@ -48,22 +77,25 @@ def background_limit(foreground: Column, percent: tuple[int, int]) -> Column:
 def background_cap(rows: DataFrame, subset: str, percent: tuple[int, int] = (1, 4)) -> DataFrame:
     """All foreground, and of each subset the background that its limit allows, least digest first."""
     limit = rows.groupBy(subset).agg(background_limit(F.count_if("fg"), percent).alias("cap"))
-    by_digest = Window.partitionBy(subset, "fg").orderBy(digest(BACKGROUND_DOMAIN, F.col("identity")), "ord")
-    ranked = rows.withColumn("place", F.row_number().over(by_digest))
-    return ranked.join(F.broadcast(limit), subset).where(F.col("fg") | (F.col("place") <= F.col("cap"))).drop("place", "cap")
+    ranked = place_in(rows.where(~F.col("fg")).withColumn("key", digest(BACKGROUND_DOMAIN, F.col("identity"))), [subset], "key", "ord", name="place")
+    kept = _within(ranked, limit, subset).drop("key", "place")
+    return rows.where("fg").unionByName(kept)
+
+
+def _within(ranked: DataFrame, limit: DataFrame, subset: str) -> DataFrame:
+    """Rows whose place is within the cap of their subset."""
+    sized = cut(ranked.groupBy(subset).agg(F.count(F.lit(1)).alias("rows_in_all")).join(limit, subset))
+    total = sized.agg(F.sum("rows_in_all")).first()[0] or 0
+    return lookup_join(ranked, sized, subset, "rows_in_all", total).where(F.col("cap").isNull() | (F.col("place") <= F.col("cap"))).drop("cap", "rows_in_all")
 
 
 def breadth_first_cap(rows: DataFrame, source: str, subset: str, percent: tuple[int, int] = (1, 4)) -> DataFrame:
     """As ``background_cap``, but sources take turns: first of each source, then second of each."""
     limit = rows.groupBy(subset).agg(background_limit(F.count_if("fg"), percent).alias("cap"))
     key = digest(BACKGROUND_DOMAIN, F.col("identity"))
-    turned = (
-        rows.where(~F.col("fg"))
-        .withColumn("key", key)
-        .withColumn("turn", F.row_number().over(Window.partitionBy(subset, source).orderBy("key", "ord")))
-        .withColumn("place", F.row_number().over(Window.partitionBy(subset).orderBy("turn", "key", "ord")))
-    )
-    kept = turned.join(F.broadcast(limit), subset).where("place <= cap").drop("key", "turn", "place", "cap")
+    turned = place_in(rows.where(~F.col("fg")).withColumn("key", key), [subset, source], "key", "ord", name="turn")
+    placed = place_in(turned, [subset], "turn", "key", "ord", name="place")
+    kept = _within(placed, limit, subset).drop("key", "turn", "place")
     return rows.where("fg").unionByName(kept)
 
 
@@ -77,8 +109,8 @@ def train_split(rows: DataFrame, unit: Column, share: tuple[int, int] = (4, 5))
     units = with_unit.select("unit").distinct()
     n = units.count()
     train = (2 * p * n + q) // (2 * q)
-    cut_at = units.select(digest(SPLIT_DOMAIN, F.col("unit")).alias("key")).orderBy("key").offset(max(0, train - 1)).limit(1)
-    last = (cut_at.first() or [""])[0] if train else ""
+    keys = distributed_rank(units.select(digest(SPLIT_DOMAIN, F.col("unit")).alias("key")), "key", name="place")
+    last = (keys.where(F.col("place") == train - 1).first() or [""])[0] if train else ""
     return with_unit.withColumn("part", F.when(digest(SPLIT_DOMAIN, F.col("unit")) <= last, "train").otherwise("val"))
 
 
@@ -89,7 +121,7 @@ def version_counts(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     total = (2 * p * n + q) // (2 * q)
     whole, rest = divmod(max(total - n, 0), n) if n else (0, 0)
     first = rows.select((~F.col("fg")).alias("bg"), digest("version-v1", F.col("identity")).alias("key"), "identity")
-    bound = first.orderBy("bg", "key", "identity").offset(rest - 1).limit(1).first() if rest else None
+    bound = distributed_rank(first, "bg", "key", "identity", name="place").where(F.col("place") == rest - 1).first() if rest else None
     key = F.struct((~F.col("fg")).alias("bg"), digest("version-v1", F.col("identity")).alias("key"), F.col("identity"))
     extra = (key <= F.struct(F.lit(bound.bg), F.lit(bound.key), F.lit(bound.identity))).cast("int") if bound else F.lit(0)
     return rows.withColumn("copies", (whole + extra).cast("int"))
@@ -103,15 +135,14 @@ def versions(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
 def exemplars(rows: DataFrame, key: str, tier: Column, order: list[str]) -> DataFrame:
     """One row for each exemplar key, the first by ``order``, with its rank by (tier, digest)."""
     first = rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("turn = 1").drop("turn")
-    return first.withColumn("tier", tier).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("tier").orderBy(digest("exemplar-v1", F.col(key)), *order))
-    )
+    keyed = first.withColumn("tier", tier).withColumn("digest_of_key", digest("exemplar-v1", F.col(key)))
+    return place_in(keyed, ["tier"], "digest_of_key", *order, name="rank").withColumn("rank", F.col("rank").cast("int")).drop("digest_of_key")
 
 
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """``rows`` with ``turn`` and ``place``: one of each group in rotation."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("turn", turn).withColumn(
+    turned = place_in(rows, [group], order, name="turn").withColumn("turn", F.col("turn").cast("int"))
+    return turned.withColumn(
         "place", F.row_number().over(Window.partitionBy("turn").orderBy(group))
     )
 
