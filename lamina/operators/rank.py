@@ -158,11 +158,6 @@ def digest_seed(hex_digest: Column) -> Column:
     return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("long")
 
 
-def section_group_code(text: Column) -> Column:
-    """Code of a section without geometry: its checksum with the top bit set."""
-    return F.crc32(text.cast("binary")).bitwiseAND(0x1FFFFFFF).bitwiseOR(0x80000000)
-
-
 def unique_tags(rows: DataFrame, identity: str, length: int, max_rounds: int = 64) -> DataFrame:
     """(identity, nonce, tag): base-62 tags, unique over the table.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import planes, scalars
-from lamina.operators import maskset, rank, resample, temporal, tiles, trace, tracks, vote
+from lamina.operators import maskset, rank, resample, sections, temporal, tiles, trace, tracks, vote
 from lamina.operators.joins import bucketed_range_join
 from lamina.plans.catalog import query
 from lamina.session import table
@@ -515,25 +515,33 @@ def cyclic_address(spark, sf_dir):
 
 # ---- tracks ----
 
-_OVERLAP = """, l AS (SELECT obj AS a, frame, y, x, pct FROM tracklets WHERE anchor = 0), r AS (SELECT obj AS b, frame, y, x, pct FROM tracklets WHERE anchor = 1),
-la AS (SELECT a, frame, count(*) AS area_a, avg(y) AS cy_a, avg(x) AS cx_a, max(pct) AS p_a FROM l GROUP BY ALL), ra AS (SELECT b, frame, count(*) AS area_b, avg(y) AS cy_b, avg(x) AS cx_b, max(pct) AS p_b FROM r GROUP BY ALL),
-c AS (SELECT a, b, frame, count(*) AS common FROM l JOIN r USING (frame, y, x) GROUP BY ALL), p AS (SELECT DISTINCT a, b FROM c),
-f AS (SELECT a, b, frame, area_a, area_b, coalesce(common, 0) AS common, coalesce(common, 0)::DOUBLE / (area_a + area_b - coalesce(common, 0)) AS iou, sqrt((cy_a - cy_b) ** 2 + (cx_a - cx_b) ** 2) AS apart,
-  abs(ln(area_a::DOUBLE / area_b)) AS drift, sqrt(p_a * p_b) / 100 AS joint FROM p JOIN la USING (a) JOIN ra USING (b, frame) LEFT JOIN c USING (a, b, frame)),
-m AS (SELECT a, b, count(*) AS frames, sum(common)::DOUBLE / (sum(area_a) + sum(area_b) - sum(common)) AS iou, 2.0 * sum(common)::DOUBLE / (sum(area_a) + sum(area_b)) AS dice, avg(iou) AS iou_mean, quantile_cont(iou, 0.1) AS iou_p10,
-  quantile_cont(iou, 0.5) AS iou_median, quantile_cont(apart, 0.5) AS apart_median, quantile_cont(drift, 0.5) AS drift_median, avg(joint) AS joint FROM f GROUP BY a, b)
+# Masks hold the voxels of 95 percent or more; a frame without one is a frame with an empty mask.
+_OVERLAP = """, fr AS (SELECT obj, anchor, frame, max(pct) AS p, count_if(pct >= 95) AS area, avg(y) FILTER (pct >= 95) AS cy, avg(x) FILTER (pct >= 95) AS cx FROM tracklets GROUP BY ALL),
+c AS (SELECT l.obj AS a, r.obj AS b, frame, count(*) AS common FROM tracklets l JOIN tracklets r USING (frame, y, x) WHERE l.anchor = 0 AND r.anchor = 1 AND l.pct >= 95 AND r.pct >= 95 GROUP BY ALL),
+f AS (SELECT a, b, frame, l.area AS area_a, r.area AS area_b, coalesce(common, 0) AS common, l.area + r.area > 0 AS useful, l.area > 0 AND r.area > 0 AS coactive,
+  CASE WHEN l.area + r.area > 0 THEN coalesce(common, 0)::DOUBLE / (l.area + r.area - coalesce(common, 0)) END AS iou, sqrt((l.cy - r.cy) ** 2 + (l.cx - r.cx) ** 2) / sqrt(512) AS apart,
+  CASE WHEN l.area > 0 AND r.area > 0 THEN abs(ln(l.area::DOUBLE / r.area)) END AS drift, CASE WHEN l.area + r.area > 0 THEN l.p / 100 END AS p_a, CASE WHEN l.area + r.area > 0 THEN r.p / 100 END AS p_b, sqrt(p_a * p_b) AS joint
+  FROM (SELECT DISTINCT a, b FROM c) JOIN (SELECT obj AS a, * FROM fr WHERE anchor = 0) l USING (a) JOIN (SELECT obj AS b, * FROM fr WHERE anchor = 1) r USING (b, frame) LEFT JOIN c USING (a, b, frame)),
+m AS (SELECT a, b, count(*) AS frames, count_if(useful) AS useful, count_if(coactive) AS coactive, count_if(coactive)::DOUBLE / count_if(useful) AS coverage, sum(common)::BIGINT AS intersection,
+  (sum(area_a) + sum(area_b) - sum(common))::BIGINT AS union_voxels, sum(common)::DOUBLE / (sum(area_a) + sum(area_b) - sum(common)) AS iou, 2.0 * sum(common)::DOUBLE / (sum(area_a) + sum(area_b)) AS dice,
+  avg(iou) AS iou_mean, quantile_cont(iou, 0.5) AS iou_median, quantile_cont(iou, 0.1) AS iou_p10, min(iou) AS iou_min, max(iou) AS iou_max,
+  avg(apart) AS apart_mean, quantile_cont(apart, 0.5) AS apart_median, quantile_cont(apart, 0.95) AS apart_p95, avg(drift) AS drift_mean, quantile_cont(drift, 0.5) AS drift_median, quantile_cont(drift, 0.95) AS drift_p95,
+  avg(p_a) AS left_mean, avg(p_b) AS right_mean, avg(joint) AS joint_mean, min(joint) AS joint_min FROM f GROUP BY a, b)
 """
-_METRICS = ("iou", "dice", "iou_mean", "iou_p10", "iou_median", "apart_median", "drift_median", "joint")
+_COUNTS = ("frames", "useful", "coactive", "intersection", "union_voxels")
+_METRICS = ("coverage", "iou", "dice", "iou_mean", "iou_median", "iou_p10", "iou_min", "iou_max", "apart_mean", "apart_median", "apart_p95", "drift_mean", "drift_median", "drift_p95", "left_mean", "right_mean", "joint_mean", "joint_min")
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
     own = adapters.tracklets(spark, sf_dir)
-    return tracks.overlap_metrics(own.where("anchor = 0"), own.where("anchor = 1"))
+    frames = own.groupBy("obj", "anchor", "frame").agg((F.max("pct") / 100).alias("p"))
+    mask = own.where("pct >= 95")
+    return tracks.overlap_metrics(*[df.where(F.col("anchor") == k) for df in (mask, frames) for k in (0, 1)], diagonal=512**0.5)
 
 
-@query(sql("tracklets", _OVERLAP + "SELECT a, b, frames, " + ", ".join(f"round({c}, 8) AS {c}" for c in _METRICS) + " FROM m"))
+@query(sql("tracklets", _OVERLAP + "SELECT a, b, " + ", ".join(_COUNTS) + ", " + ", ".join(f"round({c}, 8) AS {c}" for c in _METRICS) + " FROM m"))
 def tracklet_overlap(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("a", "b", "frames", *[F.round(c, 8).alias(c) for c in _METRICS])
+    return _metrics(spark, sf_dir).select("a", "b", *_COUNTS, *[F.round(c, 8).alias(c) for c in _METRICS])
 
 
 @query(
@@ -549,9 +557,16 @@ def tracklet_gates(spark, sf_dir):
     return _metrics(spark, sf_dir).select("a", "b", F.concat_ws(",", tracks.gate_failures()).alias("failed"))
 
 
-@query(sql("tracklets", _OVERLAP + "SELECT a, b, round((3 * iou + 2 * dice + 2 * iou_mean + exp(-4 * apart_median / sqrt(512)) + exp(-drift_median) + joint) / 10, 8) AS score FROM m"))
+@query(
+    sql(
+        "tracklets",
+        _OVERLAP
+        + """SELECT a, b, round((0.3 * iou + 0.1 * dice + 0.15 * coalesce(iou_median, 0) + 0.15 * coverage + 0.1 * coalesce(exp(-4 * apart_median), 0) + 0.05 * coalesce(exp(-drift_median), 0)
+  + 0.15 * coalesce(joint_mean, 0))::DOUBLE, 8) AS score FROM m""",
+    )
+)
 def tracklet_similarity(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("a", "b", F.round(tracks.similarity(512**0.5), 8).alias("score"))
+    return _metrics(spark, sf_dir).select("a", "b", F.round(tracks.similarity(), 8).alias("score"))
 
 
 @query(sql("tracklets", "SELECT obj, frame, count(*) AS area FROM (SELECT DISTINCT obj, frame, y, x FROM tracklets) GROUP BY obj, frame"))
@@ -600,7 +615,7 @@ def nearest_candidates(spark, sf_dir):
 
 @query()
 def tracklet_assign(spark, sf_dir):
-    scored = _metrics(spark, sf_dir).select((F.col("a") % 4).alias("block"), "a", "b", tracks.similarity(512**0.5).alias("score"))
+    scored = _metrics(spark, sf_dir).select((F.col("a") % 4).alias("block"), "a", "b", tracks.similarity().alias("score"))
     return tracks.assign(scored)
 
 
@@ -767,10 +782,16 @@ def gate_reason_array(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws(",", reasons).alias("reasons"))
 
 
-@query("SELECT c_custkey, round_even(degrees(atan2(c_nationkey - 12.0, 1 + c_custkey % 7)) / 5, 0)::INT AS azimuth_bin FROM customer")
+@query(
+    """WITH n AS (SELECT c_custkey, c_nationkey - 12 AS x, c_custkey % 7 - 3 AS y, c_custkey % 5 - 2 AS t FROM customer),
+s AS (SELECT c_custkey, sqrt(x * x + y * y + t * t) AS length, CASE WHEN t < 0 OR (t = 0 AND (y < 0 OR (y = 0 AND x < 0))) THEN -1 ELSE 1 END AS s, x, y, t FROM n),
+c AS (SELECT c_custkey, length, round_even(degrees(acos(-s * t / length)) - 90, 0)::BIGINT AS up, round_even((degrees(atan2(s * y, s * x)) + 360) % 360, 0)::BIGINT % 360 AS around FROM s WHERE length > 0)
+SELECT c_custkey, 536870913 + up * 360 + CASE up WHEN 0 THEN around % 180 WHEN 90 THEN 0 ELSE around END AS code FROM c
+UNION ALL SELECT c_custkey, NULL FROM s WHERE length = 0"""
+)
 def normal_bin_codes(spark, sf_dir):
-    angle = F.degrees(F.atan2(F.col("c_nationkey") - 12.0, 1 + F.col("c_custkey") % 7))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.rint(angle / 5).cast("int").alias("azimuth_bin"))
+    normal = (F.col("c_nationkey") - 12, F.col("c_custkey") % 7 - 3, F.col("c_custkey") % 5 - 2)
+    return table(spark, sf_dir, "customer").select("c_custkey", sections.plane_code(*[c.cast("double") for c in normal]).alias("code"))
 
 
 @query("SELECT o_orderkey, 4 * (o_orderkey % 7 + 1) >= 3 * (o_custkey % 9 + 1) AS pass FROM orders")
@@ -790,7 +811,7 @@ def base62_tags(spark, sf_dir):
 
 @query()
 def section_group_codes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rank.section_group_code(F.concat_ws("|", "source", "lang")).alias("code"))
+    return table(spark, sf_dir, "documents").select("doc_id", sections.unknown_code(F.concat_ws("|", "source", "lang")).alias("code"))
 
 
 @query("SELECT p_partkey, 'a' || replace(CASE WHEN (p_partkey * 25 % 1000) % 100 = 0 THEN (p_partkey * 25 % 1000 // 100)::VARCHAR WHEN (p_partkey * 25 % 1000) % 10 = 0 THEN (p_partkey * 25 % 1000 // 100)::VARCHAR || '.' || ((p_partkey * 25 % 1000) % 100 // 10)::VARCHAR ELSE (p_partkey * 25 % 1000 // 100)::VARCHAR || '.' || lpad(((p_partkey * 25 % 1000) % 100)::VARCHAR, 2, '0') END, '.', 'p') AS name FROM part")

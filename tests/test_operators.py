@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import planes
-from lamina.operators import geometry, graph, maskset, rank, resample, temporal, tiles, topology, tracks, vote
+from lamina.operators import geometry, graph, maskset, rank, resample, sections, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
@@ -365,3 +365,76 @@ def test_distance_of_a_large_plane_needs_little_memory():
 def test_too_many_views_are_an_error(spark):
     with pytest.raises(ValueError, match="views"):
         tracks.longest_first(spark.range(5).selectExpr("cast(id AS string) AS view", "id AS cost"), 2, most=4)
+
+
+def test_section_codes_of_known_orientations(spark):
+    normals = [(0, 0, 1), (0, 0, -2), (1, 0, 0), (-1, 0, 0), (0, 3, 0), (1, 1, 0), (-1, -1, 0), (1, 0, 1), (-1, 0, 1), (1, 0, -1), (0, 0, 0), (None, 0, 1)]
+    df = spark.createDataFrame([(k, *[None if v is None else float(v) for v in n]) for k, n in enumerate(normals)], "k int, x double, y double, t double")
+    code = {r.k: r.code for r in df.select("k", sections.plane_code(F.col("x"), F.col("y"), F.col("t")).alias("code")).collect()}
+    first = sections.PLANE + 1
+    up = [(90, 0), (90, 0), (0, 0), (0, 0), (0, 90), (0, 45), (0, 45), (45, 0), (45, 180), (45, 180)]
+    assert [code[k] for k in range(10)] == [first + 360 * e + a for e, a in up]
+    assert code[10] is None and code[11] is None
+    row = spark.range(1).select(
+        sections.plane_code(*sections.tilted_normal("coronal", 30, "vertical")).alias("tilted"),
+        sections.cylinder_code("coronal").alias("cylinder"),
+        sections.sphere_code().alias("sphere"),
+        sections.unknown_code(F.lit("unknown:a")).alias("unknown"),
+    ).first()
+    # The stack axis of the coronal view is x, its vertical one t: the normal is (1, 0, -tan 30), or (-1, 0, tan 30) with t positive.
+    assert row.tilted == first + 360 * 30 + 180
+    assert (row.cylinder, row.sphere) == (sections.CYLINDER + 2, sections.SPHERE) and row.unknown >= sections.UNKNOWN
+    with pytest.raises(ValueError):
+        sections.plane_code(F.lit(1.0), F.lit(0.0), F.lit(0.0), 0)
+
+
+def test_azimuths_are_the_nearest_recorded_ones(spark):
+    recorded = (10, 75.5, 140, 321)
+    places = [(u, v) for u in range(-4, 5) for v in range(-4, 5) if u or v]
+    df = spark.createDataFrame([(float(u), float(v)) for u, v in places], "u double, v double")
+    apart = lambda a, b: min((a - b) % 180, (b - a) % 180)
+    for r in df.select("u", "v", sections.nearest_azimuth(F.col("u"), F.col("v"), recorded).alias("a")).collect():
+        angle = np.degrees(np.arctan2(r.v, r.u))
+        assert abs(apart(angle, r.a) - min(apart(angle, a) for a in recorded)) < 1e-9
+    tie = spark.range(1).select(sections.nearest_azimuth(F.lit(0.0), F.lit(1.0), (45, 135)).alias("a")).first().a
+    assert tie == 45
+
+
+def test_tracklet_metrics_match_dense_masks(spark):
+    rng = np.random.default_rng(5)
+    shape = (6, 7)
+    masks = {}
+    for side in "ab":
+        for obj in range(4):
+            for frame in sorted(rng.choice(7, 5, replace=False)):
+                masks[side, obj, int(frame)] = (rng.random(shape) < rng.choice([0, 0.2, 0.6]), float(rng.choice([0.2, 0.5, 0.9])))
+    frame_rows = lambda side: spark.createDataFrame([(o, f, p) for (s, o, f), (_, p) in masks.items() if s == side], "obj int, frame int, p double")
+    voxels = lambda side: spark.createDataFrame([(o, f, int(y), int(x)) for (s, o, f), (m, _) in masks.items() if s == side for y, x in np.argwhere(m)], "obj int, frame int, y int, x int")
+    found = tracks.overlap_metrics(voxels("a"), voxels("b"), frame_rows("a"), frame_rows("b"), float(np.hypot(*shape)))
+    rows = {(r.a, r.b): r for r in found.select("*", tracks.gate_failures().alias("failed"), tracks.similarity().alias("score")).collect()}
+    seen = 0
+    for a, b in itertools.product(range(4), range(4)):
+        shared = [f for f in range(7) if ("a", a, f) in masks and ("b", b, f) in masks]
+        pairs = [(*masks["a", a, f], *masks["b", b, f]) for f in shared]
+        common = sum(int((l & r).sum()) for l, _, r, _ in pairs)
+        if not common:
+            assert (a, b) not in rows
+            continue
+        seen += 1
+        r = rows[a, b]
+        useful = [q for q in pairs if (q[0] | q[2]).any()]
+        active = [q for q in useful if q[0].any() and q[2].any()]
+        ious = [(q[0] & q[2]).sum() / (q[0] | q[2]).sum() for q in useful]
+        apart = [np.linalg.norm(np.argwhere(q[0]).mean(0) - np.argwhere(q[2]).mean(0)) / np.hypot(*shape) for q in active]
+        drift = [abs(np.log(q[0].sum() / q[2].sum())) for q in active]
+        joint = [np.sqrt(q[1] * q[3]) for q in useful]
+        every = sum(int((q[0] | q[2]).sum()) for q in pairs)
+        assert (r.frames, r.useful, r.coactive, r.intersection, r.union_voxels) == (len(shared), len(useful), len(active), common, every)
+        want = [len(active) / len(useful), common / every, np.mean(ious), *np.percentile(ious, (50, 10)), min(ious), max(ious), np.mean(apart), *np.percentile(apart, (50, 95)), np.mean(drift), *np.percentile(drift, (50, 95)), np.mean(joint), min(joint)]
+        got = [r.coverage, r.iou, r.iou_mean, r.iou_median, r.iou_p10, r.iou_min, r.iou_max, r.apart_mean, r.apart_median, r.apart_p95, r.drift_mean, r.drift_median, r.drift_p95, r.joint_mean, r.joint_min]
+        assert np.allclose(got, want)
+        checks = [len(shared) >= 3, len(useful) >= 3, len(active) >= 3, r.iou >= 0.2, r.iou_median >= 0.15, r.coverage >= 0.5, r.apart_median <= 0.15, r.drift_median <= np.log(4), r.joint_mean >= 0.5]
+        assert list(r.failed) == [g[0] for g, fine in zip(tracks.GATES, checks) if not fine]
+        terms = [r.iou, r.dice, r.iou_median, r.coverage, np.exp(-4 * r.apart_median), np.exp(-r.drift_median), r.joint_mean]
+        assert np.isclose(r.score, np.dot(terms, [0.3, 0.1, 0.15, 0.15, 0.1, 0.05, 0.15]))
+    assert seen > 3
