@@ -94,8 +94,12 @@ def _lookup(vocabulary: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.n
     return np.where(vocabulary.pair_keys[at] == keys, vocabulary.pair_ids[at], -1)
 
 
+def _draws(keys: np.ndarray, hashes: np.ndarray, dropout: float) -> np.ndarray:
+    return mix(keys ^ hashes) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+
+
 def _skipped(keys: np.ndarray, candidates: np.ndarray, dropout: float) -> np.ndarray:
-    return mix(keys ^ mix(candidates + np.uint64(1))) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+    return _draws(keys, mix(candidates + np.uint64(1)), dropout)
 
 
 def merge_units(
@@ -173,6 +177,23 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
+def _skipped_sums(
+    owner: np.ndarray, candidates: np.ndarray, n: int, of: np.ndarray, keys: np.ndarray, dropout: float, every: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """For occurrences of the owners ``of`` with ``keys``: those that skip a candidate of their owner, or ``every`` one, and the sum of
+    the hashes of the candidates each of them skips."""
+    hashes = mix(candidates[np.argsort(owner, kind="stable")] + np.uint64(1))
+    per = np.bincount(owner, minlength=n)
+    firsts = (np.cumsum(per) - per)[of]
+    at = np.repeat(np.arange(len(of)), per[of])
+    places = _ragged(firsts, per[of])
+    skipped = np.flatnonzero(_draws(keys[at], hashes[places], dropout))
+    at, codes = at[skipped], hashes[places[skipped]]
+    some = np.arange(len(of)) if every else at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes), dtype=np.uint64)])
+    return some, running[np.searchsorted(at, some, "right")] - running[np.searchsorted(at, some, "left")]
+
+
 def encode_slice(
     vocabulary: Vocabulary, texts: Texts, ids: np.ndarray, dropout: float, seed: int, variants: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -234,20 +255,25 @@ def encode_slice(
         if variants is not None:
             draw %= np.uint64(variants)
         keys = mix(content ^ mix(draw + np.uint64(seed)))
-        # candidates of each distinct unit, and of each occurrence whether a draw skips one of them
+        # candidates of each distinct unit, and of each occurrence the sum of the hashes of those that its draws skip
         met_unit, candidates = (np.concatenate(x) for x in zip(*met, strict=True))
-        of_chosen = np.flatnonzero(known)[met_unit]
-        candidates = candidates[np.argsort(of_chosen, kind="stable")]
-        met_counts = np.bincount(of_chosen, minlength=len(chosen))
-        per = met_counts[back]
-        at = np.repeat(np.arange(len(unit_at)), per)
-        skips = np.zeros(len(unit_at), bool)
-        skips[at[_skipped(keys[at], candidates[_ragged((np.cumsum(met_counts) - met_counts)[back], per)], dropout)]] = True
-        skips = np.flatnonzero(skips)
+        skips, marks = _skipped_sums(np.flatnonzero(known)[met_unit], candidates, len(chosen), back, keys, dropout)
         if len(skips):
-            own, own_bounds = merged(skips, keys[skips], dropout)
-            counts[skips], places[skips] = np.diff(own_bounds), len(pool) + own_bounds[:-1]
+            # of the occurrences of a unit with equal skips one is merged, and the others share its pieces unless
+            # their draws part from its draws at a candidate that only this merging met
+            _, leads, group = np.unique(mix(content[skips]) ^ marks, return_index=True, return_inverse=True)
+            leads = skips[leads]
+            met = []
+            own, own_bounds = merged(leads, keys[leads], dropout, met)
+            counts[skips], places[skips] = np.diff(own_bounds)[group], (len(pool) + own_bounds[:-1])[group]
             pool = np.concatenate([pool, own])
+            met_unit, candidates = (np.concatenate(x) for x in zip(*met, strict=True))
+            lead_sums = _skipped_sums(met_unit, candidates, len(leads), np.arange(len(leads)), keys[leads], dropout, True)[1]
+            apart = skips[_skipped_sums(met_unit, candidates, len(leads), group, keys[skips], dropout, True)[1] != lead_sums[group]]
+            if len(apart):
+                own, own_bounds = merged(apart, keys[apart], dropout)
+                counts[apart], places[apart] = np.diff(own_bounds), len(pool) + own_bounds[:-1]
+                pool = np.concatenate([pool, own])
     total = np.concatenate([[0], np.cumsum(counts)])
     text_units = np.searchsorted(unit_at, np.concatenate([[0], ends]))
     return pool[_ragged(places, counts)], total[text_units]
