@@ -39,6 +39,7 @@ SEED = 20_240_601
 SPACE = 0x2581
 _NONE = np.iinfo(np.int32).max
 _CODES = 0x110000
+_SLOT_BITS = 20
 
 
 @dataclass
@@ -47,8 +48,9 @@ class Vocabulary:
 
     byte_ids: np.ndarray  # of the 256 byte pieces
     char_id: np.ndarray  # code point -> id, or -1
-    pair_keys: np.ndarray  # sorted left id << 32 | right id
+    pair_keys: np.ndarray  # left id << 32 | right id, in the order of their slots, and an end mark
     pair_ids: np.ndarray  # merged id of each
+    slots: np.ndarray  # place of the first pair of each slot
     rank: np.ndarray  # of each id, lower merges first
     piece_bytes: list[bytes]
 
@@ -82,20 +84,48 @@ def read_vocabulary(path: str) -> Vocabulary:
             value = int(pieces[k][3:5], 16)
             byte_ids[value] = k
             spelled[k] = bytes([value])
+    pair_keys = np.array([x for x, _ in pairs], np.int64)
+    slot = _slot(pair_keys)
+    order = np.argsort(slot, kind="stable")
     return Vocabulary(
-        byte_ids, char_id, np.array([x for x, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int32), rank, spelled
+        byte_ids,
+        char_id,
+        np.append(pair_keys[order], -1),
+        np.append(np.array([k for _, k in pairs], np.int32)[order], np.int32(-1)),
+        np.searchsorted(slot[order], np.arange((1 << _SLOT_BITS) + 1)).astype(np.int32),
+        rank,
+        spelled,
     )
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Slot of each pair: the top bits of its product with a fixed odd number."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 def _lookup(vocabulary: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Merged id of each pair, or -1."""
     keys = left.astype(np.int64) << 32 | right
-    at = np.minimum(np.searchsorted(vocabulary.pair_keys, keys), len(vocabulary.pair_keys) - 1)
-    return np.where(vocabulary.pair_keys[at] == keys, vocabulary.pair_ids[at], -1)
+    slot = _slot(keys)
+    at = vocabulary.slots[slot]
+    found = np.where(vocabulary.pair_keys[at] == keys, vocabulary.pair_ids[at], -1)
+    # a slot of several pairs is read on
+    more = np.flatnonzero((found < 0) & (vocabulary.slots[slot + 1] - at > 1))
+    place, end = at[more] + 1, vocabulary.slots[slot[more] + 1]
+    while len(more):
+        hit = vocabulary.pair_keys[place] == keys[more]
+        found[more[hit]] = vocabulary.pair_ids[place[hit]]
+        on = ~hit & (place + 1 < end)
+        more, place, end = more[on], place[on] + 1, end[on]
+    return found
+
+
+def _draws(keys: np.ndarray, hashes: np.ndarray, dropout: float) -> np.ndarray:
+    return mix(keys ^ hashes) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
 
 def _skipped(keys: np.ndarray, candidates: np.ndarray, dropout: float) -> np.ndarray:
-    return mix(keys ^ mix(candidates + np.uint64(1))) < np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+    return _draws(keys, mix(candidates + np.uint64(1)), dropout)
 
 
 def merge_units(
@@ -112,8 +142,8 @@ def merge_units(
     """
     n = len(bounds) - 1
     symbols = symbols.astype(np.int32)
-    unit = np.repeat(np.arange(n), np.diff(bounds))
-    start = np.arange(len(symbols)) - bounds[:-1][unit]  # of each symbol in its unit, in characters
+    unit = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
+    start = (np.arange(len(symbols)) - bounds[:-1][unit]).astype(np.int32)  # of each symbol in its unit, in characters
     done_unit, done_start, done_symbol = [], [], []
     size = np.diff(bounds)
 
@@ -125,7 +155,7 @@ def merge_units(
         if dropout > 0 or met is not None:
             middle = start[at + 1]
             stop = np.where(last[at + 1], size[unit[at]], start[np.minimum(at + 2, len(start) - 1)])
-            candidate = (start[at] << 42 | middle << 21 | stop).astype(np.uint64)
+            candidate = (start[at].astype(np.int64) << 42 | middle.astype(np.int64) << 21 | stop).astype(np.uint64)
             if met is not None:
                 met.append((unit[at], candidate))
             if dropout > 0:
@@ -237,12 +267,12 @@ def encode_slice(
         # candidates of each distinct unit, and of each occurrence whether a draw skips one of them
         met_unit, candidates = (np.concatenate(x) for x in zip(*met, strict=True))
         of_chosen = np.flatnonzero(known)[met_unit]
-        candidates = candidates[np.argsort(of_chosen, kind="stable")]
+        hashes = mix(candidates[np.argsort(of_chosen, kind="stable")] + np.uint64(1))
         met_counts = np.bincount(of_chosen, minlength=len(chosen))
         per = met_counts[back]
         at = np.repeat(np.arange(len(unit_at)), per)
         skips = np.zeros(len(unit_at), bool)
-        skips[at[_skipped(keys[at], candidates[_ragged((np.cumsum(met_counts) - met_counts)[back], per)], dropout)]] = True
+        skips[at[_draws(keys[at], hashes[_ragged((np.cumsum(met_counts) - met_counts)[back], per)], dropout)]] = True
         skips = np.flatnonzero(skips)
         if len(skips):
             own, own_bounds = merged(skips, keys[skips], dropout)
