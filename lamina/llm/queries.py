@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding
+from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding, op12_merkle_manifest as merkle
 from lamina.llm import op10_toxicity as toxicity
 from lamina.session import table
 
@@ -88,6 +88,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claimed = F.when(tampered, merkle.table_digest(text=lowered))
+    return merkle.proofs(table(spark, sf_dir, "documents"), claimed=claimed).drop("source")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op04_license_scan.oracle_sql()}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op04_license_scan.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
