@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding, op12_merkle_manifest as merkle
+from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding, op12_merkle_manifest as merkle, op13_periodic_runs
 from lamina.llm import op10_toxicity as toxicity
 from lamina.session import table
 
@@ -95,6 +95,39 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"), claimed=claimed).drop("source")
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document's text with a suffix of words made periodic, as the contract of operator 13 has it."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != "")
+    parted = docs.select("doc_id", "text", F.floor(code / 10).alias("seed"), F.when(code % 10 == 0, words).alias("words"))
+    count = F.size("words")
+    first = (F.col("seed") % F.nullif(count, F.lit(0))).cast("int")
+    placed = parted.withColumn("first", first).withColumn("period", 1 + F.floor((count - F.col("first")) / (3 + F.col("seed") % 8)).cast("int"))
+    # the period, written out as often as the suffix needs it
+    period = F.slice("words", F.col("first") + 1, F.col("period"))
+    needed = count - F.col("first")
+    suffix = F.slice(F.flatten(F.array_repeat(period, F.ceil(needed / F.col("period")).cast("int"))), F.lit(1), needed)
+    return placed.select("doc_id", F.when(count > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("first")), suffix), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op13_periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents")))
+    ahead = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    # runs are in the order of start and period, so of equal exponents the first stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(ahead(r, b), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -107,5 +140,6 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs_query,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op04_license_scan.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_license_scan": op04_license_scan.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql(), "op13_periodic_runs": op13_periodic_runs.oracle_sql()}
