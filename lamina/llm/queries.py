@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import op01_ngram_jaccard, op02_exact_dedup, op03_decontaminate, op04_license_scan, op05_suffix_dedup, op06_language_id, op07_substring_dedup, op08_sentencepiece, op09_sharding, op12_merkle_manifest as merkle, op13_periodic_runs
 from lamina.llm import op10_toxicity as toxicity
+from lamina.llm import op11_quality as quality
 from lamina.session import table
 
 PIECE_MODEL = os.environ.get("LAMINA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -88,6 +89,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kept_back = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = quality.fit(docs, labels.where(~kept_back))
+    scored = quality.quality(docs, model)
+    return scored.select("doc_id", kept_back.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs_query,
 }
