@@ -365,7 +365,7 @@ def collapse_runs(docs: DataFrame, min_length: int = MIN_LENGTH, min_exponent: i
     """``docs`` with the texts that hold runs collapsed, all other texts and columns as they are."""
     inner = carried(docs, F.col(quoted(text_col)).alias("text"))
     found = _with_runs(inner, min_length, min_exponent)
-    own = lambda c: F.col("row").getField(quoted(c))
+    own = lambda c: F.col(f"row.{quoted(c)}")
     text = F.when(F.size("runs") > 0, F.col("collapsed")).otherwise(own(text_col))
     return found.select(*[(text if c.lower() == text_col.lower() else own(c)).alias(c) for c in docs.columns])
 
