@@ -10,7 +10,7 @@ from lamina.functions import planes, scalars
 from lamina.operators import maskset, rank, resample, sections, temporal, tiles, trace, tracks, vote
 from lamina.operators.joins import bucketed_range_join
 from lamina.plans.catalog import query
-from lamina.session import table
+from lamina.session import cut, table
 from lamina.sources import adapters
 from lamina.sources.adapters import sql
 
@@ -613,10 +613,104 @@ def nearest_candidates(spark, sf_dir):
     return _metrics(spark, sf_dir).withColumn("place", F.row_number().over(by)).where("place <= 3").select("a", "b")
 
 
+def _metrics_sql(name: str, left: str, right: str, left_frames: str, right_frames: str, same: bool = False) -> str:
+    """CTE ``name`` with the metrics of pairs of tracklets (obj, frame, y, x; obj, frame, p)."""
+    only = "AND l.obj = r.obj" if same else ""
+    return f""", {name}_c AS (SELECT l.obj AS a, r.obj AS b, frame, count(*) AS common FROM {left} l JOIN {right} r USING (frame, y, x) WHERE true {only} GROUP BY ALL),
+{name}_l AS (SELECT obj, frame, p, coalesce(area, 0) AS area, cy, cx FROM {left_frames} LEFT JOIN (SELECT obj, frame, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM {left} GROUP BY ALL) USING (obj, frame)),
+{name}_r AS (SELECT obj, frame, p, coalesce(area, 0) AS area, cy, cx FROM {right_frames} LEFT JOIN (SELECT obj, frame, count(*) AS area, avg(y) AS cy, avg(x) AS cx FROM {right} GROUP BY ALL) USING (obj, frame)),
+{name}_f AS (SELECT a, b, frame, l.area AS area_a, r.area AS area_b, coalesce(common, 0) AS common, l.area + r.area > 0 AS useful, l.area > 0 AND r.area > 0 AS coactive,
+  CASE WHEN l.area + r.area > 0 THEN coalesce(common, 0)::DOUBLE / (l.area + r.area - coalesce(common, 0)) END AS iou, sqrt((l.cy - r.cy) ** 2 + (l.cx - r.cx) ** 2) / sqrt(2048) AS apart,
+  CASE WHEN l.area > 0 AND r.area > 0 THEN abs(ln(l.area::DOUBLE / r.area)) END AS drift, CASE WHEN l.area + r.area > 0 THEN sqrt(l.p * r.p) END AS joint
+  FROM (SELECT DISTINCT a, b FROM {name}_c) JOIN (SELECT obj AS a, * FROM {name}_l) l USING (a) JOIN (SELECT obj AS b, * FROM {name}_r) r USING (b, frame) LEFT JOIN {name}_c USING (a, b, frame)),
+{name}_m AS (SELECT a, b, count(*) AS frames, count_if(useful) AS useful, count_if(coactive) AS coactive, count_if(coactive)::DOUBLE / count_if(useful) AS coverage, sum(common)::BIGINT AS intersection,
+  sum(area_a)::BIGINT AS area_a, sum(common)::DOUBLE / (sum(area_a) + sum(area_b) - sum(common)) AS iou, 2.0 * sum(common)::DOUBLE / (sum(area_a) + sum(area_b)) AS dice,
+  quantile_cont(iou, 0.5) AS iou_median, quantile_cont(apart, 0.5) AS apart_median, quantile_cont(drift, 0.5) AS drift_median, avg(joint) AS joint_mean FROM {name}_f GROUP BY a, b),
+{name} AS (SELECT *, (0.3 * iou + 0.1 * dice + 0.15 * coalesce(iou_median, 0) + 0.15 * coverage + 0.1 * coalesce(exp(-4 * apart_median), 0) + 0.05 * coalesce(exp(-drift_median), 0)
+  + 0.15 * coalesce(joint_mean, 0))::DOUBLE AS similarity, concat_ws(',', {", ".join(f"CASE WHEN NOT coalesce({m} {way} {bound}, false) THEN '{reason}' END" for reason, m, bound, way in tracks.GATES)}) AS gates FROM {name}_m)"""
+
+
+_SIDES = ", ".join(
+    f"{n}v AS (SELECT obj, frame, y, x FROM band WHERE side = {k} AND pct >= 92), {n}f AS (SELECT obj, frame, max(pct) / 100.0 AS p FROM band WHERE side = {k} GROUP BY ALL)" for n, k in (("l", 0), ("r", 1))
+)
+_ASSESSED = (
+    ", "
+    + _SIDES
+    + _metrics_sql("pair", "lv", "rv", "lf", "rf")
+    + """, margins AS (SELECT p.*,
+  similarity - coalesce((SELECT max(similarity) FROM pair o WHERE o.a = p.a AND o.b <> p.b AND o.gates = ''), 0) AS left_margin,
+  similarity - coalesce((SELECT max(similarity) FROM pair o WHERE o.b = p.b AND o.a <> p.a AND o.gates = ''), 0) AS right_margin FROM pair p),
+assessed AS (SELECT *, concat_ws(',', nullif(gates, ''), CASE WHEN similarity < 0.45 THEN 'similarity_below_minimum' END, CASE WHEN left_margin < 0.08 THEN 'left_runner_up_margin_below_minimum' END,
+  CASE WHEN right_margin < 0.08 THEN 'right_runner_up_margin_below_minimum' END) AS failed FROM margins),
+matched AS (SELECT a, b FROM assessed WHERE failed = '')
+"""
+)
+
+
+def _union_sql(kind: str, key: str, member: str, own: str, other: str) -> str:
+    return (
+        f""", {kind}_pool AS (SELECT q.{key} AS key, q.{member} AS member, q.similarity, q.iou, k.a IS NOT NULL AS accepted FROM assessed q LEFT JOIN matched k USING (a, b)
+  WHERE k.a IS NOT NULL OR q.{member} NOT IN (SELECT {member} FROM matched)),
+{kind}_ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, accepted, member) AS place FROM {kind}_pool),
+{kind}_few AS (SELECT * FROM (SELECT *, coalesce(max(place) FILTER (accepted) OVER (PARTITION BY key), 0) > 6 AS late FROM {kind}_ranked) WHERE accepted OR place <= 6 - late::INT),
+{kind}_sets AS (SELECT x.key, [x.member, y.member] AS members, [x.place, y.place] AS places, x.accepted OR y.accepted AS has, greatest(x.iou, y.iou) AS single FROM {kind}_few x JOIN {kind}_few y ON x.key = y.key AND x.place < y.place
+  UNION ALL SELECT x.key, [x.member, y.member, z.member], [x.place, y.place, z.place], x.accepted OR y.accepted OR z.accepted, greatest(x.iou, y.iou, z.iou)
+  FROM {kind}_few x JOIN {kind}_few y ON x.key = y.key AND x.place < y.place JOIN {kind}_few z ON y.key = z.key AND y.place < z.place),
+{kind}_union AS (SELECT *, row_number() OVER () AS obj FROM {kind}_sets s WHERE has OR s.key NOT IN (SELECT {key} FROM matched)),
+{kind}_ov AS (SELECT u.obj, frame, y, x FROM {kind}_union u JOIN {own}v v ON v.obj = u.key), {kind}_of AS (SELECT u.obj, frame, p FROM {kind}_union u JOIN {own}f v ON v.obj = u.key),
+{kind}_e AS (SELECT obj AS union_obj, unnest(members) AS member FROM {kind}_union),
+{kind}_uv AS (SELECT DISTINCT union_obj AS obj, frame, y, x FROM {kind}_e JOIN {other}v v ON v.obj = member),
+{kind}_uf AS (SELECT union_obj AS obj, frame, max(CASE WHEN EXISTS (SELECT 1 FROM {other}v w WHERE w.obj = v.obj AND w.frame = v.frame) THEN p ELSE 0 END) AS p FROM {kind}_e JOIN {other}f v ON v.obj = member GROUP BY ALL)"""
+        + _metrics_sql(f"{kind}_u", f"{kind}_ov", f"{kind}_uv", f"{kind}_of", f"{kind}_uf", same=True)
+        + f""", {kind}_best AS (SELECT '{kind}' AS kind, u.key, list_sort(u.members) AS members, m.iou, m.iou - u.single AS gain, m.similarity FROM {kind}_u m JOIN {kind}_union u ON u.obj = m.a
+  WHERE gates = '' AND m.iou >= 0.55 AND m.iou - u.single >= 0.15 AND m.similarity >= 0.55
+  QUALIFY row_number() OVER (PARTITION BY u.key ORDER BY round(m.iou, 9) DESC, round(m.similarity, 9) DESC, len(u.members), u.places) = 1)"""
+    )
+
+
+def _band(spark, sf_dir) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Voxels and frames of both sides; a mask holds the voxels of 92 percent or more, so some frames have none."""
+    own = adapters.band(spark, sf_dir)
+    masks = [own.where((F.col("side") == k) & (F.col("pct") >= 92)).select("obj", "frame", "y", "x") for k in (0, 1)]
+    frames = [own.where(F.col("side") == k).groupBy("obj", "frame").agg((F.max("pct") / 100).alias("p")) for k in (0, 1)]
+    return masks, frames
+
+
+def _assessed(spark, sf_dir) -> DataFrame:
+    masks, frames = _band(spark, sf_dir)
+    return tracks.assess(tracks.overlap_metrics(*masks, *frames, diagonal=2048**0.5))
+
+
+@query(sql("band", _ASSESSED + "SELECT a, b, round(similarity, 8) AS similarity, round(left_margin, 8) AS left_margin, round(right_margin, 8) AS right_margin, failed, failed = '' AS matched FROM assessed"))
+def tracklet_match(spark, sf_dir):
+    assessed = _assessed(spark, sf_dir)
+    matched = tracks.match(assessed).select("a", "b", F.lit(True).alias("matched"))
+    rounded = [F.round(c, 8).alias(c) for c in ("similarity", "left_margin", "right_margin")]
+    return assessed.join(matched, ["a", "b"], "left").select("a", "b", *rounded, F.concat_ws(",", "failed").alias("failed"), F.coalesce("matched", F.lit(False)).alias("matched"))
+
+
+@query(
+    sql(
+        "band",
+        _ASSESSED
+        + _union_sql("split", "a", "b", "l", "r")
+        + _union_sql("merge", "b", "a", "r", "l")
+        + "SELECT kind, key, array_to_string(members, ',') AS members, round(iou, 8) AS iou, round(gain, 8) AS gain, round(similarity, 8) AS similarity FROM (FROM split_best UNION ALL FROM merge_best)",
+    )
+)
+def tracklet_hypotheses(spark, sf_dir):
+    """Unions of unmatched tracklets of one side that would make up one of the other."""
+    masks, frames = _band(spark, sf_dir)
+    assessed = cut(_assessed(spark, sf_dir))
+    found = tracks.hypotheses(assessed, tracks.match(assessed), *masks, *frames, diagonal=2048**0.5)
+    return found.select("kind", "key", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), *[F.round(c, 8).alias(c) for c in ("iou", "gain", "similarity")])
+
+
 @query()
 def tracklet_assign(spark, sf_dir):
-    scored = _metrics(spark, sf_dir).select((F.col("a") % 4).alias("block"), "a", "b", tracks.similarity().alias("score"))
-    return tracks.assign(scored)
+    """The greatest total similarity of the pairs that pass all gates, whatever their margins."""
+    passing = _assessed(spark, sf_dir).where(~F.exists("failed", lambda r: ~r.contains("runner_up")))
+    return tracks.assign(passing, "similarity").select("a", "b", F.round("similarity", 8).alias("score"))
 
 
 @query()

@@ -119,6 +119,28 @@ def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """side, obj, frame, y, x, pct: tracklets of two neighbouring anchors that see the same suppliers; of some either side sees two parts, of some the right side sees two copies."""
+    supplier, seen = F.col("l_suppkey"), (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    rows = table(spark, sf_dir, "lineitem").select(
+        supplier.alias("supplier"),
+        (F.col("l_orderkey") % 2).alias("half"),
+        seen.alias("seen"),
+        (F.floor(supplier / 16) * 100 + F.col("l_partkey") % 8).alias("frame"),
+        (F.col("l_orderkey") % 32).cast("int").alias("y"),
+        (F.floor(F.col("l_partkey") / 8) % 32).cast("int").alias("x"),
+        (100 - F.round(F.col("l_discount") * 100)).cast("int").alias("pct"),
+    )
+
+    def side(number: int, which: str, obj: str) -> DataFrame:
+        return rows.where(which).select(F.lit(number).alias("side"), F.expr(obj).alias("obj"), "frame", "y", "x", "pct")
+
+    left = side(0, "seen <= 7", "supplier * 10 + if(supplier % 7 = 0, half, 0)")
+    right = side(1, "seen >= 2", "supplier * 10 + if(supplier % 5 = 0, half, 0)")
+    copies = side(1, "seen >= 3 AND supplier % 11 = 3", "supplier * 10 + 5")
+    return left.union(right).union(copies).groupBy("side", "obj", "frame", "y", "x").agg(F.max("pct").alias("pct"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """volume, frame, n: conversations as short volumes."""
     return table(spark, sf_dir, "conversations").select(
@@ -151,6 +173,14 @@ CTES = {
   SELECT l_suppkey AS obj, (l_linenumber % 2)::INT AS anchor, (l_partkey % 12)::INT AS frame, (l_orderkey % 16)::INT AS y, (l_partkey % 16)::INT AS x,
          max(100 - round(l_discount * 100)::INT) AS pct
   FROM lineitem GROUP BY ALL)""",
+    "band": """rows_seen AS (
+  SELECT l_suppkey AS supplier, l_orderkey % 2 AS half, (l_orderkey + l_linenumber) % 10 AS seen, l_suppkey // 16 * 100 + l_partkey % 8 AS frame, (l_orderkey % 32)::INT AS y,
+         (l_partkey // 8 % 32)::INT AS x, 100 - round(l_discount * 100)::INT AS pct FROM lineitem),
+band AS (
+  SELECT side, obj, frame, y, x, max(pct) AS pct FROM (
+    SELECT 0 AS side, supplier * 10 + CASE WHEN supplier % 7 = 0 THEN half ELSE 0 END AS obj, frame, y, x, pct FROM rows_seen WHERE seen <= 7
+    UNION ALL SELECT 1, supplier * 10 + CASE WHEN supplier % 5 = 0 THEN half ELSE 0 END, frame, y, x, pct FROM rows_seen WHERE seen >= 2
+    UNION ALL SELECT 1, supplier * 10 + 5, frame, y, x, pct FROM rows_seen WHERE seen >= 3 AND supplier % 11 = 3) GROUP BY ALL)""",
     "frames": "frames AS (SELECT conv_id AS volume, turn AS frame, length(text) AS n FROM conversations)",
     "kk": f"kk AS (SELECT {_K} AS k)",
     "km": f"km AS (SELECT {_M} AS k)",
