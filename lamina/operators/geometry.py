@@ -42,37 +42,45 @@ def shell_address(radius: Column, arc: Column, count: int, height: int, width: i
 def qsc_forward(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """``rows`` with (face, u, v) of a direction on the quadrilateralised spherical cube: u and v in [-1, 1], cells of equal area.
 
-    Faces 0 to 5 are +x, +y, -x, -y, +z and -z. Each step is a projection, so no expression is repeated in the next.
+    Faces 0 to 5 are +x, +y, -x, -y, +z and -z.
     """
-    kept = [F.col(c) for c in rows.columns]
     ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
     face = (
         F.when((ax >= ay) & (ax >= az), F.when(F.col(x) >= 0, 0).otherwise(2))
         .when(ay >= az, F.when(F.col(y) >= 0, 1).otherwise(3))
         .otherwise(F.when(F.col(z) >= 0, 4).otherwise(5))
     )
+    return qsc_on_face(rows.withColumn("face", face), x, y, z).drop("on_face")
+
+
+def qsc_on_face(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """``rows`` with (u, v) of a direction on their ``face``, and ``on_face``: whether the face, edges included, has it.
+
+    Each step is a projection, so no expression is repeated in the next.
+    """
+    kept = [F.col(c) for c in rows.columns]
     x, y, z = F.col(x), F.col(y), F.col(z)
     pick = lambda *v: F.element_at(F.array(*v), F.col("face") + 1)
-    turned = rows.withColumn("face", face).select(
-        *kept, "face", pick(x, y, -x, -y, z, -z).alias("q"), pick(y, -x, -y, x, y, y).alias("r"), pick(z, z, z, z, -x, x).alias("s")
-    )
+    turned = rows.select(*kept, pick(x, y, -x, -y, z, -z).alias("q"), pick(y, -x, -y, x, y, y).alias("r"), pick(z, z, z, z, -x, x).alias("s"))
     along_r = F.abs("r") >= F.abs("s")
+    most = F.greatest(F.abs("r"), F.abs("s"))
     split = turned.select(
-        *kept, "face", along_r.alias("along_r"), "q", F.when(along_r, F.col("r")).otherwise(F.col("s")).alias("major"), F.when(along_r, F.col("s")).otherwise(F.col("r")).alias("minor")
-    )
+        *kept, ((F.col("q") > 0) & (F.col("q") + 1e-12 * F.col("q") >= most)).alias("on_face"), along_r.alias("along_r"), "q",
+        F.when(along_r, F.col("r")).otherwise(F.col("s")).alias("major"), F.when(along_r, F.col("s")).otherwise(F.col("r")).alias("minor"),
+    )
     norm = F.sqrt(F.col("q") ** 2 + F.col("major") ** 2 + F.col("minor") ** 2)
     scaled = split.select(
-        *kept, "face", "along_r", (F.col("q") / norm).alias("q"), F.signum("major").alias("side"),
+        *kept, "on_face", "along_r", (F.col("q") / norm).alias("q"), F.signum("major").alias("side"),
         F.when(F.col("major") == 0, 0.0).otherwise(F.try_divide("minor", "major")).alias("ratio"),
     )
     square = F.col("ratio") * F.col("ratio")
     mu = F.col("side") * F.sqrt(F.greatest((1 - F.col("q")) / (1 - 1 / F.sqrt(2 + square)), F.lit(0.0)))
     turn = (12 / math.pi) * (F.atan("ratio") - F.asin(F.col("ratio") / F.sqrt(2 * (1 + square))))
-    return scaled.select(*kept, "face", "along_r", mu.alias("mu"), turn.alias("turn")).select(
+    return scaled.select(*kept, "on_face", "along_r", mu.alias("mu"), turn.alias("turn")).select(
         *kept,
-        "face",
         F.when(F.col("along_r"), F.col("mu")).otherwise(F.col("mu") * F.col("turn")).alias("u"),
         F.when(F.col("along_r"), F.col("mu") * F.col("turn")).otherwise(F.col("mu")).alias("v"),
+        "on_face",
     )
 
 

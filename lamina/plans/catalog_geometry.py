@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, maskset, resample, temporal, tiles, topology
+from lamina.operators import geometry, maskset, projection, resample, temporal, tiles, topology
 from lamina.plans.catalog import _label_sql, query
 from lamina.plans.catalog_curation import _OVERLAP, _grid_sql, _metrics
 from lamina.session import cut, table
@@ -98,6 +98,155 @@ def spherical_cells(spark, sf_dir):
     return geometry.qsc_forward(directions).groupBy("face", cell("u").alias("i"), cell("v").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- back-projection: SQL pulls every native voxel, Spark pushes the foreground ----
+
+
+def _seen(spark, sf_dir, **names) -> tuple[DataFrame, int]:
+    """The evidence as view voxels under other names, and the grid's side."""
+    own = adapters.evidence(spark, sf_dir).select(*[F.expr(e).cast("int").alias(n) for n, e in names.items()], "score")
+    return own.groupBy(*names).agg(F.max("score").alias("score")), adapters.grid_side(spark, sf_dir)
+
+
+def _axis_sql(name: str, work: str, out: str) -> str:
+    """CTE of (place, coordinate): cells that a contracted place meets, or the center of a place."""
+    return f"""{name} AS (SELECT d, unnest(CASE WHEN {out} < {work} THEN list_transform(range(d * {work} // {out}, ((d + 1) * {work} + {out} - 1) // {out}), lambda c: c::DOUBLE) ELSE [(d + 0.5) * ({work}::DOUBLE / {out}) - 0.5] END) AS c
+  FROM (SELECT unnest(range({out}::BIGINT)) AS d, k FROM kk))"""
+
+
+@query(
+    sql(
+        "evidence kk",
+        f""", s AS (SELECT t AS frame, y AS v, x AS u, max(score) AS score FROM evidence GROUP BY ALL),
+{_axis_sql("depths", "16", "20")}, {_axis_sql("ay", "k", "(k // 2)")}, {_axis_sql("ax", "k", "(k * 3 // 2)")},
+c AS (SELECT depths.d AS t, ay.d AS y, ax.d AS x, floor(round(depths.c - 0.4::DOUBLE * (ax.c - (k - 1) / 2.0) + 1, 9) + 0.5)::INT AS frame, floor(round(ay.c, 9) + 0.5)::INT AS v, floor(round(ax.c, 9) + 0.5)::INT AS u FROM depths, ay, ax, kk)
+SELECT t, y, x, max(score) AS score FROM c JOIN s USING (frame, v, u) GROUP BY ALL""",
+    )
+)
+def tilted_back_projection(spark, sf_dir):
+    """A stack sheared along x, shown deeper, half as high and half as wide again as it was worked on."""
+    view, k = _seen(spark, sf_dir, frame="t", v="y", u="x")
+    return projection.push_tilted(view, (16, k, k), (20, k // 2, k * 3 // 2), 0.4, "x", first=-1)
+
+
+@query(
+    sql(
+        "evidence kk",
+        f""", s AS (SELECT t AS angle, y AS row, x AS col, max(score) AS score FROM evidence GROUP BY ALL),
+{_axis_sql("depths", "k", "(k // 2)")},
+p AS (SELECT y, x, (2.0::DOUBLE * y + (1 - (k + 3))) * k / (2.0 * (k + 3)) AS dy, (2.0::DOUBLE * x + (1 - k)) * k / (2.0 * k) AS dx, k, (k - 1) / 2.0::DOUBLE AS r
+  FROM (SELECT unnest(range(k + 3)) AS y, k FROM kk), (SELECT unnest(range(k)) AS x FROM kk)),
+a AS (SELECT *, ceil(round(((degrees(atan2(dy, dx)) + 360) % 180.0) / (180.0 / 16), 9) - 0.5)::INT % 16 AS angle FROM p WHERE round(sqrt(dx * dx + dy * dy), 9) <= r + 0.5),
+q AS (SELECT *, least(greatest(round_even(round((dx * cos(radians(angle * 11.25)) + dy * sin(radians(angle * 11.25)) + r) / (2 * r) * (k - 1), 9), 0), 0), k - 1)::INT AS col FROM a)
+SELECT depths.d AS t, y, x, max(score) AS score FROM q JOIN s USING (angle, col) JOIN depths ON floor(round(depths.c, 9) + 0.5) = s.row GROUP BY ALL""",
+    )
+)
+def azimuthal_score_projection(spark, sf_dir):
+    """Scores on 16 lines through the center; of the rows that meet in a contracted depth the greatest stays."""
+    view, k = _seen(spark, sf_dir, angle="t", row="y", col="x")
+    return projection.push_azimuthal(view, (k, k, k), (k // 2, k + 3, k), 16, k, (k - 1) / 2)
+
+
+@query(
+    sql(
+        "evidence kk",
+        """, s AS (SELECT t AS shell, y AS row, x AS col, max(score) AS score FROM evidence GROUP BY ALL),
+p AS (SELECT y, x, (2.0::DOUBLE * y + (1 - k)) * k / (2.0 * k) AS dy, (2.0::DOUBLE * x + (1 - k * 2)) * k / (2.0 * k * 2) AS dx, k FROM (SELECT unnest(range(k)) AS y, k FROM kk), (SELECT unnest(range(k * 2)) AS x FROM kk)),
+a AS (SELECT *, sqrt(dx * dx + dy * dy) AS radius, least(greatest(ceil(round((sqrt(dx * dx + dy * dy) - 0.75) / 0.7, 9) - 0.5), 0), 15)::INT AS shell FROM p),
+b AS (SELECT *, 0.75 + shell * 0.7::DOUBLE AS r FROM a WHERE round(radius, 9) BETWEEN 0.75 AND 0.75 + 15 * 0.7),
+c AS (SELECT *, 2 * pi() * r AS period, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END AS theta FROM b),
+d AS (SELECT *, (theta * r + 0.5) - floor((theta * r + 0.5) / period) * period - 0.5 AS start FROM c),
+e AS (SELECT DISTINCT y, x, shell, round_even(round(start + m * period, 9), 0)::INT AS col FROM (SELECT *, unnest(range(20)) AS m FROM d)),
+h AS (SELECT d AS t, (2.0::DOUBLE * d + (1 - k // 2)) * k / (2.0 * (k // 2)) + (k - 1) / 2.0 AS height, k FROM (SELECT unnest(range(k // 2)) AS d, k FROM kk))
+SELECT t, y, x, max(score) AS score FROM e JOIN s USING (shell, col) JOIN h ON round_even(round(least(greatest(height, 0), k - 1), 9), 0)::INT = s.row AND round(height, 9) >= -0.5 AND round(height, 9) < k - 0.5 GROUP BY ALL""",
+    )
+)
+def radial_score_projection(spark, sf_dir):
+    """Scores on 16 cylinder shells; inner ones go round several times."""
+    view, k = _seen(spark, sf_dir, shell="t", row="y", col="x")
+    return projection.push_radial(view, (k, k, k), (k // 2, k, k * 2), 0.75, 0.7, 16, k)
+
+
+_QSC = f"""f AS (SELECT unnest(range(6))::INT AS face),
+turned AS (SELECT t, y, x, shell, face, k, [dx, dy, -dx, -dy, dz, -dz][face + 1] AS q, [dy, -dx, -dy, dx, dy, dy][face + 1] AS r, [dz, dz, dz, dz, -dx, dx][face + 1] AS s FROM native, f),
+sided AS (SELECT *, abs(r) >= abs(s) AS flat, CASE WHEN abs(r) >= abs(s) THEN r ELSE s END AS major, CASE WHEN abs(r) >= abs(s) THEN s ELSE r END AS minor, sqrt(q * q + r * r + s * s) AS norm
+  FROM turned WHERE q > 0 AND q * (1 + 1e-12) >= greatest(abs(r), abs(s))),
+rated AS (SELECT *, CASE WHEN major = 0 THEN 0.0 ELSE minor / major END AS ratio FROM sided),
+bent AS (SELECT *, sign(major) * sqrt(greatest((1 - q / norm) / (1 - 1 / sqrt(2 + ratio * ratio)), 0)) AS mu, {12 / math.pi!r} * (atan(ratio) - asin(ratio / sqrt(2 * (1 + ratio * ratio)))) AS turn FROM rated),
+uv AS (SELECT *, CASE WHEN flat THEN mu ELSE mu * turn END AS u, CASE WHEN flat THEN mu * turn ELSE mu END AS v FROM bent)"""
+
+
+@query(
+    sql(
+        "evidence kk",
+        f""", seen AS (SELECT t % 8 AS shell, y % 6 AS face, (y // 6) AS row, x AS col, max(score) AS score FROM evidence GROUP BY ALL),
+n AS (SELECT t, y, x, k, (2.0::DOUBLE * t + (1 - k)) * k / (2.0 * k) AS dz, (2.0::DOUBLE * y + (1 - k)) * k / (2.0 * k) AS dy, (2.0::DOUBLE * x + (1 - k * 5 // 4)) * k / (2.0 * (k * 5 // 4)) AS dx
+  FROM (SELECT unnest(range(k)) AS t, k FROM kk), (SELECT unnest(range(k)) AS y FROM kk), (SELECT unnest(range(k * 5 // 4)) AS x FROM kk)),
+native AS (SELECT *, least(greatest(ceil(round((sqrt(dx ** 2 + dy ** 2 + dz ** 2) - 1.5) / 1.25, 9) - 0.5), 0), 7)::INT AS shell FROM n WHERE round(sqrt(dx ** 2 + dy ** 2 + dz ** 2), 9) BETWEEN 1.5 AND 1.5 + 7 * 1.25),
+{_QSC}
+SELECT t, y, x, max(score) AS score FROM (SELECT *, round_even(round((u + 1) * (k / 2.0), 9), 0)::INT AS col, round_even(round((1 - v) * (k / 2.0), 9), 0)::INT AS row FROM uv) JOIN seen USING (shell, face, row, col) GROUP BY ALL""",
+    )
+)
+def spherical_score_projection(spark, sf_dir):
+    """Scores on 8 sphere shells of the equal-area cube."""
+    view, k = _seen(spark, sf_dir, shell="t % 8", face="y % 6", row="y div 6", col="x")
+    return projection.push_spherical(view, (k, k, k), (k, k, k * 5 // 4), k, 1.5, 1.25, 8)
+
+
+_DIRECTION = f"""flatly AS (SELECT *, abs(u) >= abs(v) AS flat, CASE WHEN abs(u) >= abs(v) THEN u ELSE v END AS far, CASE WHEN abs(u) >= abs(v) THEN v ELSE u END AS side FROM places),
+angled AS (SELECT *, CASE WHEN far = 0 THEN 0.0 ELSE side / far END * {math.pi / 12!r} AS turn FROM flatly),
+bent AS (SELECT *, sin(turn) / (cos(turn) - sqrt(0.5)) AS tangent FROM angled),
+thrown AS (SELECT *, 1 / sqrt(1 + tangent ** 2) AS cosine FROM bent),
+deep AS (SELECT *, 1 - cosine / sqrt(1 + cosine * cosine) AS d FROM thrown),
+cross_face AS (SELECT *, 1 - far * far * d AS q, far * sqrt(d * (2 - far * far * d)) * cosine AS major FROM deep),
+local AS (SELECT *, CASE WHEN flat THEN major ELSE major * tangent END AS r, CASE WHEN flat THEN major * tangent ELSE major END AS s FROM cross_face),
+directed AS (SELECT shell, face, row, col, k, [q, -r, -q, r, -s, s][face + 1] AS dx, [r, q, -r, -q, r, r][face + 1] AS dy, [s, s, s, s, q, -q][face + 1] AS dz FROM local)"""
+
+
+@query(
+    sql(
+        "mask km",
+        f""", places AS (SELECT shell, face, row, col, k, col * (2.0::DOUBLE / k) - 1 AS u, 1 - row * (2.0::DOUBLE / k) AS v
+  FROM (SELECT unnest(range(6))::INT AS shell), (SELECT unnest(range(6))::INT AS face), (SELECT unnest(range(k + 1))::INT AS row, k FROM km), (SELECT unnest(range(k + 1))::INT AS col FROM km)),
+{_DIRECTION}
+SELECT shell, face, row, col FROM directed JOIN mask ON mask.t = floor(round((0.5 + shell * 0.6) * dz + 3.5, 9) + 0.5) AND mask.y = floor(round((0.5 + shell * 0.6) * dy + (k - 1) / 2.0, 9) + 0.5)
+  AND mask.x = floor(round((0.5 + shell * 0.6) * dx + (k - 1) / 2.0, 9) + 0.5)""",
+    )
+)
+def spherical_sampling(spark, sf_dir):
+    """Six sphere shells of a mask on the equal-area cube, edges of faces included."""
+    k = adapters.mask_side(spark, sf_dir)
+    return projection.sample_sphere(adapters.mask(spark, sf_dir), (8, k, k), k, 0.5, 0.6, 6)
+
+
+def _shells_sql(name: str, source: str, keys: str) -> str:
+    return f"""{name}_k AS (SELECT *, (2 * ((k * patch - 1) // 2))::INT AS intervals FROM (SELECT *, unnest(range(1, 2 + patch_most)) AS k FROM (SELECT *, (high * 4 / patch)::BIGINT + 8 AS patch_most FROM {source}))),
+{name}_s AS (SELECT *, CASE WHEN high > low THEN greatest(2, ceil(round((high - low) / (2 * sqrt({projection.BUDGET_SQUARED!r} - {2 * projection.STRETCH_SQUARED!r} * (high / intervals) ** 2)), 9)) + 1) ELSE 1 END::INT AS shells
+  FROM {name}_k WHERE intervals > 0 AND {projection.BUDGET_SQUARED!r} - {2 * projection.STRETCH_SQUARED!r} * (high / intervals) ** 2 > 0),
+{name} AS (SELECT *, 6 * k * k * shells AS frames FROM {name}_s QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY 6 * k * k * shells, k) = 1)"""
+
+
+@query(
+    f"""WITH spans AS (SELECT p_partkey, 0.5 + (p_partkey % 7)::DOUBLE AS low, 8 + (p_partkey % 113)::DOUBLE AS high, (8 + p_partkey % 57)::INT AS patch FROM part),
+{_shells_sql("fixed", "spans", "p_partkey")},
+ways AS (SELECT * FROM (VALUES (1, false), (2, false), (2, true), (4, false), (4, true), (8, false), (8, true)) w(bands, sine)),
+scaled AS (SELECT p_partkey, low, high, patch, bands, sine, unnest(range(bands))::INT AS band, {math.sqrt(2 * projection.STRETCH_SQUARED / projection.BUDGET_SQUARED)!r} / intervals AS scale FROM fixed, ways),
+angles AS (SELECT *, asin(scale * low) AS a, asin(scale * high) AS b FROM scaled),
+cut AS (SELECT p_partkey, patch, bands, sine, band,
+  CASE WHEN band = 0 THEN low WHEN sine THEN sin(a + (b - a) * (band::DOUBLE / bands)) / scale ELSE low + (high - low) * (band::DOUBLE / bands) END AS low,
+  CASE WHEN band + 1 = bands THEN high WHEN sine THEN sin(a + (b - a) * ((band + 1)::DOUBLE / bands)) / scale ELSE low + (high - low) * ((band + 1)::DOUBLE / bands) END AS high FROM angles),
+{_shells_sql("planned", "cut", "p_partkey, bands, sine, band")},
+totals AS (SELECT p_partkey, bands, sine, sum(frames) AS total FROM planned GROUP BY ALL),
+best AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY total, bands, sine) = 1)
+SELECT p_partkey, band, round(low, 8) AS low, round(high, 8) AS high, intervals, k::INT AS patches, shells, frames::BIGINT AS frames FROM planned JOIN best USING (p_partkey, bands, sine)"""
+)
+def spherical_plan(spark, sf_dir):
+    """Shell bands and face grids of each part's span of radii with the fewest patch images."""
+    spans = table(spark, sf_dir, "part").select(
+        "p_partkey", (0.5 + F.col("p_partkey") % 7).alias("low"), (8 + F.col("p_partkey") % 113).cast("double").alias("high"), (8 + F.col("p_partkey") % 57).cast("int").alias("patch")
+    )
+    return projection.plan_bands(spans, "p_partkey").withColumn("low", F.round("low", 8)).withColumn("high", F.round("high", 8))
+
+
 # ---- resampling ----
 
 _RAW = [math.exp(-0.5 * k * k) for k in range(-2, 3)]

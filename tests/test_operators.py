@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import planes
-from lamina.operators import geometry, graph, maskset, rank, resample, sections, temporal, tiles, topology, tracks, vote
+from lamina.operators import geometry, graph, maskset, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
@@ -438,3 +438,158 @@ def test_tracklet_metrics_match_dense_masks(spark):
         terms = [r.iou, r.dice, r.iou_median, r.coverage, np.exp(-4 * r.apart_median), np.exp(-r.drift_median), r.joint_mean]
         assert np.isclose(r.score, np.dot(terms, [0.3, 0.1, 0.15, 0.15, 0.1, 0.05, 0.15]))
     assert seen > 3
+
+
+def pull(shape, address, view):
+    """(t, y, x) -> the greatest score of the cells that each voxel looks at, voxel by voxel."""
+    found = {}
+    for at in itertools.product(*map(range, shape)):
+        scores = [view[c] for c in address(*at) if c in view]
+        if scores:
+            found[at] = max(scores)
+    return found
+
+
+def half_up(v):
+    return int(np.floor(round(v, 9) + 0.5))
+
+
+def seen_by(axis_work, axis_out, at):
+    """Coordinates of a target place: the cells it meets, or its center."""
+    if axis_out < axis_work:
+        return range(at * axis_work // axis_out, -(-(at + 1) * axis_work // axis_out))
+    return [(at + 0.5) * axis_work / axis_out - 0.5]
+
+
+@pytest.mark.parametrize(("work", "out", "along", "slope"), [((9, 8, 7), (9, 8, 7), "x", 0.37), ((9, 8, 7), (5, 13, 3), "y", -0.8), ((6, 5, 9), (11, 3, 14), "x", 1.3)])
+def test_tilted_push_equals_the_pull(spark, work, out, along, slope):
+    rng = np.random.default_rng(sum(out))
+    view = {tuple(map(int, c)): int(s) for c, s in zip(np.argwhere(rng.random(work) < 0.2), rng.integers(1, 255, 10_000))}
+
+    def address(t, y, x):
+        for ct, cy, cx in itertools.product(*(seen_by(w, o, at) for w, o, at in zip(work, out, (t, y, x)))):
+            off = cy - (work[1] - 1) / 2 if along == "y" else cx - (work[2] - 1) / 2
+            yield half_up(ct - slope * off + 2), half_up(cy), half_up(cx)
+
+    rows = spark.createDataFrame([(*c, s) for c, s in view.items()], "frame int, v int, u int, score int")
+    found = {(r.t, r.y, r.x): r.score for r in projection.push_tilted(rows, work, out, slope, along, first=-2).collect()}
+    assert found == pull(out, address, view) and found
+
+
+@pytest.mark.parametrize(("work", "out"), [((5, 11, 11), (5, 11, 11)), ((6, 9, 12), (4, 14, 7))])
+def test_azimuthal_and_radial_push_equal_the_pull(spark, work, out):
+    rng = np.random.default_rng(4)
+    offset = lambda at, w, o: (2 * at + 1 - o) * w / (2 * o)
+    radius, angles, columns = (min(work[1:]) - 1) / 2, 7, 9
+    view = {tuple(map(int, c)): int(s) for c, s in zip(np.argwhere(rng.random((angles, work[0], columns)) < 0.4), rng.integers(1, 255, 10_000))}
+
+    def line(t, y, x):
+        dy, dx = offset(y, work[1], out[1]), offset(x, work[2], out[2])
+        if round(np.hypot(dx, dy), 9) > radius + 0.5:
+            return
+        theta = np.degrees(np.arctan2(dy, dx)) % 180
+        angle = int(np.ceil(round(theta / (180 / angles), 9) - 0.5)) % angles
+        signed = dx * np.cos(np.radians(angle * 180 / angles)) + dy * np.sin(np.radians(angle * 180 / angles))
+        column = int(np.clip(np.rint(round((signed + radius) / (2 * radius) * (columns - 1), 9)), 0, columns - 1))
+        for ct in seen_by(work[0], out[0], t):
+            yield angle, half_up(ct), column
+
+    rows = spark.createDataFrame([(*c, s) for c, s in view.items()], "angle int, row int, col int, score int")
+    found = {(r.t, r.y, r.x): r.score for r in projection.push_azimuthal(rows, work, out, angles, columns, radius).collect()}
+    assert found == pull(out, line, view) and found
+
+    least, gap, shells, columns = 0.12, 0.9, 5, 12
+    view = {tuple(map(int, c)): int(s) for c, s in zip(np.argwhere(rng.random((shells, work[0], columns)) < 0.4), rng.integers(1, 255, 10_000))}
+
+    def shell(t, y, x):
+        dy, dx = offset(y, work[1], out[1]), offset(x, work[2], out[2])
+        r = np.hypot(dx, dy)
+        height = offset(t, work[0], out[0]) + (work[0] - 1) / 2
+        if not least <= round(r, 9) <= round(least + gap * (shells - 1), 9) or not -0.5 <= round(height, 9) < work[0] - 0.5:
+            return
+        k = int(np.clip(np.ceil(round((r - least) / gap, 9) - 0.5), 0, shells - 1))
+        own = least + gap * k
+        row = int(np.rint(round(min(max(height, 0), work[0] - 1), 9)))
+        start = (np.arctan2(dy, dx) % (2 * np.pi) * own + 0.5) % (2 * np.pi * own) - 0.5
+        turns = range(columns) if 2 * np.pi * own <= 1 else {int(np.rint(round(start + m * 2 * np.pi * own, 9))) for m in range(columns + 2)}
+        for column in turns:
+            yield k, row, column
+
+    rows = spark.createDataFrame([(*c, s) for c, s in view.items()], "shell int, row int, col int, score int")
+    found = {(r.t, r.y, r.x): r.score for r in projection.push_radial(rows, work, out, least, gap, shells, columns).collect()}
+    assert found == pull(out, shell, view) and found
+
+
+def test_cube_directions_go_there_and_back(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(int(f), float(u), float(v)) for f, u, v in zip(rng.integers(0, 6, 400), *rng.uniform(-1, 1, (2, 400)))] + [(f, u, v) for f in range(6) for u in (-1.0, 0.0, 1.0) for v in (-1.0, 0.0, 1.0)], "face int, u double, v double")
+    there = projection.qsc_direction(rows.withColumnsRenamed({"u": "u0", "v": "v0"}), "face", "u0", "v0")
+    for r in geometry.qsc_on_face(there, "dx", "dy", "dz").collect():
+        assert r.on_face and abs(r.dx**2 + r.dy**2 + r.dz**2 - 1) < 1e-12
+        assert abs(r.u - r.u0) < 1e-6 and abs(r.v - r.v0) < 1e-6
+
+
+def test_sphere_push_gives_back_what_was_sampled(spark):
+    volume = np.random.default_rng(3).random((13, 13, 13)) < 0.3
+    mask = voxel_table(spark, volume)
+    plan = projection.plan_of(spark, 1.0, 6.0, 24).collect()
+    assert len(plan) == 1
+    gap = 5 / (plan[0].shells - 1)
+    sampled = projection.sample_sphere(mask, (13, 13, 13), plan[0].intervals, 1.0, gap, plan[0].shells)
+    every = sampled.withColumn("score", F.lit(1))
+    found = {(r.t, r.y, r.x) for r in projection.push_spherical(every, (13, 13, 13), (13, 13, 13), plan[0].intervals, 1.0, gap, plan[0].shells).collect()}
+    inside = {tuple(map(int, p)) for p in np.argwhere(volume) if 1 <= np.linalg.norm(p - 6.0) <= 6}
+    # a voxel comes back if its nearest sample looked at it; the SQL pull tells which exactly
+    assert len(found & inside) > 0.8 * len(inside)
+    near = {(a + i, b + j, c + k) for a, b, c in map(tuple, np.argwhere(volume)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)}
+    assert found <= near
+
+
+def test_bands_of_a_known_volume(spark):
+    plan = projection.plan_of(spark, 2048 / (4 * np.pi), (2911 - 1) / 2, 2048).orderBy("band").collect()
+    assert (sum(r.frames for r in plan), sum(r.shells for r in plan) - 7, {r.intervals for r in plan}, sum(6 * r.patches**2 for r in plan)) == (5430, 898, {2046}, 48)
+    assert all(a.high == b.low for a, b in zip(plan, plan[1:]))
+
+
+def brute_assignment(pairs):
+    """The greatest total of one-to-one pairs."""
+    if not pairs:
+        return 0.0
+    (a, b), rest = pairs[0], pairs[1:]
+    score = brute_assignment.scores[a, b]
+    return max(brute_assignment(rest), score + brute_assignment([p for p in rest if a not in p[:1] and b not in p[1:]]))
+
+
+def test_assignment_within_components(spark):
+    rng = random.Random(3)
+    scores = {}
+    for c in range(12):
+        for a, b in itertools.product(range(rng.randint(1, 3)), range(rng.randint(1, 3))):
+            if rng.random() < 0.7:
+                scores[10 * c + a, 10 * c + b] = round(rng.random(), 3)
+    brute_assignment.scores = scores
+    found = tracks.assign(spark.createDataFrame([(a, b, s) for (a, b), s in scores.items()], "a long, b long, score double")).collect()
+    assert len({r.a for r in found}) == len({r.b for r in found}) == len(found)
+    blocks = {}
+    for a, b in scores:
+        blocks.setdefault(a // 10, []).append((a, b))
+    assert sum(r.score for r in found) == pytest.approx(sum(map(brute_assignment, blocks.values())))
+
+
+def test_matches_and_hypotheses_of_planted_tracklets(spark):
+    # left 1 is one object seen whole on the right; left 2 is split in two there; lefts 3 and 4 are parts of one there; left 5 has two near-equal candidates
+    square = lambda y0, y1, x0, x1: [(y, x) for y in range(y0, y1) for x in range(x0, x1)]
+    left = {1: square(0, 6, 0, 6), 2: square(10, 16, 0, 12), 3: square(20, 26, 0, 6), 4: square(20, 26, 6, 12), 5: square(30, 36, 0, 6)}
+    right = {11: square(0, 6, 0, 6), 21: square(10, 16, 0, 6), 22: square(10, 16, 6, 12), 31: square(20, 26, 0, 12), 51: square(30, 36, 0, 6), 52: square(30, 36, 0, 6)[1:]}
+    voxels = lambda side: spark.createDataFrame([(o, f, y, x) for o, cells in side.items() for f in range(4) for y, x in cells], "obj int, frame int, y int, x int")
+    frames = lambda side: spark.createDataFrame([(o, f, 0.9) for o in side for f in range(4)], "obj int, frame int, p double")
+    given = (voxels(left), voxels(right), frames(left), frames(right))
+    assessed = tracks.assess(tracks.overlap_metrics(*given, diagonal=60.0)).cache()
+    matched = tracks.match(assessed)
+    assert {(r.a, r.b) for r in matched.collect()} == {(1, 11)}
+    failed = {(r.a, r.b): list(r.failed) for r in assessed.collect()}
+    assert failed[5, 51] == ["left_runner_up_margin_below_minimum"] and set(failed[5, 52]) == {"left_runner_up_margin_below_minimum"}
+    found = {(r.kind, r.key): (list(r.members), round(r.iou, 6), round(r.gain, 6)) for r in tracks.hypotheses(assessed, matched, *given, diagonal=60.0).collect()}
+    assert found == {("split", 2): ([21, 22], 1.0, 0.5), ("merge", 31): ([3, 4], 1.0, 0.5)}
+    loose = tracks.assess(assessed.drop("failed", "similarity", "left_margin", "right_margin", "candidate"), min_margin=0.0)
+    assert {(r.a, r.b) for r in tracks.match(loose, 0.0).collect()} >= {(1, 11), (5, 51)}
