@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.planes import center_part, distance_to_background, parts_2d, signed_distance
+from lamina.functions.planes import center_part, signed_distance
+from lamina.operators import maskset
 from lamina.operators.graph import connected_components
-from lamina.operators.topology import label
+from lamina.operators.topology import label_runs
+from lamina.session import cut
 
 VOXEL = ("t", "y", "x")
 
@@ -84,13 +86,13 @@ def qsc_on_face(rows: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Da
     )
 
 
-def gaussian_3d(mask: DataFrame, sigma: float = 1.0, truncate: float = 2.0) -> DataFrame:
-    """Separable Gaussian of a voxel set, zeros outside, kept at one half or more: three offset joins, map-side combined."""
+def gaussian(mask: DataFrame, sigma: float = 1.0, axes: tuple[str, ...] = VOXEL, truncate: float = 4.0) -> DataFrame:
+    """Separable Gaussian of a voxel set along ``axes``, zeros outside, kept at one half or more: an offset join an axis, map-side combined."""
     reach = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     taps = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(w / sum(raw)).alias("w")) for k, w in zip(range(-reach, reach + 1), raw, strict=True)])
     values = mask.select(*VOXEL).withColumn("v", F.lit(1.0))
-    for axis in VOXEL:
+    for axis in axes:
         spread = values.withColumn("tap", F.explode(taps))
         moved = [(F.col(c) + F.col("tap.d")).alias(c) if c == axis else F.col(c) for c in VOXEL]
         values = spread.select(*moved, (F.col("v") * F.col("tap.w")).alias("v")).groupBy(*VOXEL).agg(F.sum("v").alias("v"))
@@ -111,37 +113,55 @@ def area_resize(pixels: DataFrame, source: tuple[int, int], target: tuple[int, i
 
 
 def centerline_samples(points: DataFrame, branch: str = "branch", order: str = "ord") -> DataFrame:
-    """Points about one voxel apart along each branch, by linear interpolation over arc length: (branch, s, t, y, x)."""
+    """(branch, s, t, y, x): equally spaced points along each branch, both ends included, as near to one voxel apart as that allows.
+
+    A point that repeats the one before it is left out; a branch without two distinct points has no samples.
+    """
     along = Window.partitionBy(branch).orderBy(order)
-    step = F.sqrt(sum(((F.lead(c).over(along) - F.col(c)) ** 2 for c in VOXEL), F.lit(0.0)))
-    placed = points.withColumn("step", step).withColumn(
-        "from", F.coalesce(F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    )
+    far = lambda other: F.sqrt(sum(((other(c) - F.col(c)) ** 2 for c in VOXEL), F.lit(0.0)))
+    moved = points.withColumn("moved", far(lambda c: F.lag(c).over(along))).where("moved IS NULL OR moved > 1e-7")
+    placed = moved.withColumn("step", far(lambda c: F.lead(c).over(along))).withColumn("from", F.coalesce(F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     for c in VOXEL:
         placed = placed.withColumn(f"next_{c}", F.lead(c).over(along))
-    last = F.col("step").isNull()
-    stop = F.col("from") + F.coalesce("step", F.lit(0.0))
-    # whole arc lengths in [from, stop); the last point closes the branch if its length is whole
-    first = F.ceil(F.round("from", 9)).cast("int")
-    final = F.when(last, F.floor(F.round("from", 9)).cast("int")).otherwise(F.ceil(F.round(stop, 9)).cast("int") - 1)
-    sampled = placed.withColumn("lo", first).withColumn("hi", final).where("hi >= lo").withColumn("s", F.explode(F.sequence("lo", "hi")))
-    part = F.when(last, 0.0).otherwise((F.col("s") - F.col("from")) / F.col("step"))
-    return sampled.select(branch, "s", *[(F.col(c) + part * F.coalesce(F.col(f"next_{c}") - F.col(c), F.lit(0))).alias(c) for c in VOXEL])
+    length = F.sum("step").over(Window.partitionBy(branch))
+    # half to even, as the number of gaps is a rounded length
+    gaps = F.greatest(F.lit(1), F.rint(F.round(length, 9)).cast("int"))
+    spaced = placed.withColumn("length", length).withColumn("gaps", gaps).where("step IS NOT NULL")
+    # the samples of a segment: those in [from, from + step), at the last segment its end, too
+    unit = F.col("length") / F.col("gaps")
+    last = F.col("from") + F.col("step") >= F.col("length") - 1e-9
+    first = F.ceil(F.round(F.col("from") / unit, 9)).cast("int")
+    final = F.when(last, F.col("gaps")).otherwise(F.ceil(F.round((F.col("from") + F.col("step")) / unit, 9)).cast("int") - 1)
+    sampled = spaced.withColumn("unit", unit).withColumn("lo", first).withColumn("hi", final).where("hi >= lo").withColumn("s", F.explode(F.sequence("lo", "hi")))
+    part = F.least(F.greatest((F.col("s") * F.col("unit") - F.col("from")) / F.col("step"), F.lit(0.0)), F.lit(1.0))
+    return sampled.select(branch, "s", *[(F.col(c) + part * (F.col(f"next_{c}") - F.col(c))).alias(c) for c in VOXEL])
 
 
 def transport_frames(samples: DataFrame, branch: str = "branch") -> DataFrame:
-    """Two normals of each sample, carried along its branch without twist; order-dependent, so a branch is one group."""
+    """Samples with two normals u and v, each frame turned from the one before by the least rotation between their tangents; order-dependent, so a branch is one group.
+
+    The first u is the axis that the first tangent is least along, made perpendicular. Where the curve doubles back on itself, no tangent exists, and the last one holds.
+    """
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
         at = pdf[list(VOXEL)].to_numpy(float)
         ahead = np.gradient(at, axis=0) if len(at) > 1 else np.array([[1.0, 0, 0]])
-        ahead /= np.maximum(np.linalg.norm(ahead, axis=1, keepdims=True), 1e-12)
-        u = np.eye(3)[np.abs(ahead[0]).argmin()]
-        rows = []
+        before, u, rows = None, np.zeros(3), []
         for d in ahead:
+            size = np.linalg.norm(d)
+            d = d / size if size > 1e-8 else before if before is not None else np.array([1.0, 0, 0])
+            if before is not None:
+                axis, cos = np.cross(before, d), float(np.clip(before @ d, -1, 1))
+                sin = np.linalg.norm(axis)
+                if sin > 1e-8:
+                    axis = axis / sin
+                    u = u * cos + np.cross(axis, u) * sin + axis * (axis @ u) * (1 - cos)
             u = u - d * (u @ d)
-            u /= max(np.linalg.norm(u), 1e-12)
+            if np.linalg.norm(u) <= 1e-8:
+                u = np.eye(3)[np.abs(d).argmin()]
+                u = u - d * (u @ d)
+            u, before = u / np.linalg.norm(u), d
             rows.append([*u, *np.cross(d, u)])
         return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=[f"{n}_{c}" for n in "uv" for c in VOXEL])], axis=1)
 
@@ -149,6 +169,32 @@ def transport_frames(samples: DataFrame, branch: str = "branch") -> DataFrame:
     return samples.select(F.col(branch).cast("long").alias(branch), F.col("s").cast("int").alias("s"), *[F.col(c).cast("double").alias(c) for c in VOXEL]).groupBy(branch).applyInPandas(carry, fields)
 
 
+def section_raster(frames: DataFrame, voxels: DataFrame, size: int, categorical: bool = False, branch: str = "branch") -> DataFrame:
+    """(branch, s, row, col, value) of the sections perpendicular to a centerline: ``size`` places a side along the normals u (columns) and v (rows), zero outside.
+
+    ``voxels`` are sparse (t, y, x, value). Intensities mix the eight voxels around a place (those that are missing count as 0), rounded half to even; categories take the
+    nearest voxel. Places meet voxels by an equi-join, so only voxels that are there make rows; pixels of value 0 have none.
+    """
+    center = (size - 1) // 2
+    places = frames.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    at = lambda c: F.round(F.col(c) + (F.col("col") - center) * F.col(f"u_{c}") + (F.col("row") - center) * F.col(f"v_{c}"), 9)
+    pixel = [branch, "s", "row", "col"]
+    placed = places.select(*pixel, *[at(c).alias(f"at_{c}") for c in VOXEL])
+    whole = lambda c, up: F.coalesce(F.floor(F.col(f"at_{c}") + up).cast("int"), F.lit(-1))
+    if categorical:
+        return placed.select(*pixel, *[whole(c, 0.5).alias(c) for c in VOXEL]).join(voxels.select(*VOXEL, "value"), list(VOXEL)).select(*pixel, "value").where("value <> 0")
+    corners = F.array(*[F.struct(*[F.lit(d >> k & 1).alias(f"d_{c}") for k, c in enumerate(VOXEL)]) for d in range(8)])
+    spread = placed.withColumn("corner", F.explode(corners))
+    part = lambda c: F.col(f"at_{c}") - F.floor(f"at_{c}")
+    weight = F.lit(1.0)
+    for c in VOXEL:
+        weight = weight * F.when(F.col(f"corner.d_{c}") == 1, part(c)).otherwise(1 - part(c))
+    met = spread.select(*pixel, *[(whole(c, 0.0) + F.col(f"corner.d_{c}")).alias(c) for c in VOXEL], weight.alias("weight")).where("weight > 0").join(voxels.select(*VOXEL, "value"), list(VOXEL))
+    mixed = met.groupBy(*pixel).agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    clipped = F.least(F.greatest(F.rint(F.round("value", 6)), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return mixed.withColumn("value", clipped).where("value <> 0")
+
+
 def radius_events(samples: DataFrame, key: str, order: str, value: str, factor: float, context: int) -> DataFrame:
     """Runs of samples whose value exceeds ``factor`` times the median of ``context`` samples on either side."""
     along = Window.partitionBy(key).orderBy(order)
@@ -190,59 +236,91 @@ def bridge_groups(ends: DataFrame, boxes: DataFrame, max_step: int, slope: int)
     return edges, connected_components(edges)
 
 
-def bridge_sections(mask: DataFrame, ends: DataFrame, shape: tuple[int, int], max_step: int, slope: float, candidates: int = 1) -> DataFrame:
-    """Voxels painted between endpoint sections and the nearest parts inside their cone (an endpoint: part, t, side, with voxels y, x).
+def endpoint_candidates(ends: DataFrame, labelled: DataFrame, max_step: int, slope: float, most: int, wrap: tuple[int, int] | None = None) -> DataFrame:
+    """(part, side, target, step, t, y, x, d2, place): for each endpoint the first ``most`` other labels inside its cone, by step, squared distance and label.
 
-    For each endpoint planes are searched outwards; a part counts at the first plane where its distance to
-    the section is at most ``slope`` times the step, and the search stops at the plane that reaches ``candidates`` parts. The signed distances of
+    ``ends`` has part, side, label (that of its whole component) and voxels of a section, ``labelled`` all voxels with label. A label counts at the first step at which
+    it has a voxel no further than ``slope * step`` from the section (in the plane); (t, y, x) is its voxel there that is nearest to the section's anchor, the
+    voxel nearest to its centroid. With ``wrap`` (planes, width) plane 0 follows the last one, mirrored in x. Both sides meet
+    as runs in cells as wide as the widest cone: what of a run lies in the cone of another follows from their ends.
+    """
+    reach = int(math.floor(slope * max_step + 1e-9))
+    cell = max(2 * reach, 16)
+    means = ends.groupBy("part", "side").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"))
+    off = F.round((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2, 9)
+    anchors = ends.join(means, ["part", "side"]).groupBy("part", "side").agg(F.min_by(F.struct("y", "x"), F.struct(off, "y", "x")).alias("anchor"))
+    sections = maskset.runs(ends.select("part", "side", "label", *VOXEL), "part", "side", "label").join(anchors, ["part", "side"])
+    between = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int"))
+    offered = (
+        sections.select("part", "side", "label", "t", F.col("y").alias("sy"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("anchor.y").alias("ay"), F.col("anchor.x").alias("ax"))
+        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_step))))
+        .withColumn("t", F.col("t") + F.col("side") * F.col("step"))
+        .withColumn("cell_y", F.explode(between(F.col("sy") - reach, F.col("sy") + reach)))
+        .withColumn("cell_x", F.explode(between(F.col("b0") - reach, F.col("b1") - 1 + reach)))
+    )
+    targets = maskset.runs(labelled.select("label", *VOXEL), "label").select(F.col("label").alias("target"), "t", F.lit(0).alias("turn"), "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    if wrap is not None:
+        count, width = wrap
+        near = F.filter(F.array(F.lit(-1), F.lit(1)), lambda k: (F.col("t") + k * count >= -max_step) & (F.col("t") + k * count < count + max_step))
+        turned = targets.withColumn("turn", F.explode(near)).select("target", (F.col("t") + F.col("turn") * count).alias("t"), "turn", "y", (width - F.col("a1")).alias("a0"), (width - F.col("a0")).alias("a1"))
+        targets = targets.unionByName(turned)
+    placed = targets.withColumn("cell_y", F.floor(F.col("y") / cell).cast("int")).withColumn("cell_x", F.explode(between(F.col("a0"), F.col("a1") - 1)))
+    met = offered.join(placed, ["t", "cell_y", "cell_x"]).where("target <> label")
+    left = (slope * F.col("step")) ** 2 - (F.col("y") - F.col("sy")) ** 2
+    wide = F.floor(F.sqrt(left + 1e-9)).cast("int")
+    inside = met.where(left >= -1e-9).withColumn("low", F.greatest(F.col("a0"), F.col("b0") - wide)).withColumn("high", F.least(F.col("a1") - 1, F.col("b1") - 1 + wide)).where("low <= high")
+    x = F.least(F.greatest(F.col("ax"), F.col("low")), F.col("high"))
+    seen = inside.select("part", "side", "target", "step", "t", "turn", "y", x.alias("x"), ((F.col("y") - F.col("ay")) ** 2 + (x - F.col("ax")) ** 2).cast("long").alias("d2"))
+    first = seen.groupBy("part", "side", "target").agg(F.min(F.struct("step", "d2", "y", "x", "t", "turn")).alias("f")).select("part", "side", "target", "f.*")
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("part", "side").orderBy("step", "d2", "target"))).where(F.col("place") <= most)
+    if wrap is not None:
+        ranked = ranked.withColumn("t", F.col("t") - F.col("turn") * count).withColumn("x", F.when(F.col("turn") != 0, width - 1 - F.col("x")).otherwise(F.col("x")))
+    return ranked.select("part", "side", "target", "step", "t", "y", "x", "d2", "place")
+
+
+def bridge_sections(parts: DataFrame, ends: DataFrame, shape: tuple[int, int], max_step: int, slope: float, candidates: int = 1) -> DataFrame:
+    """Voxels painted between endpoint sections and the plane components of their candidates (see ``endpoint_candidates``).
+
+    ``parts`` has voxels with part and label, ``ends`` the voxels of endpoints with part, side and label. The signed distances of
     both sections are mixed linearly between the planes, and of each painted section the central component stays, filled. All bridges start from one snapshot and are OR-ed,
-    so their order does not matter. A group is one endpoint with at most ``max_step`` planes beside it.
+    so their order does not matter. A group is one bridge: the voxels of its two sections, drawn on the box that holds both.
     """
     h, w = shape
+    found = endpoint_candidates(ends, parts, max_step, slope, candidates)
+    bridges = cut(
+        found.join(parts.select("t", "y", "x", F.col("part").alias("onto")), list(VOXEL)).select("part", "side", "onto", "step", F.monotonically_increasing_id().alias("bridge"))
+    )
+    near = bridges.join(ends.select("part", "side", "t", "y", "x"), ["part", "side"]).select("bridge", "side", "step", F.lit(True).alias("own"), *VOXEL)
+    far = bridges.join(parts.select(F.col("part").alias("onto"), *VOXEL), "onto").select("bridge", "side", "step", F.lit(False).alias("own"), *VOXEL)
 
     def paint(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.step == 0]
-        section = np.zeros((h, w), bool)
-        section[own.y, own.x] = True
-        t, side = int(own.t.iloc[0]), int(own.side.iloc[0])
-        away = distance_to_background(~section)
-        out, found = set(), 0
-        for step in range(1, max_step + 1):
-            here = pdf[pdf.step == step]
-            plane = np.zeros((h, w), bool)
-            plane[here.y, here.x] = True
-            labels = parts_2d(plane, diagonal=True)
-            near = sorted((away[labels == k].min(), k) for k in range(1, labels.max() + 1))
-            for distance, k in near:
-                if distance <= slope * step and found < candidates:
-                    found += 1
-                    a, b = signed_distance(section), signed_distance(labels == k)
-                    for between in range(1, step):
-                        for y, x in np.argwhere(center_part((a * (step - between) + b * between) / step >= 0)):
-                            out.add((t + side * between, int(y), int(x)))
-            if found >= candidates:
-                break
-        return pd.DataFrame(sorted(out), columns=list(VOXEL))
-
-    seeds = ends.select("part", "side", "t", "y", "x", F.lit(0).alias("step"))
-    keys = ends.select("part", "side", "t").distinct()
-    steps = keys.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_step)))).withColumn("plane", F.col("t") + F.col("side") * F.col("step"))
-    around = steps.join(mask.select(F.col("t").alias("plane"), "y", "x"), "plane").select("part", "side", "t", "y", "x", "step")
-    grouped = seeds.unionByName(around).groupBy("part", "side")
-    return grouped.applyInPandas(paint, "t int, y int, x int").distinct().join(mask, list(VOXEL), "left_anti")
+        side, step = int(pdf.side.iloc[0]), int(pdf.step.iloc[0])
+        y0, x0 = max(pdf.y.min() - 1, 0), max(pdf.x.min() - 1, 0)
+        box = (min(pdf.y.max() + 2, h) - y0, min(pdf.x.max() + 2, w) - x0)
+        depth = []
+        for own in (True, False):
+            plane, part = np.zeros(box, bool), pdf[pdf.own == own]
+            plane[part.y - y0, part.x - x0] = True
+            depth.append(signed_distance(plane))
+        t = int(pdf.t[pdf.own].iloc[0])
+        out = []
+        for between in range(1, step):
+            y, x = np.nonzero(center_part((depth[0] * (step - between) + depth[1] * between) / step >= 0))
+            out.append(pd.DataFrame({"t": t + side * between, "y": y + y0, "x": x + x0}))
+        return pd.concat(out) if out else pd.DataFrame({"t": [], "y": [], "x": []})
+
+    painted = near.unionByName(far).groupBy("bridge").applyInPandas(paint, "t int, y int, x int")
+    return painted.distinct().join(parts.select(*VOXEL), list(VOXEL), "left_anti")
 
 
 def connected_edges(support: DataFrame, ends: DataFrame, connectivity: int = 26) -> DataFrame:
     """(edge): edges of which one component of supporting voxels holds voxels of both ends.
 
-    ``support`` has edge and voxels, ``ends`` edge, end and voxels. Edges are laid side by side along t, further apart than the planes
-    they reach over, so one labelling does for all.
+    ``support`` has edge and voxels, ``ends`` edge, end and voxels. All edges are labelled at once, on runs that connect within their edge only.
     """
-    low, high = support.agg(F.min("t"), F.max("t")).first()
-    planes = (high or 0) - (low or 0) + 2
-    apart = lambda df: df.withColumn("t", F.col("t").cast("long") + F.col("edge") * planes)
-    labelled = label(apart(support), connectivity)
-    met = apart(ends).join(labelled, list(VOXEL)).groupBy("edge", "label").agg(F.count_distinct("end").alias("n"))
+    runs = label_runs(maskset.runs(support.select("edge", *VOXEL).distinct(), "edge"), connectivity, ("edge",))
+    labelled = maskset.voxels(runs.select("edge", "t", "y", "x0", "x1", "label"))
+    met = ends.join(labelled, ["edge", *VOXEL]).groupBy("edge", "label").agg(F.count_distinct("end").alias("n"))
     return met.where("n >= 2").select("edge").distinct()
 
 

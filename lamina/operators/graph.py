@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +38,29 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return pairs.where("high <> low").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
-    """(node, component) for each node of an edge; the component is its least node.
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: least labels go over edges and are followed, until nothing changes."""
+    ends = [(np.asarray(b["high"]), np.asarray(b["low"])) for b in batches]
+    high, low = (np.concatenate([e[k] for e in ends] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([high, low]), return_inverse=True)
+    a, b = at[: len(high)], at[len(high) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64, one_task: int = 0) -> DataFrame:
+    """(node, component) for each node of an edge; the component is its least node. ``one_task`` is the number of edges (16 bytes each)
+    up to which they are looked at in one task rather than in rounds of joins; the result is the same.
 
     Rounds grow with the logarithm of the longest chain. Minima are map-side combined, so a
     node with many neighbours is no hot key, and neither is it in the join back, where hubs are broadcast (1,000 at most).
@@ -51,6 +76,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         seen = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             break
+        if seen[0] <= one_task:
+            return at.coalesce(1).mapInArrow(_finished, "node long, component long")
         before = seen
         at = cut(_small_star(_large_star(at, seen[0]), seen[0]))
     else:

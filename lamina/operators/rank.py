@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.scalars import base62_tag
-from lamina.operators.joins import lookup_join
+from lamina.operators.joins import lookup_join, null_safe_join
 from lamina.session import cut
 
 # Domains of the digests.
@@ -61,7 +61,7 @@ def distributed_rank(df: DataFrame, *order: Column | str, name: str) -> DataFram
 
 
 def place_in(df: DataFrame, keys: list[str], *order: Column | str, name: str) -> DataFrame:
-    """``df`` with its row number from 1 within ``keys`` (not null) in the order of ``order``, as ``row_number`` has it, however few keys there are."""
+    """``df`` with its row number from 1 within ``keys`` (null is a key, too) in the order of ``order``, as ``row_number`` has it, however few keys there are."""
     ranked = distributed_rank(df, *keys, *order, name="rank_in_all")
     firsts = cut(ranked.groupBy(*keys).agg(F.min("rank_in_all").alias("first_in_all"), F.count(F.lit(1)).alias("rows_in_all")))
     joined = lookup_join(ranked, firsts, keys, "rows_in_all", firsts.agg(F.sum("rows_in_all")).first()[0] or 0)
@@ -84,7 +84,7 @@ def background_cap(rows: DataFrame, subset: str, percent: tuple[int, int] = (1,
 
 def _within(ranked: DataFrame, limit: DataFrame, subset: str) -> DataFrame:
     """Rows whose place is within the cap of their subset."""
-    sized = cut(ranked.groupBy(subset).agg(F.count(F.lit(1)).alias("rows_in_all")).join(limit, subset))
+    sized = cut(null_safe_join(ranked.groupBy(subset).agg(F.count(F.lit(1)).alias("rows_in_all")), limit, [subset]))
     total = sized.agg(F.sum("rows_in_all")).first()[0] or 0
     return lookup_join(ranked, sized, subset, "rows_in_all", total).where(F.col("cap").isNull() | (F.col("place") <= F.col("cap"))).drop("cap", "rows_in_all")
 
@@ -99,6 +99,19 @@ def breadth_first_cap(rows: DataFrame, source: str, subset: str, percent: tuple[
     return rows.where("fg").unionByName(kept)
 
 
+def final_cap(rows: DataFrame, source: str, subset: str, percent: tuple[int, int] = (1, 4)) -> DataFrame:
+    """All foreground of originals (``version`` 0) and copies, and of each subset the background that its limit allows: originals first, least digest first, then
+    copies, breadth first by source. The limit follows from all foreground, copies included."""
+    limit = rows.groupBy(subset).agg(background_limit(F.count_if("fg"), percent).alias("cap"))
+    key = digest(BACKGROUND_DOMAIN, F.concat_ws("#", "identity", F.col("version").cast("string")))
+    behind = rows.where(~F.col("fg")).withColumn("key", key).withColumn("copy", F.col("version") > 0)
+    turned = place_in(behind, [subset, "copy", source], "key", "ord", name="turn")
+    # originals are one queue; a copy waits for the earlier copies of all sources
+    placed = place_in(turned.withColumn("turn", F.when(F.col("copy"), F.col("turn")).otherwise(0)), [subset], "copy", "turn", "key", "ord", name="place")
+    kept = _within(placed, limit, subset).drop("key", "copy", "turn", "place")
+    return rows.where("fg").unionByName(kept)
+
+
 def train_split(rows: DataFrame, unit: Column, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """``rows`` with column ``part``: the first floor(share * n + 1/2) units by digest are train, the rest val.
 
@@ -114,22 +127,27 @@ def train_split(rows: DataFrame, unit: Column, share: tuple[int, int] = (4, 5))
     return with_unit.withColumn("part", F.when(digest(SPLIT_DOMAIN, F.col("unit")) <= last, "train").otherwise("val"))
 
 
-def version_counts(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """``rows`` with ``copies``: floor(ratio * n + 1/2) versions in all; the remainder goes to the first by (fg, digest, identity)."""
+def version_counts(rows: DataFrame, ratio: tuple[int, int], eligible: Column | None = None, copy_fg: Column | None = None) -> DataFrame:
+    """``rows`` with ``copies``: floor(ratio * n + 1/2) versions in all of the n ``eligible`` rows (all if not given; of a split only the training part is).
+
+    Each eligible row has the whole share; the remainder goes to the first of them by (foreground, digest, identity), where ``copy_fg`` tells whether the copy
+    that it would be is foreground (that of the row if not given).
+    """
     p, q = ratio
-    n = rows.count()
+    counted = rows.withColumn("may_copy", F.coalesce(F.lit(True) if eligible is None else eligible, F.lit(False)))
+    n = counted.where("may_copy").count()
     total = (2 * p * n + q) // (2 * q)
     whole, rest = divmod(max(total - n, 0), n) if n else (0, 0)
-    first = rows.select((~F.col("fg")).alias("bg"), digest("version-v1", F.col("identity")).alias("key"), "identity")
-    bound = distributed_rank(first, "bg", "key", "identity", name="place").where(F.col("place") == rest - 1).first() if rest else None
-    key = F.struct((~F.col("fg")).alias("bg"), digest("version-v1", F.col("identity")).alias("key"), F.col("identity"))
+    key = F.struct((~(F.col("fg") if copy_fg is None else copy_fg)).alias("bg"), digest("version-v1", F.col("identity")).alias("key"), F.col("identity"))
+    ordered = counted.where("may_copy").select(key.alias("k")).select("k.*")
+    bound = distributed_rank(ordered, "bg", "key", "identity", name="place").where(F.col("place") == rest - 1).first() if rest else None
     extra = (key <= F.struct(F.lit(bound.bg), F.lit(bound.key), F.lit(bound.identity))).cast("int") if bound else F.lit(0)
-    return rows.withColumn("copies", (whole + extra).cast("int"))
+    return counted.withColumn("copies", F.when(F.col("may_copy"), whole + extra).otherwise(0).cast("int")).drop("may_copy")
 
 
-def versions(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def versions(rows: DataFrame, ratio: tuple[int, int], eligible: Column | None = None, copy_fg: Column | None = None) -> DataFrame:
     """A row for each augmented version."""
-    return version_counts(rows, ratio).where("copies > 0").withColumn("version", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return version_counts(rows, ratio, eligible, copy_fg).where("copies > 0").withColumn("version", F.explode(F.sequence(F.lit(1), F.col("copies"))))
 
 
 def exemplars(rows: DataFrame, key: str, tier: Column, order: list[str]) -> DataFrame:

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.functions import planes
+from lamina.operators import maskset
 from lamina.operators.graph import connected_components
+from lamina.operators.rank import distributed_rank
 from lamina.session import cut
 
 VOXEL = ("t", "y", "x")
 # Voxels as one number: 2 ** 21 places an axis.
 _SHIFT = 21
+# Graphs of so many contacts (16 bytes each) are finished in one task.
+ONE_TASK = 200_000
+# Forward rows (dt, dy, reach in x) that a run touches, by connectivity.
+_RUN_STEPS = {4: [(0, 1, 0)], 8: [(0, 1, 1)], 6: [(0, 1, 0), (1, 0, 0)], 18: [(0, 1, 1), (1, 0, 1), (1, 1, 0), (1, -1, 0)], 26: [(0, 1, 1), (1, 0, 1), (1, 1, 1), (1, -1, 1)]}
 
 
 def voxel_id():
@@ -34,38 +43,49 @@ def adjacent_pairs(mask: DataFrame, connectivity: int) -> DataFrame:
     return offered.join(mask.select(*VOXEL), list(VOXEL)).select("a", voxel_id().alias("b"))
 
 
-def adjacent_runs(runs: DataFrame, reach: int = 0) -> DataFrame:
-    """Pairs of runs (run ids a, b) of one plane and adjacent rows, or adjacent planes and one row, that overlap in x.
+def _run_steps(connectivity: int, both: bool = False) -> Column:
+    """Rows that a run looks at, as structs (dt, dy, reach); ``reach`` 1 counts diagonal contact in x. 4 and 8 stay in the plane."""
+    steps = _RUN_STEPS[connectivity]
+    if both:
+        steps = [*steps, *[(-t, -y, r) for t, y, r in steps]]
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("dt", "dy", "reach"), strict=True)]) for s in steps])
 
-    With ``reach`` 1 diagonal contact counts in x. Runs are bucketed in x, so rows of many runs make no nested loop.
-    """
+
+def adjacent_runs(runs: DataFrame, connectivity: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of touching runs (run ids a, b) of neighbouring rows, of equal ``keys``. Runs are bucketed in x, so rows of many runs make no nested loop."""
     width = 64
     spread = lambda df, lo, hi: df.withColumn("bucket", F.explode(F.sequence(F.expr(f"({lo}) div {width}"), F.expr(f"({hi}) div {width}"))))
-    a = runs.select(F.col("run").alias("a"), "t", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = spread(runs.select(F.col("run").alias("b"), "t", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1")), f"greatest(b0 - {reach}, 0)", f"b1 - 1 + {reach}")
-    steps = F.array(*[F.struct(F.lit(t).alias("dt"), F.lit(y).alias("dy")) for t, y in ((0, 1), (1, 0))])
-    offered = spread(a, "a0", "a1 - 1").withColumn("s", F.explode(steps))
-    offered = offered.withColumn("t", F.col("t") + F.col("s.dt")).withColumn("y", F.col("y") + F.col("s.dy")).drop("s")
-    touching = (F.col("a0") < F.col("b1") + reach) & (F.col("b0") < F.col("a1") + reach)
-    return offered.join(b, ["t", "y", "bucket"]).where(touching).select("a", "b").distinct()
+    a = runs.select(*keys, F.col("run").alias("a"), "t", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    b = spread(runs.select(*keys, F.col("run").alias("b"), "t", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1")), "greatest(b0 - 1, 0)", "b1")
+    offered = spread(a, "a0", "a1 - 1").withColumn("s", F.explode(_run_steps(connectivity)))
+    offered = offered.withColumn("t", F.col("t") + F.col("s.dt")).withColumn("y", F.col("y") + F.col("s.dy")).withColumn("reach", F.col("s.reach")).drop("s")
+    touching = (F.col("a0") < F.col("b1") + F.col("reach")) & (F.col("b0") < F.col("a1") + F.col("reach"))
+    return offered.join(b, [*keys, "t", "y", "bucket"]).where(touching).select("a", "b").distinct()
 
 
 def label(mask: DataFrame, connectivity: int = 6) -> DataFrame:
-    """``mask`` with ``label``, the least voxel number of its component."""
-    base = mask.select(*VOXEL).distinct()
-    found = connected_components(adjacent_pairs(base, connectivity))
-    return base.withColumn("node", voxel_id()).join(found, "node", "left").select(*VOXEL, F.coalesce("component", "node").alias("label"))
+    """``mask`` with ``label``, the least voxel number of its component, found on runs."""
+    runs = label_runs(maskset.runs(mask.select(*VOXEL).distinct()), connectivity)
+    return maskset.voxels(runs.select("t", "y", "x0", "x1", "label")).select(*VOXEL, "label")
 
 
-def label_runs(runs: DataFrame) -> DataFrame:
-    """``runs`` (t, y, x0, x1) with the 6-connected ``label``, found on runs: the graph has a node a run, not a voxel."""
-    numbered = runs.withColumn("run", F.shiftleft(F.col("t").cast("long"), 2 * _SHIFT) + F.shiftleft(F.col("y").cast("long"), _SHIFT) + F.col("x0"))
-    found = connected_components(adjacent_runs(numbered))
-    return numbered.join(found.withColumnRenamed("node", "run"), "run", "left").withColumn("label", F.coalesce("component", "run")).drop("component", "run")
+def label_runs(runs: DataFrame, connectivity: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``runs`` (t, y, x0, x1) with ``run`` and the connected ``label``: the graph has a node a run, not a voxel.
+
+    A run's number is that of its first voxel; with ``keys``, of which only equal ones connect, its number in the order of keys and voxels.
+    """
+    if keys:
+        numbered = distributed_rank(runs, *keys, "t", "y", "x0", name="run")
+    else:
+        numbered = runs.withColumn("run", F.shiftleft(F.col("t").cast("long"), 2 * _SHIFT) + F.shiftleft(F.col("y").cast("long"), _SHIFT) + F.col("x0"))
+    found = connected_components(adjacent_runs(numbered, connectivity, keys), one_task=ONE_TASK)
+    return numbered.join(found.withColumnRenamed("node", "run"), "run", "left").withColumn("label", F.coalesce("component", "run")).drop("component")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    """(label, size) of voxels, or of runs if they have the column ``voxels``."""
+    size = F.sum("voxels") if "voxels" in labelled.columns else F.count(F.lit(1))
+    return labelled.groupBy("label").agg(size.alias("size"))
 
 
 def statistics(labelled: DataFrame) -> DataFrame:
@@ -90,28 +110,73 @@ def gate_by_support(labelled: DataFrame, support: DataFrame) -> DataFrame:
     return labelled.join(touched, "label", "left_semi").select(*VOXEL)
 
 
-def fill_voids(mask: DataFrame, shape: tuple[int, int, int], connectivity: int = 6) -> DataFrame:
-    """``mask`` and the components of its complement that do not touch the border of ``shape``."""
-    spark = mask.sparkSession
-    grid = spark.range(shape[0] * shape[1] * shape[2]).select(
-        F.expr(f"cast(id div {shape[1] * shape[2]} as int)").alias("t"),
-        F.expr(f"cast(id div {shape[2]} % {shape[1]} as int)").alias("y"),
-        F.expr(f"cast(id % {shape[2]} as int)").alias("x"),
+def enclosed_gaps(runs: DataFrame, connectivity: int = 6) -> DataFrame:
+    """(t, y, x0, x1): the parts of the complement of ``runs`` that no path of empty voxels joins with the outside.
+
+    Nodes are the gaps between two runs of a row, so the graph follows the runs and not the volume. What lies before the first or behind the last run of a
+    row, and rows without a run, is outside; so is a gap beside these.
+    """
+    row = Window.partitionBy("t", "y").orderBy("x0")
+    gaps = runs.select("t", "y", F.col("x1").alias("x0"), F.lead("x0").over(row).alias("x1")).where("x1 > x0")
+    labelled = cut(label_runs(gaps, connectivity))
+    extents = runs.groupBy(F.col("t").alias("near_t"), F.col("y").alias("near_y")).agg(F.min("x0").alias("first"), F.max("x1").alias("last"))
+    sides = labelled.withColumn("s", F.explode(_run_steps(connectivity, both=True)))
+    beside = (F.col("near_t") == F.col("t") + F.col("s.dt")) & (F.col("near_y") == F.col("y") + F.col("s.dy"))
+    is_open = F.col("first").isNull() | (F.col("x0") - F.col("s.reach") < F.col("first")) | (F.col("x1") + F.col("s.reach") > F.col("last"))
+    outside = sides.join(extents, beside, "left").where(is_open).select("label").distinct()
+    return labelled.join(outside, "label", "left_anti").select("t", "y", "x0", "x1")
+
+
+def fill_voids(mask: DataFrame, connectivity: int = 6) -> DataFrame:
+    """``mask`` and the components of its complement that do not reach the outside."""
+    runs = cut(maskset.runs(mask.select(*VOXEL).distinct()))
+    return maskset.voxels(runs.select("t", "y", "x0", "x1").unionByName(enclosed_gaps(runs, connectivity))).select(*VOXEL)
+
+
+def fill_holes(mask: DataFrame) -> DataFrame:
+    """``mask`` and, of each plane, the background that is not 4-connected with the outside."""
+    return fill_voids(mask, 4)
+
+
+def slice_components(mask: DataFrame, connectivity: int = 4) -> DataFrame:
+    """``mask`` with ``part``, its component within its plane (the least voxel number)."""
+    return label(mask, connectivity).withColumnRenamed("label", "part")
+
+
+def clean_planes(mask: DataFrame, scores: DataFrame, shape: tuple[int, int], min_score: int = 0, min_radius: float = 0.0) -> DataFrame:
+    """``mask`` after the cleanup of its planes, in this order: of each plane's 8-connected components go those whose greatest score is below ``min_score``, then
+    those whose greatest distance to background is below ``min_radius``; holes are filled last, so that they lend a component no radius.
+
+    Components are labelled once; their greatest scores and their boxes come from one aggregation. Only components whose box could hold the
+    radius are drawn, each on its own box. Voxels without a score count as 0.
+    """
+    parts = cut(slice_components(mask, 8))
+    best = scores.groupBy(*VOXEL).agg(F.max("score").alias("score"))
+    sized = parts.join(best, list(VOXEL), "left").groupBy("part").agg(
+        F.coalesce(F.max("score"), F.lit(0)).alias("best"), (F.max("y") - F.min("y") + 2).alias("high"), (F.max("x") - F.min("x") + 2).alias("wide")
     )
-    empty = cut(label(grid.join(mask, list(VOXEL), "left_anti"), connectivity))
-    at_border = F.lit(False)
-    for c, size in zip(VOXEL, shape, strict=True):
-        at_border = at_border | (F.col(c) == 0) | (F.col(c) == size - 1)
-    outside = empty.where(at_border).select("label").distinct()
-    return mask.select(*VOXEL).union(empty.join(outside, "label", "left_anti").select(*VOXEL)).distinct()
-
-
-def slice_components(mask: DataFrame) -> DataFrame:
-    """``mask`` with ``part``, its 4-connected component within its plane (the least voxel number)."""
-    base = mask.select(*VOXEL).distinct()
-    pairs = adjacent_pairs(base, 6).where(F.shiftright("a", 2 * _SHIFT) == F.shiftright("b", 2 * _SHIFT))
-    found = connected_components(pairs)
-    return base.withColumn("node", voxel_id()).join(found, "node", "left").select(*VOXEL, F.coalesce("component", "node").alias("part"))
+    # a side at the plane's border has no background behind it, so a box may count twice there
+    could = 2 * F.greatest("high", "wide") >= min_radius if min_radius > 0 else F.lit(True)
+    kept = parts.join(sized.where((F.col("best") >= min_score) & could).select("part"), "part", "left_semi")
+    if min_radius > 0:
+        thick = part_radii(kept, shape).where(F.col("radius") >= min_radius).select("part")
+        kept = kept.join(thick, "part", "left_semi")
+    return fill_holes(kept.select(*VOXEL))
+
+
+def part_radii(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(part, radius): the greatest distance to background of each plane component, on its box and a rim of one inside the plane."""
+    h, w = shape
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = max(pdf.y.min() - 1, 0), max(pdf.x.min() - 1, 0)
+        plane = np.zeros((min(pdf.y.max() + 2, h) - y0, min(pdf.x.max() + 2, w) - x0), bool)
+        plane[pdf.y - y0, pdf.x - x0] = True
+        # a component that is the whole plane has no background
+        radius = float(h + w) if plane.all() else planes.distance_to_background(plane).max()
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "radius": [radius]})
+
+    return parts.select("part", "y", "x").groupBy("part").applyInPandas(measure, "part long, radius double")
 
 
 def endpoints(parts: DataFrame) -> DataFrame:

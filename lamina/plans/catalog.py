@@ -151,12 +151,14 @@ def _label_sql(source: str, name: str, connectivity: int, key: str = "") -> str:
     """CTEs that label voxels of ``source``: reachability by recursion, the least voxel number being the label."""
     near = f"abs(a.t - b.t) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND abs(a.t - b.t) + abs(a.y - b.y) + abs(a.x - b.x) <= {_STEPS[connectivity]}"
     keyed = f"{key}, " if key else ""
-    same = f" AND a.{key} = b.{key}" if key else ""
-    return f"""{name}_n AS (SELECT {keyed}t, y, x, (t::BIGINT << 42) + (y::BIGINT << 21) + x AS id FROM {source}),
-{name}_e AS (SELECT a.id AS a, b.id AS b FROM {name}_n a JOIN {name}_n b ON {near}{same} WHERE a.id <> b.id),
-{name}_r AS (SELECT id AS a, id AS b FROM {name}_n UNION SELECT r.a, e.b FROM {name}_r r JOIN {name}_e e ON r.b = e.a),
-{name}_l AS (SELECT a AS id, min(b) AS label FROM {name}_r GROUP BY a),
-{name} AS (SELECT {keyed}t, y, x, label FROM {name}_n JOIN {name}_l USING (id))"""
+    of = lambda alias: f"{alias}.{key}, " if key else ""
+    same = lambda a, b: f" AND {a}.{key} = {b}.{key}" if key else ""
+    columns = ("" if key in ("t", "y", "x") else keyed) + "t, y, x"
+    return f"""{name}_n AS (SELECT {columns}, (t::BIGINT << 42) + (y::BIGINT << 21) + x AS id FROM {source}),
+{name}_e AS (SELECT {of("a")}a.id AS a, b.id AS b FROM {name}_n a JOIN {name}_n b ON {near}{same("a", "b")} WHERE a.id <> b.id),
+{name}_r AS (SELECT {keyed}id AS a, id AS b FROM {name}_n UNION SELECT {of("r")}r.a, e.b FROM {name}_r r JOIN {name}_e e ON r.b = e.a{same("r", "e")}),
+{name}_l AS (SELECT {keyed}a AS id, min(b) AS label FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {columns}, label FROM {name}_n JOIN {name}_l USING ({keyed}id))"""
 
 
 _ISLAND_SQL = (
@@ -398,7 +400,8 @@ SELECT count(*) AS components, coalesce(max(size), 0) AS largest, coalesce(sum(s
 
 
 def _stats(spark, sf_dir, connectivity: int) -> DataFrame:
-    return topology.statistics(topology.label(adapters.mask(spark, sf_dir), connectivity)).withColumn("largest_fraction", F.round("largest_fraction", 9))
+    runs = topology.label_runs(maskset.runs(adapters.mask(spark, sf_dir)), connectivity)
+    return topology.statistics(runs.withColumn("voxels", F.col("x1") - F.col("x0"))).withColumn("largest_fraction", F.round("largest_fraction", 9))
 
 
 @query(_stats_sql(6))
@@ -456,14 +459,14 @@ SELECT t, y, x FROM solid UNION SELECT t, y, x FROM lab WHERE label NOT IN (SELE
 def void_fill_3d(spark, sf_dir):
     k = adapters.mask_side(spark, sf_dir)
     solid = resample.grid(spark, (8, k, k)).join(adapters.mask(spark, sf_dir), ["t", "y", "x"], "left_anti")
-    return topology.fill_voids(solid, (8, k, k))
+    return topology.fill_voids(solid)
 
 
 @query(
     sql(
         "mask",
         ", "
-        + _label_sql("mask", "lab", 6, key="t").replace("lab_n AS (SELECT t, t, y, x", "lab_n AS (SELECT t, y, x").replace("lab AS (SELECT t, t, y, x", "lab AS (SELECT t, y, x")
+        + _label_sql("mask", "lab", 6, key="t")
         + """, sides AS (SELECT label, t, y, x, side FROM lab, (VALUES (-1), (1)) s(side)),
 met AS (SELECT DISTINCT s.label, s.side FROM sides s JOIN mask m ON m.t = s.t + s.side AND m.y = s.y AND m.x = s.x)
 SELECT DISTINCT label AS part, side, t FROM sides WHERE (label, side) NOT IN (SELECT (label, side) FROM met)""",

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import planes, scalars
-from lamina.operators import maskset, rank, resample, sections, temporal, tiles, trace, tracks, vote
+from lamina.operators import maskset, rank, resample, sections, temporal, tiles, topology, trace, tracks, vote
 from lamina.operators.joins import bucketed_range_join
-from lamina.plans.catalog import query
+from lamina.plans.catalog import _label_sql, query
 from lamina.session import cut, table
 from lamina.sources import adapters
 from lamina.sources.adapters import sql
@@ -101,6 +101,47 @@ def subset_rollup(spark, sf_dir):
     return rolled.agg(F.grouping_id().cast("int").alias("level"), F.count_if("fg").alias("foreground"), F.count_if(~F.col("fg")).alias("background"))
 
 
+_SPLIT_VERSIONS = f""", u AS (SELECT DISTINCT (volume || '|' || view) AS unit FROM candidates),
+o AS (SELECT unit, row_number() OVER (ORDER BY {_digest_sql(rank.SPLIT_DOMAIN, 'unit')}) AS place, count(*) OVER () AS n FROM u),
+split AS (SELECT c.*, CASE WHEN place <= floor(4 * n / 5.0 + 0.5) THEN 'train' ELSE 'val' END AS part FROM candidates c JOIN o ON unit = volume || '|' || view),
+n AS (SELECT count(*) AS n, floor(2.6 * count(*) + 0.5)::BIGINT - count(*) AS more FROM split WHERE part = 'train'),
+e AS (SELECT *, row_number() OVER (ORDER BY NOT (fg AND (ord + more // n + 1) % 5 <> 0), {_digest_sql('version-v1', 'identity')}, identity) AS place FROM split, n WHERE part = 'train'),
+copies AS (SELECT volume, view, frame, fg, identity, ord, part, unnest(range(1, more // n + CASE WHEN place <= more % n THEN 1 ELSE 0 END + 1))::INT AS version FROM e)
+"""
+
+
+def _split_versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their part of the split, and the versions of the training part; every fifth copy of a foreground row has lost its foreground."""
+    split = cut(rank.train_split(adapters.candidates(spark, sf_dir), F.concat_ws("|", "volume", "view")).drop("unit", "labelled"))
+    n = split.where("part = 'train'").count()
+    whole = ((2 * 13 * n + 5) // 10 - n) // n if n else 0
+    still = F.col("fg") & ((F.col("ord") + whole + 1) % 5 != 0)
+    return split, rank.versions(split, (13, 5), F.col("part") == "train", still).drop("copies")
+
+
+@query(sql("candidates", _SPLIT_VERSIONS + "SELECT volume, view, frame, version FROM copies"))
+def version_expansion_by_split(spark, sf_dir):
+    return _split_versions(spark, sf_dir)[1].select("volume", "view", "frame", "version")
+
+
+@query(
+    sql(
+        "candidates",
+        _SPLIT_VERSIONS
+        + f""", every AS (SELECT volume, view, frame, identity, ord, part, 0 AS version, fg FROM split UNION ALL SELECT volume, view, frame, identity, ord, part, version, fg AND (ord + version) % 5 <> 0 FROM copies),
+b AS (SELECT *, {_digest_sql(rank.BACKGROUND_DOMAIN, "(identity || '#' || version)")} AS key, version > 0 AS copy FROM every WHERE NOT fg),
+turns AS (SELECT *, CASE WHEN copy THEN row_number() OVER (PARTITION BY part, copy, identity ORDER BY key, ord) ELSE 0 END AS turn FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY copy, turn, key, ord) AS place FROM turns),
+cap AS (SELECT part, count_if(fg) // 3 AS cap FROM every GROUP BY part)
+SELECT volume, view, frame, version, part, fg FROM every WHERE fg UNION ALL SELECT volume, view, frame, version, part, fg FROM r JOIN cap USING (part) WHERE place <= cap""",
+    )
+)
+def background_cap_final(spark, sf_dir):
+    split, copies = _split_versions(spark, sf_dir)
+    every = split.withColumn("version", F.lit(0)).unionByName(copies.withColumn("fg", F.col("fg") & ((F.col("ord") + F.col("version")) % 5 != 0)))
+    return rank.final_cap(every, "identity", "part").select("volume", "view", "frame", "version", "part", "fg")
+
+
 _EXEMPLARS = """, e AS (SELECT sha256(text) AS exemplar, doc_id, lang, source FROM documents),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exemplar ORDER BY source, doc_id) AS turn FROM e) WHERE turn = 1)
 """
@@ -726,24 +767,81 @@ def _plane_query(spark, sf_dir, kernel) -> DataFrame:
     return planes.per_plane(maskset.union(adapters.evidence(spark, sf_dir)), kernel, (k, k))
 
 
-@query()
+_GRID_16 = ", u AS (SELECT DISTINCT t, y, x FROM evidence), g AS (SELECT t, y, x, k FROM (SELECT unnest(range(16))::INT AS t), (SELECT unnest(range(k))::INT AS y, k FROM kk), (SELECT unnest(range(k))::INT AS x FROM kk)), hole AS (SELECT g.t, g.y, g.x, k FROM g ANTI JOIN u USING (t, y, x))"
+
+
+@query(
+    sql(
+        "evidence kk",
+        _GRID_16 + ", " + _label_sql("hole", "lab", 6, key="t") + """, open AS (SELECT DISTINCT t, label FROM lab, kk WHERE y IN (0, k - 1) OR x IN (0, k - 1))
+SELECT t, y, x FROM u UNION ALL SELECT t, y, x FROM lab ANTI JOIN open USING (t, label)""",
+        recursive=True,
+    )
+)
 def hole_fill_2d(spark, sf_dir):
-    return _plane_query(spark, sf_dir, planes.fill_holes)
+    return topology.fill_holes(maskset.union(adapters.evidence(spark, sf_dir)))
 
 
-@query()
+def _strong(spark, sf_dir, least: int = 170) -> DataFrame:
+    """Voxels of strong scores: enough for parts of many sizes in a plane."""
+    return maskset.union(adapters.evidence(spark, sf_dir).where(F.col("score") >= least))
+
+
+_STRONG = """, st AS (SELECT DISTINCT t, y, x FROM evidence WHERE score >= 170),
+g AS (SELECT t, y, x FROM (SELECT unnest(range(16))::INT AS t), (SELECT unnest(range(k))::INT AS y FROM kk), (SELECT unnest(range(k))::INT AS x FROM kk)), bare AS (SELECT * FROM g ANTI JOIN st USING (t, y, x)),
+deep AS (SELECT a.t, a.y, a.x, coalesce(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 1e9) AS far FROM st a LEFT JOIN bare b ON a.t = b.t GROUP BY ALL)"""
+
+
+@query(
+    sql(
+        "evidence kk",
+        _STRONG + ", " + _label_sql("st", "lab", 26, key="t") + """, radii AS (SELECT t, label, max(far) AS radius FROM lab JOIN deep USING (t, y, x) GROUP BY t, label)
+SELECT t, y, x FROM lab JOIN radii USING (t, label) WHERE radius >= 2""",
+        recursive=True,
+    )
+)
 def min_radius_filter(spark, sf_dir):
-    return _plane_query(spark, sf_dir, lambda p: planes.keep_thick_parts(p, 2.0))
+    k = adapters.grid_side(spark, sf_dir)
+    parts = cut(topology.slice_components(_strong(spark, sf_dir), 8))
+    thick = topology.part_radii(parts, (k, k)).where("radius >= 2").select("part")
+    return parts.join(thick, "part", "left_semi").select("t", "y", "x")
 
 
-@query()
-def gaussian_smooth(spark, sf_dir):
-    return _plane_query(spark, sf_dir, lambda p: planes.smooth(p, 1.0))
+@query(
+    sql(
+        "evidence kk",
+        _STRONG
+        + ", "
+        + _label_sql("st", "lab", 26, key="t")
+        + """, best AS (SELECT t, y, x, max(score) AS score FROM evidence WHERE layer_id IN ('L1', 'L2') GROUP BY ALL),
+rated AS (SELECT t, label, max(far) AS radius, coalesce(max(score), 0) AS score FROM lab JOIN deep USING (t, y, x) LEFT JOIN best USING (t, y, x) GROUP BY t, label),
+kept AS (SELECT t, y, x FROM lab JOIN rated USING (t, label) WHERE score >= 210 AND radius >= 1.4), """
+        + "hole AS (SELECT * FROM g ANTI JOIN kept USING (t, y, x)), "
+        + _label_sql("hole", "empty", 6, key="t")
+        + """, open AS (SELECT DISTINCT t, label FROM empty, kk WHERE y IN (0, k - 1) OR x IN (0, k - 1))
+SELECT t, y, x FROM kept UNION ALL SELECT t, y, x FROM empty ANTI JOIN open USING (t, label)""",
+        recursive=True,
+    )
+)
+def plane_cleanup(spark, sf_dir):
+    """Parts of a plane by their greatest score in two layers, then by their greatest radius; holes last."""
+    k = adapters.grid_side(spark, sf_dir)
+    scores = adapters.evidence(spark, sf_dir).where("layer_id IN ('L1', 'L2')")
+    return topology.clean_planes(_strong(spark, sf_dir), scores, (k, k), 210, 1.4)
 
 
-@query()
+@query(
+    sql(
+        "evidence kk",
+        _STRONG
+        + """, d AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) s(dy, dx)),
+less AS (SELECT s.t, s.y, s.x FROM st s, d JOIN st n ON n.t = s.t AND n.y = s.y + dy AND n.x = s.x + dx GROUP BY ALL HAVING count(*) = 5)
+SELECT DISTINCT t, y + dy AS y, x + dx AS x FROM less, d""",
+    )
+)
 def binary_opening(spark, sf_dir):
-    return _plane_query(spark, sf_dir, planes.opened)
+    k = adapters.grid_side(spark, sf_dir)
+    return planes.per_plane(_strong(spark, sf_dir), planes.opened, (k, k))
 
 
 @query()

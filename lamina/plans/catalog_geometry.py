@@ -249,8 +249,8 @@ def spherical_plan(spark, sf_dir):
 
 # ---- resampling ----
 
-_RAW = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
-_TAPS = ", ".join(f"({k}, {w / sum(_RAW)!r}::DOUBLE)" for k, w in zip(range(-2, 3), _RAW, strict=True))
+_RAW = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+_TAPS = ", ".join(f"({k}, {w / sum(_RAW)!r}::DOUBLE)" for k, w in zip(range(-4, 5), _RAW, strict=True))
 
 
 @query(
@@ -261,7 +261,18 @@ SELECT s.t + a.d AS t, s.y + b.d AS y, s.x + c.d AS x FROM s, w a, w b, w c GROU
     )
 )
 def gaussian_smooth_3d(spark, sf_dir):
-    return geometry.gaussian_3d(maskset.union(adapters.evidence(spark, sf_dir)))
+    return geometry.gaussian(maskset.union(adapters.evidence(spark, sf_dir)))
+
+
+@query(
+    sql(
+        "evidence",
+        f""", w AS (SELECT * FROM (VALUES {_TAPS}) v(d, w)), s AS (SELECT DISTINCT t, y, x FROM evidence)
+SELECT s.t, s.y + b.d AS y, s.x + c.d AS x FROM s, w b, w c GROUP BY ALL HAVING round(sum(b.w * c.w), 9) >= 0.5""",
+    )
+)
+def gaussian_smooth(spark, sf_dir):
+    return geometry.gaussian(maskset.union(adapters.evidence(spark, sf_dir)), axes=("y", "x"))
 
 
 @query(
@@ -372,32 +383,120 @@ def _branches(spark, sf_dir) -> DataFrame:
     return centers.select(F.col("obj").alias("branch"), F.col("frame").alias("ord"), (F.col("frame") * 3).alias("t"), F.expr("sy div n").alias("y"), F.expr("sx div n").alias("x"))
 
 
-@query(
-    sql(
-        "tracklets",
-        """, p AS (SELECT obj AS branch, frame AS ord, frame * 3 AS t, sum(y) // count(*) AS y, sum(x) // count(*) AS x FROM tracklets GROUP BY obj, frame),
+_CENTERLINE = """, p0 AS (SELECT obj AS branch, frame AS ord, frame * 3 AS t, sum(y) // count(*) AS y, sum(x) // count(*) AS x FROM tracklets GROUP BY obj, frame),
+p AS (SELECT * FROM (SELECT *, (t - lag(t) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (x - lag(x) OVER w) ** 2 AS moved FROM p0 WINDOW w AS (PARTITION BY branch ORDER BY ord)) WHERE coalesce(moved, 1) > 0),
 n AS (SELECT *, lead(t) OVER w AS nt, lead(y) OVER w AS ny, lead(x) OVER w AS nx FROM p WINDOW w AS (PARTITION BY branch ORDER BY ord)),
 d AS (SELECT *, sqrt((nt - t) ** 2 + (ny - y) ** 2 + (nx - x) ** 2) AS step FROM n),
-c AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY branch ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM d),
-s AS (SELECT *, unnest(range(ceil(round(f, 9))::INT, CASE WHEN step IS NULL THEN floor(round(f, 9))::INT + 1 ELSE ceil(round(f + step, 9))::INT END)) AS s FROM c)
-SELECT branch, s::INT AS s, round(t + coalesce((s - f) / step * (nt - t), 0), 6) AS t, round(y + coalesce((s - f) / step * (ny - y), 0), 6) AS y, round(x + coalesce((s - f) / step * (nx - x), 0), 6) AS x FROM s""",
-    )
-)
+c AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY branch ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, sum(step) OVER (PARTITION BY branch) AS length FROM d),
+g AS (SELECT branch, greatest(1, round_even(round(any_value(length), 9), 0)::INT) AS gaps, any_value(length) AS length FROM c WHERE length > 0 GROUP BY branch),
+k AS (SELECT branch, length, gaps, unnest(range(gaps + 1)) AS s FROM g),
+samples AS (SELECT k.branch, k.s, c.t + (k.s * k.length / gaps - f) / step * (nt - t) AS t, c.y + (k.s * k.length / gaps - f) / step * (ny - y) AS y, c.x + (k.s * k.length / gaps - f) / step * (nx - x) AS x
+  FROM k JOIN c ON c.branch = k.branch AND step IS NOT NULL AND k.s * k.length / gaps >= f - 1e-9 QUALIFY row_number() OVER (PARTITION BY k.branch, k.s ORDER BY f DESC) = 1)"""
+
+
+@query(sql("tracklets", _CENTERLINE + "\nSELECT branch, s::INT AS s, round(t, 6) AS t, round(y, 6) AS y, round(x, 6) AS x FROM samples"))
 def centerline_resample(spark, sf_dir):
     samples = geometry.centerline_samples(_branches(spark, sf_dir))
     return samples.select("branch", F.col("s").cast("int").alias("s"), *[F.round(c, 6).alias(c) for c in "tyx"])
 
 
-@query()
+def _cross(a: str, b: str) -> list[str]:
+    """Components of a cross product of (a_t, a_y, a_x) and (b_t, b_y, b_x)."""
+    return [f"({a}_{p} * {b}_{q} - {a}_{q} * {b}_{p})" for p, q in (("y", "x"), ("x", "t"), ("t", "y"))]
+
+
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}_{c} * {b}_{c}" for c in "tyx") + ")"
+
+
+def _vector(name: str, values: list[str]) -> str:
+    return ", ".join(f"{v} AS {name}_{c}" for c, v in zip("tyx", values, strict=True))
+
+
+_FRAMES = (
+    _CENTERLINE
+    + """, slope AS (SELECT *, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS g_t, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS g_y, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS g_x
+  FROM samples WINDOW w AS (PARTITION BY branch ORDER BY s)),
+ahead AS (SELECT branch, s, t, y, x, """
+    + ", ".join(f"g_{c} / sqrt(g_t ** 2 + g_y ** 2 + g_x ** 2) AS c_{c}" for c in "tyx")
+    + """ FROM slope),
+chosen AS (SELECT *, CASE WHEN abs(c_t) <= abs(c_y) AND abs(c_t) <= abs(c_x) THEN 't' WHEN abs(c_y) <= abs(c_x) THEN 'y' ELSE 'x' END AS axis FROM ahead WHERE s = 0),
+leant AS (SELECT *, """
+    + _vector("r", [f"(CASE WHEN axis = '{c}' THEN 1.0::DOUBLE ELSE 0.0 END - CASE axis WHEN 't' THEN c_t WHEN 'y' THEN c_y ELSE c_x END * c_{c})" for c in "tyx"])
+    + """ FROM chosen),
+frames AS (
+  SELECT branch, s, c_t, c_y, c_x, """
+    + _vector("u", [f"r_{c} / sqrt({_dot('r', 'r')})" for c in "tyx"])
+    + """ FROM leant
+  UNION ALL
+  SELECT branch, s, c_t, c_y, c_x, """
+    + _vector("u", [f"w_{c} / sqrt({_dot('w', 'w')})" for c in "tyx"])
+    + """ FROM (SELECT *, """
+    + _vector("w", [f"m_{c} - c_{c} * {_dot('m', 'c')}" for c in "tyx"])
+    + """ FROM (SELECT *, """
+    + _vector("m", [f"(CASE WHEN sine > 1e-8 THEN u_{c} * cosine + {x} * sine + k_{c} * {_dot('k', 'u')} * (1 - cosine) ELSE u_{c} END)" for c, x in zip("tyx", _cross("k", "u"), strict=True)])
+    + """ FROM (SELECT *, """
+    + _vector("k", [f"(CASE WHEN sine > 1e-8 THEN a_{c} / sine ELSE 0 END)" for c in "tyx"])
+    + """ FROM (SELECT *, sqrt("""
+    + _dot("a", "a")
+    + """) AS sine FROM (SELECT *, """
+    + _vector("a", _cross("b", "c"))
+    + f""", least(greatest({_dot("b", "c")}, -1), 1) AS cosine FROM (SELECT n.branch, n.s, n.c_t, n.c_y, n.c_x, f.c_t AS b_t, f.c_y AS b_y, f.c_x AS b_x, u_t, u_y, u_x FROM frames f JOIN ahead n ON n.branch = f.branch AND n.s = f.s + 1)))))) q)
+"""
+)
+
+
+@query(sql("tracklets", _FRAMES + ", v AS (SELECT *, " + _vector("v", _cross("c", "u")) + " FROM frames)\nSELECT branch, s::INT AS s, " + ", ".join(f"round({n}_{c}, 6) + 0.0 AS {n}_{c}" for n in "uv" for c in "tyx") + " FROM v", recursive=True))
 def centerline_frames(spark, sf_dir):
-    return geometry.transport_frames(geometry.centerline_samples(_branches(spark, sf_dir)))
+    frames = geometry.transport_frames(geometry.centerline_samples(_branches(spark, sf_dir)))
+    return frames.select("branch", "s", *[(F.round(f"{n}_{c}", 6) + 0.0).alias(f"{n}_{c}") for n in "uv" for c in "tyx"])
+
+
+def _intensities(spark, sf_dir) -> DataFrame:
+    """A sparse volume around the centerlines."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 36).cast("int").alias("t"), (F.col("l_orderkey") % 16).cast("int").alias("y"), (F.col("l_suppkey") % 16).cast("int").alias("x"), "l_quantity")
+    return rows.groupBy("t", "y", "x").agg((F.max("l_quantity") * 5).cast("int").alias("value"))
+
+
+_SECTION = (
+    _FRAMES
+    + ", v AS (SELECT *, "
+    + _vector("v", _cross("c", "u"))
+    + """ FROM frames),
+vol AS (SELECT (l_partkey % 36)::INT AS t, (l_orderkey % 16)::INT AS y, (l_suppkey % 16)::INT AS x, (max(l_quantity) * 5)::INT AS value FROM lineitem GROUP BY ALL),
+place AS (SELECT v.branch, v.s, i AS col, j AS row, """
+    + ", ".join(f"round(m.{c} + (i - 4) * u_{c} + (j - 4) * v_{c}, 9) AS p_{c}" for c in "tyx")
+    + " FROM v JOIN samples m ON m.branch = v.branch AND m.s = v.s, (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j))"
+)
+
+
+@query(sql("tracklets", _SECTION + "\nSELECT branch, s::INT AS s, row::INT AS row, col::INT AS col, value FROM place JOIN vol ON vol.t = floor(p_t + 0.5) AND vol.y = floor(p_y + 0.5) AND vol.x = floor(p_x + 0.5)", recursive=True))
+def centerline_sections_nearest(spark, sf_dir):
+    frames = geometry.transport_frames(geometry.centerline_samples(_branches(spark, sf_dir)))
+    return geometry.section_raster(frames, _intensities(spark, sf_dir), 9, categorical=True)
+
+
+@query(
+    sql(
+        "tracklets",
+        _SECTION
+        + """, met AS (SELECT branch, s, row, col, value, (1 - abs(p_t - vol.t)) * (1 - abs(p_y - vol.y)) * (1 - abs(p_x - vol.x)) AS weight FROM place, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS d), vol
+  WHERE vol.t = floor(p_t) + a AND vol.y = floor(p_y) + b AND vol.x = floor(p_x) + d)
+SELECT * FROM (SELECT branch, s::INT AS s, row::INT AS row, col::INT AS col, least(greatest(round_even(round(sum(weight * value), 6), 0), 0), 255)::INT AS value FROM met GROUP BY branch, s, row, col) WHERE value <> 0""",
+        recursive=True,
+    )
+)
+def centerline_sections(spark, sf_dir):
+    """Sections of a sparse volume perpendicular to each object's centerline, by trilinear lookup."""
+    frames = geometry.transport_frames(geometry.centerline_samples(_branches(spark, sf_dir)))
+    return geometry.section_raster(frames, _intensities(spark, sf_dir), 9)
 
 
 def _parts(spark, sf_dir) -> DataFrame:
     return cut(topology.slice_components(adapters.mask(spark, sf_dir)))
 
 
-_PARTS = ", " + _label_sql("mask", "lab", 6, key="t").replace("lab_n AS (SELECT t, t, y, x", "lab_n AS (SELECT t, y, x").replace("lab AS (SELECT t, t, y, x", "lab AS (SELECT t, y, x")
+_PARTS = ", " + _label_sql("mask", "lab", 6, key="t")
 
 
 @query(
@@ -433,12 +532,38 @@ def bridge_plan(spark, sf_dir):
     return edges
 
 
+def _ends(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Plane components with the labels of their volume components, and those of them that nothing overlaps on a side."""
+    parts = cut(_parts(spark, sf_dir).join(topology.label(adapters.mask(spark, sf_dir)), ["t", "y", "x"]))
+    return parts, parts.join(topology.endpoints(parts).select("part", "side"), "part")
+
+
+@query(
+    sql(
+        "mask",
+        _PARTS
+        + ", "
+        + _label_sql("mask", "vol", 6)
+        + """, met AS (SELECT DISTINCT p.label AS part, side FROM lab p, (VALUES (-1), (1)) s(side), mask m WHERE m.t = p.t + side AND m.y = p.y AND m.x = p.x),
+ends AS (SELECT p.label AS part, side, v.label AS own, t, y, x FROM lab p JOIN vol v USING (t, y, x), (VALUES (-1), (1)) s(side) WHERE (p.label, side) NOT IN (SELECT (part, side) FROM met)),
+mid AS (SELECT part, side, avg(y) AS my, avg(x) AS mx FROM ends GROUP BY ALL),
+anchor AS (SELECT part, side, y AS ay, x AS ax FROM ends JOIN mid USING (part, side) QUALIFY row_number() OVER (PARTITION BY part, side ORDER BY round((y - my) ** 2 + (x - mx) ** 2, 9), y, x) = 1),
+seen AS (SELECT DISTINCT e.part, e.side, v.label AS target, step, v.t, v.y, v.x, ((v.y - ay) ** 2 + (v.x - ax) ** 2)::BIGINT AS d2 FROM ends e JOIN anchor USING (part, side), (SELECT unnest([1, 2, 3]) AS step), vol v
+  WHERE v.t = e.t + e.side * step AND v.label <> e.own AND (v.y - e.y) ** 2 + (v.x - e.x) ** 2 <= (1.3 * step) ** 2),
+one AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY part, side, target ORDER BY step, d2, y, x) = 1)
+SELECT part, side, target, step, t, y, x, d2, row_number() OVER (PARTITION BY part, side ORDER BY step, d2, target) AS place FROM one QUALIFY place <= 4""",
+        recursive=True,
+    )
+)
+def endpoint_candidates(spark, sf_dir):
+    parts, ends = _ends(spark, sf_dir)
+    return geometry.endpoint_candidates(ends, parts, 3, 1.3, 4)
+
+
 @query()
 def bridge_interpolate(spark, sf_dir):
     k = adapters.mask_side(spark, sf_dir)
-    parts = _parts(spark, sf_dir)
-    ends = parts.join(topology.endpoints(parts).select("part", "side"), "part")
-    return geometry.bridge_sections(parts.select("t", "y", "x"), ends, (k, k), 3, 1.0)
+    return geometry.bridge_sections(*_ends(spark, sf_dir), (k, k), 3, 1.0)
 
 
 @query()
@@ -465,11 +590,20 @@ def edit_resolution(spark, sf_dir):
     return geometry.resolve_edits(cut(topology.label(adapters.mask(spark, sf_dir))), layer("L1"), layer("L2"))
 
 
-@query()
+@query(
+    sql(
+        "evidence",
+        ", support AS (SELECT DISTINCT (substr(layer_id, 2)::INT * 8 + t % 8) AS edge, (t // 8)::INT AS t, y, x FROM evidence WHERE score >= 128), "
+        + _label_sql("support", "lab", 26, key="edge")
+        + "\nSELECT DISTINCT edge FROM (SELECT DISTINCT edge, label, x >= 10 AS far FROM lab WHERE x < 6 OR x >= 10) GROUP BY edge, label HAVING count(*) = 2",
+        recursive=True,
+    )
+)
 def branch_selection(spark, sf_dir):
-    support = adapters.evidence(spark, sf_dir).select(F.substring("layer_id", 2, 9).cast("int").alias("edge"), "t", "y", "x")
-    """Each layer is the support of one edge, whose ends are the first and the later columns."""
-    ends = support.where("x < 3 OR x >= 9").withColumn("end", (F.col("x") >= 9).cast("int"))
+    """Layers and every eighth plane of their strong scores are the support of an edge, whose ends are the first and the later columns."""
+    strong = adapters.evidence(spark, sf_dir).where("score >= 128")
+    support = strong.select((F.substring("layer_id", 2, 9).cast("int") * 8 + F.col("t") % 8).alias("edge"), F.expr("cast(t div 8 as int)").alias("t"), "y", "x")
+    ends = support.where("x < 6 OR x >= 10").withColumn("end", (F.col("x") >= 10).cast("int"))
     return geometry.connected_edges(support, ends)
 
 
