@@ -284,17 +284,195 @@ def test_tags_are_unique_and_do_not_depend_on_order(spark):
     assert rank.unique_tags(ids.limit(0), "doc_id", 2).count() == 0
 
 
-def test_bridges_join_two_blocks(spark):
-    from lamina.operators import geometry
+def labelled_parts(spark, volume):
+    mask = voxel_table(spark, volume)
+    parts = topology.slice_components(mask).join(topology.label(mask), ["t", "y", "x"]).cache()
+    return parts, parts.join(topology.endpoints(parts).select("part", "side"), "part")
 
+
+def test_bridges_join_two_blocks(spark):
     volume = np.zeros((5, 10, 10), bool)
     volume[0, 2:6, 2:6] = volume[4, 2:6, 3:7] = True
-    parts = topology.slice_components(voxel_table(spark, volume))
-    ends = parts.join(topology.endpoints(parts).select("part", "side"), "part")
-    painted = {(r.t, r.y, r.x) for r in geometry.bridge_sections(parts.select("t", "y", "x"), ends, (10, 10), 4, 1.0).collect()}
+    parts, ends = labelled_parts(spark, volume)
+    painted = {(r.t, r.y, r.x) for r in geometry.bridge_sections(parts, ends, (10, 10), 4, 1.0).collect()}
     assert {t for t, _, _ in painted} == {1, 2, 3} and all((t, y, x) in painted for t in (1, 2, 3) for y in range(2, 6) for x in range(3, 6))
-    far = geometry.bridge_sections(parts.select("t", "y", "x"), ends, (10, 10), 3, 1.0)
-    assert far.count() == 0
+    # the boxes of the kernel give what whole planes give
+    a, b = (planes.signed_distance(volume[t]) for t in (0, 4))
+    want = {(t, int(y), int(x)) for t in (1, 2, 3) for y, x in np.argwhere(planes.center_part((a * (4 - t) + b * t) / 4 >= 0))}
+    assert painted == want
+    assert geometry.bridge_sections(parts, ends, (10, 10), 3, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("wrap", [None, (7, 30)])
+def test_endpoint_candidates_match_a_search_of_all_pixels(spark, wrap):
+    rng = np.random.default_rng(8)
+    volume = np.zeros((7, 26, 30), bool)
+    for _ in range(16):
+        t, y, x = rng.integers(0, (7, 22, 26))
+        volume[t, y : y + rng.integers(1, 6), x : x + rng.integers(1, 6)] = True
+    parts, ends = labelled_parts(spark, volume)
+    slope, steps, most = 2.5, 3, 2
+    found = {(r.part, r.side, r.target, r.step, r.t, r.y, r.x, r.d2, r.place) for r in geometry.endpoint_candidates(ends, parts, steps, slope, most, wrap).collect()}
+    label = {(r.t, r.y, r.x): r.label for r in parts.collect()}
+    sections = {}
+    for r in ends.collect():
+        sections.setdefault((r.part, r.side, r.label, r.t), []).append((r.y, r.x))
+    want = set()
+    for (part, side, own, t), cells in sections.items():
+        my, mx = np.mean(cells, 0)
+        ay, ax = min(cells, key=lambda c: (round((c[0] - my) ** 2 + (c[1] - mx) ** 2, 9), c))
+        seen = {}
+        for step in range(1, steps + 1):
+            at, mirrored = t + side * step, False
+            if wrap is not None:
+                at, mirrored = at % 7, not 0 <= at < 7
+            here = {}
+            for (vt, vy, vx), target in label.items():
+                ux = 29 - vx if mirrored else vx
+                if vt == at and target != own and target not in seen and min((vy - y) ** 2 + (ux - x) ** 2 for y, x in cells) <= (slope * step) ** 2 + 1e-9:
+                    here.setdefault(target, []).append(((vy - ay) ** 2 + (ux - ax) ** 2, vy, ux, vx))
+            for target, options in here.items():
+                d2, y, _, x = min(options)
+                seen[target] = (step, d2, target, at, y, x)
+        for place, (step, d2, target, at, y, x) in enumerate(sorted(seen.values())[:most], 1):
+            want.add((part, side, target, step, at, y, x, d2, place))
+    assert found == want and len(want) > 10
+
+
+def test_distances_are_exact_and_quick_whatever_the_plane_holds():
+    import time
+
+    rng = np.random.default_rng(6)
+    for shape in ((1, 1), (1, 9), (9, 1), (17, 23)):
+        for share in (0.0, 0.3, 0.9, 0.98, 1.0):
+            plane = rng.random(shape) < share
+            bare = np.argwhere(~plane)
+            want = [[(np.hypot(*(bare - (y, x)).T).min() if len(bare) else sum(shape)) if plane[y, x] else 0 for x in range(shape[1])] for y in range(shape[0])]
+            assert np.allclose(planes.distance_to_background(plane), want)
+    for holes in ([(0, 0)], [(1500, 3)], [tuple(p) for p in rng.integers(0, 3072, (40, 2))]):
+        plane = np.ones((3072, 3072), bool)
+        plane[tuple(np.transpose(holes))] = False
+        began = time.perf_counter()
+        depth = planes.distance_to_background(plane)
+        assert time.perf_counter() - began < 30
+        for y, x in rng.integers(0, 3072, (50, 2)):
+            assert depth[y, x] == pytest.approx(min(np.hypot(y - a, x - b) for a, b in holes))
+
+
+@pytest.mark.parametrize("connectivity", [6, 18, 26, 4])
+def test_gaps_are_filled_as_a_flood_from_outside_leaves_them(spark, connectivity):
+    rng = np.random.default_rng(connectivity)
+    volume = rng.random((7, 8, 9)) < (0.62 if connectivity in (4, 6) else 0.9)
+    most = {6: 1, 18: 2, 26: 3, 4: 1}[connectivity]
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if 0 < sum(map(abs, s)) <= most and (connectivity != 4 or s[0] == 0)]
+    shift = (0, 1, 1) if connectivity == 4 else (1, 1, 1)
+    empty = np.pad(~volume, [(k, k) for k in shift], constant_values=True)
+    border = lambda at: any(c in (0, n - 1) for c, n, k in zip(at, empty.shape, shift) if k)
+    queue = deque(at for at in map(tuple, np.argwhere(empty)) if border(at))
+    outside = set(queue)
+    while queue:
+        at = queue.popleft()
+        for s in steps:
+            near = tuple(a + b for a, b in zip(at, s))
+            if all(0 <= c < n for c, n in zip(near, empty.shape)) and empty[near] and near not in outside:
+                outside.add(near)
+                queue.append(near)
+    want = {tuple(int(a - b) for a, b in zip(at, shift)) for at in np.ndindex(*empty.shape) if at not in outside}
+    inside = {at for at in want if all(0 <= c < n for c, n in zip(at, volume.shape))}
+    found = {(r.t, r.y, r.x) for r in topology.fill_voids(voxel_table(spark, volume), connectivity).collect()}
+    assert found == inside and len(found) > volume.sum()
+
+
+def test_cleanup_fills_holes_last(spark):
+    plane = np.zeros((1, 14, 14), bool)
+    plane[0, 1:8, 1:8] = True
+    plane[0, 3:6, 3:6] = False  # a ring: filled it would be thick, as it is its radius is 1.41
+    plane[0, 10:13, 10:13] = True  # a block of radius 2 with a weak score
+    mask = voxel_table(spark, plane)
+    scores = spark.createDataFrame([(0, 1, 1, 240), (0, 11, 11, 100)], "t int, y int, x int, score int")
+    ring, block = plane.copy(), plane.copy()
+    ring[0, 10:], block[0, :9] = False, False
+    full = ring.copy()
+    full[0, 3:6, 3:6] = True
+    cells = lambda v: {tuple(map(int, p)) for p in np.argwhere(v)}
+    clean = lambda **gates: {(r.t, r.y, r.x) for r in topology.clean_planes(mask, scores, (14, 14), **gates).collect()}
+    assert clean(min_score=200) == cells(full)
+    assert clean(min_radius=2.0) == cells(block)
+    assert clean(min_score=200, min_radius=2.0) == set()
+    assert clean() == cells(full | block)
+    # holes filled first, the ring would have stayed
+    filled = topology.fill_holes(mask)
+    assert {(r.t, r.y, r.x) for r in topology.clean_planes(filled, scores, (14, 14), min_score=200, min_radius=2.0).collect()} == cells(full)
+
+
+def test_edges_with_numbers_and_planes_beyond_any_shift(spark):
+    # the number of an edge must not reach into the planes of another
+    support = spark.createDataFrame([(e, t, 0, 0) for e in (0, 4096, 2**40) for t in (0, 1, 1023)] + [(7, 1022, 5, 5), (7, 1023, 5, 5)], "edge long, t int, y int, x int")
+    ends = spark.createDataFrame([(e, k, t, 0, 0) for e in (0, 4096, 2**40) for k, t in ((0, 0), (1, 1023))] + [(7, 0, 1022, 5, 5), (7, 1, 1023, 5, 5)], "edge long, end int, t int, y int, x int")
+    assert [r.edge for r in geometry.connected_edges(support, ends).collect()] == [7]
+
+
+def test_caps_keep_the_background_of_a_null_subset(spark):
+    rows = [(sub, f"{sub}-{k}", k, k < 30, f"s{k % 3}") for sub in ("a", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "subset string, identity string, ord int, fg boolean, source string")
+    for kept in (rank.background_cap(df, "subset"), rank.breadth_first_cap(df, "source", "subset"), rank.final_cap(df.withColumn("version", F.lit(0)), "source", "subset")):
+        assert {(r.subset, r.fg): r["count"] for r in kept.groupBy("subset", "fg").count().collect()} == {(s, f): n for s in ("a", None) for f, n in ((True, 30), (False, 10))}
+
+
+def test_final_cap_takes_originals_then_copies_breadth_first(spark):
+    rows = [("t", f"i{k}", k, True, 0) for k in range(21)]  # seven of background are allowed
+    rows += [("t", f"b{k}", 100 + k, False, 0) for k in range(3)]
+    rows += [("t", f"c{k}", 200 + k, False, v) for k in range(3) for v in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "subset string, identity string, ord int, fg boolean, version int")
+    kept = [(r.identity, r.version) for r in rank.final_cap(df, "identity", "subset").where("NOT fg").collect()]
+    assert len(kept) == 7 and {i for i, v in kept if v == 0} == {"b0", "b1", "b2"}
+    copies = [i for i, v in kept if v]
+    assert len(copies) == 4 and set(copies) == {"c0", "c1", "c2"}
+    few = df.where("fg = false OR ord < 6")  # two allowed: originals only
+    assert {v for _, v in [(r.identity, r.version) for r in rank.final_cap(few, "identity", "subset").where("NOT fg").collect()]} == {0}
+
+
+def test_versions_are_for_the_training_part_only(spark):
+    df = spark.createDataFrame([(f"i{k}", k % 2 == 0, k < 7) for k in range(10)], "identity string, fg boolean, train boolean")
+    counted = {r.identity: r.copies for r in rank.version_counts(df, (5, 2), F.col("train")).collect()}
+    assert sum(counted.values()) == 18 - 7 and all(counted[f"i{k}"] == 0 for k in range(7, 10))  # floor(17.5 + 1/2) versions in all
+    # of the remainder of four the foreground comes first
+    assert [counted[f"i{k}"] for k in (0, 2, 4, 6)] == [2] * 4
+
+
+def test_sections_of_a_bent_line_match_numpy(spark):
+    angles = np.linspace(0, 0.8 * np.pi, 33)
+    path = np.column_stack((12 + 9 * np.cos(angles), 13 + 9 * np.sin(angles), 10 + angles))
+    path = np.insert(path, 5, path[4], 0)  # a repeated point
+    volume = np.random.default_rng(0).integers(0, 256, (26, 25, 20)) * (np.random.default_rng(1).random((26, 25, 20)) < 0.6)
+    points = spark.createDataFrame([(3, k, *map(float, p)) for k, p in enumerate(path)] + [(4, 0, 1.0, 1.0, 1.0), (4, 1, 1.0, 1.0, 1.0)], "branch long, ord int, t double, y double, x double")
+    frames = geometry.transport_frames(geometry.centerline_samples(points)).orderBy("branch", "s").toPandas()
+    assert set(frames.branch) == {3}  # one place is no line
+    at, u, v = (frames[[f"{n}{c}" for c in "tyx"]].to_numpy() for n in ("", "u_", "v_"))
+    arc = np.r_[0, np.cumsum(np.linalg.norm(np.diff(path, axis=0), axis=1))]
+    where = np.linspace(0, arc[-1], round(arc[-1]) + 1)
+    assert np.allclose(at, np.column_stack([np.interp(where, arc, path[:, k]) for k in range(3)]))
+    along = np.gradient(at, axis=0)
+    along /= np.linalg.norm(along, axis=1, keepdims=True)
+    for a, b in ((u, v), (u, along), (v, along)):
+        assert np.allclose((a * b).sum(1), 0, atol=1e-9)
+    assert np.allclose(np.linalg.norm(u, axis=1), 1) and (u[1:] * u[:-1]).sum(1).min() > 0.9 and np.allclose(np.cross(along, u), v)
+    voxels = spark.createDataFrame([(*map(int, p), int(volume[tuple(p)])) for p in np.argwhere(volume)], "t int, y int, x int, value int")
+    drawn = spark.createDataFrame(frames)
+    size, center = 7, 3
+    mixed, nearest = np.zeros((2, len(at), size, size), int)
+    value = lambda p: volume[tuple(p)] if all(0 <= c < n for c, n in zip(p, volume.shape)) else 0
+    for s, row, col in np.ndindex(len(at), size, size):
+        p = np.round(at[s] + (col - center) * u[s] + (row - center) * v[s], 9)
+        low = np.floor(p).astype(int)
+        total = sum(value(low + d) * np.prod(np.where(d, p - low, 1 - p + low)) for d in map(np.array, itertools.product((0, 1), repeat=3)))
+        mixed[s, row, col] = np.clip(np.rint(round(total, 6)), 0, 255)
+        nearest[s, row, col] = value(np.floor(p + 0.5).astype(int))
+    for categorical, want in ((False, mixed), (True, nearest)):
+        found = np.zeros_like(want)
+        for r in geometry.section_raster(drawn, voxels, size, categorical).collect():
+            found[r.s, r.row, r.col] = r.value
+        assert (found == want).all()
 
 
 def test_equal_area_cube_covers_each_face_evenly(spark):
