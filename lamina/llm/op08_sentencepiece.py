@@ -10,7 +10,9 @@ the text, unit and candidate falls below the rate, so each occurrence of a word
 
 A task merges each distinct unit of a slice once without dropout and notes the candidates it meets. An
 occurrence whose draws skip none of them has the same agenda and shares those pieces; every other one is merged by itself.
-All units merge side by side, one merge a round, in numpy.
+Units of up to ``SIDE_BY_SIDE`` symbols, which words are, merge side by side, one merge a round, in numpy. Longer ones, as texts without spaces
+make them, have an agenda each: a heap of candidates over linked symbols, whose time grows with the length and its logarithm. Both give the same pieces.
+With dropout a long unit is merged for each occurrence only, as some draw skips a candidate of it anyway.
 
 Decoding joins the bytes of the pieces. A literal U+2581 in a text is encoded by byte pieces,
 so every text comes back exactly.
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ SPACE = 0x2581
 _NONE = np.iinfo(np.int32).max
 _CODES = 0x110000
 _SLOT_BITS = 20
+SIDE_BY_SIDE = 64
+_WORD = 2**64 - 1
 
 
 @dataclass
@@ -54,6 +60,14 @@ class Vocabulary:
     rank: np.ndarray  # of each id, lower merges first
     piece_bytes: list[bytes]
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys[:-1].tolist(), self.pair_ids[:-1].tolist(), strict=True))
+
+    @cached_property
+    def ranks(self) -> list[int]:
+        return self.rank.tolist()
+
 
 def read_vocabulary(path: str) -> Vocabulary:
     import sentencepiece
@@ -128,6 +142,61 @@ def _skipped(keys: np.ndarray, candidates: np.ndarray, dropout: float) -> np.nda
     return _draws(keys, mix(candidates + np.uint64(1)), dropout)
 
 
+def _mixed(x: int) -> int:
+    """``kernels.mix`` of one number."""
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _WORD
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _WORD
+    return x ^ x >> 33
+
+
+def merge_by_agenda(vocabulary: Vocabulary, units: np.ndarray, key: int, dropout: float, met: list[int] | None = None) -> list[int]:
+    """Pieces of one unit: a heap has the candidates by rank, then from left; symbols are linked to their neighbours by their places."""
+    n = len(units)
+    symbols, after, before = units.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs, ranks, limit = vocabulary.pairs, vocabulary.ranks, min(int(dropout * 2.0**64), _WORD)
+    merged, waits = [-1] * n, [-1] * n  # of the pair that begins at a place: its merged id, its rank if it is on the agenda
+
+    def rated(i: int) -> int:
+        """Rank of the pair that begins at ``i``, or -1 if there is none to merge."""
+        j = after[i]
+        found = pairs.get(symbols[i] << 32 | symbols[j], -1) if j < n else -1
+        if found >= 0:
+            merged[i] = found
+            candidate = (i << 42 | j << 21 | after[j]) & _WORD
+            if met is not None:
+                met.append(candidate)
+            if not dropout or _mixed(key ^ _mixed((candidate + 1) & _WORD)) >= limit:
+                return ranks[found]
+        return -1
+
+    agenda = []
+    for i in range(n):
+        waits[i] = r = rated(i)
+        if r >= 0:
+            agenda.append(r * n + i)
+    heapify(agenda)
+    while agenda:
+        r, i = divmod(heappop(agenda), n)
+        if waits[i] != r:  # an end of it has been merged away
+            continue
+        j = after[i]
+        symbols[i], after[i], waits[j] = merged[i], after[j], -1
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (i, before[i]):
+            if k >= 0:
+                waits[k] = r = rated(k)
+                if r >= 0:
+                    heappush(agenda, r * n + k)
+    out, i = [], 0
+    while i < n:
+        out.append(symbols[i])
+        i = after[i]
+    return out
+
+
 def merge_units(
     vocabulary: Vocabulary,
     symbols: np.ndarray,
@@ -140,6 +209,38 @@ def merge_units(
 
     ``met`` receives the unit and the code of each candidate.
     """
+    sizes = np.diff(bounds)
+    long = np.flatnonzero(sizes > SIDE_BY_SIDE)
+    if not len(long):
+        return _merge_side_by_side(vocabulary, symbols, bounds, keys, dropout, met)
+    short = np.flatnonzero(sizes <= SIDE_BY_SIDE)
+    own_met: list[tuple[np.ndarray, np.ndarray]] | None = None if met is None else []
+    pieces, ends = _merge_side_by_side(
+        vocabulary, symbols[_ragged(bounds[:-1][short], sizes[short])], np.concatenate([[0], np.cumsum(sizes[short])]), keys[short], dropout, own_met
+    )
+    if met is not None:
+        met += [(short[unit], candidate) for unit, candidate in own_met]
+    counts, places, pool, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), [pieces], len(pieces)
+    counts[short], places[short] = np.diff(ends), ends[:-1]
+    for k in long.tolist():
+        seen: list[int] | None = None if met is None else []
+        own = np.array(merge_by_agenda(vocabulary, symbols[bounds[k] : bounds[k + 1]], int(keys[k]), dropout, seen), np.int32)
+        if met is not None:
+            met.append((np.full(len(seen), k), np.array(seen, np.uint64)))
+        counts[k], places[k] = len(own), total
+        pool.append(own)
+        total += len(own)
+    return np.concatenate(pool)[_ragged(places, counts)], np.concatenate([[0], np.cumsum(counts)])
+
+
+def _merge_side_by_side(
+    vocabulary: Vocabulary,
+    symbols: np.ndarray,
+    bounds: np.ndarray,
+    keys: np.ndarray,
+    dropout: float,
+    met: list[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     n = len(bounds) - 1
     symbols = symbols.astype(np.int32)
     unit = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
@@ -236,6 +337,8 @@ def encode_slice(
     text_of = np.searchsorted(ends, unit_at, "right")
     _, chosen, back = np.unique(content, return_index=True, return_inverse=True)
     known = symbol[unit_at[chosen]] >= 0
+    alone = known & (sizes[chosen] > SIDE_BY_SIDE) if dropout > 0 else np.zeros(len(chosen), bool)  # merged by occurrence only
+    plain = known & ~alone
 
     def merged(some: np.ndarray, keys: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the units ``some`` end to end, and their bounds."""
@@ -243,7 +346,7 @@ def encode_slice(
         return merge_units(vocabulary, symbol[source], np.concatenate([[0], np.cumsum(sizes[some])]), keys, rate, met)
 
     met: list[tuple[np.ndarray, np.ndarray]] = []
-    pieces, piece_bounds = merged(chosen[known], content[chosen[known]], 0.0, met if dropout > 0 else None)
+    pieces, piece_bounds = merged(chosen[plain], content[chosen[plain]], 0.0, met if dropout > 0 else None)
     # characters without a piece: their UTF-8 bytes
     spelled, spelled_counts = [], []
     for k in chosen[~known]:
@@ -251,9 +354,9 @@ def encode_slice(
         spelled.append(own)
         spelled_counts.append(len(own))
     pool = np.concatenate([pieces, *spelled]).astype(np.int32)
-    counts = np.empty(len(chosen), np.int64)
-    places = np.empty(len(chosen), np.int64)
-    counts[known], places[known] = np.diff(piece_bounds), piece_bounds[:-1]
+    counts = np.zeros(len(chosen), np.int64)
+    places = np.zeros(len(chosen), np.int64)
+    counts[plain], places[plain] = np.diff(piece_bounds), piece_bounds[:-1]
     counts[~known] = spelled_counts
     places[~known] = len(pieces) + np.cumsum(np.array([0, *spelled_counts], np.int64))[:-1]
     counts, places = counts[back], places[back]
@@ -265,13 +368,13 @@ def encode_slice(
             draw %= np.uint64(variants)
         keys = mix(content ^ mix(draw + np.uint64(seed)))
         # candidates of each distinct unit, and of each occurrence whether a draw skips one of them
-        met_unit, candidates = (np.concatenate(x) for x in zip(*met, strict=True))
-        of_chosen = np.flatnonzero(known)[met_unit]
+        met_unit, candidates = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.int64), np.zeros(0, np.uint64)), *met], strict=True))
+        of_chosen = np.flatnonzero(plain)[met_unit.astype(np.int64)]
         hashes = mix(candidates[np.argsort(of_chosen, kind="stable")] + np.uint64(1))
         met_counts = np.bincount(of_chosen, minlength=len(chosen))
         per = met_counts[back]
         at = np.repeat(np.arange(len(unit_at)), per)
-        skips = np.zeros(len(unit_at), bool)
+        skips = alone[back]
         skips[at[_draws(keys[at], hashes[_ragged((np.cumsum(met_counts) - met_counts)[back], per)], dropout)]] = True
         skips = np.flatnonzero(skips)
         if len(skips):

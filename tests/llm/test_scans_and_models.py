@@ -419,3 +419,30 @@ def test_pipeline_matches_its_parts(spark, data):
 def test_query_contracts(spark, duck, data):
     assert rows_of(queries.op2_exact_dedup(spark, data)) == rows_of_sql(duck, queries.OP2_SQL)[1]
     assert queries.op9_sharding(spark, data).columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_long_units_have_the_same_pieces_by_agenda(monkeypatch):
+    import time
+
+    from lamina.llm.kernels import Texts
+
+    vocabulary = op8.read_vocabulary(queries.PIECE_MODEL)
+    rng = random.Random(1)
+
+    def encoded(texts, rate):
+        data = [t.encode() for t in texts]
+        offsets = np.cumsum([0] + [len(d) for d in data])
+        return [x.tolist() for x in op8.encode_slice(vocabulary, Texts(0, np.frombuffer(b"".join(data), np.uint8), offsets), np.arange(len(texts), dtype=np.uint64), rate, 5)]
+
+    words = ["".join(rng.choice("abcdefghij日É") for _ in range(rng.choice([3, 8, 40, 64, 65, 200, 500]))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    for rate in (0.0, 0.1, 0.6):
+        agenda = encoded(texts, rate)
+        monkeypatch.setattr(op8, "SIDE_BY_SIDE", 1 << 40)
+        assert encoded(texts, rate) == agenda
+        monkeypatch.undo()
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    began = time.perf_counter()
+    pieces, bounds = encoded([long], 0.1)
+    assert time.perf_counter() - began < 30
+    assert "".join(vocabulary.piece_bytes[k].decode() for k in pieces) == " " + long and bounds == [0, len(pieces)]
