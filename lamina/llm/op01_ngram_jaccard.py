@@ -5,14 +5,13 @@ similarity of their sets is 0.8 or more.
 
 1. One pass makes a MinHash signature and a digest of the set of each text. Equal sets are one
    class representative (the least id) and its copies.
-2. Bands of the signature bucket the representatives. Buckets of at most ``SMALL`` give their pairs; the
-   signatures of a pair are compared ``STEP`` values at a time, and the pair is dropped
-   when the posterior probability (uniform prior) that its similarity reaches the threshold falls
-   below ``TOLERANCE``. A larger bucket gives only edges to its least member, so its rows
-   grow with its size, not with the square; nothing is pruned there.
+2. Bands of the signature bucket the representatives. In a bucket of at most ``SMALL`` the signatures of pairs are compared ``STEP`` values at a time, and a pair is
+   dropped when the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``TOLERANCE``. A bucket
+   gives a forest of the pairs left, so its rows grow with its size, not with the square. A larger bucket gives edges to its least member unpruned; step 3 prunes these.
 3. Connected components of these edges hold every link. A component is cut into blocks of about ``BLOCK_BYTES`` of text and
-   ``BLOCK`` texts at most, every pair of blocks being one unit of work, so no component, however large, meets in
-   one task, and one within a block (as most are) is dealt once. In a unit, tiles of ``TILE`` texts are compared: the signatures
+   ``BLOCK`` texts on average (rows go to blocks by hash), every pair of blocks being one unit of work, so no component, however large, meets in
+   one task. Only signatures (384 bytes) are dealt to all units of their block; a text goes to the units in which the pruning leaves it a partner, and one
+   of a component of one block, as most are, is dealt once. In a unit, tiles of ``TILE`` texts are compared: the signatures
    prune all pairs incrementally as above, and the rest are verified exactly by the sizes of intersection and union. A unit returns
    a row for each text (its links and the least text it reaches), not its pairs.
 4. Components over verified links give the classes.
@@ -24,9 +23,9 @@ linked with), n_copies (documents with its set, itself included).
 Defined results: a text of 1 to 4 words is one shingle of all of them; one without words, null or
 empty, is linked with nothing and a class of its own; rows repeated with one id are copies; a null id shares the class of
 the other documents with its set, else its class is null; an id must name one text; an empty table gives an empty result;
-other columns are not read. A bucket of many near copies costs work that grows with the
-square of the representatives in it (as exact counts of links must); each of its texts is dealt to as many units as it has blocks,
-while memory and the size of a task stay bounded by two blocks.
+other columns are not read. A group of many near copies costs work that grows with the
+square of the representatives in it (as exact counts of links must), and its texts are dealt to all units in which they have partners; memory is
+that of two blocks, and of the longest text.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.kernels import minhash, shingles_of, text_slices, words_of
@@ -51,9 +50,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 STEP = 16
 TOLERANCE = 1e-5
-SMALL = 8
+SMALL = 4096
 BLOCK = 1024
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 TILE = 256
 _COLUMNS = 4096
 
@@ -103,33 +102,67 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return narrow.mapInArrow(run, "doc_id long, digest binary, signature binary")
 
 
-def candidate_edges(reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b): plausible pairs of small buckets, and a star for each larger one."""
+def candidate_edges(reps: DataFrame, threshold: float, tolerance: float, small: int = SMALL) -> DataFrame:
+    """(a, b): a forest of the plausible pairs of each bucket, and a star for each of more than ``small``."""
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", k * width + 1, width)) for k in range(BANDS)])
-    banded = reps.select("rep_id", F.explode(keys).alias("bucket"))
+    banded = cut(reps.select("rep_id", F.explode(keys).alias("bucket")))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep_id").alias("pivot")).where("size > 1")
-    members = cut(banded.join(sizes, "bucket"))
-    stars = members.where((F.col("size") > SMALL) & (F.col("rep_id") != F.col("pivot"))).select(
-        F.col("pivot").alias("a"), F.col("rep_id").alias("b")
-    )
-    few = members.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("rep_id")).alias("ids"))
-    pairs = (
-        few.select("ids", F.posexplode("ids").alias("k", "a"))
-        .select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"))
-        .distinct()
-    )
-    signed = reps.select("rep_id", "signature")
-    both = pairs.join(signed.toDF("a", "left"), "a").join(signed.toDF("b", "right"), "b")
+    members = cut(lookup_join(banded, sizes, "bucket", "size", banded.count()))
+    stars = members.where((F.col("size") > small) & (F.col("rep_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep_id").alias("b"))
+    # bands often gather the same rows: each set of them is looked at once
+    sets = members.where(F.col("size") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep_id")).alias("ids")).select("ids").distinct()
+    gathered = sets.select(F.xxhash64("ids").alias("part"), F.explode("ids").alias("rep_id")).join(reps.select("rep_id", "signature"), "rep_id")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [
-                np.frombuffer(b"".join(batch[side].to_pylist()), np.uint32).reshape(batch.num_rows, BANDS * ROWS) for side in ("left", "right")
-            ]
-            yield batch.select(["a", "b"]).take(pa.array(plausible(*sides, threshold, tolerance)))
+        for ids, signatures in _grouped(batches, 1):
+            a, b = _plausible_forest(signatures, threshold, tolerance)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    ordered = gathered.select("part", "rep_id", "signature").repartition("part").sortWithinPartitions("part", "rep_id")
+    return ordered.mapInArrow(prune, "a long, b long").union(stars).distinct()
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, signatures) of each run of equal keys, the first columns of rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
 
-    return both.select("a", "b", "left", "right").mapInArrow(prune, "a long, b long").union(stars.distinct())
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        signatures = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint32).reshape(rows.num_rows, BANDS * ROWS)
+        return rows["rep_id"].to_numpy(), signatures
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        edges = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(edges[:-1], edges[1:], strict=True):
+            if held and any(held[0].column(k)[0].as_py() != own[k, start].item() for k in range(keys)):
+                yield joined()
+                held = []
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield joined()
+
+
+def _plausible_forest(signatures: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) that join what plausible pairs join: from each row in turn to those rows that none before reached."""
+    away = np.arange(1, len(signatures))
+    queue, a, b = [0], [], []
+    while queue or len(away):
+        if not queue:  # what is left is apart from all so far
+            queue, away = [int(away[0])], away[1:]
+        at = queue.pop()
+        if not len(away):
+            break
+        near = plausible(np.broadcast_to(signatures[at], (len(away), signatures.shape[1])), signatures[away], threshold, tolerance)
+        reached = away[near]
+        a += [at] * len(reached)
+        b += reached.tolist()
+        queue += reached.tolist()
+        away = np.delete(away, near)
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 class _Sets:
@@ -231,12 +264,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return moved, root[moved]
 
 
-def dealt_to_units(texts: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """(component, rep_id, size, bytes, text) dealt to pairs of blocks: component, i, j, side, rep_id, text."""
-    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("bytes") / block_bytes)).cast("int")
+def dealt_to_units(texts: DataFrame, block: int, block_bytes: int, payload: str = "text") -> DataFrame:
+    """(component, rep_id, size, bytes, ``payload``) dealt to pairs of blocks: component, i, j, side, rep_id, ``payload``."""
     own = F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int")
     return (
-        texts.withColumn("blocks", F.greatest(blocks, F.lit(1)))
+        texts.withColumn("blocks", _blocks(block, block_bytes))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -245,11 +277,66 @@ def dealt_to_units(texts: DataFrame, block: int, block_bytes: int) -> DataFrame:
             F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).cast("int").alias("side"),
             "rep_id",
-            "text",
+            payload,
         )
     )
 
 
+def _blocks(block: int, block_bytes: int) -> Column:
+    return F.greatest(F.ceil(F.greatest(F.col("size") / block, F.col("bytes") / block_bytes)).cast("int"), F.lit(1))
+
+
+def units_with_partners(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(component, i, j, side, rep_id) of the dealt signatures to which the pruning leaves a partner in their unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush() -> pa.RecordBatch:
+            side = np.array([r[0] for r in held], np.int64)
+            ids = np.array([r[1] for r in held], np.int64)
+            signature = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(len(held), BANDS * ROWS)
+            kept = np.flatnonzero(_has_partner(signature, side, now[1] == now[2], threshold, tolerance))
+            head = [pa.array(np.full(len(kept), v), t) for v, t in zip(now, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*head, pa.array(side[kept], pa.int32()), pa.array(ids[kept])], ["component", "i", "j", "side", "rep_id"])
+
+        for batch in batches:
+            for c, i, j, side, rep, signature in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                if (c, i, j) != now:
+                    if held:
+                        yield flush()
+                    held, now = [], (c, i, j)
+                held.append((side, rep, signature))
+        if held:
+            yield flush()
+
+    units = dealt.select("component", "i", "j", "side", "rep_id", "signature").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep_id")
+    return units.mapInArrow(run, "component long, i int, j int, side int, rep_id long")
+
+
+def _has_partner(signature: np.ndarray, side: np.ndarray, diagonal: bool, threshold: float, tolerance: float) -> np.ndarray:
+    """Whether a plausible pair of the unit holds a row; a tile of rows at a time, each pair until one of its rows' tiles is done."""
+    found = np.zeros(len(side), bool)
+    least = needed_matches(STEP, threshold, tolerance)
+    left, right = (np.flatnonzero(side == 0),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for x in range(0, len(left), TILE):
+        for y in range(0, len(right), TILE):
+            rows, columns = left[x : x + TILE], right[y : y + TILE]
+            if found[rows].all() and found[columns].all():
+                continue
+            equal = np.zeros((len(rows), len(columns)), np.int16)
+            for k in range(STEP):
+                equal += signature[rows, k][:, None] == signature[columns, k][None, :]
+            a, b = np.nonzero(equal >= least)
+            a, b = rows[a], columns[b]
+            open_pairs = (a != b) & ~(found[a] & found[b])
+            a, b = a[open_pairs], b[open_pairs]
+            kept = plausible(signature[a], signature[b], threshold, tolerance)
+            found[a[kept]] = found[b[kept]] = True
+    return found
+
+
 def verified_links(dealt: DataFrame, words: int, threshold: float, tolerance: float) -> DataFrame:
     """(rep_id, links, root) rows from the units of work."""
 
@@ -301,8 +388,12 @@ def near_duplicates(
     own = cut(components.join(lengths.groupBy("node").agg(F.max("bytes").alias("bytes")), "node"))
     totals = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     sized = lookup_join(own.select("component", F.col("node").alias("rep_id")), totals, "component", "size", own.count())
+    parted = cut(sized.withColumn("blocks", _blocks(block, block_bytes)))
+    alone = parted.where("blocks = 1").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "rep_id")
+    signed = parted.where("blocks > 1").drop("blocks").join(named.select("rep_id", "signature"), "rep_id")
+    dealt = alone.unionByName(units_with_partners(dealt_to_units(signed, block, block_bytes, "signature"), threshold, tolerance))
     texts = docs.select(F.col(id_col).cast("long").alias("rep_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = cut(verified_links(dealt_to_units(texts.join(sized, "rep_id"), block, block_bytes), words, threshold, tolerance))
+    found = cut(verified_links(texts.join(dealt, "rep_id").select("component", "i", "j", "side", "rep_id", "text"), words, threshold, tolerance))
     links = found.groupBy("rep_id").agg(F.sum("links").alias("n_links"))
     classes = connected_components(found.where("root <> rep_id"), "rep_id", "root")
     about = (

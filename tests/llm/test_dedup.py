@@ -93,6 +93,47 @@ def test_texts_of_one_component_are_dealt_to_few_units(spark):
     assert op1.dealt_to_units(long, op1.BLOCK, op1.BLOCK_BYTES).groupBy("i", "j").count().agg(F.max("count")).first()[0] < 200
 
 
+def test_a_chain_deals_each_text_to_the_units_of_its_neighbours(spark):
+    # a window slides over words: neighbours are alike, one component of 5,000 texts in 50 blocks
+    rng = random.Random(4)
+    words = sentence(rng, 5000 * 6 + 100).split()
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(5000)]
+    signed = op1.sketches(frame(spark, rows), "doc_id", "text", 5).select(F.lit(1).cast("long").alias("component"), F.col("doc_id").alias("rep_id"), F.lit(5000).alias("size"), F.lit(1).alias("bytes"), "signature")
+    dealt = op1.dealt_to_units(signed, 100, op1.BLOCK_BYTES, "signature")
+    assert dealt.count() == 50 * 5000
+    times = op1.units_with_partners(dealt, 0.8, 1e-5).groupBy("rep_id").count().agg(F.max("count"), F.count("*")).first()
+    assert times[0] <= 12 and times[1] == 5000
+    found = {r.doc_id: (r.class_id, r.n_links) for r in op1.near_duplicates(frame(spark, rows[:600]), block=100).collect()}
+    want = brute_near(rows[:600])
+    assert found == {i: w[:2] for i, w in want.items()}
+
+
+def test_forests_join_what_plausible_pairs_join():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 32, (9, 96), dtype=np.uint32)
+    rows = base[rng.integers(0, 9, 200)]
+    rows = np.where(rng.random(rows.shape) < rng.choice([0.02, 0.2, 0.5], (200, 1)), rng.integers(0, 1 << 32, rows.shape, dtype=np.uint32), rows)
+    a, b = op1._plausible_forest(rows, 0.8, 1e-5)
+    assert len(a) < 200
+
+    def classes(pairs):
+        root = list(range(200))
+        for _ in range(200):
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    every = [(x, y) for x in range(200) for y in range(x) if len(op1.plausible(rows[[x]], rows[[y]], 0.8, 1e-5))]
+    assert len(every) > len(a) and classes(list(zip(a.tolist(), b.tolist()))) == classes(every)
+
+
+def test_large_buckets_as_stars_give_the_same_links(spark, monkeypatch):
+    rows = near_rows()
+    monkeypatch.setattr(op1.candidate_edges, "__defaults__", (4,))
+    found = op1.near_duplicates(frame(spark, rows), block=12).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in found} == brute_near(rows)
+
+
 def test_pruning_keeps_what_the_posterior_allows():
     least = op1.needed_matches(96, 0.8, 1e-5)
     rng = np.random.default_rng(3)
