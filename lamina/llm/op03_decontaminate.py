@@ -12,7 +12,8 @@ bounded size, so it is broadcast and joined in one pass over the documents. Seve
 each of which writes its rows and frees its broadcast, so a large benchmark costs more passes, not more memory. Nothing is shuffled.
 
 A document is contaminated by an item if a stretch holds at least ``MIN_MATCHED`` equal
-words, or, of a shorter item, all its words but the share that may differ. A row is returned for every such stretch.
+words, or, of a shorter item, all its words but the share that may differ (a quarter, rounded down). A row is returned for every such stretch, wherever the
+substituted words lie: items of 4 to 7 and of 8 words have masks of their own for that.
 
 Defined results: null texts have no words and match nothing; items without a word match nothing;
 items shorter than the shortest mask are matched whole and exactly; repeated rows and items
@@ -39,6 +40,7 @@ from lamina.session import stored
 
 # 1 reads the word at that place of the window, 0 ignores it.
 MASKS = ("1111", "110101", "1010011", "1100000101")
+MASK_OF_EIGHT = "11011"
 MIN_MATCHED = 12
 MISMATCH_COST = 3  # equal words that a stretch must hold for each substituted one
 BLOCK_WORDS = 1_000_000
@@ -48,12 +50,21 @@ _HITS = 1 << 18
 HIT_SCHEMA = "doc_id long, item_id long, first_word int, last_word int, matched int, substituted int, start int, stop int"
 
 
+def masks_for(words: int) -> list[str]:
+    """The masks for an item of so many words: whichever quarter of its words is substituted, one of them still fits somewhere."""
+    if words < min(map(len, MASKS)):
+        return ["1" * words] if words else []
+    if words < 8:  # one may differ: all words but one
+        return ["1" * k + "0" + "1" * (words - k - 1) for k in range(words)]
+    return [*MASKS, *([MASK_OF_EIGHT] if words == 8 else [])]
+
+
 def spaced_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words that ``mask`` reads, at each place where the whole mask fits."""
     size = len(words) - len(mask) + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    factors = stream(int(mask, 2) + 1000 * len(mask), len(mask)) | np.uint64(1)
+    factors = stream(int(mask, 2) + 1000 * len(mask), len(mask)) | np.uint64(1)  # a mask that begins with 0 has its own, too
     total = np.zeros(size, np.uint64)
     for k, read in enumerate(mask):
         if read == "1":
@@ -76,9 +87,8 @@ def test_block(ids: list[int | None], texts: list[str | None]) -> TestBlock:
         found = words_of(part)
         words += [found.hashes[a:b] for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
     entries: dict[str, list[tuple[np.ndarray, int]]] = defaultdict(list)
-    shortest = min(map(len, MASKS))
     for k, own in enumerate(words):
-        for mask in MASKS if len(own) >= shortest else ["1" * len(own)] if len(own) else []:
+        for mask in masks_for(len(own)):
             entries[mask].append((spaced_hashes(own, mask), k))
     seeds = {}
     for mask, found in entries.items():

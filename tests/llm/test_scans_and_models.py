@@ -96,22 +96,30 @@ def brute_stretches(equal, least):
 
 
 def brute_overlaps(docs, tests):
-    """(doc, item, first word, last word, matched) on every diagonal that a mask hits."""
+    """(doc, item, first word, last word, matched) on every diagonal, without any seed."""
     fold = lambda t: [w.lower() for w in re.findall(r"[0-9A-Za-z]+", t)]
     out = []
     for i, text in docs:
         own = fold(text)
         for k, item in tests:
             test = fold(item)
-            masks = op3.MASKS if len(test) >= 4 else ["1" * len(test)]
+            least = op3.needed(len(test), op3.MIN_MATCHED)
             for diagonal in range(-len(test) + 1, len(own)):
                 a, b = max(0, diagonal), min(len(own), diagonal + len(test))
                 equal = [own[x] == test[x - diagonal] for x in range(a, b)]
-                if any(all(equal[s + d] for d, c in enumerate(m) if c == "1") for m in masks for s in range(b - a - len(m) + 1)):
-                    out += [(i, k, a + x, a + y - 1, sum(equal[x:y])) for x, y in brute_stretches(equal, op3.needed(len(test), op3.MIN_MATCHED))]
+                if sum(equal) >= least:
+                    out += [(i, k, a + x, a + y - 1, sum(equal[x:y])) for x, y in brute_stretches(equal, least)]
     return out
 
 
+@pytest.mark.parametrize("n", range(4, 17))
+def test_some_seed_is_left_wherever_a_quarter_is_substituted(n):
+    import itertools
+
+    windows = [{s + d for d, c in enumerate(m) if c == "1"} for m in op3.masks_for(n) for s in range(n - len(m) + 1)]
+    assert all(any(not w & set(gone) for w in windows) for gone in itertools.combinations(range(n), n // 4))
+
+
 def test_contaminated_matches_brute_force(spark):
     rng = random.Random(12)
     tests = [(k, sentence(rng, n)) for k, n in enumerate((60, 33, 15, 5, 3, 24))] + [(9, "again " * 20)]
