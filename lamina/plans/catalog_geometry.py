@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, maskset, projection, resample, temporal, tiles, topology
+from lamina.operators import geometry, maskset, packets, projection, resample, temporal, tiles, topology
 from lamina.plans.catalog import _label_sql, query
 from lamina.plans.catalog_curation import _OVERLAP, _grid_sql, _metrics
 from lamina.session import cut, table
-from lamina.sources import adapters
+from lamina.sources import adapters, volumes
 from lamina.sources.adapters import sql
 
 # ---- views ----
@@ -338,6 +338,67 @@ def occupancy_by_tile(spark, sf_dir):
     return frames.join(some, ["t", "top", "left"], "left").select("t", "top", "left", F.coalesce("occupied", F.lit(False)).alias("occupied"))
 
 
+# ---- packets and volumes ----
+
+
+def _packets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Packets of each layer's tiles of 10 by 10, which overlap by 2, and their declarations."""
+    k = adapters.grid_side(spark, sf_dir)
+    local = tiles.in_tiles(adapters.evidence(spark, sf_dir).select("layer_id", "t", "y", "x"), 10, 8, k, k)
+    named = local.withColumn("artifact", F.concat_ws("/", "layer_id", F.col("top").cast("string"), F.col("left").cast("string")))
+    masks = named.select("artifact", F.col("t").alias("frame"), F.col("local_y").alias("y"), F.col("local_x").alias("x"))
+    places = named.select("artifact", F.lit(0).alias("frame_start"), F.lit(16).alias("frames"), F.lit(10).alias("height"), F.lit(10).alias("width"), F.col("top").alias("y0"), F.col("left").alias("x0")).distinct()
+    made = cut(packets.pack(masks))
+    return made, packets.declare(made, places)
+
+
+def _view(spark, sf_dir) -> DataFrame:
+    return packets.into_view(packets.words(packets.checked(*_packets(spark, sf_dir))))
+
+
+@query(sql("evidence", "SELECT DISTINCT t AS frame, y, x FROM evidence"))
+def packet_view(spark, sf_dir):
+    """Every layer packed by tiles, checked, and reduced into one view again."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    spread = _view(spark, sf_dir).select("frame", "y", "word", "bits", bit).where(F.expr("shiftrightunsigned(bits, bit) & 1") == 1)
+    return spread.select("frame", "y", (F.col("word") * 64 + F.col("bit")).cast("int").alias("x"))
+
+
+@query(
+    sql(
+        "evidence",
+        """, w AS (SELECT t, y, x // 64 AS word, bit_or(1::UBIGINT << (x % 64)::UBIGINT) AS bits FROM (SELECT DISTINCT t, y, x FROM evidence) GROUP BY ALL),
+r AS (SELECT t, y, sha256(string_agg(word || ':' || lower(to_hex(bits)), ',' ORDER BY word)) AS digest, sum(bit_count(bits)) AS n FROM w GROUP BY t, y)
+SELECT t AS frame, sum(n)::BIGINT AS foreground, sha256(string_agg(y || '=' || digest, ';' ORDER BY y)) AS digest FROM r GROUP BY t""",
+    )
+)
+def packet_view_digest(spark, sf_dir):
+    return packets.view_digests(_view(spark, sf_dir))
+
+
+@query(
+    sql(
+        "evidence",
+        """, u AS (SELECT DISTINCT layer_id, t, y, x FROM evidence), i AS (SELECT *, x - row_number() OVER (PARTITION BY layer_id, t, y ORDER BY x) AS island FROM u)
+SELECT layer_id AS path, t, y, min(x) AS x0, max(x) + 1 AS x1 FROM i GROUP BY layer_id, t, y, island""",
+    )
+)
+def nrrd_layer_runs(spark, sf_dir):
+    """Each layer as a compressed volume, and read again plane by plane."""
+    k = adapters.grid_side(spark, sf_dir)
+    files = volumes.encode_nrrd(adapters.evidence(spark, sf_dir), (16, k, k))
+    return volumes.decode_nrrd_runs(files.withColumnRenamed("layer_id", "path"))
+
+
+@query(sql("evidence kk", "SELECT DISTINCT layer_id AS filename, 16 AS planes, k::INT AS rows, k::INT AS columns FROM evidence, kk"))
+def nrrd_layer_shapes(spark, sf_dir):
+    """Headers of the layers' volumes against the shapes of a manifest."""
+    k = adapters.grid_side(spark, sf_dir)
+    files = volumes.encode_nrrd(adapters.evidence(spark, sf_dir), (16, k, k)).withColumnRenamed("layer_id", "path")
+    manifest = adapters.evidence(spark, sf_dir).select(F.col("layer_id").alias("filename"), F.lit(f"16,{k},{k}").alias("shape")).distinct()
+    return volumes.check_shapes(files, manifest)
+
+
 # ---- shapes ----
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import gzip
 import io
 import json
+import os
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +30,143 @@ def nrrd_header(content: bytes) -> tuple[dict[str, str], int]:
     return {k.strip().lower(): v.strip().lstrip("=") for k, v in fields.items()}, stop
 
 
-def nrrd_plane_runs(content: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(t, y, x0, x1) of the foreground of an 8-bit volume whose fastest axis is x."""
-    fields, at = nrrd_header(content)
+def volume_shape(fields: dict[str, str]) -> tuple[int, int, int]:
+    """(planes, rows, columns) of an 8-bit volume."""
     if fields["type"] not in ("uint8", "uchar", "unsigned char"):
         raise ValueError(f"unsupported type {fields['type']}")
-    data = gzip.decompress(content[at:]) if fields.get("encoding") in ("gzip", "gz") else content[at:]
     width, height, depth = map(int, fields["sizes"].split())
-    volume = np.frombuffer(data, np.uint8, depth * height * width).reshape(depth, height, width) != 0
-    edge = np.diff(np.pad(volume, ((0, 0), (0, 0), (1, 1))).astype(np.int8), axis=2)
+    return depth, height, width
+
+
+def plane_runs(plane: np.ndarray) -> np.ndarray:
+    """Rows (y, x0, x1) of the foreground of a plane."""
+    edge = np.diff(np.pad(plane != 0, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     starts, stops = np.argwhere(edge == 1), np.argwhere(edge == -1)
-    for (t, y, a), (_, _, b) in zip(starts.tolist(), stops.tolist(), strict=True):
-        yield t, y, a, b
+    return np.column_stack([starts, stops[:, 1]])
+
+
+def nrrd_planes(file: BinaryIO, first: int = 0, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(t, plane) of an open volume, a plane in memory at a time: raw data are read from plane ``first`` on, gzip data are inflated up to ``stop``."""
+    head = b""
+    while b"\n\n" not in head:
+        more = file.read(4096)
+        if not more:
+            raise ValueError("not an NRRD file")
+        head += more
+    fields, at = nrrd_header(head)
+    depth, height, width = volume_shape(fields)
+    stop, size = depth if stop is None else min(stop, depth), height * width
+    if fields.get("encoding") in ("gzip", "gz"):
+        file.seek(at)
+        data, skip = gzip.GzipFile(fileobj=file), first * size
+        while skip:  # inflated and dropped in pieces
+            skip -= len(data.read(min(skip, 1 << 20)) or _short())
+    else:
+        file.seek(at + first * size)
+        data = file
+    for t in range(first, stop):
+        plane = data.read(size)
+        if len(plane) != size:
+            _short()
+        yield t, np.frombuffer(plane, np.uint8).reshape(height, width)
+
+
+def _short() -> bytes:
+    raise ValueError("a volume ends before its last plane")
+
+
+def run_batches(name: str, planes: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for t, plane in planes:
+        runs = plane_runs(plane).astype(np.int32)
+        if len(runs):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(runs), pa.string()), pa.array(np.full(len(runs), t, np.int32)), *[pa.array(runs[:, k]) for k in range(3)]], ["path", "t", "y", "x0", "x1"]
+            )
+
+
+def decode_nrrd_runs(files: DataFrame) -> DataFrame:
+    """Runs of the foreground of volumes (path, content), inflated a plane at a time."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                yield from run_batches(name, nrrd_planes(io.BytesIO(content.as_buffer())))
+
+    return files.select("path", "content").mapInArrow(cut, RUNS)
 
 
 def read_nrrd_runs(spark: SparkSession, path: str) -> DataFrame:
     """Runs of the foreground of every volume under ``path``; files are read by Spark, so any store it knows will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.nrrd").load(path).select("path", "content")
+    return decode_nrrd_runs(spark.read.format("binaryFile").option("pathGlobFilter", "*.nrrd").load(path))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                rows = list(nrrd_plane_runs(content))
-                t, y, a, b = (pa.array([r[k] for r in rows], pa.int32()) for k in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), t, y, a, b], ["path", "t", "y", "x0", "x1"])
 
-    return files.mapInArrow(cut, RUNS)
+class _Slab(InputPartition):
+    def __init__(self, path: str, first: int, stop: int):
+        self.path, self.first, self.stop = path, first, stop
+
+
+class _SlabReader(DataSourceReader):
+    def __init__(self, path: str, planes: int, shape: str):
+        self.path, self.planes, self.shape = path, planes, shape
+
+    def partitions(self) -> list[InputPartition]:
+        """Ranges of planes of raw volumes, whole gzip ones; a shape other than the one given is an error, before any plane is read."""
+        found: list[InputPartition] = []
+        for path in sorted(glob.glob(f"{self.path}/*.nrrd") if os.path.isdir(self.path) else [self.path]):
+            with open(path, "rb") as file:
+                fields, at = nrrd_header(file.read(1 << 16))
+            depth, height, width = volume_shape(fields)
+            if self.shape and self.shape != f"{depth},{height},{width}":
+                raise ValueError(f"{path} has shape {depth},{height},{width}, not {self.shape}")
+            if fields.get("encoding") in ("gzip", "gz"):
+                found.append(_Slab(path, 0, depth))
+                continue
+            if os.path.getsize(path) != at + depth * height * width:
+                raise ValueError(f"{path} has not the length of its shape")
+            found += [_Slab(path, k, min(k + self.planes, depth)) for k in range(0, depth, self.planes)]
+        return found
+
+    def read(self, slab: _Slab) -> Iterator[pa.RecordBatch]:
+        with open(slab.path, "rb") as file:
+            yield from run_batches(slab.path, nrrd_planes(file, slab.first, slab.stop))
+
+
+class NrrdSlabs(DataSource):
+    """``spark.read.format("nrrd_slabs").option("planes", 16).option("shape", "t,y,x").load(folder)``: runs of the foreground, a partition a slab.
+
+    The folder is one that every executor mounts; ``read_nrrd_runs`` reads volumes of any store, one a task.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "nrrd_slabs"
+
+    def schema(self) -> str:
+        return RUNS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SlabReader(self.options["path"], max(1, int(self.options.get("planes", 16))), self.options.get("shape", ""))
+
+
+def check_shapes(volumes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(filename, planes, rows, columns) of the layers of ``manifest`` (filename, shape as text t,y,x); a layer without a volume, or with another shape, is an error.
+
+    ``volumes`` has path and content; only the headers are looked at.
+    """
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [volume_shape(nrrd_header(bytes(c.as_buffer()[: 1 << 16]))[0]) for c in batch["content"]]
+            names = [p.rsplit("/", 1)[-1] for p in batch["path"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([s[k] for s in shapes], pa.int32()) for k in range(3)]], ["filename", "planes", "rows", "columns"])
+
+    found = volumes.select("path", "content").mapInArrow(head, "filename string, planes int, rows int, columns int")
+    joined = manifest.select("filename", "shape").join(found, "filename", "left")
+    has = F.concat_ws(",", "planes", "rows", "columns")
+    ok = F.when(F.col("planes").isNull(), F.raise_error(F.concat(F.lit("no volume: "), "filename"))).when(
+        has != F.col("shape"), F.raise_error(F.concat(F.lit("other shape: "), "filename"))
+    ).otherwise(True)
+    return joined.where(ok).select("filename", "planes", "rows", "columns")
 
 
 def nrrd_bytes(volume: np.ndarray, name: str = "Segment_1") -> bytes:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import planes
-from lamina.operators import geometry, graph, maskset, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
+from lamina.operators import geometry, graph, maskset, packets, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
@@ -770,3 +770,83 @@ def test_matches_and_hypotheses_of_planted_tracklets(spark):
     assert found == {("split", 2): ([21, 22], 1.0, 0.5), ("merge", 31): ([3, 4], 1.0, 0.5)}
     loose = tracks.assess(assessed.drop("failed", "similarity", "left_margin", "right_margin", "candidate"), min_margin=0.0)
     assert {(r.a, r.b) for r in tracks.match(loose, 0.0).collect()} >= {(1, 11), (5, 51)}
+
+
+def test_packets_are_reduced_into_a_view_or_rejected(spark):
+    rng = np.random.default_rng(5)
+    view = np.zeros((3, 20, 150), bool)
+    cells, places = [], []
+    for k, (y0, x0, h, w) in enumerate([(0, 0, 12, 70), (8, 60, 12, 90), (2, 63, 5, 3)]):
+        tile = rng.random((3, h, w)) < 0.1
+        tile[1] = False  # an empty frame has no packet
+        view[:, y0 : y0 + h, x0 : x0 + w] |= tile
+        cells += [(f"a{k}", int(t), int(y), int(x)) for t, y, x in np.argwhere(tile)]
+        places.append((f"a{k}", 0, 3, h, w, y0, x0))
+    tiles_ = spark.createDataFrame([*places, ("none", 0, 3, 4, 4, 0, 0)], "artifact string, frame_start int, frames int, height int, width int, y0 int, x0 int")
+    made = packets.pack(spark.createDataFrame(cells, "artifact string, frame int, y int, x int")).cache()
+    for r in made.collect():  # rows of bits, lowest first
+        own = np.zeros((r.height, r.width), np.uint8)
+        for a, t, y, x in cells:
+            if (a, t) == (r.artifact, r.frame):
+                own[y - r.top, x - r.left] = 1
+        assert bytes(r.payload) == np.packbits(own, axis=1, bitorder="little").tobytes() and r.foreground == own.sum()
+    declared = packets.declare(made, tiles_).cache()
+    reduced = packets.into_view(packets.words(packets.checked(made, declared)))
+    found = np.zeros_like(view)
+    for r in reduced.collect():
+        for bit in range(64):
+            if r.bits >> bit & 1:
+                found[r.frame, r.y, r.word * 64 + bit] = True
+    assert (found == view).all()
+    # the digest of a plane does not depend on how it was dealt into artifacts
+    whole = packets.pack(spark.createDataFrame([("one", int(t), int(y), int(x)) for t, y, x in np.argwhere(view)], "artifact string, frame int, y int, x int"))
+    one = packets.declare(whole, spark.createDataFrame([("one", 0, 3, 20, 150, 0, 0)], tiles_.schema))
+    digests = lambda v: {(r.frame, r.foreground, r.digest) for r in packets.view_digests(v).collect()}
+    assert digests(reduced) == digests(packets.into_view(packets.words(packets.checked(whole, one))))
+    first = F.col("artifact") == "a0"
+    change = lambda c, v: made.withColumn(c, F.when(first, v).otherwise(F.col(c)))
+    wrong = {
+        "other digest": (change("payload", F.expr("concat(substring(payload, 2), substring(payload, 1, 1))")), declared),
+        "frame out of range": (made, declared.withColumn("frames", F.lit(2))),
+        "outside its tile": (change("left", F.col("left") + 5), declared),
+        "wrong packed size": (change("stride", F.col("stride") + 1), declared),
+        "not contiguous": (change("at", F.col("at") + F.col("frame")), declared),
+        "other totals": (made, declared.withColumn("pixels", F.col("pixels") + 1)),
+        "out of order or twice|other totals": (made.unionByName(made.where(first).limit(1)), declared),
+        "without an artifact": (made, declared.where(~first)),
+    }
+    for message, (rows, head) in wrong.items():
+        with pytest.raises(Exception, match=message):
+            packets.checked(rows, head).collect()
+    bits = made.withColumn("foreground", F.col("foreground") + F.when(first & (F.col("frame") == 0), 1).when(first, -1).otherwise(0))
+    with pytest.raises(Exception, match="differs from its payload"):
+        packets.words(packets.checked(bits, packets.declare(bits, tiles_))).collect()
+
+
+def test_volumes_are_read_by_slabs(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    header = "NRRD0004\ntype: uint8\ndimension: 3\nsizes: 6 5 7\nencoding: %s\n\n"
+    wanted = set()
+    for name, encoding in (("a", "raw"), ("b", "gzip")):
+        volume = (rng.random((7, 5, 6)) < 0.4).astype(np.uint8)
+        data = volumes.gzip.compress(volume.tobytes()) if encoding == "gzip" else volume.tobytes()
+        (tmp_path / f"{name}.nrrd").write_bytes((header % encoding).encode() + data)
+        wanted |= {(name, *map(int, p)) for p in np.argwhere(volume)}
+    spark.dataSource.register(volumes.NrrdSlabs)
+    read = spark.read.format("nrrd_slabs").option("planes", 2)
+    for rows in (read.option("shape", "7,5,6").load(str(tmp_path)), volumes.read_nrrd_runs(spark, str(tmp_path))):
+        cells = maskset.voxels(rows.withColumn("path", F.regexp_extract("path", "([ab]).nrrd$", 1)))
+        assert {(r.path, r.t, r.y, r.x) for r in cells.collect()} == wanted
+    assert read.load(str(tmp_path)).rdd.getNumPartitions() == 4 + 1  # four slabs of the raw volume, one of the other
+    assert [t for t, _ in volumes.nrrd_planes(io.BytesIO((tmp_path / "b.nrrd").read_bytes()), 3, 5)] == [3, 4]
+    with pytest.raises(Exception, match="has shape"):
+        read.option("shape", "7,5,5").load(str(tmp_path)).count()
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    layers = lambda *rows: spark.createDataFrame(rows, "filename string, shape string")
+    assert volumes.check_shapes(files, layers(("a.nrrd", "7,5,6"), ("b.nrrd", "7,5,6"))).count() == 2
+    for rows, message in (((("a.nrrd", "7,5,7"),), "other shape"), ((("c.nrrd", "7,5,6"),), "no volume")):
+        with pytest.raises(Exception, match=message):
+            volumes.check_shapes(files, layers(*rows)).collect()
+    (tmp_path / "c.nrrd").write_bytes((header % "raw").encode() + b"\x01" * 10)
+    with pytest.raises(Exception, match="length of its shape"):
+        read.option("shape", "").load(str(tmp_path)).count()
