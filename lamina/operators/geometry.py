@@ -224,14 +224,22 @@ def follow_branches(parts: DataFrame) -> DataFrame:
 def bridge_groups(ends: DataFrame, boxes: DataFrame, max_step: int, slope: int) -> tuple[DataFrame, DataFrame]:
     """Plan of bridges: edges (a, b, step) of endpoints with parts up to ``max_step`` planes on within the cone, and groups.
 
-    ``ends`` has part, t, side; ``boxes`` part, t, y0, y1, x0, x1. An equi-join on the plane replaces the range join.
+    ``ends`` has part, t, side; ``boxes`` part, t, y0, y1, x0, x1. Boxes meet by plane and cells as wide as the widest cone, not all with all of a plane.
     """
+    reach = slope * max_step + 1
+    cell = max(2 * reach, 16)
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
     a = ends.join(boxes.drop("t"), "part").select(F.col("part").alias("a"), "t", "side", *[F.col(c).alias(f"a_{c}") for c in ("y0", "y1", "x0", "x1")])
-    offered = a.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_step)))).withColumn("t", F.col("t") + F.col("side") * F.col("step"))
-    b = boxes.select(F.col("part").alias("b"), "t", "y0", "y1", "x0", "x1")
+    offered = (
+        a.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_step))))
+        .withColumn("t", F.col("t") + F.col("side") * F.col("step"))
+        .withColumn("cell_y", cells(F.col("a_y0") - reach, F.col("a_y1") + reach))
+        .withColumn("cell_x", cells(F.col("a_x0") - reach, F.col("a_x1") + reach))
+    )
+    b = boxes.select(F.col("part").alias("b"), "t", "y0", "y1", "x0", "x1").withColumn("cell_y", cells(F.col("y0"), F.col("y1") - 1)).withColumn("cell_x", cells(F.col("x0"), F.col("x1") - 1))
     gap = lambda lo, hi: F.greatest(F.lit(0), F.col(lo) - F.col(f"a_{hi}") + 1, F.col(f"a_{lo}") - F.col(hi) + 1)
     dy, dx = gap("y0", "y1"), gap("x0", "x1")
-    near = offered.join(b, "t").where(dy * dy + dx * dx <= (slope * F.col("step")) ** 2)
+    near = offered.join(b, ["t", "cell_y", "cell_x"]).where(dy * dy + dx * dx <= (slope * F.col("step")) ** 2)
     edges = near.select("a", "b", "step").distinct()
     return edges, connected_components(edges)
 

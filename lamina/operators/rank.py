@@ -68,6 +68,21 @@ def place_in(df: DataFrame, keys: list[str], *order: Column | str, name: str) ->
     return joined.withColumn(name, F.col("rank_in_all") - F.col("first_in_all") + 1).drop("rank_in_all", "first_in_all", "rows_in_all")
 
 
+def weight_before(df: DataFrame, keys: list[str], order: str, weight: str, name: str) -> DataFrame:
+    """``df`` with the total ``weight`` of the rows before it within ``keys`` (null is a key, too) in the order of ``order``, however few keys there are.
+
+    A range sort deals the keys over all tasks; sums of (partition, key), few as they are, give what lies in earlier partitions.
+    """
+    placed = cut(df.orderBy(*keys, order).withColumn("sorted_at", F.monotonically_increasing_id())).withColumn("sorted_part", F.shiftright("sorted_at", 33))
+    parts = placed.groupBy("sorted_part", *keys).agg(F.sum(weight).alias("part_weight"))
+    earlier = F.sum("part_weight").over(Window.partitionBy(*keys).orderBy("sorted_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.withColumn("part_before", F.coalesce(earlier, F.lit(0))).drop("part_weight")
+    own = F.sum(weight).over(Window.partitionBy("sorted_part", *keys).orderBy("sorted_at").rowsBetween(Window.unboundedPreceding, -1))
+    inside = placed.withColumn("part_own", F.coalesce(own, F.lit(0)))
+    joined = null_safe_join(inside, offsets, ["sorted_part", *keys])
+    return joined.withColumn(name, F.col("part_before") + F.col("part_own")).drop("sorted_at", "sorted_part", "part_before", "part_own")
+
+
 def background_limit(foreground: Column, percent: tuple[int, int]) -> Column:
     """floor(p / (1 - p) * foreground) for p = percent[0] / percent[1], in integers."""
     p, q = percent

@@ -19,11 +19,11 @@ def grid(spark: SparkSession, shape: tuple[int, ...], names: tuple[str, ...] = V
     return spark.range(total).select(*columns)
 
 
-def cube_shape(dims: DataFrame, percent: int = 95) -> DataFrame:
-    """t, y, x padded so that no axis is below ``percent`` of the longest."""
+def cube_shape(dims: DataFrame, percent: int = 95, keep: tuple[str, ...] = ()) -> DataFrame:
+    """t, y, x padded so that no axis is below ``percent`` of the longest, beside the columns ``keep``."""
     longest = F.greatest("t", "y", "x")
     least = F.ceil(longest * percent / 100).cast("long")
-    return dims.select(*[F.greatest(c, least).alias(c) for c in VOXEL])
+    return dims.select(*keep, *[F.greatest(c, least).alias(c) for c in VOXEL])
 
 
 def nearest_index(at: Column, source: int, target: int) -> Column:
@@ -37,11 +37,14 @@ def aligned_index(at: Column, source: int, target: int) -> Column:
 
 
 def resize_nearest(mask: DataFrame, source: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
-    """Foreground of the resized volume: each target voxel pulls one source voxel."""
-    pulled = grid(mask.sparkSession, target).select(
-        *VOXEL, *[nearest_index(F.col(c), s, d).alias(f"s_{c}") for c, s, d in zip(VOXEL, source, target, strict=True)]
-    )
-    return pulled.join(mask.toDF(*[f"s_{c}" for c in VOXEL]), [f"s_{c}" for c in VOXEL], "left_semi").select(*VOXEL)
+    """Foreground of the resized volume: each set voxel is pushed to the target voxels that look at it, so rows follow the foreground."""
+    pushed = mask.select(*VOXEL)
+    for c, s, d in zip(VOXEL, source, target, strict=True):
+        at = F.col(c).cast("long")
+        low, high = F.ceil(at * d / s).cast("int") - 1, F.ceil((at + 1) * d / s).cast("int")
+        ends = F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(d - 1)))
+        pushed = pushed.withColumn("own", F.col(c)).withColumn(c, F.explode(ends)).where(nearest_index(F.col(c).cast("long"), s, d) == F.col("own")).drop("own")
+    return pushed.distinct()
 
 
 def _cells(at: Column, source: int, target: int) -> Column:
@@ -107,30 +110,32 @@ def wrapped_azimuth(index: Column, count: int) -> tuple[Column, Column]:
 def tilted_blend(mask: DataFrame, shape: tuple[int, int, int], run: int, rise: int) -> DataFrame:
     """Foreground of a sheared stack: depth t + x * rise / run, two planes blended, at least one half kept.
 
-    Weights are integers out of ``run``, so the threshold is exact.
+    Weights are integers out of ``run``, so the threshold is exact. A set voxel is pushed to the two places that blend it.
     """
-    spark = mask.sparkSession
-    depth = F.col("t") * run + F.col("x") * rise
-    taps = grid(spark, shape).withColumn("low", F.floor(depth / run).cast("int")).withColumn("part", F.pmod(depth, F.lit(run)))
-    both = F.array(
-        F.struct(F.col("low").alias("plane"), (F.lit(run) - F.col("part")).alias("weight")),
-        F.struct((F.col("low") + 1).alias("plane"), F.col("part").alias("weight")),
-    )
-    spread = taps.withColumn("tap", F.explode(both)).select(*VOXEL, F.col("tap.plane").alias("plane"), F.col("tap.weight").alias("weight"))
-    hits = spread.join(mask.toDF("plane", "y", "x"), ["plane", "y", "x"])
-    return hits.groupBy(*VOXEL).agg(F.sum("weight").alias("w")).where(F.col("w") * 2 >= run).select(*VOXEL)
+    lean = F.floor(F.col("x") * rise / run).cast("int")
+    part = F.pmod(F.col("x") * rise, F.lit(run))
+    both = F.array(F.struct((F.col("t") - lean).alias("t"), (F.lit(run) - part).alias("w")), F.struct((F.col("t") - lean - 1).alias("t"), part.alias("w")))
+    inside = mask.where(F.col("y").between(0, shape[1] - 1) & F.col("x").between(0, shape[2] - 1))
+    spread = inside.select("y", "x", F.explode(both).alias("tap")).select("tap.t", "y", "x", "tap.w").where(F.col("t").between(0, shape[0] - 1))
+    return spread.groupBy(*VOXEL).agg(F.sum("w").alias("w")).where(F.col("w") * 2 >= run).select(*VOXEL)
 
 
 def rotate_nearest(mask: DataFrame, shape: tuple[int, int, int], cos: tuple[int, int], sin: tuple[int, int]) -> DataFrame:
-    """In-plane rotation about the center by a rational angle (cos and sin as fractions of one denominator), inverse map, nearest."""
+    """In-plane rotation about the center by a rational angle (cos and sin as fractions of one denominator), inverse map, nearest.
+
+    A set voxel is pushed: of the places around its image those stay whose inverse map is the voxel.
+    """
     _, h, w = shape
     (c, d), (s, d2) = cos, sin
     if d != d2:
         raise ValueError("cos and sin need one denominator")
     # coordinates doubled, so that the center is an integer
-    dy, dx = F.col("y") * 2 - (h - 1), F.col("x") * 2 - (w - 1)
+    doubled = lambda at, size: F.col(at) * 2 - (size - 1)
     back = lambda a, b, size: F.floor((a * c + b + (size - 1) * d + d) / (2 * d)).cast("int")
-    pulled = grid(mask.sparkSession, shape).select(
-        *VOXEL, F.col("t").alias("s_t"), back(dy, -dx * s, h).alias("s_y"), back(dx, dy * s, w).alias("s_x")
-    )
-    return pulled.join(mask.toDF("s_t", "s_y", "s_x"), ["s_t", "s_y", "s_x"], "left_semi").select(*VOXEL)
+    sy, sx = doubled("s_y", h), doubled("s_x", w)
+    image_y, image_x = (sy * c + sx * s) / (2 * d) + (h - 1) / 2, (sx * c - sy * s) / (2 * d) + (w - 1) / 2
+    around = lambda at: F.explode(F.sequence(F.floor(at).cast("int") - 1, F.floor(at).cast("int") + 2))
+    spread = mask.select("t", F.col("y").alias("s_y"), F.col("x").alias("s_x")).withColumn("y", around(image_y)).withColumn("x", around(image_x))
+    dy, dx = doubled("y", h), doubled("x", w)
+    hits = F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1) & (back(dy, -dx * s, h) == F.col("s_y")) & (back(dx, dy * s, w) == F.col("s_x"))
+    return spread.where(hits).select(*VOXEL).distinct()

@@ -72,13 +72,22 @@ def merge_relays(relays: DataFrame) -> DataFrame:
 
 
 def owners(objects: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(obj, tile): the containing tile of greatest margin, then least number; without one, every tile the box meets."""
+    """(obj, tile): the containing tile of greatest margin, then least number; without one, every tile the box meets.
+
+    Boxes and tiles meet by cells as large as the largest tile, so a tile lies in four cells at most and no box is compared with all tiles.
+    """
     meets = (
         (F.col("y0") < F.col("bottom")) & (F.col("y1") > F.col("top")) & (F.col("x0") < F.col("right")) & (F.col("x1") > F.col("left"))
     )
     margin = F.least(F.col("y0") - F.col("top"), F.col("bottom") - F.col("y1"), F.col("x0") - F.col("left"), F.col("right") - F.col("x1"))
-    # the grid is a dimension of a few tiles, planned from two extents
-    met = objects.join(F.broadcast(tiles), meets).withColumn("margin", margin)
+    cell = tiles.agg(F.max(F.greatest(F.col("bottom") - F.col("top"), F.col("right") - F.col("left")))).first()[0] or 1
+
+    def in_cells(df: DataFrame, y0: str, y1: str, x0: str, x1: str) -> DataFrame:
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / cell)))
+        return df.withColumn("cell_y", cells(y0, y1)).withColumn("cell_x", cells(x0, x1))
+
+    boxes, places = in_cells(objects, "y0", "y1", "x0", "x1"), in_cells(tiles, "top", "bottom", "left", "right")
+    met = boxes.join(places, ["cell_y", "cell_x"]).where(meets).select("obj", "tile", margin.alias("margin")).distinct()
     by = Window.partitionBy("obj").orderBy((F.col("margin") >= 0).desc(), F.col("margin").desc(), "tile")
     any_inside = F.max("margin").over(Window.partitionBy("obj")) >= 0
     return met.withColumn("place", F.row_number().over(by)).withColumn("inside", any_inside).where("NOT inside OR place = 1").select("obj", "tile", "margin")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.operators.rank import place_in
+from lamina.operators.joins import lookup_join
+from lamina.operators.rank import weight_before
+from lamina.session import cut
 
 
 def phase_pairs(events: DataFrame, key: list[str], start: str, end: str, event: str = "event", at: str = "ts_us") -> DataFrame:
@@ -26,26 +28,16 @@ def phase_pairs(events: DataFrame, key: list[str], start: str, end: str, event:
 def duration_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     """count, total, median (interpolated), p95 (the order statistic at floor(0.95 (n - 1))), greatest; negative values are left out.
 
-    The p95 is taken from ranks, so no list of values is built.
+    Equal values are counted before anything is sorted, so a value that most rows have is one row; places follow from the counts before it.
     """
-    known = rows.where(F.col(value) >= 0).select(key, F.col(value).alias("v"))
-    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.max("v").alias("greatest"))
-    placed = place_in(known, [key], "v", name="place")
-    wanted = counts.select(
-        key,
-        F.explode(
-            F.array(
-                F.struct(F.lit("low").alias("what"), F.expr("(n + 1) div 2").alias("place")),
-                F.struct(F.lit("high").alias("what"), F.expr("n div 2 + 1").alias("place")),
-                F.struct(F.lit("p95").alias("what"), F.expr("(n - 1) * 95 div 100 + 1").alias("place")),
-            )
-        ).alias("w"),
-    ).select(key, "w.*")
-    # three places of each key: an equi-join on (key, place), so no key meets in one task
-    found = placed.join(wanted, [key, "place"]).groupBy(key).agg(
-        F.avg(F.when(F.col("what") != "p95", F.col("v").cast("double"))).alias("median"), F.max(F.when(F.col("what") == "p95", F.col("v"))).alias("p95")
-    )
-    return counts.join(found, key).select(key, "n", "total", "median", "p95", "greatest")
+    known = rows.where(F.col(value) >= 0).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    placed = weight_before(known, [key], "v", "times", "before")
+    counts = cut(known.groupBy(key).agg(F.sum("times").alias("n"), F.sum(F.col("v") * F.col("times")).alias("total"), F.max("v").alias("greatest"), F.count(F.lit(1)).alias("values")))
+    joined = lookup_join(placed, counts, key, "values", counts.agg(F.sum("values")).first()[0] or 0)
+    holds = lambda place: F.expr(f"before < {place} AND {place} <= before + times")
+    low, high, p95 = (F.max(F.when(holds(place), F.col("v"))) for place in ("((n + 1) div 2)", "(n div 2 + 1)", "((n - 1) * 95 div 100 + 1)"))
+    found = joined.groupBy(key, "n", "total", "greatest").agg(low.alias("low"), high.alias("high"), p95.alias("p95"))
+    return found.select(key, "n", "total", ((F.col("low") + F.col("high")).cast("double") / 2).alias("median"), "p95", "greatest")
 
 
 def hold_intervals(samples: DataFrame, key: str, at: str, limit: int, endpoint: Column) -> DataFrame:

@@ -361,10 +361,10 @@ def score_threshold_u8(spark, sf_dir):
     return joined.groupBy("confidence", "threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("kept"))
 
 
-@query(sql("evidence kk", "SELECT t // 2 AS t, y * 8 // k AS y, x * 8 // k AS x, max(score) AS score FROM evidence, kk WHERE layer_id = 'L1' GROUP BY ALL"))
+@query(sql("evidence kk", "SELECT t // 2 AS t, y * 8 // k AS y, x * 8 // k AS x, max(score) AS score FROM evidence, kk GROUP BY ALL"))
 def score_maxpool(spark, sf_dir):
     k = adapters.grid_side(spark, sf_dir)
-    return resample.max_pool(adapters.evidence(spark, sf_dir).where("layer_id = 'L1'").select("t", "y", "x", "score"), (16, k, k), (8, 8, 8))
+    return resample.max_pool(adapters.evidence(spark, sf_dir).select("t", "y", "x", "score"), (16, k, k), (8, 8, 8))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina.functions import planes, scalars
 from lamina.operators import maskset, rank, resample, sections, temporal, tiles, topology, trace, tracks, vote
 from lamina.operators.joins import bucketed_range_join
-from lamina.plans.catalog import _label_sql, query
+from lamina.plans.catalog import _label_sql, _vote_sql, query
 from lamina.session import cut, table
 from lamina.sources import adapters
 from lamina.sources.adapters import sql
@@ -543,9 +543,7 @@ def affine_rotate_nearest(spark, sf_dir):
 @query("SELECT p_partkey, greatest(p_partkey % 97 + 1, least95) AS t, greatest(p_partkey % 89 + 1, least95) AS y, greatest(p_partkey % 83 + 1, least95) AS x FROM (SELECT p_partkey, ceil(greatest(p_partkey % 97 + 1, p_partkey % 89 + 1, p_partkey % 83 + 1) * 95 / 100.0)::BIGINT AS least95 FROM part)")
 def cube_shape(spark, sf_dir):
     dims = table(spark, sf_dir, "part").select("p_partkey", *[(F.col("p_partkey") % m + 1).alias(c) for c, m in (("t", 97), ("y", 89), ("x", 83))])
-    shaped = F.greatest("t", "y", "x")
-    least = F.ceil(shaped * 95 / 100).cast("long")
-    return dims.select("p_partkey", *[F.greatest(c, least).alias(c) for c in ("t", "y", "x")])
+    return resample.cube_shape(dims, keep=("p_partkey",))
 
 
 @query("SELECT l_orderkey, l_linenumber, ((l_orderkey - 2000) % 12 + 12) % 12 AS source, (floor((l_orderkey - 2000) / 12.0)::BIGINT % 2 + 2) % 2 = 1 AS mirrored FROM lineitem")
@@ -875,7 +873,7 @@ def unique_tags(spark, sf_dir):
     return rank.unique_tags(table(spark, sf_dir, "documents"), "doc_id", 4)
 
 
-@query()
+@query(sql("evidence", _vote_sql() + """SELECT DISTINCT f.t, f.y, f.x FROM final f JOIN final g ON f.t = g.t AND g.kept AND abs(f.y - g.y) + abs(f.x - g.x) <= 1"""))
 def policy_decide_udf(spark, sf_dir):
     """A plug-in decides a plane at a time; what it adds beyond the candidates is dropped by a join."""
     k = adapters.grid_side(spark, sf_dir)
@@ -967,10 +965,10 @@ def softmax_decode(spark, sf_dir):
     return values.select("vec_id", "k", F.round(scalars.softmax_foreground(at(1), at(2)), 9).alias("p"))
 
 
-@query("SELECT vec_id, concat_ws(',', CASE WHEN NOT embedding[1] >= 0 THEN 'low' END, CASE WHEN NOT embedding[2] <= 0.05 THEN 'far' END, CASE WHEN NOT label % 2 = 0 THEN 'odd' END) AS reasons FROM embeddings")
+@query("SELECT vec_id, concat_ws(',', CASE WHEN NOT list_min(embedding)::DOUBLE >= -0.25 THEN 'low' END, CASE WHEN NOT list_max(embedding)::DOUBLE <= 0.25 THEN 'far' END, CASE WHEN NOT label % 2 = 0 THEN 'odd' END) AS reasons FROM embeddings")
 def gate_reason_array(spark, sf_dir):
-    e = F.col("embedding")
-    reasons = scalars.failed_gates(("low", e[0] >= 0), ("far", e[1] <= 0.05), ("odd", F.col("label") % 2 == 0))
+    low, high = F.array_min("embedding").cast("double"), F.array_max("embedding").cast("double")
+    reasons = scalars.failed_gates(("low", low >= -0.25), ("far", high <= 0.25), ("odd", F.col("label") % 2 == 0))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws(",", reasons).alias("reasons"))
 
 
@@ -996,12 +994,24 @@ def bounded_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.bounded_name(F.concat_ws("-", "p_name", "p_type"), 16).alias("name"))
 
 
-@query()
+_DIGITS_62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, list_transform(range(1, 65), lambda k: strpos('0123456789abcdef', substr(sha256(doc_id::VARCHAR), k, 1)) - 1) AS hex FROM documents),
+n AS (SELECT doc_id, list_reduce(list_concat([0::HUGEINT], list_transform(hex, lambda h: h::HUGEINT)), lambda a, h: (a * 16 + h) % {62**16}::HUGEINT) AS n FROM d),
+p AS (SELECT doc_id, n, unnest(range(16)) AS k FROM n)
+SELECT doc_id, string_agg(substr('{_DIGITS_62}', ((n // CASE k {" ".join(f"WHEN {k} THEN {62 ** (15 - k)}::HUGEINT" for k in range(16))} END) % 62)::INT + 1, 1), '' ORDER BY k) AS tag FROM p GROUP BY doc_id"""
+)
 def base62_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.base62_tag(F.sha2(F.col("doc_id").cast("string"), 256), 16).alias("tag"))
 
 
-@query()
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length({0}) + 1), lambda k: ascii(substr({0}, k, 1))::UBIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: 0::UBIGINT)), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT)"""
+
+
+@query(f"SELECT doc_id, (({_CRC.format('own_key')} & 536870911::UBIGINT)::BIGINT | {sections.UNKNOWN}) AS code FROM (SELECT doc_id, source || '|' || lang AS own_key FROM documents)")
 def section_group_codes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sections.unknown_code(F.concat_ws("|", "source", "lang")).alias("code"))
 

@@ -90,11 +90,28 @@ def radial_shells(spark, sf_dir):
     return places.withColumn("y", y).withColumn("x", x).join(adapters.mask(spark, sf_dir), ["y", "x"]).select("r", "t", "a")
 
 
-@query()
+def _qsc_sql(native: str) -> str:
+    """CTEs from ``native`` (dx, dy, dz, face) to (u, v) of the equal-area cube."""
+    return f"""turned AS (SELECT *, [dx, dy, -dx, -dy, dz, -dz][face + 1] AS q, [dy, -dx, -dy, dx, dy, dy][face + 1] AS r, [dz, dz, dz, dz, -dx, dx][face + 1] AS s FROM {native}),
+sided AS (SELECT *, abs(r) >= abs(s) AS flat, CASE WHEN abs(r) >= abs(s) THEN r ELSE s END AS major, CASE WHEN abs(r) >= abs(s) THEN s ELSE r END AS minor, sqrt(q * q + r * r + s * s) AS norm
+  FROM turned WHERE q > 0 AND q * (1 + 1e-12) >= greatest(abs(r), abs(s))),
+rated AS (SELECT *, CASE WHEN major = 0 THEN 0.0 ELSE minor / major END AS ratio FROM sided),
+bent AS (SELECT *, sign(major) * sqrt(greatest((1 - q / norm) / (1 - 1 / sqrt(2 + ratio * ratio)), 0)) AS mu, {12 / math.pi!r} * (atan(ratio) - asin(ratio / sqrt(2 * (1 + ratio * ratio)))) AS turn FROM rated),
+uv AS (SELECT *, CASE WHEN flat THEN mu ELSE mu * turn END AS u, CASE WHEN flat THEN mu * turn ELSE mu END AS v FROM bent)"""
+
+
+@query(
+    f"""WITH d AS (SELECT unnest(range(62)) AS k, embedding FROM embeddings), e AS (SELECT embedding[k + 1]::DOUBLE AS dx, embedding[k + 2]::DOUBLE AS dy, embedding[k + 3]::DOUBLE AS dz FROM d),
+native AS (SELECT *, CASE WHEN abs(dx) >= abs(dy) AND abs(dx) >= abs(dz) THEN CASE WHEN dx >= 0 THEN 0 ELSE 2 END WHEN abs(dy) >= abs(dz) THEN CASE WHEN dy >= 0 THEN 1 ELSE 3 END ELSE CASE WHEN dz >= 0 THEN 4 ELSE 5 END END AS face
+  FROM e WHERE dx <> 0 OR dy <> 0 OR dz <> 0),
+{_qsc_sql("native")}
+SELECT face, least(floor(round((u + 1) * 4, 9)), 7)::INT AS i, least(floor(round((v + 1) * 4, 9)), 7)::INT AS j, count(*) AS n FROM uv GROUP BY ALL"""
+)
 def spherical_cells(spark, sf_dir):
-    """Embeddings as directions, counted by face and cell of the equal-area cube."""
-    directions = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    cell = lambda c: F.least(F.floor((F.col(c) + 1) * 4), F.lit(7)).cast("int")
+    """Each three neighbouring values of the embeddings as a direction, counted by face and cell of the equal-area cube."""
+    triples = table(spark, sf_dir, "embeddings").select("embedding", F.explode(F.sequence(F.lit(1), F.size("embedding") - 2)).alias("k"))
+    directions = triples.select(*[F.element_at("embedding", F.col("k") + d).cast("double").alias(c) for d, c in enumerate("xyz")]).where("x <> 0 OR y <> 0 OR z <> 0")
+    cell = lambda c: F.least(F.floor(F.round((F.col(c) + 1) * 4, 9)), F.lit(7)).cast("int")
     return geometry.qsc_forward(directions).groupBy("face", cell("u").alias("i"), cell("v").alias("j")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,13 +183,7 @@ def radial_score_projection(spark, sf_dir):
     return projection.push_radial(view, (k, k, k), (k // 2, k, k * 2), 0.75, 0.7, 16, k)
 
 
-_QSC = f"""f AS (SELECT unnest(range(6))::INT AS face),
-turned AS (SELECT t, y, x, shell, face, k, [dx, dy, -dx, -dy, dz, -dz][face + 1] AS q, [dy, -dx, -dy, dx, dy, dy][face + 1] AS r, [dz, dz, dz, dz, -dx, dx][face + 1] AS s FROM native, f),
-sided AS (SELECT *, abs(r) >= abs(s) AS flat, CASE WHEN abs(r) >= abs(s) THEN r ELSE s END AS major, CASE WHEN abs(r) >= abs(s) THEN s ELSE r END AS minor, sqrt(q * q + r * r + s * s) AS norm
-  FROM turned WHERE q > 0 AND q * (1 + 1e-12) >= greatest(abs(r), abs(s))),
-rated AS (SELECT *, CASE WHEN major = 0 THEN 0.0 ELSE minor / major END AS ratio FROM sided),
-bent AS (SELECT *, sign(major) * sqrt(greatest((1 - q / norm) / (1 - 1 / sqrt(2 + ratio * ratio)), 0)) AS mu, {12 / math.pi!r} * (atan(ratio) - asin(ratio / sqrt(2 * (1 + ratio * ratio)))) AS turn FROM rated),
-uv AS (SELECT *, CASE WHEN flat THEN mu ELSE mu * turn END AS u, CASE WHEN flat THEN mu * turn ELSE mu END AS v FROM bent)"""
+_QSC = "placed AS (SELECT * FROM native, (SELECT unnest(range(6))::INT AS face)),\n" + _qsc_sql("placed")
 
 
 @query(
@@ -278,7 +289,7 @@ def gaussian_smooth(spark, sf_dir):
 @query(
     sql(
         "evidence kk",
-        """, p AS (SELECT t, y, x, max(score) AS value FROM evidence WHERE layer_id = 'L1' GROUP BY ALL),
+        """, p AS (SELECT t, y, x, max(score) AS value FROM evidence GROUP BY ALL),
 c AS (SELECT p.t, i AS y, j AS x, value, (least((p.y + 1) * 7, (i + 1) * k) - greatest(p.y * 7, i * k)) * (least((p.x + 1) * 7, (j + 1) * k) - greatest(p.x * 7, j * k)) AS w
   FROM p, kk, (SELECT unnest(range(7))::INT AS i), (SELECT unnest(range(7))::INT AS j)
   WHERE least((p.y + 1) * 7, (i + 1) * k) > greatest(p.y * 7, i * k) AND least((p.x + 1) * 7, (j + 1) * k) > greatest(p.x * 7, j * k))
@@ -288,7 +299,7 @@ SELECT t, y, x, round(sum(value * w)::DOUBLE / sum(w), 9) AS value FROM c GROUP
 def intensity_area_resize(spark, sf_dir):
     """Sparse pixels: means are over the pixels there are."""
     k = adapters.grid_side(spark, sf_dir)
-    pixels = adapters.evidence(spark, sf_dir).where("layer_id = 'L1'").groupBy("t", "y", "x").agg(F.max("score").alias("value"))
+    pixels = adapters.evidence(spark, sf_dir).groupBy("t", "y", "x").agg(F.max("score").alias("value"))
     return geometry.area_resize(pixels, (k, k), (7, 7)).withColumn("value", F.round("value", 9))
 
 
