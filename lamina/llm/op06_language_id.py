@@ -5,7 +5,7 @@ Counts of n-grams (1 to 3 characters, letters folded to lower case, all else a s
 hash of the id, in which each language has about ``LEAST_ROWS`` rows, or all that it has. The matrix of log
 probabilities has ``2 ** BITS`` rows and a column for each language, so it is broadcast
 whatever the corpus holds: more than ``MAX_LANGUAGES`` languages are an error, never left out; a scoring task gathers its rows for a slice of texts and sums
-them by text in numpy. Whole texts are scored, lang, source and id are not.
+them by text in numpy, ``GATHERED`` numbers (n-grams times languages) at a time, so its memory does not grow with the languages. Whole texts are scored, lang, source and id are not.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to
 the language first in alphabetical order; rows repeated or with a null id are scored like
@@ -30,7 +30,8 @@ BITS = 16
 SIZES = (1, 2, 3)
 TRAIN_ROWS = 20_000
 LEAST_ROWS = 200
-MAX_LANGUAGES = 1024
+MAX_LANGUAGES = 256
+GATHERED = 1 << 23
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -108,9 +109,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 total = np.tile(learned.log_prior, (len(texts), 1))
                 for n in SIZES:
                     buckets, bounds = grams.hashed(n, BITS)
-                    full = np.diff(bounds) > 0
-                    if full.any():
-                        total[full] += np.add.reduceat(learned.log_prob[buckets], bounds[:-1][full], axis=0, dtype=np.float64)
+                    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                    some = max(1, GATHERED // max(1, len(learned.languages)))
+                    for at in range(0, len(buckets), some):
+                        own = owner[at : at + some]
+                        first = np.flatnonzero(np.diff(own, prepend=-1))
+                        total[own[first]] += np.add.reduceat(learned.log_prob[buckets[at : at + some]], first, axis=0, dtype=np.float64)
                 best = total.argmax(1)
                 share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 known = grams.has_letter & bool(learned.languages)

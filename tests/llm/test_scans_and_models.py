@@ -454,3 +454,41 @@ def test_long_units_have_the_same_pieces_by_agenda(monkeypatch):
     pieces, bounds = encoded([long], 0.1)
     assert time.perf_counter() - began < 30
     assert "".join(vocabulary.piece_bytes[k].decode() for k in pieces) == " " + long and bounds == [0, len(pieces)]
+
+
+def test_languages_are_scored_alike_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"l{k:03d}" for k in range(200)]
+    counts = rng.random((1 << op6.BITS, 200)) + 0.01
+    model = op6.LanguageModel(names, np.log(np.full(200, 1 / 200)), np.log(counts / counts.sum(0)).astype(np.float32))
+    docs = frame(spark, [(k, sentence(random.Random(k), 1 + 40 * k)) for k in range(20)] + [(90, ""), (91, None)])
+    whole = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in op6.identify(docs, model).collect()}
+    monkeypatch.setattr(op6, "GATHERED", 200 * 7)
+    pieces = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in op6.identify(docs, model).collect()}
+    assert pieces == whole and whole[90] == whole[91] == (op6.UNKNOWN, 0.0)
+
+
+def test_shards_match_a_plain_interleaving(spark, data, odd_rows):
+    """Ranks by two plain sorts: within each source by the seeded hash, then all by fractional rank; runs of equal length are the shards."""
+    import hashlib
+
+    documents = [tuple(r) for r in table(spark, data, "documents").select("doc_id", "text", "lang", "source").collect()]
+    full = [(*r, *["en", "s"][len(r) - 2 :])[:4] for r in odd_rows]
+    order = lambda x: (x is not None, x)  # noqa: E731  null first
+    for rows, shards in ((documents, 40), (full, 5), (full, 40)):
+        entries = [(s, None if i is None else hashlib.sha256(f"{op9.SEED}:{i}".encode()).hexdigest(), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t, _, s in rows]
+        entries = [(s, hashlib.sha256(op9.SEED.encode()).hexdigest() if k is None else k, i, c, n) for s, k, i, c, n in entries]
+        ranked = []
+        for source in {e[0] for e in entries}:
+            own = sorted((e for e in entries if e[0] == source), key=lambda e: (e[1], order(e[2]), e[3]))
+            ranked += [((k + 0.5) / len(own), e) for k, e in enumerate(own)]
+        ranked.sort(key=lambda r: (r[0], order(r[1][0]), r[1][1], order(r[1][2]), r[1][3]))
+        total, want, slots = len(ranked), [], Counter()
+        for k, (_, (source, _, i, crc, size)) in enumerate(ranked):
+            shard = k * shards // total
+            want.append((i, source, size, crc, shard, slots[shard]))
+            slots[shard] += 1
+        docs = frame(spark, rows)
+        found = op9.stratified_shards(docs, shards=shards).select("doc_id", "source", "size", "text_crc32", "shard", "slot")
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+        assert max(slots.values()) - min(slots[s] for s in range(min(shards, total))) <= 1
