@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lamina.functions.planes import center_part, signed_distance
 from lamina.operators import maskset
 from lamina.operators.graph import connected_components
-from lamina.operators.topology import label_runs
+from lamina.operators.topology import ONE_TASK, label_runs
 from lamina.session import cut
 
 VOXEL = ("t", "y", "x")
@@ -241,7 +241,7 @@ def bridge_groups(ends: DataFrame, boxes: DataFrame, max_step: int, slope: int)
     dy, dx = gap("y0", "y1"), gap("x0", "x1")
     near = offered.join(b, ["t", "cell_y", "cell_x"]).where(dy * dy + dx * dx <= (slope * F.col("step")) ** 2)
     edges = near.select("a", "b", "step").distinct()
-    return edges, connected_components(edges)
+    return edges, connected_components(edges, one_task=ONE_TASK)
 
 
 def endpoint_candidates(ends: DataFrame, labelled: DataFrame, max_step: int, slope: float, most: int, wrap: tuple[int, int] | None = None) -> DataFrame:
