@@ -55,6 +55,6 @@ def coverage_ledger_stream(spark, sf_dir):
 @query("SELECT epoch_us(ts) // 21600000000 * 21600 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
     events = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    found = state.run_available(state.windowed_counts(events, "at", "6 hours", "2 days", "event_type"))
+    found = state.run_available(state.windowed_counts(events, "at", "6 hours", None, "event_type"))
     last = found.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return last.select(F.unix_seconds("start").alias("start"), "event_type", "n")

@@ -7,7 +7,7 @@ and idempotent, so every order of arrival, and late or repeated data, ends in on
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,28 +54,27 @@ def mailbox_stream(offers: DataFrame) -> DataFrame:
     return offers.groupBy("tile").applyInPandasWithState(_offer, MAILBOX, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest_packets(target: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps each packet (work_id, sha) once; one id with another content is an error.
+LEDGER, HELD = "work_id long, sha string", "sha string"
 
-    Each batch writes its own folder, replaced when the batch is tried again.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select("work_id", "sha").distinct()
-        try:
-            old = spark.read.parquet(f"{target}/*").where(F.element_at(F.split(F.input_file_name(), "/"), -2) != f"batch_{number}")
-        except Exception as missing:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            old = spark.createDataFrame([], "work_id long, sha string")
-        old = old.select("work_id", "sha")
-        both = new.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
-        merged = both.groupBy("work_id").agg(F.count_distinct("sha").alias("contents"), F.min("sha").alias("sha"), F.bool_and("new").alias("new"))
-        ok = F.when(F.col("contents") > 1, F.raise_error(F.concat(F.lit("packet with two contents: "), F.col("work_id").cast("string")))).otherwise(True)
-        merged.where(ok).where("new").select("work_id", "sha").write.mode("overwrite").parquet(f"{target}/batch_{number}")
-
-    return write
+def _ingest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    held = state.get[0] if state.exists else None
+    for pdf in batches:
+        for sha in pdf.sha.unique():
+            if held is None:
+                held = str(sha)
+                state.update((held,))
+                yield pd.DataFrame({"work_id": [key[0]], "sha": [held]})
+            elif sha != held:
+                raise ValueError(f"packet with two contents: {key[0]}")
+
+
+def ledger_stream(packets: DataFrame) -> DataFrame:
+    """Each packet (work_id, sha) once, in the batch that brings it first; one id with another content is an error, however much later it comes.
+
+    What is known of an id is its keyed state, so a batch costs what it holds and not what came before it.
+    """
+    return packets.select("work_id", "sha").groupBy("work_id").applyInPandasWithState(_ingest, LEDGER, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -104,27 +103,19 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
 
 def run_ingestion(packets: DataFrame) -> DataFrame:
     """The ledger (work_id, sha) after a stream of packets."""
-    spark = packets.sparkSession
-    target = _folder(spark, "ledger")
-    query = (
-        packets.writeStream.option("checkpointLocation", f"{target}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(ingest_packets(f"{target}/packets"))
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{target}/packets/*")
+    return run_available(ledger_stream(packets), "append").select("work_id", "sha")
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def windowed_counts(events: DataFrame, at: str, width: str, late: str, key: str) -> DataFrame:
-    """Tumbling counts by event time; data later than the watermark is left out of closed windows."""
+def windowed_counts(events: DataFrame, at: str, width: str, late: str | None, key: str) -> DataFrame:
+    """Tumbling counts by event time. Without ``late`` every event counts, however late it comes, and all windows stay open; with it, windows that
+    are so far behind the latest event are closed and their state is dropped, as are later events of theirs."""
+    timed = events if late is None else events.withWatermark(at, late)
     return (
-        events.withWatermark(at, late)
-        .groupBy(F.window(at, width).alias("w"), key)
+        timed.groupBy(F.window(at, width).alias("w"), key)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), key, "n")
     )

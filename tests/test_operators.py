@@ -850,3 +850,13 @@ def test_volumes_are_read_by_slabs(spark, tmp_path):
     (tmp_path / "c.nrrd").write_bytes((header % "raw").encode() + b"\x01" * 10)
     with pytest.raises(Exception, match="length of its shape"):
         read.option("shape", "").load(str(tmp_path)).count()
+
+
+def test_windows_count_events_however_late(spark, tmp_path):
+    schema = "at timestamp, kind string"
+    for k, days in enumerate((20, 21, 1)):  # the last file is long behind the first
+        rows = spark.sql(f"SELECT timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, {days}) AS at, 'k' AS kind FROM range(3)")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = state.windowed_counts(state.file_stream(spark, str(tmp_path / "e"), schema), "at", "6 hours", None, "kind")
+    found = state.run_available(stream)
+    assert {r.start.day: r.n for r in found.groupBy("start").agg(F.max_by("n", "batch").alias("n")).collect()} == {21: 3, 22: 3, 2: 3}
