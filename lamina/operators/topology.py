@@ -57,8 +57,8 @@ def adjacent_runs(runs: DataFrame, connectivity: int = 6, keys: tuple[str, ...]
     spread = lambda df, lo, hi: df.withColumn("bucket", F.explode(F.sequence(F.expr(f"({lo}) div {width}"), F.expr(f"({hi}) div {width}"))))
     a = runs.select(*keys, F.col("run").alias("a"), "t", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = spread(runs.select(*keys, F.col("run").alias("b"), "t", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1")), "greatest(b0 - 1, 0)", "b1")
-    offered = spread(a, "a0", "a1 - 1").withColumn("s", F.explode(_run_steps(connectivity)))
-    offered = offered.withColumn("t", F.col("t") + F.col("s.dt")).withColumn("y", F.col("y") + F.col("s.dy")).withColumn("reach", F.col("s.reach")).drop("s")
+    offered = spread(a, "a0", "a1 - 1").withColumn("run_step", F.explode(_run_steps(connectivity)))
+    offered = offered.withColumn("t", F.col("t") + F.col("run_step.dt")).withColumn("y", F.col("y") + F.col("run_step.dy")).withColumn("reach", F.col("run_step.reach")).drop("run_step")
     touching = (F.col("a0") < F.col("b1") + F.col("reach")) & (F.col("b0") < F.col("a1") + F.col("reach"))
     return offered.join(b, [*keys, "t", "y", "bucket"]).where(touching).select("a", "b").distinct()
 
@@ -164,8 +164,8 @@ def clean_planes(mask: DataFrame, scores: DataFrame, shape: tuple[int, int], min
     return fill_holes(kept.select(*VOXEL))
 
 
-def part_radii(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """(part, radius): the greatest distance to background of each plane component, on its box and a rim of one inside the plane."""
+def part_depths(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(part, radius, y, x): the greatest distance to background of each plane component and the first pixel that has it, on the component's box and a rim of one inside the plane."""
     h, w = shape
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,10 +173,16 @@ def part_radii(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
         plane = np.zeros((min(pdf.y.max() + 2, h) - y0, min(pdf.x.max() + 2, w) - x0), bool)
         plane[pdf.y - y0, pdf.x - x0] = True
         # a component that is the whole plane has no background
-        radius = float(h + w) if plane.all() else planes.distance_to_background(plane).max()
-        return pd.DataFrame({"part": [pdf.part.iloc[0]], "radius": [radius]})
+        depth = np.full(plane.shape, float(h + w)) if plane.all() else planes.distance_to_background(plane)
+        y, x = np.unravel_index(depth.argmax(), depth.shape)
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "radius": [depth[y, x]], "y": [y + y0], "x": [x + x0]})
+
+    return parts.select("part", "y", "x").groupBy("part").applyInPandas(measure, "part long, radius double, y int, x int")
 
-    return parts.select("part", "y", "x").groupBy("part").applyInPandas(measure, "part long, radius double")
+
+def part_radii(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """(part, radius) of ``part_depths``."""
+    return part_depths(parts, shape).select("part", "radius")
 
 
 def endpoints(parts: DataFrame) -> DataFrame:

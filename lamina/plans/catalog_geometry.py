@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import geometry, maskset, packets, projection, resample, temporal, tiles, topology
+from lamina.operators import centerline, geometry, maskset, packets, projection, resample, temporal, tiles, topology
 from lamina.plans.catalog import _label_sql, query
 from lamina.plans.catalog_curation import _OVERLAP, _grid_sql, _metrics
 from lamina.session import cut, table
@@ -564,6 +564,23 @@ def centerline_sections(spark, sf_dir):
     return geometry.section_raster(frames, _intensities(spark, sf_dir), 9)
 
 
+def _tubes(spark, sf_dir) -> DataFrame:
+    """A bent tube for each supplier, of radius 3; of every fifth one some planes are twice as wide."""
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("col"), F.floor(F.col("s_suppkey") / 50).alias("row"), (F.col("s_suppkey") % 5 == 0).alias("odd"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("t"))
+    wide = F.when(F.col("odd") & F.col("t").between(18, 22), 36).otherwise(9)
+    spread = rows.withColumn("dy", F.explode(F.sequence(F.lit(-6), F.lit(6)))).withColumn("dx", F.explode(F.sequence(F.lit(-6), F.lit(6)))).where(F.col("dy") ** 2 + F.col("dx") ** 2 <= wide)
+    shift = F.round(3 * F.sin(F.col("t") / 8)).cast("int")
+    return spread.select(F.col("t").cast("int").alias("t"), (F.col("row") * 32 + 16 + F.col("dy") + shift).cast("int").alias("y"), (F.col("col") * 32 + 16 + F.col("dx")).cast("int").alias("x"))
+
+
+@query()
+def centerline_bulges(spark, sf_dir):
+    """Runs of wide sections of the suppliers' tubes, with their guards."""
+    rows = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] // 50 + 1
+    found = centerline.tube_bulges(_tubes(spark, sf_dir), (rows * 32, 50 * 32), 10)
+    return found.withColumn("peak", F.round("peak", 6))
+
+
 def _parts(spark, sf_dir) -> DataFrame:
     return cut(topology.slice_components(adapters.mask(spark, sf_dir)))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import planes
-from lamina.operators import geometry, graph, maskset, packets, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
+from lamina.operators import centerline, geometry, graph, maskset, packets, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
@@ -860,3 +860,38 @@ def test_windows_count_events_however_late(spark, tmp_path):
     stream = state.windowed_counts(state.file_stream(spark, str(tmp_path / "e"), schema), "at", "6 hours", None, "kind")
     found = state.run_available(stream)
     assert {r.start.day: r.n for r in found.groupBy("start").agg(F.max_by("n", "batch").alias("n")).collect()} == {21: 3, 22: 3, 2: 3}
+
+
+def test_planted_bulges_are_found_and_plain_tubes_left_alone(spark):
+    grid = np.indices((50, 40, 90))
+    t, y, x = grid
+    center_y = 18 + 6 * np.sin(t / 9)
+    bent = (y - center_y) ** 2 + (x - 15) ** 2 <= 3.3**2
+    bulged = (y - center_y) ** 2 + (x - 45) ** 2 <= np.where((t >= 22) & (t <= 28), 6.5, 3.3) ** 2
+    at_end = (y - center_y) ** 2 + (x - 75) ** 2 <= np.where(t >= 46, 6.5, 3.3) ** 2
+    found = centerline.tube_bulges(voxel_table(spark, bent | bulged | at_end), (40, 90), 12).collect()
+    branches = {r.branch: int((r.branch & (1 << 21) - 1)) for r in found}  # a branch is its first voxel
+    near = lambda at: [r for r in found if abs(branches[r.branch] - at) <= 8]
+    assert not near(15)
+    assert [(r.clean, r.reliable) for r in near(45)] == [(True, True)] and near(45)[0].peak > 1.6
+    # along the bent branch the bulge's planes lie a little further apart than their numbers
+    assert 19 <= near(45)[0].first <= 27 and near(45)[0].last - near(45)[0].first in range(5, 12)
+    assert all(not r.clean for r in near(75))  # nothing behind it tells what is normal
+    tube = voxel_table(spark, bent)
+    widths = centerline.section_widths(tube, centerline.ridge(topology.slice_components(tube, 8), (40, 90)), 12).collect()
+    assert all(r.whole and abs(r.radius - 3.3) < 0.6 for r in widths[3:-3]) and len(widths) >= 50
+
+
+def test_guards_of_bulges(spark):
+    def runs(values, **guards):
+        rows = [(1, k, float(v), True) for k, v in enumerate(values)]
+        return [tuple(r)[1:] for r in centerline.bulges(spark.createDataFrame(rows, "branch long, s int, radius double, whole boolean"), **guards).select("branch", "first", "last", "samples", "clean", "reliable").orderBy("first").collect()]
+
+    plain = [2.0] * 12
+    assert runs(plain * 3) == []
+    assert runs([*plain, 4, 4, 4, *plain]) == [(12, 14, 3, True, True)]
+    assert runs([*plain, 4, 4, *plain]) == []  # too short
+    assert runs([*plain, 4, 4, 2, 2, 4, *plain]) == [(12, 16, 3, True, True)]  # a gap is closed
+    assert runs([2.0, 2, 4, 4, 4, *plain, *plain]) == [(2, 4, 3, False, True)]  # no flank before it
+    jumpy = [2.0, 2, 2, 4, 4, 4] * 6
+    assert all(not r[-1] for r in runs(jumpy, factor=1.3, context=3))
