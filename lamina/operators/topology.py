@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,16 +169,33 @@ def part_depths(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """(part, radius, y, x): the greatest distance to background of each plane component and the first pixel that has it, on the component's box and a rim of one inside the plane."""
     h, w = shape
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = max(pdf.y.min() - 1, 0), max(pdf.x.min() - 1, 0)
-        plane = np.zeros((min(pdf.y.max() + 2, h) - y0, min(pdf.x.max() + 2, w) - x0), bool)
-        plane[pdf.y - y0, pdf.x - x0] = True
+    def measure(y: np.ndarray, x: np.ndarray) -> tuple[float, int, int]:
+        y0, x0 = max(y.min() - 1, 0), max(x.min() - 1, 0)
+        plane = np.zeros((min(y.max() + 2, h) - y0, min(x.max() + 2, w) - x0), bool)
+        plane[y - y0, x - x0] = True
         # a component that is the whole plane has no background
         depth = np.full(plane.shape, float(h + w)) if plane.all() else planes.distance_to_background(plane)
-        y, x = np.unravel_index(depth.argmax(), depth.shape)
-        return pd.DataFrame({"part": [pdf.part.iloc[0]], "radius": [depth[y, x]], "y": [y + y0], "x": [x + x0]})
-
-    return parts.select("part", "y", "x").groupBy("part").applyInPandas(measure, "part long, radius double, y int, x int")
+        at = np.unravel_index(depth.argmax(), depth.shape)
+        return float(depth[at]), int(at[0] + y0), int(at[1] + x0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows, so a component's are together; there are many small ones, which groups of their own would make slow."""
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in [*batches, None]:
+            if batch is not None:
+                held = [np.concatenate([old, batch[c].to_numpy()]) for old, c in zip(held, ("part", "y", "x"), strict=True)]
+            edges = np.flatnonzero(np.diff(held[0])) + 1
+            ends = edges if batch is not None else np.append(edges, len(held[0]))
+            starts = np.concatenate([[0], ends])[: len(ends)].astype(int)
+            found = [(held[0][a], *measure(held[1][a:b], held[2][a:b])) for a, b in zip(starts, ends, strict=True) if b > a]
+            if len(ends):
+                held = [v[ends[-1] :] for v in held]
+            if found:
+                kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["part", "radius", "y", "x"])
+
+    ordered = parts.select(F.col("part").cast("long").alias("part"), "y", "x").repartition("part").sortWithinPartitions("part")
+    return ordered.mapInArrow(run, "part long, radius double, y int, x int")
 
 
 def part_radii(parts: DataFrame, shape: tuple[int, int]) -> DataFrame:
