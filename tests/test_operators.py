@@ -895,3 +895,26 @@ def test_guards_of_bulges(spark):
     assert runs([2.0, 2, 4, 4, 4, *plain, *plain]) == [(2, 4, 3, False, True)]  # no flank before it
     jumpy = [2.0, 2, 2, 4, 4, 4] * 6
     assert all(not r[-1] for r in runs(jumpy, factor=1.3, context=3))
+
+
+def test_pairs_of_tracklets_meet_by_blocks(spark, monkeypatch):
+    # 30 x 30 tracklets, some in frames of their own, on a plane with negative and far coordinates; blocks of 4 and of all give the same, and so do unions
+    rng = np.random.default_rng(8)
+    draw = lambda: {(o, int(f), int(y), int(x)) for o in range(30) for f in rng.choice(9, 4, replace=False) + 20 * (o // 12) for y, x in rng.integers(-3, 3, (5, 2)) * (1, 70_000)}
+    sides = [spark.createDataFrame(sorted(draw()), "obj int, frame int, y int, x int") for _ in range(2)]
+    frames = [df.select("obj", "frame").distinct().union(spark.createDataFrame([(3, 500)], "obj int, frame int")).withColumn("p", F.lit(0.8)) for df in sides]
+    found = []
+    for block in (512, 4):
+        monkeypatch.setattr(tracks, "BLOCK", block)
+        metrics = tracks.overlap_metrics(*sides, *frames, diagonal=9.0)
+        # a pair's frames meet in the group of its blocks: nothing is joined, sent or grouped by pair and frame
+        assert metrics._jdf.queryExecution().sparkPlan().nodeName() == "FlatMapGroupsInArrow"
+        found.append({tuple(r) for r in metrics.collect()})
+    assert found[0] == found[1] and len(found[0]) == len({r[:2] for r in found[0]}) > 100
+    common = sides[0].join(sides[1].withColumnRenamed("obj", "b"), ["frame", "y", "x"]).groupBy("obj", "b").count().collect()
+    place = metrics.columns.index("intersection")
+    assert {(r.obj, r.b, r["count"]) for r in common} == {(r[0], r[1], r[place]) for r in found[0]}
+    rows = [tracks.mask_rows(v, f) for v, f in zip(sides, frames)]
+    best = lambda rows, k: {(a, iou) for a in range(30) for iou in sorted((r[1] for r in rows if r[0] == a), reverse=True)[:k]}
+    few = [(r.a, r.iou) for r in tracks.overlap_of_rows(*rows, 9.0, ("iou",), best=2).collect()]
+    assert len(few) < len(found[0]) and best(few, 2) == best([(r[0], r[metrics.columns.index("iou")]) for r in found[0]], 2)
