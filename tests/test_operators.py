@@ -921,6 +921,29 @@ def test_pairs_of_tracklets_meet_by_blocks(spark, monkeypatch):
     assert len(few) < len(found[0]) and best(few, 2) == best([(r[0], r[metrics.columns.index("iou")]) for r in found[0]], 2)
 
 
+def test_sessions_are_those_of_a_plain_first_fit(spark):
+    rng = np.random.default_rng(6)
+    masks = {(f, o): {(int(y), int(x)) for y, x in rng.integers(-2, 9, (int(rng.integers(1, 20)), 2))} for f in range(3) for o in range(40)}
+    want = set()
+    for f in range(3):
+        sessions = []
+        for o in sorted(range(40), key=lambda o: (-len(masks[f, o]), o)):
+            for number, members in enumerate([*sessions, []]):
+                every = [*members, o]
+                alone = lambda m: masks[f, m].difference(*(masks[f, q] for q in every if q != m))  # noqa: B023, E731
+                if len(every) <= 3 and all(100 * len(alone(m)) >= 50 * len(masks[f, m]) for m in every):
+                    sessions[number:] = [every, *sessions[number + 1 :]]
+                    want.add((f, o, number))
+                    break
+    seeds = spark.createDataFrame([(f, o, y, x) for (f, o), cells in masks.items() for y, x in cells], "frame int, obj long, y int, x int")
+    assert {tuple(r) for r in tracks.seed_sessions(seeds, 3, 50).collect()} == want
+    # a frame of many objects that hardly share a session: sets took a comparison for each pair of them
+    bits = rng.integers(0, 2**63, (20_000, 1)).astype(np.uint64)
+    start = time.time()
+    assert tracks._first_fit(bits, np.bitwise_count(bits).sum(1).astype(np.int64), 8, 50).max() > 3000
+    assert time.time() - start < 60
+
+
 def test_crops_of_many_objects_need_no_table_of_pairs(spark):
     from lamina.operators import geometry
 
