@@ -978,5 +978,6 @@ def test_samples_of_sections_are_dealt_before_they_become_places(spark):
     voxels = spark.range(1000).selectExpr("cast(id div 100 as int) t", "cast(id div 10 % 10 as int) y", "cast(id % 10 as int) x", "7 value")
     drawn = geometry.section_raster(frames, voxels, 5)
     # neither pixels nor the corners of places are grouped or sent: a place meets its eight voxels as one row
-    assert drawn.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")] and "RepartitionByExpression [branch" in plan
     assert drawn.select("branch").distinct().count() == 40 and {r.value for r in drawn.select("value").distinct().collect()} <= set(range(1, 8))
