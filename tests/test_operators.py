@@ -773,6 +773,26 @@ def test_matches_and_hypotheses_of_planted_tracklets(spark):
     assert {(r.a, r.b) for r in tracks.match(loose, 0.0).collect()} >= {(1, 11), (5, 51)}
 
 
+def test_unions_out_of_reach_are_left_out_before_voxels_are_read(spark, monkeypatch):
+    # right 23 shares two thirds of left 2, but most of it lies beyond: no union with it can reach the bounds, so its masks are not sent
+    square = lambda y0, y1, x0, x1: [(y, x) for y in range(y0, y1) for x in range(x0, x1)]
+    sides = ({2: square(10, 16, 0, 12)}, {21: square(10, 16, 0, 6), 22: square(10, 16, 6, 12), 23: square(12, 40, 0, 12)})
+    voxels = [spark.createDataFrame([(o, f, y, x) for o, cells in side.items() for f in range(4) for y, x in cells], "obj int, frame int, y int, x int") for side in sides]
+    frames = [spark.createDataFrame([(o, f, 0.9) for o in side for f in range(4)], "obj int, frame int, p double") for side in sides]
+    assessed = tracks.assess(tracks.overlap_metrics(*voxels, *frames, diagonal=60.0)).cache()
+    assert assessed.count() == 3
+    rate, rated = tracks._union_metrics, []
+    monkeypatch.setattr(tracks, "_union_metrics", lambda unions, *more: rated.extend(sorted(r.members) for r in unions.collect()) or rate(unions, *more))
+    found = tracks.hypotheses(assessed, tracks.match(assessed), *voxels, *frames, diagonal=60.0).collect()
+    assert rated == [[21, 22]] and [(r.kind, r.key, list(r.members)) for r in found] == [("split", 2, [21, 22])]
+
+
+def test_masks_of_a_band_are_shuffled_once(spark, data):
+    masks = tracks.mask_rows_of(adapters.band(spark, data), F.col("pct") >= 92, by=("supplier",))
+    assert masks._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert masks.select("side", "obj", "frame").distinct().count() == masks.count()
+
+
 def test_packets_are_reduced_into_a_view_or_rejected(spark):
     rng = np.random.default_rng(5)
     view = np.zeros((3, 20, 150), bool)
