@@ -754,6 +754,15 @@ def test_assignment_within_components(spark):
     assert sum(r.score for r in found) == pytest.approx(sum(map(brute_assignment, blocks.values())))
 
 
+def test_small_components_are_dealt_to_tasks_by_their_number(spark):
+    score = np.random.default_rng(4).random((3000, 2, 2)) + 0.01
+    rows = [(2 * c + i, 2 * c + j, float(score[c, i, j])) for c, i, j in np.ndindex(score.shape)]
+    found = tracks.assign(spark.createDataFrame(rows, "a long, b long, score double")).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.a for r in found}) == len({r.b for r in found}) == len(found) == 6000
+    assert sum(r.score for r in found) == pytest.approx(np.maximum(score[:, 0, 0] + score[:, 1, 1], score[:, 0, 1] + score[:, 1, 0]).sum())
+    assert len({r.task for r in found}) > 1  # a few bytes a component, so all once fell to one task
+
+
 def test_matches_and_hypotheses_of_planted_tracklets(spark):
     # left 1 is one object seen whole on the right; left 2 is split in two there; lefts 3 and 4 are parts of one there; left 5 has two near-equal candidates
     square = lambda y0, y1, x0, x1: [(y, x) for y in range(y0, y1) for x in range(x0, x1)]
