@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lamina.functions import planes
 from lamina.operators import centerline, geometry, graph, maskset, packets, projection, rank, resample, sections, temporal, tiles, topology, tracks, vote
 from lamina.operators.joins import bucketed_range_join, lookup_join
+from lamina.session import stored
 from lamina.sources import adapters, volumes
 from lamina.streaming import state
 
@@ -950,6 +951,13 @@ def test_pairs_of_tracklets_meet_by_blocks(spark, monkeypatch):
     assert len(few) < len(found[0]) and best(few, 2) == best([(r[0], r[metrics.columns.index("iou")]) for r in found[0]], 2)
 
 
+def test_masks_are_shuffled_once_to_meet(spark, data):
+    rows = stored(tracks.mask_rows_of(adapters.band(spark, data), F.col("pct") >= 92))
+    found = tracks.overlap_of_rows(*[rows.where(F.col("side") == k) for k in (0, 1)], 2048**0.5, ("iou",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange ") == 1 and "SortMergeJoin" not in plan  # to the pairs of blocks; blocks and meetings are broadcast
+
+
 def test_sessions_are_those_of_a_plain_first_fit(spark):
     rng = np.random.default_rng(6)
     masks = {(f, o): {(int(y), int(x)) for y, x in rng.integers(-2, 9, (int(rng.integers(1, 20)), 2))} for f in range(3) for o in range(40)}
