@@ -803,6 +803,32 @@ def test_masks_of_a_band_are_shuffled_once(spark, data):
     assert masks.select("side", "obj", "frame").distinct().count() == masks.count()
 
 
+def test_repeated_voxels_are_in_a_mask_once_without_a_grouping_before(spark, data):
+    seen = [(0, 1, 0, -2, 3, 95), (0, 1, 0, -2, 3, 99), (0, 1, 0, -2, 3, 90), (0, 1, 0, 4, -5, 92), (0, 1, 1, 6, 6, 91), (1, 1, 0, 7, 8, 100)]
+    rows = spark.createDataFrame(seen, "side int, obj int, frame int, y int, x int, pct int")
+    masks = {(r.side, r.obj, r.frame): r for r in tracks.mask_rows_of(rows, F.col("pct") >= 92).collect()}
+    assert {k: (r.p, r.area, r.cy, r.cx, sorted(r.cells)) for k, r in masks.items()} == {
+        (0, 1, 0): (0.99, 2, 1.0, -1.0, sorted([(-2 << 32) + 3, (4 << 32) - 5])),
+        (0, 1, 1): (0.91, 0, None, None, []),
+        (1, 1, 0): (1.0, 1, 7.0, 8.0, [(7 << 32) + 8]),
+    }
+    plan = tracks.mask_rows_of(adapters.band(spark, data), F.col("pct") >= 92, by=("supplier",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == plan.count("ObjectHashAggregate") > 0  # voxels were grouped on their own before
+
+
+def test_blocks_are_stored_in_few_files(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "BLOCK", 4)
+    rows = spark.range(200).select("id", (F.col("id") % 50).alias("frame"), F.lit(1).alias("area")).withColumnRenamed("id", "obj")
+    placed = tracks._blocks(rows)
+    found = placed.collect()
+    assert len(placed.inputFiles()) == 1 and len(found) == len({r.obj for r in found}) == 200  # a file a block before
+    spans = {}
+    for r in found:
+        spans.setdefault(r.block, []).append((r.obj % 50, r.obj))
+    ordered = sorted(spans.values())
+    assert len(spans) >= 25 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:], strict=False))
+
+
 def test_packets_are_reduced_into_a_view_or_rejected(spark):
     rng = np.random.default_rng(5)
     view = np.zeros((3, 20, 150), bool)
