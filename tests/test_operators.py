@@ -984,6 +984,48 @@ def test_masks_are_shuffled_once_to_meet(spark, data):
     assert plan.count("- Exchange ") == 1 and "SortMergeJoin" not in plan  # to the pairs of blocks; blocks and meetings are broadcast
 
 
+def _full_sides(spark, n=30, frames=6):
+    """Two sides of tracklets that nearly all share frames; some frames are missing, some masks are empty, some probabilities unknown."""
+    rng = np.random.default_rng(21)
+    sides = []
+    for side in range(2):
+        voxels = {(o, f, int(y), int(x)) for o in range(n) for f in range(frames) if rng.random() < 0.9 for y, x in rng.integers(-3, 3, (int(rng.integers(0, 9)), 2)) * (1, 70_000)}
+        seen = sorted({v[:2] for v in voxels} | {(o, 0) for o in range(n)})
+        rows = [(o, f, None if (o + f) % 11 == side else 0.5 + (o + f) % 5 / 10) for o, f in seen]
+        sides.append(tracks.mask_rows(spark.createDataFrame(sorted(voxels), "obj int, frame int, y int, x int"), spark.createDataFrame(rows, "obj int, frame int, p double")).cache())
+    return sides
+
+
+def test_blocks_that_all_meet_are_read_where_they_meet(spark, monkeypatch):
+    sides = _full_sides(spark)
+    rows = lambda df: {tuple(None if v is None else round(v, 12) for v in r) for r in df.collect()}
+    want = tracks.overlap_of_rows(*sides, 9.0)
+    assert want._jdf.queryExecution().sparkPlan().nodeName() == "FlatMapGroupsInArrow"  # a few blocks are sent
+    monkeypatch.setattr(tracks, "BLOCK", 4)
+    found = tracks.overlap_of_rows(*sides, 9.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # masks were sent to each of the 64 meetings of blocks before
+    assert "CartesianProduct" in plan and "Exchange" not in plan and found.rdd.getNumPartitions() > 36
+    assert rows(found) == rows(want) and found.count() > 500
+    # the best of each left tracklet are there, with their own metrics
+    few, every = (sorted((r.a, -r.iou, r.b) for r in df.select("a", "b", "iou").collect()) for df in (tracks.overlap_of_rows(*sides, 9.0, ("iou", "apart_median"), best=2), want))
+    best = lambda pairs: {p for a in range(30) for p in [p for p in pairs if p[0] == a][:2]}
+    assert len(few) < len(every) and {p[:2] for p in best(few)} == {p[:2] for p in best(every)} and set(few) <= set(every)
+
+
+def test_metrics_become_columns_in_their_task_as_in_spark(spark):
+    from lamina.plans.catalog_geometry import _accepted
+
+    sides = _full_sides(spark)
+    metrics = tracks.overlap_of_rows(*sides, 9.0)
+    want = metrics.select("a", "b", F.concat_ws(",", tracks.gate_failures()).alias("failed"), F.round(tracks.similarity(), 8).alias("score"), (F.col("drift_median") <= 0.7).alias("area"), ((F.col("iou") >= 0.05) & (F.col("drift_median") <= 0.7) & (F.col("frames") >= 3)).alias("accepted"))
+    made = lambda found: {"code": tracks.gate_codes(found), "score": tracks.rounded(tracks.similarities(found)), **_accepted(found)}
+    found = tracks.overlap_of_rows(*sides, 9.0, then=made, columns="code int, score double, recall_ok boolean, area_ok boolean, accepted boolean")
+    found = found.select("a", "b", tracks.gate_reasons(F.col("code")).alias("failed"), "score", F.col("area_ok").alias("area"), "accepted")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+    assert tracks.rounded(np.array([1 / 512, 0.0, 0.3, np.nan]))[:3].tolist() == [0.00195313, 0.0, 0.3]  # half up
+
+
 def test_sessions_are_those_of_a_plain_first_fit(spark):
     rng = np.random.default_rng(6)
     masks = {(f, o): {(int(y), int(x)) for y, x in rng.integers(-2, 9, (int(rng.integers(1, 20)), 2))} for f in range(3) for o in range(40)}
