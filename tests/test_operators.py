@@ -939,6 +939,50 @@ def test_planted_bulges_are_found_and_plain_tubes_left_alone(spark):
     assert all(r.whole and abs(r.radius - 3.3) < 0.6 for r in widths[3:-3]) and len(widths) >= 50
 
 
+def test_sections_are_measured_where_their_voxels_meet(spark):
+    from lamina.functions import planes
+
+    rng = np.random.default_rng(17)
+    cells = {(int(t), int(y), int(x)) for t, y, x in zip(*np.nonzero(rng.random((12, 90, 100)) < 0.35))}
+    mask = spark.createDataFrame([(t, y - 10, x) for t, y, x in cells], "t int, y int, x int")  # some places lie before the first
+    points = spark.createDataFrame([(b, k, float(k), 4.0 * k + 20 * b - 8, 58.0 + b + 2 * k) for b in range(4) for k in range(6)], "branch long, ord int, t double, y double, x double")
+    found = centerline.section_widths(mask, points, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Exchange rangepartitioning") == 0  # each place of a section was a row, pixels were numbered and labelled as a graph
+    got = {(r.branch, r.s): (round(r.radius, 9), r.whole) for r in found.collect()}
+    drawn = geometry.section_raster(geometry.transport_frames(geometry.centerline_samples(points)), mask.withColumn("value", F.lit(1)), 11, categorical=True)
+    sections = {}
+    for r in drawn.collect():
+        sections.setdefault((r.branch, r.s), np.zeros((11, 11), bool))[r.row, r.col] = True
+    want = {}
+    for key, plane in sections.items():
+        parts = planes.parts_2d(plane, diagonal=True)
+        _, _, number = min(((y - 5) ** 2 + (x - 5) ** 2, tuple(np.argwhere(parts == parts[y, x])[0]), parts[y, x]) for y, x in np.argwhere(plane))
+        own = parts == number
+        want[key] = (round(float(np.sqrt(own.sum() / np.pi)), 9), not (own[[0, -1]].any() or own[:, [0, -1]].any()))
+    assert got == want and len(got) > 40 and len({v[1] for v in got.values()}) == 2
+
+
+def test_components_solved_where_they_lie_first(spark, monkeypatch):
+    from lamina.operators import graph
+
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(a + d)) for a, d in zip(rng.integers(0, 900, 600), rng.integers(1, 4, 600))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {tuple(r) for r in graph.connected_components(df, one_task=10**6).collect()}
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda *a: rounds.append(1))
+    found = graph.connected_components(df, one_task=400, near=lambda node: F.floor(F.col(node) / 100))  # rounds of joins before
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 500 and not rounds
+    # small planes by all pairs of cells, as larger ones by columns and rows
+    from lamina.functions import planes
+
+    plane = rng.random((14, 15)) < 0.8
+    small = planes.distance_to_background(plane)
+    monkeypatch.setattr(planes, "FEW_CELLS", 0)
+    assert np.array_equal(small, planes.distance_to_background(plane)) and small.max() > 1
+
+
 def test_guards_of_bulges(spark):
     def runs(values, **guards):
         rows = [(1, k, float(v), True) for k, v in enumerate(values)]
